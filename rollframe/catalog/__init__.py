@@ -8,6 +8,7 @@ from .oracle import CATALOG, Catalog
 
 MODULES = [
     "advantages",
+    "losses",
 ]
 
 

@@ -135,17 +135,14 @@ def gae_sql(gamma, lam):
   g AS (SELECT a.traj_id, a.t, any_value(a.value) AS value, sum(b.delta*power({gamma}*{lam}, b.p-a.p)) AS adv
         FROM v a JOIN v b ON a.traj_id=b.traj_id AND b.p>=a.p GROUP BY a.traj_id, a.t),
   m AS (SELECT avg(adv) AS mu, var_samp(adv) AS s2 FROM g)
-SELECT traj_id, t, round((adv-mu)/sqrt(s2+1e-8),6)+0e0 AS advantage, round(adv+value,8)+0e0 AS ret FROM g, m
+SELECT traj_id, t, round((adv-mu)/sqrt(s2+1e-8),6)+0e0 AS advantage, round(adv+value,6)+0e0 AS ret FROM g, m
 UNION ALL SELECT traj_id, t, 0e0, 0e0 FROM tokens WHERE mask<>1"""
 
 
-def gae_out(df):
-    # short decimal expansions sit on ties at six places, so the return keeps eight
-    return df.select("traj_id", "t", r6("advantage").alias("advantage"), (F.round("return", 8) + 0.0).alias("ret"))
-
-
-C.add("adv_gae", gae_sql("0.99e0", "0.95e0"))(lambda spark, sf: gae_out(A.adv_gae(tokens(spark, sf), 0.99, 0.95)))
-C.add("adv_gae_undiscounted", gae_sql("1e0", "1e0"))(lambda spark, sf: gae_out(A.adv_gae(tokens(spark, sf))))
+# factors with many digits keep results off decimal ties at the sixth place
+C.add("adv_gae", gae_sql("0.987654321e0", "0.957e0"))(
+    lambda spark, sf: tok_out(A.adv_gae(tokens(spark, sf), 0.987654321, 0.957)))
+C.add("adv_gae_undiscounted", gae_sql("1e0", "1e0"))(lambda spark, sf: tok_out(A.adv_gae(tokens(spark, sf))))
 
 
 @C.add("adv_remax", """
