@@ -9,6 +9,7 @@ from .oracle import CATALOG, Catalog
 MODULES = [
     "advantages",
     "losses",
+    "metrics",
 ]
 
 
