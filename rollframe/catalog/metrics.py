@@ -230,6 +230,7 @@ C.add("maj_full_vote", """, p AS (SELECT data_source, uid, pred, count(*) AS n,
   r AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid ORDER BY n DESC, f) AS rk, sum(n) OVER (PARTITION BY data_source, uid) AS cnt FROM p)
 SELECT data_source, 'score' AS var, 'maj@'||CAST(cnt AS BIGINT)||'/vote' AS metric, round(avg(v),6)+0e0 AS value FROM r WHERE rk=1 GROUP BY ALL""")(
     lambda spark, sf: mets(V.maj_full_vote(rollouts(spark, sf), "score")))
+# hundredths over power-of-two prompt counts sit on ties at six places, so ten are kept
 MAJ_BOOT = 100
 C.add("maj_at_n", f""", r AS (SELECT data_source, uid, pred, score, row_number() OVER (PARTITION BY data_source, uid ORDER BY traj_id) AS pos,
         count(*) OVER (PARTITION BY data_source, uid) AS cnt FROM rollouts),
@@ -242,9 +243,10 @@ C.add("maj_at_n", f""", r AS (SELECT data_source, uid, pred, score, row_number()
   p AS (SELECT data_source, uid, n, rep, pred, count(*) AS c, min(j) AS f, arg_min(score, j) AS v FROM vt GROUP BY ALL),
   b AS (SELECT data_source, uid, n, rep, arg_max(v, c*100000000-f) AS v FROM p GROUP BY ALL),
   e AS (SELECT data_source, uid, n, avg(v) AS m, stddev_pop(v) AS s FROM b GROUP BY ALL)
-SELECT data_source, 'score' AS var, 'maj@'||n||'/mean' AS metric, round(avg(m),6)+0e0 AS value FROM e GROUP BY ALL
-UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', round(avg(s),6)+0e0 FROM e GROUP BY ALL""")(
-    lambda spark, sf: mets(V.maj_at_n(rollouts(spark, sf), "score", n_boot=MAJ_BOOT)))
+SELECT data_source, 'score' AS var, 'maj@'||n||'/mean' AS metric, round(avg(m),10)+0e0 AS value FROM e GROUP BY ALL
+UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', round(avg(s),10)+0e0 FROM e GROUP BY ALL""")(
+    lambda spark, sf: V.maj_at_n(rollouts(spark, sf), "score", n_boot=MAJ_BOOT).select(
+        "data_source", "var", "metric", (F.round("value", 10) + 0.0).alias("value")))
 REP = """, al AS (SELECT data_source, var, metric, v FROM {ms} UNION ALL SELECT data_source, var, metric, avg(v) FROM u GROUP BY ALL),
   nn AS (SELECT *, CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT) AS n, max(CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT)) OVER (PARTITION BY data_source, var) AS top FROM al)
 SELECT CASE WHEN var='acc' AND regexp_matches(metric,'^(mean|maj|best)') AND n=top THEN 'val-core' ELSE 'val-aux' END||'/'||data_source||'/'||var||'/'||metric AS name,
