@@ -10,6 +10,7 @@ MODULES = [
     "advantages",
     "losses",
     "metrics",
+    "batch",
 ]
 
 
