@@ -11,6 +11,8 @@ MODULES = [
     "losses",
     "metrics",
     "batch",
+    "prep",
+    "score",
 ]
 
 
