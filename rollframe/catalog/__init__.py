@@ -13,6 +13,7 @@ MODULES = [
     "batch",
     "prep",
     "score",
+    "streams",
 ]
 
 

@@ -49,11 +49,12 @@ def filter_category(df: DataFrame, **allowed: Sequence) -> DataFrame:
 
 
 def filter_date_window(df: DataFrame, column: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Keep ``since <= date < until``; compared as timestamps, so that the bounds reach the scan."""
+    """Keep ``since <= date < until``; the bounds take the column's own type, so that they reach the scan."""
+    kind = df.schema[column].dataType
     if since is not None:
-        df = df.where(F.col(column) >= F.to_timestamp(F.lit(since)))
+        df = df.where(F.col(column) >= F.lit(since).cast(kind))
     if until is not None:
-        df = df.where(F.col(column) < F.to_timestamp(F.lit(until)))
+        df = df.where(F.col(column) < F.lit(until).cast(kind))
     return df
 
 
