@@ -29,6 +29,13 @@ SELECT traj_id, round(coalesce(sum(CASE WHEN mask=1 THEN value END),0),6)+0e0 AS
     lambda spark, sf: A.masked_stats(tokens(spark, sf), "value", keys=["traj_id"]).select(
         "traj_id", r6("masked_sum").alias("masked_sum"), r6("masked_mean").alias("masked_mean"), "mask_count"))
 
+C.add("masked_sum", "SELECT round(sum(value*mask),6)+0e0 AS masked_sum, CAST(sum(mask) AS BIGINT) AS mask_count FROM tokens")(
+    lambda spark, sf: A.masked_stats(tokens(spark, sf), "value").select(r6("masked_sum").alias("masked_sum"), "mask_count"))
+C.add("register_advantage", """
+SELECT traj_id, round(score - CASE WHEN count(*) OVER g = 1 THEN 0 ELSE avg(score) OVER g END, 6)+0e0 AS advantage
+FROM rollouts WINDOW g AS (PARTITION BY uid)""")(
+    lambda spark, sf: roll_out(A.get_advantage("grpo")(rollouts(spark, sf), norm_by_std=False)))
+
 C.add("masked_var", """
 SELECT sum(mask)+0e0 AS n, round(sum(value*mask)/(sum(mask)+1e-8),6)+0e0 AS mean,
        round(var_samp(value) FILTER (mask=1),6)+0e0 AS var FROM tokens""")(

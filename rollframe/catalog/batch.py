@@ -209,8 +209,8 @@ for _mode, _lo in (("right", "0"), ("left", "greatest(n-300,0)")):
         lambda spark, sf, m=_mode: S.multiturn_loss_mask(
             table(spark, sf, "conversations").withColumn("ids", ids_of("text")), 300, truncation=m, prefix_len=2).select(
             "conv_id", *[text(c).alias(c) for c in ("input_ids", "attention_mask", "loss_mask", "position_ids")]))
-C.add("segments_to_tokens", MT + "SELECT conv_id, p+1 AS t, tok AS token, CASE WHEN role='assistant' THEN 1 ELSE 0 END AS mask FROM o WHERE p<200")(
-    lambda spark, sf: S.segments_to_tokens(
+C.add("segments_to_response_mask", MT + "SELECT conv_id, p+1 AS t, tok AS token, CASE WHEN role='assistant' THEN 1 ELSE 0 END AS mask FROM o WHERE p<200")(
+    lambda spark, sf: S.segments_to_response_mask(
         table(spark, sf, "conversations").withColumn("ids", ids_of("text")).withColumn("is_model", F.col("role") == "assistant"), 200))
 C.add("assemble_rollout_rows", """SELECT traj_id, score, pred, false AS use_score FROM rollouts WHERE param_version<3
 UNION ALL SELECT traj_id, NULL, NULL, false FROM rollouts WHERE param_version>=3""")(
@@ -257,7 +257,12 @@ C.add("balance_partitions_large", """, b AS (SELECT traj_id, response_len, (row_
   r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY response_len DESC, traj_id)-1 AS r FROM b)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, traj_id, CAST(CASE WHEN (r//4)%2=0 THEN r%4 ELSE 3-r%4 END AS BIGINT) AS part FROM r""")(
     lambda spark, sf: P.balance_partitions(batched(spark, sf, 1000), 4, "response_len", limit=500).select("batch_id", "traj_id", "part"))
-C.add("greedy_partitions")(lambda spark, sf: P.greedy_partitions(batched(spark, sf), 4, "response_len").select("batch_id", "traj_id", "part"))
+C.add("greedy_partitions", """, gb AS (SELECT traj_id, CAST(response_len AS BIGINT) AS w, (row_number() OVER (ORDER BY traj_id)-1)//64 AS batch_id, (row_number() OVER (ORDER BY traj_id)-1)%64 AS i FROM rollouts),
+  st AS (SELECT batch_id, 0 AS i, [0,0,0,0]::BIGINT[] AS load, NULL::BIGINT AS part, NULL::BIGINT AS traj_id FROM gb GROUP BY batch_id),
+  rc AS (WITH RECURSIVE r AS (SELECT * FROM st UNION ALL
+     SELECT r.batch_id, r.i+1, list_transform(r.load, lambda x, j: x + CASE WHEN j=list_position(r.load, list_min(r.load)) THEN gb.w ELSE 0 END),
+            list_position(r.load, list_min(r.load))-1, gb.traj_id FROM r JOIN gb ON gb.batch_id=r.batch_id AND gb.i=r.i) SELECT * FROM r)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, traj_id, CAST(part AS BIGINT) AS part FROM rc WHERE traj_id IS NOT NULL""")(lambda spark, sf: P.greedy_partitions(batched(spark, sf), 4, "response_len").select("batch_id", "traj_id", "part"))
 C.add("group_balance")(lambda spark, sf: P.group_balance(
     rollouts(spark, sf).withColumn("batch_id", F.expr("uid div 100")).withColumn("uid", F.col("uid") % 100 % 10), 2, "response_len").select(
     "batch_id", "uid", "traj_id", "part"))

@@ -67,6 +67,8 @@ SELECT (SELECT round(avg(l),6)+0e0 FROM sm) AS loss, {mm("-d")} AS kl FROM sg"""
     lambda spark, sf: all6(L.sapo_stats(loss_tokens(spark, sf))))
 C.add("gpg_stats", LT + f"SELECT {mm('-logp*adv')} AS loss FROM lt")(
     lambda spark, sf: all6(L.gpg_stats(loss_tokens(spark, sf))))
+C.add("register_loss_stat", LT + f"SELECT {mm('-logp*adv')} AS loss FROM lt")(
+    lambda spark, sf: all6(L.get_loss_stat("gpg")(loss_tokens(spark, sf))))
 C.add("reinforce_stats", LT + f"""SELECT {mm('-logp*adv*least(exp(old_logp-rollout_logp),2)')} AS loss,
        {mm('rollout_logp-logp')} AS kl FROM lt""")(
     lambda spark, sf: all6(L.reinforce_stats(O.is_weights(loss_tokens(spark, sf)), is_weight="is_weight")))

@@ -17,6 +17,7 @@ from .exprs import hash_order
 
 ROWS_PER_TASK = 1 << 20
 MAX_HOT_KEYS = 10_000
+SIZE_SAMPLE = 64
 
 
 def row_total(df: DataFrame) -> Column:
@@ -24,36 +25,44 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], rows_per_task: int, sample: int) -> DataFrame:
+    """The largest keys with more than ``rows_per_task`` rows, and how many salts each gets.
+
+    Sizes come from one in ``sample`` rows, chosen by a hash of ``spread_by``:
+    they steer the split only and never touch a result.  There are at most
+    MAX_HOT_KEYS of them, so any key left out holds less than that share of the
+    table.
+    """
+    part = df.where(F.pmod(F.xxhash64(*spread_by), F.lit(sample)) == 0) if sample > 1 else df
+    sizes = part.groupBy(*keys).agg((F.count(F.lit(1)) * sample).alias("_n")).where(F.col("_n") > rows_per_task)
+    salts = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts")
+    return sizes.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).select(*keys, salts)
+
+
 def attach_by_key(
     df: DataFrame,
     keys: Sequence[str],
     small: DataFrame,
     spread_by: Sequence[str],
-    sizes: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    sample: int = SIZE_SAMPLE,
 ) -> DataFrame:
     """Left join ``small`` (one row per key) to ``df``, splitting hot keys.
 
-    A key with more than ``rows_per_task`` rows in ``df`` is cut into salts taken
-    from the columns ``spread_by``.  Only those keys are broadcast, and the bar
-    rises with the table so that there can never be more than MAX_HOT_KEYS.
-    ``sizes`` may bring the row count per key as ``_n``; else it is counted.
+    Where no key is hot this is a plain join.  Else a hot key is cut into salts
+    taken from ``spread_by``, and its row of ``small`` is repeated once per
+    salt; only the list of hot keys is broadcast, whose length is bounded.
     """
     keys = list(keys)
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    bar = F.greatest(F.lit(float(rows_per_task)), total / F.lit(float(MAX_HOT_KEYS)))
-    hot = sizes.where(F.col("_n") > bar).select(
-        *keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts")
-    )
-    left = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts").cast("long")), F.lit(0)).cast("int")
-    )
-    right = small.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
+    hot = hot_keys(df, keys, spread_by, rows_per_task, sample)
+    if hot.isEmpty():
+        return df.join(small, keys, "left")
+    hot = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts").cast("long")), F.lit(0)).cast("int")
+    left = df.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 
 def attach_group_stats(
@@ -62,11 +71,23 @@ def attach_group_stats(
     aggs: Sequence[Column],
     spread_by: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
+    sample: int = SIZE_SAMPLE,
 ) -> DataFrame:
     """Put per-key aggregates back on every row, whatever share of the table a key holds."""
-    stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
-    sizes = stats.select(*keys, "_n")
-    return attach_by_key(df, keys, stats.drop("_n"), spread_by, sizes, rows_per_task)
+    return attach_by_key(df, keys, df.groupBy(*keys).agg(*aggs), spread_by, rows_per_task, sample)
+
+
+def _even_slot(df: DataFrame, order: str, width: int) -> Column | None:
+    """Even ranges of a numeric column, as many as the row count needs at ``width`` rows each; none if one would do.
+
+    Count, smallest and largest value are one row and become literals: as a
+    subquery they would repeat the whole plan wherever the slot is used.
+    """
+    x = F.col(order).cast("double")
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
+    if n <= width or lo is None or hi <= lo:
+        return None
+    return F.floor((x - lo) / (hi - lo) * -(-n // width)).cast("long")
 
 
 def running_total(
@@ -81,31 +102,27 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys``.
 
-    Rows are cut into slots of the order value; sums run inside a slot, and the
-    totals of earlier slots come from a small table with one row per slot.
-    With a unique integer order a slot holds at most ``width`` rows.
+    The range of the order value is cut into about rows / ``width`` slots; sums
+    run inside a slot, and the totals of earlier slots come from a small table
+    with one row per key and slot.
     """
     keys = list(keys)
-    slot = F.expr(f"`{order}` div {int(width)}") if slot is None else slot
+    direction = F.desc if descending else F.asc
+    along = [direction(order), *[direction(c) for c in tie]]
+    slot = _even_slot(df, order, width) if slot is None else slot
+    if slot is None:
+        # the whole table is no more than one task's share
+        one = W.partitionBy(*keys).orderBy(*along).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(one) for n, c in amounts.items()})
     df = df.withColumn("_slot", slot)
-    direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    inside = (
-        W.partitionBy(*keys, "_slot")
-        .orderBy(direction(order), *[direction(c) for c in tie])
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
+    inside = W.partitionBy(*keys, "_slot").orderBy(*along).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(direction("_slot")).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
     carried = totals.select(
         *keys, "_slot", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in amounts]
     )
-    local = df
-    for n, c in amounts.items():
-        local = local.withColumn(n, F.sum(c).over(inside))
-    out = local.join(carried, [*keys, "_slot"], "left")
-    for n in amounts:
-        out = out.withColumn(n, F.col(n) + F.col(f"_b_{n}"))
-    return out.drop("_slot", *[f"_b_{n}" for n in amounts])
+    out = df.withColumns({n: F.sum(c).over(inside) for n, c in amounts.items()}).join(carried, [*keys, "_slot"], "left")
+    return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in amounts}).drop("_slot", *[f"_b_{n}" for n in amounts])
 
 
 def number_rows(
@@ -116,7 +133,7 @@ def number_rows(
     width: int = ROWS_PER_TASK,
     descending: bool = False,
 ) -> DataFrame:
-    """1-based position of each row along a unique integer column, within ``keys``."""
+    """1-based position of each row along a unique numeric column, within ``keys``."""
     return running_total(df, keys, order, {out: F.lit(1).cast("long")}, width, descending)
 
 
@@ -126,19 +143,38 @@ def number_by_hash(
     seed: int | str = 0,
     out: str = "rn",
     keys: Sequence[str] = (),
+    width: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """1-based position in a reproducible random order.
 
-    The leading hex digits of the hash cut the order into 65,536 even slots, so
-    no task ever sorts the whole table.
+    The leading hex digits cut the order into even slots, so no task ever sorts
+    the whole table.
     """
     keyed = df.withColumn("_h", hash_order(*ids, seed=seed))
-    slot = F.substring(F.col("_h"), 1, 4)
+    parts = -(-df.count() // width)
+    unit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    slot = F.floor(unit * parts).cast("long") if parts > 1 else None
+    if slot is None:
+        one = W.partitionBy(*keys).orderBy("_h", *ids)
+        return keyed.withColumn(out, F.row_number().over(one).cast("long")).drop("_h")
     return running_total(
         keyed, keys, "_h", {out: F.lit(1).cast("long")}, slot=slot, tie=list(ids)
     ).drop("_h")
 
 
+def cumulative_by_value(
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    amount: str,
+    out: str,
+    descending: bool = False,
+    width: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Running sum of ``amount`` over the distinct numeric values of each key."""
+    return running_total(counts, keys, value, {out: F.col(amount)}, width, descending)
+
+
 def rank_by_value(
     df: DataFrame,
     value: str,
@@ -148,60 +184,39 @@ def rank_by_value(
     descending: bool = False,
     width: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based position by (value, order) within ``keys``; ``order`` is a unique integer.
+    """1-based position by (value, order) within ``keys``; ``order`` is a unique numeric column.
 
-    Equal values are counted once each, then the rows of one value are numbered
-    by ``order``; a value that fills a third of the table is still split.
+    Rows are counted per (value, slot of the order column); running sums over
+    those cells give each cell its start, and rows are numbered inside a cell.
+    A value that fills a third of the table fills many cells.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = cumulative_by_value(counts, keys, value, "_c", "_upto", descending=descending, width=width)
-    counts = counts.select(*keys, value, (F.col("_upto") - F.col("_c")).alias("_before"))
-    local = number_rows(df, order, "_rn", [*keys, value], width)
+    cell = _even_slot(df, order, width)
+    if cell is None:
+        by_value = F.desc(value) if descending else F.asc(value)
+        one = W.partitionBy(*keys).orderBy(by_value, order)
+        return df.withColumn(out, F.row_number().over(one).cast("long"))
+    df = df.withColumn("_cell", cell)
+    cells = df.groupBy(*keys, value, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    # within a value, later cells follow earlier ones whatever the direction of the value
+    cells = cells.withColumn("_at", -F.col("_cell") if descending else F.col("_cell"))
+    starts = running_total(cells, keys, value, {"_upto": F.col("_c")}, width, descending, tie=["_at"])
+    starts = starts.select(*keys, value, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, value, "_cell").orderBy(order))
     return (
-        local.join(counts, [*keys, value], "left")
-        .withColumn(out, F.col("_rn") + F.col("_before"))
-        .drop("_rn", "_before")
-    )
-
-
-def cumulative_by_value(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    amount: str,
-    out: str,
-    descending: bool = False,
-    width: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Running sum over distinct numeric values within ``keys``.
-
-    The value range is cut into as many even slots as the distinct values need
-    at ``width`` per slot, so one key with very many values is still split.
-    """
-    span = counts.agg(
-        F.struct(
-            F.min(value).cast("double").alias("lo"),
-            F.max(value).cast("double").alias("hi"),
-            F.count(F.lit(1)).alias("k"),
-        )
-    ).scalar()
-    cut = counts.withColumn("_span", span)
-    lo, hi = F.col("_span.lo"), F.col("_span.hi")
-    parts = F.ceil(F.col("_span.k") / F.lit(width))
-    slot = (
-        F.when((F.col("_span.k") <= width) | (hi <= lo), F.lit(0))
-        .otherwise(F.floor((F.col(value).cast("double") - lo) / (hi - lo) * parts))
-        .cast("long")
+        df.withColumn("_rn", inside)
+        .join(starts, [*keys, value, "_cell"], "left")
+        .withColumn(out, (F.col("_rn") + F.col("_before")).cast("long"))
+        .drop("_cell", "_rn", "_before")
     )
-    return running_total(
-        cut, list(keys), value, {out: F.col(amount)}, slot=slot, descending=descending
-    ).drop("_span")
 
 
 def previous_value(df: DataFrame, order: str, value: str, out: str, width: int = ROWS_PER_TASK) -> DataFrame:
-    """``lag(value)`` along a unique integer column over the whole table, without one big window."""
-    df = df.withColumn("_slot", F.expr(f"`{order}` div {int(width)}"))
+    """``lag(value)`` along a unique numeric column over the whole table, without one big window."""
+    slot = _even_slot(df, order, width)
+    if slot is None:
+        return df.withColumn(out, F.lag(value).over(W.orderBy(order)))
+    df = df.withColumn("_slot", slot)
     inside = W.partitionBy("_slot").orderBy(order)
     ends = df.groupBy("_slot").agg(F.max_by(value, order).alias("_end"))
     ends = ends.select("_slot", F.lag("_end").over(W.orderBy("_slot")).alias("_prev_end"))

@@ -131,8 +131,8 @@ def adv_grpo_passk(
         F.max(F.when(F.col("_rk") == 1, F.col("traj_id"))).alias("_best"),
         (F.max(F.when(F.col("_rk") == 1, F.col("score"))) - F.max(F.when(F.col("_rk") == 2, F.col("score")))).alias("_gap"),
     )
-    spread = rollouts.groupBy("uid").agg(F.stddev_samp("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    r = attach_by_key(rollouts, ["uid"], pair.join(spread, "uid").drop("_n"), ["traj_id"], spread.select("uid", "_n"))
+    spread = rollouts.groupBy("uid").agg(F.stddev_samp("score").alias("_s"))
+    r = attach_by_key(rollouts, ["uid"], pair.join(spread, "uid"), ["traj_id"])
     gap = F.col("_gap") / (F.col("_s") + eps) if norm_by_std else F.col("_gap")
     small = (
         F.lit(0.0) if small_groups == "zero"
@@ -269,51 +269,50 @@ def adv_remax(tokens: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def _path_variance(tokens: DataFrame, is_weight: str | None) -> DataFrame:
+    """Adds the reward to go, the running score-norm weight, the valid position and the valid length."""
     w = 1 - 2 * F.exp("old_logp") + F.col("sum_pi_sq")
     if is_weight:
         w = w * F.col(is_weight) * F.col(is_weight)
-    d = tokens.withColumn("_w", F.when(F.col("mask") == 1, w).otherwise(0.0)).withColumn(
-        "_r", F.when(F.col("mask") == 1, F.col("token_reward")).otherwise(0.0)
-    )
-    fwd = W.partitionBy("traj_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_cw", F.sum("_w").over(fwd)).withColumn("_pos", F.sum("mask").over(fwd))
-    return discounted_suffix_sum(d, ["traj_id"], "t", "_r", 1.0, "return").drop("_r", "_w")
-
-
-def _tail_rule(tokens: DataFrame, keep_empty: bool) -> DataFrame:
-    """Per group: size, and the longest and second-longest valid length when the longest is alone."""
-    lens = tokens.groupBy("uid", "traj_id").agg(F.sum("mask").alias("_len"))
+    on = lambda c: F.when(F.col("mask") == 1, c).otherwise(0.0)
+    whole = W.partitionBy("traj_id")
+    fwd = whole.orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    rest = whole.orderBy("t").rowsBetween(0, W.unboundedFollowing)
+    return tokens.withColumns({
+        "return": F.sum(on(F.col("token_reward"))).over(rest), "_cw": F.sum(on(w)).over(fwd),
+        "_pos": F.sum("mask").over(fwd), "_len": F.sum("mask").over(whole),
+    })
+
+
+def _group_sizes(tokens: DataFrame, keep_empty: bool, tails: bool) -> DataFrame:
+    """Per group: its size, and the longest and second-longest valid length when the longest is alone."""
+    lens = tokens.groupBy("uid", "traj_id").agg(F.sum("mask").alias("_l"))
     if not keep_empty:
-        lens = lens.where("_len > 0")
-    by_len = lens.groupBy("uid", "_len").agg(F.count(F.lit(1)).alias("_k"))
+        lens = lens.where("_l > 0")
+    by_len = lens.groupBy("uid", "_l").agg(F.count(F.lit(1)).alias("_k"))
     size = by_len.groupBy("uid").agg(F.sum("_k").alias("_group"))
-    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("_len")))
+    if not tails:
+        return size
+    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("_l")))
     top = by_len.withColumn("_rk", rank).where("_rk <= 2").groupBy("uid").agg(
-        F.max(F.when(F.col("_rk") == 1, F.col("_len"))).alias("_longest"),
-        F.max(F.when((F.col("_rk") == 1) & (F.col("_k") > 1), F.col("_len")).when(F.col("_rk") == 2, F.col("_len"))).alias("_second"),
+        F.max(F.when(F.col("_rk") == 1, F.col("_l"))).alias("_longest"),
+        F.max(F.when((F.col("_rk") == 1) & (F.col("_k") > 1), F.col("_l")).when(F.col("_rk") == 2, F.col("_l"))).alias("_second"),
     )
     return size.join(top, "uid")
 
 
-def _token_baseline(tokens, position: str, is_weight, zero_tail: bool, compact: bool) -> DataFrame:
+def _token_baseline(tokens: DataFrame, position: str, is_weight: str | None, zero_tail: bool, compact: bool) -> DataFrame:
     d = _path_variance(tokens, is_weight).withColumn("_at", F.col(position))
-    keyed = d.where("mask = 1")
-    per_step = [
-        (F.sum(F.col("return") * F.col("_cw")) / (F.sum("_cw") + EPS)).alias("_b")
-    ]
-    steps = keyed.groupBy("uid", "_at").agg(*per_step, F.count(F.lit(1)).alias("_n"))
-    out = attach_by_key(keyed, ["uid", "_at"], steps.drop("_n"), ["traj_id"], steps.select("uid", "_at", "_n"))
-    out = attach_by_key(out, ["uid"], _tail_rule(tokens, keep_empty=not compact), ["traj_id", "t"])
-    base = F.when(F.col("_group") == 1, F.lit(0.0)).otherwise(F.col("_b"))
+    mean = F.sum(F.col("return") * F.col("_cw")) / (F.sum("_cw") + EPS)
+    steps = d.where("mask = 1").groupBy("uid", "_at").agg(mean.alias("_b"))
+    # one row per (prompt, position): the group's numbers join here, not on the tokens
+    steps = steps.join(_group_sizes(tokens, not compact, zero_tail), "uid")
+    out = attach_by_key(d, ["uid", "_at"], steps, ["traj_id"])
+    base = F.when(F.col("_group") == 1, F.lit(0.0))
     if zero_tail:
-        total = F.max("_pos").over(W.partitionBy("traj_id"))
-        out = out.withColumn("_len", total)
-        in_tail = (F.col("_len") == F.col("_longest")) & (F.col("_at") > F.col("_second"))
-        base = F.when(in_tail & (F.col("_longest") > F.col("_second")), F.lit(0.0)).otherwise(base)
-    out = out.withColumn("advantage", F.col("return") - base)
-    out = out.select(*tokens.columns, "return", "advantage")
-    masked = d.where("mask <> 1").withColumn("advantage", F.lit(0.0)).select(*tokens.columns, "return", "advantage")
-    return out.unionByName(masked)
+        alone = (F.col("_len") == F.col("_longest")) & (F.col("_longest") > F.col("_second"))
+        base = base.when(alone & (F.col("_at") > F.col("_second")), F.lit(0.0))
+    a = F.when(F.col("mask") == 1, F.col("return") - base.otherwise(F.col("_b"))).otherwise(0.0)
+    return out.withColumn("advantage", a).select(*tokens.columns, "return", "advantage")
 
 
 def adv_optimal_token_baseline(

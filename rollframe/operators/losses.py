@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, col
 from ..functions.groups import cumulative_by_value, number_by_hash
+from ..session import cut
 from .advantages import EPS, masked_mean
 from .offpolicy import Rule, rollout_correction, to_long
 
@@ -136,6 +137,11 @@ def bypass_stats(
     return to_long(row, "actor/").unionByName(metrics)
 
 
+def _narrow(df: DataFrame, is_weight: str | None) -> DataFrame:
+    """The columns a covariance loss reads, written once: its steps read them several times."""
+    return cut(df.select("traj_id", "t", "mask", "logp", "old_logp", "advantage", *([is_weight] if is_weight else [])))
+
+
 def _centred_cov(df: DataFrame) -> tuple[DataFrame, Column]:
     m = df.agg(F.struct(masked_mean("advantage").alias("a"), masked_mean("logp").alias("l"))).scalar()
     df = df.withColumn("_c", m)
@@ -152,7 +158,7 @@ def clip_cov_stats(
     """
     if ratio <= 0:
         raise ValueError("ratio must be positive")
-    df, cov = _centred_cov(df)
+    df, cov = _centred_cov(_narrow(df, is_weight))
     d = F.col("logp") - F.col("old_logp")
     r, a = F.exp(d), F.col("advantage")
     plain, cut = -a * r, -a * clamp(r, *_band(clip_low, clip_high))
@@ -171,8 +177,7 @@ def kl_cov_stats(df, ratio=0.0002, kl_coef=1.0, mode="token-mean", is_weight=Non
     The cut-off covariance comes from running counts over distinct values; only
     tokens that tie with it are numbered, in hash order.
     """
-    df = df.where("mask = 1")
-    df, cov = _centred_cov(df)
+    df, cov = _centred_cov(_narrow(df.where("mask = 1"), is_weight))
     df = df.withColumn("_cov", cov).drop("_c")
     picks = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * ratio))).scalar()
     counts = df.groupBy("_cov").agg(F.count(F.lit(1)).alias("_k"))

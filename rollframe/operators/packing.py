@@ -8,8 +8,9 @@ only distributed ranks.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..functions.groups import number_rows, rank_by_value, row_total
+from ..session import cut
 
 BATCH_LIMIT = 1_000_000
 
@@ -76,15 +78,37 @@ def greedy(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
     return out
 
 
-def _per_batch(df: DataFrame, batch: str, order: str, weight: str, assign, extra: str = "part") -> DataFrame:
+def _per_batch(df: DataFrame, batch: str, order: str, weight: str, assign: Callable[[list[int]], list[int]], out: str = "part") -> DataFrame:
+    """``batch, order, out``: ``assign`` maps the weights of one batch, in row order, to numbers.
+
+    Spark brings each batch together and sorts it; a task then walks its rows
+    and holds one batch at a time.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pd.DataFrame({batch: pdf[batch], order: pdf[order], extra: assign([int(w) for w in pdf[weight]])})
+    def walk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_rows: list[pd.DataFrame] = []
+
+        def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
+            whole = pd.concat(rows) if len(rows) > 1 else rows[0]
+            return pd.DataFrame({batch: whole[batch], order: whole[order], out: assign(whole[weight].astype("int64").tolist())})
+
+        for chunk in chunks:
+            names = chunk[batch].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(chunk)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                piece = chunk.iloc[lo:hi]
+                if open_rows and open_rows[-1][batch].iloc[-1] != names[lo]:
+                    yield close(open_rows)
+                    open_rows = []
+                open_rows.append(piece)
+        if open_rows:
+            yield close(open_rows)
 
-    slim = df.select(batch, order, weight)
-    return slim.groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {order} {kinds[order]}, {extra} bigint")
+    rows = df.select(batch, order, weight).repartition(batch).sortWithinPartitions(batch, order)
+    return rows.mapInPandas(walk, f"{batch} {kinds[batch]}, {order} {kinds[order]}, {out} bigint")
 
 
 # ---------------------------------------------------------------- operators
@@ -99,11 +123,10 @@ def balance_partitions(
     df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = True, limit: int = BATCH_LIMIT
 ) -> DataFrame:
     """Adds ``part``: k parts per batch with near-equal sums of ``weight``."""
-    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_rows"))
-    big = sizes.where(F.col("_rows") > limit).select(batch)
-    small = df.join(big, batch, "left_anti")
-    parts = _per_batch(small, batch, order, weight, lambda w: differencing(w, k, equal_size))
-    dealt = serpentine_partitions(df.join(big, batch, "left_semi"), k, weight, order, [batch])
+    slim = cut(df.select(batch, order, weight))
+    big = slim.groupBy(batch).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(batch)
+    parts = _per_batch(slim.join(big, batch, "left_anti"), batch, order, weight, lambda w: differencing(w, k, equal_size))
+    dealt = serpentine_partitions(slim.join(big, batch, "left_semi"), k, weight, order, [batch])
     return df.join(parts.unionByName(dealt.select(batch, order, "part")), [batch, order])
 
 
@@ -132,28 +155,22 @@ def pack_microbatches(
     raised to ``minimum`` and to a multiple; rows are balanced by workload; the
     heavy micro-batches run in the middle.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        lens = [int(x) for x in pdf[length]]
+    def place(lens: list[int]) -> list[int]:
         if max(lens) > max_tokens:
             raise ValueError(f"a row of {max(lens)} tokens exceeds {max_tokens}")
         count = max(min(len(lens), -(-sum(lens) // max_tokens)), minimum or 1, 1)
         count = -(-count // multiple) * multiple
         work = [24576 * n + n * n for n in lens]
         part = differencing(work, count, False)
-        load = pd.Series(work).groupby(part).sum()
-        first = pd.Series(range(len(part))).groupby(part).min()
+        load, first = [0] * count, [len(part)] * count
+        for i, p in enumerate(part):
+            load[p] += work[i]
+            first[p] = min(first[p], i)
         heavy_first = sorted(range(count), key=lambda p: (load[p], first[p]), reverse=True)
-        run_order = heavy_first[::2][::-1] + heavy_first[1::2]
-        place = {p: i for i, p in enumerate(run_order)}
-        return pd.DataFrame({batch: pdf[batch], order: pdf[order], "micro_id": [place[p] for p in part]})
+        at = {p: i for i, p in enumerate(heavy_first[::2][::-1] + heavy_first[1::2])}
+        return [at[p] for p in part]
 
-    out = df.select(batch, order, length).groupBy(batch).applyInPandas(
-        run, f"{batch} {kinds[batch]}, {order} {kinds[order]}, micro_id bigint"
-    )
-    return df.join(out, [batch, order])
+    return df.join(_per_batch(df, batch, order, length, place, "micro_id"), [batch, order])
 
 
 def restore_order(packed: DataFrame, order: str = "traj_id") -> DataFrame:

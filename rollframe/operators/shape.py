@@ -88,7 +88,7 @@ def rollout_number(rollouts: DataFrame, key: str = "uid", order: str = "traj_id"
     return number_rows(rollouts, order, out, [key]).withColumn(out, F.col(out) - 1)
 
 
-def segments_to_tokens(
+def segments_to_response_mask(
     segments: DataFrame, max_len: int, key: str = "conv_id", order: str = "turn", ids: str = "ids", model: str = "is_model"
 ) -> DataFrame:
     """Ordered segments to token rows ``key, t, token, mask``: 1 on model tokens, 0 on tool and user tokens; cut at ``max_len``.

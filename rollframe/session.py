@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,3 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="rollframe-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a narrow table to the shared folder and read it back.
+
+    For a result that several later steps read: they scan its columns instead
+    of each working the whole plan out again, and a lost executor costs a
+    re-read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
