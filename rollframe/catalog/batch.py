@@ -223,10 +223,10 @@ C.add("overlong_penalty", """SELECT traj_id, round(least(-(response_len-(7-3))/3
   round(score+least(-(response_len-(7-3))/3e0*0.5,0),6)+0e0 AS score FROM rollouts""")(
     lambda spark, sf: rounded(S.overlong_penalty(rollouts(spark, sf), 7, 3, 0.5), "traj_id", "overlong", overlong_reward="overlong_reward", score="score"))
 C.add("group_index", "SELECT traj_id, dense_rank() OVER (ORDER BY uid)-1 AS group_no FROM rollouts")(
-    lambda spark, sf: S.group_index(rollouts(spark, sf), "uid").select("traj_id", "group_no"))
+    lambda spark, sf: S.group_index(rollouts(spark, sf), "uid", ["traj_id"]).select("traj_id", "group_no"))
 C.add("group_index_text", """, l AS (SELECT DISTINCT data_source, md5(data_source||'|0') AS h FROM rollouts), n AS (SELECT data_source, row_number() OVER (ORDER BY h)-1 AS group_no FROM l)
 SELECT traj_id, group_no FROM rollouts JOIN n USING (data_source)""")(
-    lambda spark, sf: S.group_index(rollouts(spark, sf), "data_source").select("traj_id", "group_no"))
+    lambda spark, sf: S.group_index(rollouts(spark, sf), "data_source", ["traj_id"]).select("traj_id", "group_no"))
 C.add("rollout_number", "SELECT traj_id, sample_idx AS rollout_no FROM rollouts")(
     lambda spark, sf: S.rollout_number(rollouts(spark, sf)).select("traj_id", "rollout_no"))
 

@@ -249,7 +249,7 @@ def _(spark, sf):
     d = docs(spark, sf).select("doc_id", "text")
     first = d.groupBy("text").agg(F.min("doc_id").alias("d")).where("d % 2 = 0")
     cache = first.select(F.sha2("text", 256).alias("content_hash"), F.lit(-1.0).alias("result"))
-    scored, _ = S.score_cache(d, cache, lambda m: m.withColumn("result", F.length("text").cast("double")), ["text"])
+    scored, _ = S.score_cache(d, cache, lambda m: m.withColumn("result", F.length("text").cast("double")), ["text"], "doc_id")
     return scored.select("doc_id", "result")
 
 

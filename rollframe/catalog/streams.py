@@ -65,7 +65,7 @@ def _(spark, sf):
     schema = landed(spark, sf, f"{at}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     FR.run_available(FR.bounded_buffer_stream(stream, 50), FR.batch_folder(f"{at}/out"), f"{at}/checkpoint", "update")
-    return FR.last_state(spark.read.parquet(f"{at}/out"))
+    return FR.merge_shards(spark.read.parquet(f"{at}/out"), 50)
 
 
 C.add("bounded_buffer", SP + "SELECT sample_id, param_version, row_number() OVER (PARTITION BY queue, param_version ORDER BY sample_id DESC)<=10 AS kept FROM sp")(
@@ -181,7 +181,7 @@ C.add("training_step", """, k AS (SELECT *, CASE WHEN mask=1 THEN greatest(least
   g AS (SELECT traj_id, CASE WHEN count(*) OVER g=1 THEN score/(1+1e-6) ELSE (score-avg(score) OVER g)/(stddev_samp(score) OVER g+1e-6) END AS a FROM s WINDOW g AS (PARTITION BY uid))
 SELECT traj_id, t, CASE WHEN k1>=ln(0.5) AND k1<=ln(2.0) THEN mask ELSE 0 END AS mask, round(least(exp(-k1)*mask,2),6)+0e0 AS is_weight,
   round(a*CASE WHEN k1>=ln(0.5) AND k1<=ln(2.0) THEN mask ELSE 0 END,6)+0e0 AS advantage FROM r JOIN g USING (traj_id)""")(
-    lambda spark, sf: rounded(P.training_step(tokens(spark, sf), rollouts(spark, sf), rejection_rules("token_k1", 2.0), 0.01), "traj_id", "t", "mask",
+    lambda spark, sf: rounded(P.training_step(tokens(spark, sf), rejection_rules("token_k1", 2.0), 0.01), "traj_id", "t", "mask",
                               is_weight="is_weight", advantage="advantage"))
 VOTE = """, vp AS (SELECT data_source, uid, pred, count(*) AS n, min(traj_id) AS f, arg_min(score, traj_id) AS v FROM rollouts GROUP BY ALL),
   vr AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid ORDER BY n DESC, f) AS rk, CAST(sum(n) OVER (PARTITION BY data_source, uid) AS BIGINT) AS cnt FROM vp),

@@ -276,9 +276,10 @@ def _path_variance(tokens: DataFrame, is_weight: str | None) -> DataFrame:
     on = lambda c: F.when(F.col("mask") == 1, c).otherwise(0.0)
     whole = W.partitionBy("traj_id")
     fwd = whole.orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    rest = whole.orderBy("t").rowsBetween(0, W.unboundedFollowing)
+    reward = on(F.col("token_reward"))
+    # one sort serves all: the sum from here on is the total less what came before
     return tokens.withColumns({
-        "return": F.sum(on(F.col("token_reward"))).over(rest), "_cw": F.sum(on(w)).over(fwd),
+        "return": F.sum(reward).over(whole) - F.sum(reward).over(fwd) + reward, "_cw": F.sum(on(w)).over(fwd),
         "_pos": F.sum("mask").over(fwd), "_len": F.sum("mask").over(whole),
     })
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import number_by_hash, number_rows, row_total
+from ..functions.groups import attach_by_key, number_by_hash, number_rows, row_total
 
 
 def _check(ok: Column, value: Column, message: str, kind: str) -> Column:
@@ -56,7 +56,9 @@ def select_rows(df: DataFrame, order: str, wanted: DataFrame | Column) -> DataFr
     """Rows by position list (``pick_no, pos``; repeats allowed) or by a boolean column."""
     if isinstance(wanted, Column):
         return df.where(wanted)
-    return positions(df, order).join(wanted.select("pick_no", "pos"), "pos")
+    # a position may be wanted any number of times
+    found = attach_by_key(wanted.select("pick_no", "pos"), ["pos"], positions(df, order).withColumn("_hit", F.lit(True)), ["pick_no"])
+    return found.where("_hit").drop("_hit")
 
 
 def slice_rows(df: DataFrame, order: str, start: int | None = None, end: int | None = None, step: int = 1) -> DataFrame:

@@ -13,11 +13,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
-from ..functions.groups import number_rows, rank_by_value, row_total
+from ..functions.groups import attach_group_stats, number_rows, rank_by_value, row_total
 from ..session import cut
 
 BATCH_LIMIT = 1_000_000
@@ -181,11 +180,12 @@ def restore_order(packed: DataFrame, order: str = "traj_id") -> DataFrame:
 
 def run_order(df: DataFrame, weight: str, batch: str = "batch_id", order: str = "traj_id") -> DataFrame:
     """Adds ``slot`` inside each part: light rows at both ends, heavy ones in the middle."""
-    part = W.partitionBy(batch, "part")
-    r = F.row_number().over(part.orderBy(weight, order)) - 1
-    d = df.withColumn("_r", r).withColumn("_n", F.count(F.lit(1)).over(part))
-    half = F.floor(F.col("_r") / 2)
-    return d.withColumn("slot", F.when(F.col("_r") % 2 == 0, half).otherwise(F.col("_n") - 1 - half).cast("long")).drop("_r", "_n")
+    keys = [batch, "part"]
+    d = rank_by_value(df, weight, order, "_r", keys)
+    d = attach_group_stats(d, keys, [F.count(F.lit(1)).alias("_n")], [order])
+    r = F.col("_r") - 1
+    half = F.floor(r / 2)
+    return d.withColumn("slot", F.when(r % 2 == 0, half).otherwise(F.col("_n") - 1 - half).cast("long")).drop("_r", "_n")
 
 
 def balance_batch(
@@ -199,8 +199,7 @@ def balance_batch(
     """
     if by_uid:
         d = group_balance(df, k, length, batch, order)
-        place = F.row_number().over(W.partitionBy(batch, "part").orderBy(order)) - 1
-        return d.withColumn("slot", place.cast("long"))
+        return number_rows(d, order, "slot", [batch, "part"]).withColumn("slot", F.col("slot") - 1)
     d = df.withColumn("_w", attention_workload(length))
     if minibatch:
         d = d.withColumn("_mb", F.concat_ws("/", F.col(batch).cast("string"), F.col(minibatch).cast("string")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.exprs import col, last_item
+from ..functions.groups import attach_by_key
 
 # ---------------------------------------------------------------- fixed values
 ERROR_PREFIX = "Error: "
@@ -293,16 +294,20 @@ def route_scores(
     return df.withColumn("result", out.otherwise(unknown))
 
 
-def score_cache(df: DataFrame, cache: DataFrame, score: Callable[[DataFrame], DataFrame], content: list[str], out: str = "result") -> tuple[DataFrame, DataFrame]:
+def score_cache(
+    df: DataFrame, cache: DataFrame, score: Callable[[DataFrame], DataFrame], content: list[str], key: str, out: str = "result"
+) -> tuple[DataFrame, DataFrame]:
     """Scores by content hash: known rows take theirs from ``cache`` (``content_hash, result``), only the others are scored.
 
-    Returns the scored table and the new cache entries.
+    Copies collapse before the look-up, and ``key`` spreads a much repeated
+    content when its score goes back.  Returns the scored table and the new
+    cache entries.
     """
     hashed = df.withColumn("content_hash", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in content]), 256))
-    missing = hashed.join(cache.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    missing = hashed.dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
     fresh = score(missing).select("content_hash", out)
     both = cache.select("content_hash", out).unionByName(fresh)
-    return hashed.join(both, "content_hash").drop("content_hash"), fresh
+    return attach_by_key(hashed, ["content_hash"], both, [key]).drop("content_hash"), fresh
 
 
 # ---------------------------------------------------------------- code test results

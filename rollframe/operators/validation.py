@@ -65,7 +65,7 @@ def best_worst_at_n(samples: DataFrame) -> DataFrame:
     """
     counts = samples.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("c"))
     upto = cumulative_by_value(counts, GROUP, "value", "c", "upto")
-    size = samples.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = counts.groupBy(*GROUP).agg(F.sum("c").alias("size")).where("size > 1")
     d = upto.join(size, GROUP).withColumn("n", F.explode(subset_sizes(F.col("size"))))
     share = lambda k: F.pow(k / F.col("size"), F.col("n"))
     above = F.col("size") - F.col("upto")

@@ -11,6 +11,7 @@ from ..operators import format as M
 from ..operators import offpolicy as O
 from ..operators import sampling as S
 from ..operators import validation as V
+from ..session import cut
 
 
 def build_prompt_table(rows: DataFrame, dataset: str, order: str, test_ratio: float, max_words: int, seed: int = 42) -> DataFrame:
@@ -22,17 +23,19 @@ def build_prompt_table(rows: DataFrame, dataset: str, order: str, test_ratio: fl
     return FI.filter_overlong_prompts(parts[0].unionByName(parts[1]), max_words)
 
 
-def training_step(
-    tokens: DataFrame, rollouts: DataFrame, rules: list[O.Rule], beta: float = 0.001, threshold: float = 2.0
-) -> DataFrame:
-    """Token rows ready for an update: KL in the reward, weights, rejection mask and group advantage."""
+def training_step(tokens: DataFrame, rules: list[O.Rule], beta: float = 0.001, threshold: float = 2.0) -> DataFrame:
+    """Token rows ready for an update: KL in the reward, weights, rejection mask and group advantage.
+
+    The rollout scores are written once between the two halves, so that the
+    group statistics do not work the token plan out again.
+    """
     t = A.kl_in_reward(tokens, "k3", beta)
     t, _ = O.rollout_correction(t, "token", threshold, rules=rules)
-    scored = rollouts.drop("score").join(A.outcome_scores(t).select("traj_id", "score"), "traj_id")
-    return A.spread_to_tokens(t, A.adv_grpo(scored))
+    return A.spread_to_tokens(t, A.adv_grpo(cut(A.outcome_scores(t))))
 
 
 def evaluate(rollouts: DataFrame, variables=("score", "acc")) -> DataFrame:
-    """The report of one validation run, from scored rollouts."""
-    s = V.melt_vars(rollouts, list(variables))
-    return V.validation_report(V.mean_std_at_n(s).unionByName(V.best_worst_at_n(s)).unionByName(V.maj_full_vote(rollouts, variables[0])))
+    """The report of one validation run, from scored rollouts, whose few needed columns are written once."""
+    r = cut(rollouts.select("data_source", "uid", "traj_id", "pred", *variables))
+    s = V.melt_vars(r, list(variables))
+    return V.validation_report(V.mean_std_at_n(s).unionByName(V.best_worst_at_n(s)).unionByName(V.maj_full_vote(r, variables[0])))

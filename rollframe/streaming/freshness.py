@@ -48,10 +48,10 @@ def batch_folder(path: str):
 # ---------------------------------------------------------------- bounded buffer
 BUFFER = T.StructType([
     T.StructField("queue", T.LongType()),
-    T.StructField("buffered", T.LongType()),
+    T.StructField("shard", T.LongType()),
+    T.StructField("held_ts", T.ArrayType(T.LongType())),
+    T.StructField("held_ids", T.ArrayType(T.LongType())),
     T.StructField("dropped", T.LongType()),
-    T.StructField("oldest_id", T.LongType()),
-    T.StructField("newest_id", T.LongType()),
 ])
 _STATE = T.StructType([
     T.StructField("ts", T.ArrayType(T.LongType())),
@@ -60,34 +60,50 @@ _STATE = T.StructType([
 ])
 
 
-def bounded_buffer_stream(samples: DataFrame, limit: int, queue: str = "queue", ts: str = "ts", key: str = "sample_id") -> DataFrame:
-    """Stateful buffer per queue: the newest ``limit`` samples stay, older ones are dropped and counted.
+def bounded_buffer_stream(
+    samples: DataFrame, limit: int, queue: str = "queue", ts: str = "ts", key: str = "sample_id", shards: int = 4
+) -> DataFrame:
+    """Stateful buffer: the newest ``limit`` samples of a queue stay, older ones are dropped and counted.
 
-    State never holds more than ``limit`` samples of a queue; many queues run in
-    parallel.  Emits the buffer's state after every micro-batch.
+    A queue is kept as ``shards`` parts by a hash of its samples, so that a busy
+    one runs in several tasks; each part holds at most ``limit`` samples, among
+    which are all that the whole queue keeps.  Emits a part's state after every
+    micro-batch; ``merge_shards`` gives the queues.
     """
 
     def step(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, ids, dropped = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], 0)
-        pairs = list(zip(held, ids))
+        held, dropped = [], 0
+        if state.exists:
+            ts_, ids, dropped = state.get
+            held = list(zip(ts_, ids))
         for pdf in batches:
-            pairs += list(zip(pdf["_us"].tolist(), pdf[key].tolist()))
-            pairs.sort()
-            dropped += max(0, len(pairs) - limit)
-            pairs = pairs[-limit:]
-        state.update(([p[0] for p in pairs], [p[1] for p in pairs], dropped))
-        yield pd.DataFrame({
-            "queue": [name[0]], "buffered": [len(pairs)], "dropped": [dropped], "oldest_id": [pairs[0][1]], "newest_id": [pairs[-1][1]],
-        })
-
-    d = samples.select(F.col(queue).cast("long").alias(queue), F.unix_micros(ts).alias("_us"), F.col(key).cast("long").alias(key))
-    return d.groupBy(queue).applyInPandasWithState(step, BUFFER, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def last_state(updates: DataFrame, key: str = "queue") -> DataFrame:
-    """The state after the last micro-batch of every queue."""
-    cols = [c for c in updates.columns if c not in (key, "batch_id")]
-    return updates.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_s")).select(key, "_s.*")
+            held = sorted(held + list(zip(pdf["_us"].tolist(), pdf[key].tolist())))
+            dropped += max(0, len(held) - limit)
+            held = held[-limit:]
+        kept_ts, kept_ids = [h[0] for h in held], [h[1] for h in held]
+        state.update((kept_ts, kept_ids, dropped))
+        yield pd.DataFrame({"queue": [name[0]], "shard": [name[1]], "held_ts": [kept_ts], "held_ids": [kept_ids], "dropped": [dropped]})
+
+    d = samples.select(
+        F.col(queue).cast("long").alias("queue"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("long").alias("shard"),
+        F.unix_micros(ts).alias("_us"), F.col(key).cast("long").alias(key),
+    )
+    return d.groupBy("queue", "shard").applyInPandasWithState(step, BUFFER, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def merge_shards(updates: DataFrame, limit: int) -> DataFrame:
+    """Queues after the last micro-batch: ``buffered, dropped, oldest_id, newest_id``."""
+    cols = ["held_ts", "held_ids", "dropped"]
+    last = updates.groupBy("queue", "shard").agg(F.max_by(F.struct(*cols), "batch_id").alias("_s")).select("queue", "shard", "_s.*")
+    seen = last.groupBy("queue").agg(F.sum(F.col("dropped") + F.size("held_ids")).alias("_seen"))
+    held = last.select("queue", F.inline(F.arrays_zip("held_ts", "held_ids")))
+    rank = F.row_number().over(W.partitionBy("queue").orderBy(F.desc("held_ts"), F.desc("held_ids")))
+    kept = held.withColumn("_age", rank).where(F.col("_age") <= limit)
+    at = F.struct("held_ts", "held_ids")
+    q = kept.groupBy("queue").agg(
+        F.count(F.lit(1)).alias("buffered"), F.min_by("held_ids", at).alias("oldest_id"), F.max_by("held_ids", at).alias("newest_id")
+    )
+    return q.join(seen, "queue").withColumn("dropped", F.col("_seen") - F.col("buffered")).drop("_seen")
 
 
 def bounded_buffer(samples: DataFrame, limit: int, point: Sequence[str], order: str) -> DataFrame:

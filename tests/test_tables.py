@@ -170,7 +170,7 @@ def test_response_mask_example(spark):
 
 def test_group_index_labels(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate([2.0, 2.0, 5.0, 7.0000000001, 5.0, 2.0])], "i long, x double")
-    assert SH.group_index(d, "x").select("group_no").distinct().count() == 3
+    assert SH.group_index(d, "x", ["i"]).select("group_no").distinct().count() == 3
 
 
 # ---------------------------------------------------------------- text
