@@ -438,9 +438,9 @@ C.add("filter_fenced_solution", "SELECT doc_id FROM documents WHERE doc_id%3=0")
 C.add("assert_nonblank", "SELECT doc_id, lang FROM documents")(lambda spark, sf: FI.assert_nonblank(docs(spark, sf), "lang").select("doc_id", "lang"))
 C.add("filter_groups", "SELECT traj_id FROM (SELECT traj_id, min(acc) OVER g<max(acc) OVER g OR count(*) OVER g=1 AS keep FROM rollouts WINDOW g AS (PARTITION BY uid)) WHERE keep")(
     lambda spark, sf: FI.filter_groups(rollouts(spark, sf)).select("traj_id"))
-C.add("rollouts_search", "SELECT conv_id, turn FROM conversations WHERE (contains(text,'an') OR contains(role,'an')) AND conv_id=12")(
+C.add("rollouts_search", "SELECT conv_id, turn FROM conversations WHERE (contains(text,'e') OR contains(role,'e')) AND conv_id=12")(
     lambda spark, sf: FI.rollouts_search(conv(spark, sf).withColumn("request_id", F.concat(F.lit("a-"), F.col("conv_id").cast("string"), F.lit("-b"))),
-                                         "an", "a12-b", texts=["text", "role"]).select("conv_id", "turn"))
+                                         "e", "a12-b", texts=["text", "role"]).select("conv_id", "turn"))
 
 
 # ---------------------------------------------------------------- sampling and splitting
