@@ -88,13 +88,18 @@ def best_worst_at_n(samples: DataFrame) -> DataFrame:
     return _over_prompts(rows)
 
 
-def majority_vote(votes: DataFrame, keys: Sequence[str] = ("data_source", "uid")) -> DataFrame:
-    """Value of the first sample of the most frequent ``pred``; ties go to the pred seen first (``order``)."""
+def majority_vote(votes: DataFrame, keys: Sequence[str] = ("data_source", "uid"), small_order: bool = False) -> DataFrame:
+    """Value of the first sample of the most frequent ``pred``; ties go to the pred seen first (``order``).
+
+    ``small_order`` says that counts and order stay below 2^31: one number then
+    ranks the preds, which lets the aggregate hash instead of sort.
+    """
     keys = list(keys)
     by_pred = votes.groupBy(*keys, "pred").agg(
         F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"), F.min_by("value", "order").alias("_v")
     )
-    return by_pred.groupBy(*keys).agg(F.max_by("_v", F.struct("_n", -F.col("_first"))).alias("value"))
+    lead = F.col("_n") * F.lit(1 << 32) - F.col("_first") if small_order else F.struct("_n", -F.col("_first"))
+    return by_pred.groupBy(*keys).agg(F.max_by("_v", lead).alias("value"))
 
 
 def maj_at_n(rollouts: DataFrame, value: str, n_boot: int = 1000, seed: int = 42, order: str = "traj_id") -> DataFrame:
@@ -114,8 +119,9 @@ def maj_at_n(rollouts: DataFrame, value: str, n_boot: int = 1000, seed: int = 42
     )
     draws = reps.repartition("uid", "n", "rep").withColumn("order", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     at = F.floor(hash_unit("n", "rep", "order", seed=seed) * F.col("size")).cast("long") + 1
-    votes = draws.withColumn("_at", at).drop("size").join(pool, [*keys, "_at"])
-    per_rep = majority_vote(votes, [*keys, "n", "rep"])
+    # size estimates do not see the explode: without the hint Spark would broadcast the draws
+    votes = draws.withColumn("_at", at).drop("size").join(pool.hint("merge"), [*keys, "_at"])
+    per_rep = majority_vote(votes, [*keys, "n", "rep"], small_order=True)
     g = per_rep.groupBy(*keys, "n").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     n = F.col("n").cast("string")
     rows = g.select(
