@@ -81,6 +81,8 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, least_gap: int = 16
                 packed[low].append((d, s + take, n - take))
             elif not packed[low]:
                 low -= 1
+        if gap >= least_gap:
+            break  # no donor is left
         filled.append(taker)
         high += 1
     for left in packed[high : low + 1]:
