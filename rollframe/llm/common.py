@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than ASCII white space.
@@ -129,3 +133,21 @@ def row_key(*cols: str) -> Column:
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: sizes shards, never a result."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+
+
+def send(spark: SparkSession, value):
+    """Broadcast a model with its class, so that executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)
+
+
+def kept_in_worker(key, make):
+    """The value made for ``key`` by an earlier task of this Python worker, or a new one."""
+    kept = sys.modules.setdefault("rollframe_worker", types.ModuleType("rollframe_worker"))
+    name = repr(key)
+    if name not in vars(kept):
+        setattr(kept, name, make())
+    return getattr(kept, name)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, mix
+from .common import mix, received, send
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDER
 
 def _score(model, evidence: float):
     def run(batches):
-        m: LanguageModel = model.value
+        m: LanguageModel = received(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             best, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel, evidence: float = 60.0) -> D
     code point.  One row per input row, repeated rows and null ids included.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     return rows.mapInArrow(_score(sent, evidence), "doc_id long, lang_pred string, score double")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, read_words
+from .common import Powers, read_words, received, send
 
 ROOT = 0
 LONG_WORD = 64
@@ -147,7 +147,7 @@ def byte_level_pieces(vocabulary: str) -> list[bytes]:
 
 def _count(sent, lead: int | None):
     def run(batches):
-        automaton: PieceAutomaton = sent.value
+        automaton: PieceAutomaton = received(sent)
         powers = Powers()
         for batch in batches:
             words = np.zeros(batch.num_rows, dtype=np.int64)
@@ -176,5 +176,5 @@ def count_pieces(docs: DataFrame, pieces: list[bytes], lead: str | None = " ") -
     repeated rows and null ids included.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(PieceAutomaton(pieces))
+    sent = send(docs.sparkSession, PieceAutomaton(pieces))
     return rows.mapInArrow(_count(sent, None if lead is None else ord(lead)), "doc_id long, n_words long, n_tokens long")
