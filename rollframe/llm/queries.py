@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import langid, mixing, nearest, packing, pieces, toxicity
+from . import langid, mixing, nearest, packing, pieces, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs.where(~held_out), labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    base_sha256 = F.sha2(pii.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *pii.counts(F.col("base")), base_sha256, pii.written(F.col("spans")).alias("spans"))
