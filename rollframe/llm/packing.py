@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Powers, Words, kept_in_worker, read_words
+
 GROUP_DOCS = 4096
 CAPACITY = 2048
 WORDS_KEPT = 1 << 20
@@ -103,33 +103,103 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, least_gap: int = 16
     return full + filled
 
 
-def _tokenize(vocabulary: str, end_id: int, keep: int = WORDS_KEPT):
-    """Arrow batches with ``text`` to the same with ``ids``: unsigned 32-bit little-endian.
+class WordIds:
+    """Token ids by word hash: sorted hashes, and each word's range in one flat array of ids.
 
-    The tokenizer never joins anything across a space, so each piece between
-    spaces is encoded once and looked up after that; at most ``keep`` pieces
-    are remembered.
+    The tokenizer never joins anything across white space, so a word is encoded
+    once and looked up after that, by all tasks of one Python worker.  When
+    more than ``keep`` words (about 40 bytes each) are known, all are forgotten.
     """
 
-    def run(batches):
+    def __init__(self, vocabulary: str, keep: int) -> None:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(vocabulary)
-        known: dict[str, list[int]] = {"": []}
-        blank = re.compile("[\t\n\r\f\v]")
+        self.tokenizer, self.keep = Tokenizer.from_file(vocabulary), keep
+        tokens = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.last[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.encode([m])[0] for m in ".,"}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_letters(self, words: list[str]) -> list[list[int]]:
+        """Words of letters only, many in one go: each ends with the first id that can end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return self.encode(words)
+        ids, ends = ids.tolist(), ends.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        if len(self.hashes) + len(words) > self.keep:
+            self.forget()
+        stems, tails, letters, others = [""] * len(words), [""] * len(words), [], []
+        for i, word in enumerate(words):
+            # a mark after a letter is a token of its own
+            stem, tail = (word[:-1], word[-1]) if word[-1] in self.marks else (word, "")
+            if stem.isalpha():
+                stems[i], tails[i] = stem.lower() if stem.isascii() else stem, tail
+                letters.append(i)
+            else:
+                stems[i] = word
+                others.append(i)
+        got: dict[str, list[int]] = {}
+        plain = list(dict.fromkeys(stems[i] for i in letters))
+        for a in range(0, len(plain), 2000):
+            got.update(zip(plain[a : a + 2000], self.encode_letters(plain[a : a + 2000])))
+        got.update(zip([stems[i] for i in others], self.encode([stems[i] for i in others])))
+        new = [got[s] + self.marks[t] if t else got[s] for s, t in zip(stems, tails)]
+        sizes = np.array([len(x) for x in new], dtype=np.int64)
+        starts = len(self.flat) + np.r_[0, np.cumsum(sizes)[:-1]]
+        self.flat = np.r_[self.flat, np.array([i for x in new for i in x], dtype=np.uint32)]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+
+    def read(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each word has."""
+        if not len(words.hashes):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        new = ~self.known(unique)
+        if new.any():
+            if len(self.hashes) + new.sum() > self.keep:
+                new[:] = True  # learn() starts afresh
+            at = first[new]
+            self.learn(unique[new], [words.data[s:e].tobytes().decode() for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+        known = np.searchsorted(self.hashes, unique)
+        sizes = self.sizes[known][back]
+        upto = np.cumsum(sizes)
+        place = np.arange(upto[-1]) + np.repeat(self.starts[known][back] - (upto - sizes), sizes)
+        return self.flat[place], sizes
+
+
+def _tokenize(vocabulary: str, end_id: int, keep: int = WORDS_KEPT):
+    """Arrow batches with ``text`` to the same with ``ids``: unsigned 32-bit little-endian."""
+
+    def run(batches):
+        lookup, powers = kept_in_worker((vocabulary, keep), lambda: WordIds(vocabulary, keep)), Powers()
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                parts = blank.sub(" ", text or "").split(" ")
-                new = [p for p in dict.fromkeys(parts) if p not in known]
-                if len(known) + len(new) > keep:
-                    known = {"": []}
-                    new = [p for p in dict.fromkeys(parts) if p]
-                for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-                    known[p] = e.ids
-                ids = [i for p in parts for i in known[p]]
-                ids.append(end_id)
-                out.append(np.array(ids, dtype="<u4").tobytes())
+            for words in read_words(batch.column("text"), powers):
+                ids, sizes = lookup.read(words)
+                bounds = np.r_[0, np.cumsum(sizes)][words.bounds].tolist()
+                raw = ids.astype("<u4").tobytes()
+                out += [raw[4 * a : 4 * b] + end for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("_group").cast(pa.int64()), pa.array(out, type=pa.binary())],
                 names=["doc_id", "_group", "ids"],

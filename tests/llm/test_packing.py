@@ -95,8 +95,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, vocabulary).collect() == []
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ’s don't", "á é  x\x1cy", "漢字 😀‍👩 ́a"])
-def test_pieces_between_spaces_are_encoded_alike(spark, text):
+@pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ’s don't", "á é  x\x1cy", "漢字 😀‍👩 ́a", "a., b,. ʼn, it's. ..., x.y, ½. ²,"])
+def test_words_are_encoded_alike(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = packing.pack_documents(docs, queries.tokenizer_file("word_bpe_49k.json")).orderBy("start").collect()
     assert np.frombuffer(b"".join(bytes(r["ids"]) for r in got), dtype="<u4").tolist() == encoded(text)
