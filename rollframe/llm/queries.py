@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import langid, mixing, nearest, packing, pieces, pii, toxicity
+from . import fingerprint, langid, mixing, nearest, packing, pieces, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf, "documents"))
     base_sha256 = F.sha2(pii.written(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *pii.counts(F.col("base")), base_sha256, pii.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf, "documents"))
