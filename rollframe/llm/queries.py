@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import fingerprint, langid, mixing, nearest, packing, pieces, pii, toxicity
+from . import fingerprint, langid, mixing, nearest, packing, pieces, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,9 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf, "documents"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
