@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import fingerprint, langid, mixing, nearest, packing, pieces, pii, substring, toxicity
+from . import fingerprint, jaccard, langid, mixing, nearest, packing, pieces, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +128,9 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    classes = jaccard.near_duplicates(table(spark, sf, "documents"), shingle=3, num=90, den=100)
+    return classes.select("doc_id", "n_shingles", "component_id")
