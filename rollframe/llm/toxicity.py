@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut
 from .common import received, send
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
@@ -31,6 +33,8 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»„]")
 WORD_PATTERN = r"[\p{L}\p{M}]+"
 STEM = 5
 FEATURES = 2 + len(LABELS)
+BROADCAST_LABELS = 2_000_000
+RARE = -3.0
 
 
 class Transducer:
@@ -181,16 +185,23 @@ class ToxicityModel:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first coefficient is the intercept."""
+    """Ridge logistic regression by Newton steps; the first coefficient, the intercept, is drawn to ``RARE``."""
     x = np.c_[np.ones(len(x)), x]
-    beta = np.zeros(x.shape[1])
-    keep = ridge * np.eye(x.shape[1])
-    keep[0, 0] = 1e-6
+    rest = np.r_[RARE, np.zeros(x.shape[1] - 1)]
+    beta, keep = rest.copy(), ridge * np.eye(x.shape[1])
+
+    def loss(b):
+        z = x @ b
+        return np.logaddexp(0, z).sum() - y @ z + (b - rest) @ keep @ (b - rest) / 2
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (y - p) - keep @ beta)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (y - p) - keep @ (beta - rest))
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return beta
 
@@ -216,13 +227,21 @@ def train(
 
     Weights: documents per word and five-letter stem, over all labelled rows;
     the ``max_units`` units with the highest odds are kept.  Coefficients: a
-    logistic regression on the first ``fit_rows`` labelled rows in the order of a
-    hash of the id, each document scored as if it had not been counted.
-    Rows without text or label, or with a label other than 0 and 1, teach nothing.
+    logistic regression on about ``fit_rows`` labelled rows, or all if there are
+    fewer, chosen by a hash of the id; each is scored as if it had not been
+    counted.
+    Rows without text or label, or with a label other than 0 and 1, teach
+    nothing; a document with both labels counts as toxic.  Up to
+    ``BROADCAST_LABELS`` labels are broadcast, so no text is shuffled; beyond
+    that, the labelled texts are shuffled and written once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = rows.join(marks.where("toxic IN (0, 1)").dropDuplicates(["doc_id"]), "doc_id").where("text IS NOT NULL")
+    marks = marks.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if labels.count() <= BROADCAST_LABELS:
+        known = rows.join(F.broadcast(marks), "doc_id").where("text IS NOT NULL")
+    else:
+        known = cut(rows.join(marks, "doc_id").where("text IS NOT NULL"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)))
     stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
     units = F.explode(F.concat(words, F.array_distinct(stems), F.array(F.lit(""))))  # the empty unit counts documents
@@ -235,35 +254,42 @@ def train(
     total = next(((r["pos"], r["neg"]) for r in kept if r["unit"] == ""), (0, 0))
     lexicon = Lexicon(*total, {r["unit"]: (r["pos"], r["neg"]) for r in kept if r["unit"]}, least)
     lexicon.counts = {u: c for u, c in lexicon.counts.items() if lexicon.weight(u)}
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) if sum(total) > fit_rows else known
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(total)))) < fit_rows)
     sent = send(docs.sparkSession, lexicon)
     got = some.select("text", "toxic").mapInArrow(_training_features(sent), "x array<double>, toxic int").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, FEATURES)
     y = np.array(got.column("toxic").to_pylist(), dtype=float)
-    return ToxicityModel(lexicon, _fit(x, y) if len(y) else np.r_[-3.0, np.zeros(FEATURES)])
+    return ToxicityModel(lexicon, _fit(x, y) if len(y) else np.r_[RARE, np.zeros(FEATURES)])
+
 
+def _probabilities(texts: list[str | None], model: ToxicityModel, move, label) -> np.ndarray:
+    x = np.array([features(t, model.lexicon, move, label) for t in texts], dtype=float).reshape(-1, FEATURES)
+    return 1 / (1 + np.exp(-np.clip(x @ model.coefficients[1:] + model.coefficients[0], -30, 30)))
 
-def _score(sent):
+
+def _score(sent, column: str):
     def run(batches):
         model = received(sent)
         move, label = grammar()
         for batch in batches:
-            x = np.array([features(t, model.lexicon, move, label) for t in batch.column("text").to_pylist()], dtype=float)
-            logit = np.clip(x.reshape(-1, FEATURES) @ model.coefficients[1:] + model.coefficients[0], -30, 30)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"]
-            )
+            scores = _probabilities(batch.column("text").to_pylist(), model, move, label)
+            yield batch.append_column(pa.field(column, pa.float64()), pa.array(scores))
 
     return run
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Probability that each row of ``docs`` (doc_id, text) is toxic: doc_id, score.
+def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
+    """``docs`` (text and any other columns) with the probability that the text is toxic in ``column``.
 
     Null and empty texts match nothing and get the score of an empty match.
     One row per input row, repeated rows and null ids included.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = send(docs.sparkSession, model)
-    return rows.mapInArrow(_score(sent), "doc_id long, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return docs.mapInArrow(_score(sent, column), schema)
+
 
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id and score of each row of ``docs`` (doc_id, text), as in ``with_score``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_score(rows, model).select("doc_id", "score")

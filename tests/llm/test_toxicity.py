@@ -89,6 +89,14 @@ def test_held_out_ranking(spark):
     assert min(bad) >= 0.7 > max(good)
 
 
+def test_labels_beyond_the_broadcast(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    small = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    large = toxicity.train(docs, labels)
+    assert small.lexicon.counts == large.lexicon.counts and np.allclose(small.coefficients, large.coefficients)
+
+
 def test_query(spark, sf):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     first, again = (sorted(map(tuple, queries.op4_toxicity(spark, sf).collect())) for _ in range(2))
