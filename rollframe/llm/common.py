@@ -125,9 +125,10 @@ def uniform(*cols: str | Column, seed: int | str = 0) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def row_key(*cols: str) -> Column:
+def row_key(*cols: str | Column) -> Column:
     """A 64-bit key that tells rows with one id but different texts apart."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.xxhash64(*[F.coalesce(p, F.lit("\x00null")) for p in parts])
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import uniform, word_count
+from .common import row_key, uniform, word_count
 
 SLOTS = 4096
 
@@ -74,7 +74,7 @@ def mix_sources(
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         (-F.ln(uniform("doc_id", seed=seed)) / quality).alias("_key"),
-        F.xxhash64("doc_id", "text").alias("row_key"),
+        row_key("doc_id", "text").alias("row_key"),
     )
     rows = cut(rows.withColumn("_slot", F.floor((1 - F.exp(-F.col("_key"))) * slots).cast("long")))
     totals = rows.groupBy("source", "_slot").agg(F.sum("size").alias("_sum"))
@@ -96,3 +96,22 @@ def mix_sources(
         "doc_id", "source", "size", "source_size", "target", "epochs", "before", "budget", "extra",
         (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "row_key",
     )
+
+
+def whole_copies() -> Column:
+    """How often a document enters the mix if it can't be cut: the one on the border stays if half of it fits."""
+    last = (F.col("before") < F.col("budget")) & (2 * F.col("extra") >= F.col("size"))
+    return F.col("epochs") + last.cast("long")
+
+
+def repeat_to_mix(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and others), each as often as ``copies`` (row_key, n) says.
+
+    Repeated rows are told apart by their number within the key.
+    """
+    alike = W.partitionBy("_k").orderBy(F.lit(0))
+    numbered = docs.withColumn("_k", row_key("doc_id", "text")).withColumn("_i", F.row_number().over(alike))
+    many = copies.select(F.col("row_key").alias("_k"), "n").where("n > 0")
+    many = many.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy(F.desc("n"))))
+    out = numbered.join(many, ["_k", "_i"]).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return out.select(*docs.columns)

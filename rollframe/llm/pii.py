@@ -127,8 +127,10 @@ def disclosing_terms(
     return near.join(telling, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def find_personal_data(docs: DataFrame, reach: int = 80, least_share: float = 0.8, least_support: int = 2) -> DataFrame:
-    """Base and term spans of each row of ``docs`` (doc_id, text): doc_id, row_key, text, base, spans.
+def find_personal_data(
+    docs: DataFrame, reach: int = 80, least_share: float = 0.8, least_support: int = 2, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Base and term spans of each row of ``docs`` (doc_id, text): doc_id, row_key, text, base, spans, and the columns in ``keep``.
 
     Base spans are valid pattern matches, leftmost and non-overlapping within
     their kind.  Term spans are all occurrences, as whole words and outside
@@ -138,7 +140,7 @@ def find_personal_data(docs: DataFrame, reach: int = 80, least_share: float = 0.
     spans and count as one document in the statistics; an empty table gives no
     rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     rows = rows.withColumn("row_key", row_key("doc_id", "text"))
     spans = rows.select("row_key", base_spans(F.col("text")).alias("spans"), "text")
     found = cut(spans.where(F.size("spans") > 0).dropDuplicates(["row_key"]))
@@ -150,7 +152,7 @@ def find_personal_data(docs: DataFrame, reach: int = 80, least_share: float = 0.
     hits = occurrences(F.col("text"), pattern, TERM)
     free = F.filter(hits, lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
     every = F.when(F.col("terms").isNull(), base).otherwise(F.array_sort(F.concat(base, free)))
-    return out.select("doc_id", "row_key", "text", base.alias("base"), every.alias("spans"))
+    return out.select("doc_id", "row_key", "text", base.alias("base"), every.alias("spans"), *keep)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
