@@ -27,6 +27,12 @@ def build_session(app: str = "rollframe", master: str | None = None, shuffle_par
     return b.getOrCreate()
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the session's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it.
 
@@ -37,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="rollframe-")
+    path = tempfile.mkdtemp(prefix="rollframe-")
+    remove_at_exit(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,9 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     For a result that several later steps read: they scan its columns instead
     of each working the whole plan out again, and a lost executor costs a
-    re-read.
+    re-read.  The folder goes when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
