@@ -136,14 +136,17 @@ C.add("adv_reinforce_pp_discounted", rfpp_sql("0.9e0"))(
 
 
 def gae_sql(gamma, lam):
+    # a masked row stands where the next valid one does: p counts the valid rows from the end
     return f"""
 , v AS (SELECT *, row_number() OVER w AS p, token_reward + {gamma}*coalesce(lead(value) OVER w, 0) - value AS delta
         FROM tokens WHERE mask=1 WINDOW w AS (PARTITION BY traj_id ORDER BY t)),
-  g AS (SELECT a.traj_id, a.t, any_value(a.value) AS value, sum(b.delta*power({gamma}*{lam}, b.p-a.p)) AS adv
-        FROM v a JOIN v b ON a.traj_id=b.traj_id AND b.p>=a.p GROUP BY a.traj_id, a.t),
-  m AS (SELECT avg(adv) AS mu, var_samp(adv) AS s2 FROM g)
-SELECT traj_id, t, round((adv-mu)/sqrt(s2+1e-8),6)+0e0 AS advantage, round(adv+value,6)+0e0 AS ret FROM g, m
-UNION ALL SELECT traj_id, t, 0e0, 0e0 FROM tokens WHERE mask<>1"""
+  g AS (SELECT a.traj_id, a.p, sum(b.delta*power({gamma}*{lam}, b.p-a.p)) AS adv
+        FROM v a JOIN v b ON a.traj_id=b.traj_id AND b.p>=a.p GROUP BY a.traj_id, a.p),
+  m AS (SELECT avg(adv) AS mu, var_samp(adv) AS s2 FROM g),
+  n AS (SELECT t.traj_id, t.t, t.value, min(v.p) AS p FROM tokens t LEFT JOIN v ON v.traj_id=t.traj_id AND v.t>=t.t
+        GROUP BY t.traj_id, t.t, t.value)
+SELECT n.traj_id, t, round((coalesce(adv,0)-mu)/sqrt(s2+1e-8),6)+0e0 AS advantage, round(coalesce(adv,0)+value,6)+0e0 AS ret
+FROM m, n LEFT JOIN g ON g.traj_id=n.traj_id AND g.p=n.p"""
 
 
 # factors with many digits keep results off decimal ties at the sixth place

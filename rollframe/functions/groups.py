@@ -1,13 +1,16 @@
 """Group statistics, running totals and row numbers that survive a hot key.
 
-A plain window keeps each key in one task.  These helpers aggregate first (map
-side combine), spread the rows of a hot key over several tasks, and put the
-numbers back by an equi-join, so one key may hold any share of the table.
+A plain window keeps each key in one task.  These helpers cut the order into
+slots, work inside a slot and add what earlier slots hold from a small table by
+an equi-join, so one key may hold any share of the table.  There is one way for
+all sizes, nothing runs while a plan is built, and null keys, values and order
+values are treated as windows treat them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .exprs import hash_order
 
-ROWS_PER_TASK = 1 << 20
-MAX_HOT_KEYS = 10_000
-SIZE_SAMPLE = 64
+SLOTS = 64
+SAMPLES_PER_SLOT = 8
 
 
 def row_total(df: DataFrame) -> Column:
@@ -25,69 +27,46 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], rows_per_task: int, sample: int) -> DataFrame:
-    """The largest keys with more than ``rows_per_task`` rows, and how many salts each gets.
-
-    Sizes come from one in ``sample`` rows, chosen by a hash of ``spread_by``:
-    they steer the split only and never touch a result.  There are at most
-    MAX_HOT_KEYS of them, so any key left out holds less than that share of the
-    table.
-    """
-    part = df.where(F.pmod(F.xxhash64(*spread_by), F.lit(sample)) == 0) if sample > 1 else df
-    sizes = part.groupBy(*keys).agg((F.count(F.lit(1)) * sample).alias("_n")).where(F.col("_n") > rows_per_task)
-    salts = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts")
-    return sizes.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).select(*keys, salts)
+def join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where null equals null."""
+    right = small.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[f"_j_{k}"]) for k in keys])
+    return df.join(right, on, how).drop(*[f"_j_{k}" for k in keys])
 
 
-def attach_by_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    small: DataFrame,
-    spread_by: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
-    sample: int = SIZE_SAMPLE,
-) -> DataFrame:
-    """Left join ``small`` (one row per key) to ``df``, splitting hot keys.
+def attach_by_key(df: DataFrame, keys: Sequence[str], small: DataFrame) -> DataFrame:
+    """Left join ``small`` (one row per key) to ``df``; null is a key like any other.
 
-    Where no key is hot this is a plain join.  Else a hot key is cut into salts
-    taken from ``spread_by``, and its row of ``small`` is repeated once per
-    salt; only the list of hot keys is broadcast, whose length is bounded.
+    The adaptive join splits the rows of a hot key over tasks.
     """
-    keys = list(keys)
-    hot = hot_keys(df, keys, spread_by, rows_per_task, sample)
-    if hot.isEmpty():
-        return df.join(small, keys, "left")
-    hot = F.broadcast(hot)
-    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts").cast("long")), F.lit(0)).cast("int")
-    left = df.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
-    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
-
-
-def attach_group_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column],
-    spread_by: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
-    sample: int = SIZE_SAMPLE,
-) -> DataFrame:
+    return join_null_safe(df, small, list(keys))
+
+
+def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Put per-key aggregates back on every row, whatever share of the table a key holds."""
-    return attach_by_key(df, keys, df.groupBy(*keys).agg(*aggs), spread_by, rows_per_task, sample)
+    return attach_by_key(df, keys, df.groupBy(*keys).agg(*aggs))
 
 
-def _even_slot(df: DataFrame, order: str, width: int) -> Column | None:
-    """Even ranges of a numeric column, as many as the row count needs at ``width`` rows each; none if one would do.
+def with_slot(df: DataFrame, order: str, out: str = "_slot", slots: int = SLOTS) -> DataFrame:
+    """Adds the number of a row's range of ``order``, ranges holding about equally many distinct values.
 
-    Count, smallest and largest value are one row and become literals: as a
-    subquery they would repeat the whole plan wherever the slot is used.
+    The bounds are quantiles of a few values per slot, picked over all rows by
+    their hash, so they are even for ids of any type and spread.  They come
+    from an aggregate used as a scalar subquery.  Nulls are in slot 0.
     """
-    x = F.col(order).cast("double")
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
-    if n <= width or lo is None or hi <= lo:
-        return None
-    return F.floor((x - lo) / (hi - lo) * -(-n // width)).cast("long")
+    if slots <= 1:
+        return df.withColumn(out, F.lit(0))
+    picks = slots * SAMPLES_PER_SLOT
+    name = F.col(order)
+    some = df.where(name.isNotNull()).groupBy(F.pmod(F.xxhash64(name), F.lit(picks)).alias("_b")).agg(
+        F.min_by(name, F.xxhash64(F.lit(1), name)).alias("_x")
+    )
+    along = F.sort_array(F.collect_list("_x"))
+    each = F.transform(
+        F.sequence(F.lit(1), F.lit(slots - 1)), lambda i: F.try_element_at(along, F.ceil(i * F.size(along) / slots).cast("int"))
+    )
+    bounds = some.agg(F.array_distinct(F.filter(each, lambda b: b.isNotNull())).alias("b")).scalar()
+    return df.withColumn("_bounds", bounds).withColumn(out, F.size(F.filter("_bounds", lambda b: b < name))).drop("_bounds")
 
 
 def running_total(
@@ -95,33 +74,27 @@ def running_total(
     keys: Sequence[str],
     order: str,
     amounts: dict[str, Column],
-    width: int = ROWS_PER_TASK,
+    slots: int = SLOTS,
     descending: bool = False,
     slot: Column | None = None,
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys``.
 
-    The range of the order value is cut into about rows / ``width`` slots; sums
-    run inside a slot, and the totals of earlier slots come from a small table
-    with one row per key and slot.
+    Sums run inside a slot of the order, and the totals of earlier slots come
+    from a table with one row per key and slot.
     """
     keys = list(keys)
     direction = F.desc if descending else F.asc
     along = [direction(order), *[direction(c) for c in tie]]
-    slot = _even_slot(df, order, width) if slot is None else slot
-    if slot is None:
-        # the whole table is no more than one task's share
-        one = W.partitionBy(*keys).orderBy(*along).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(one) for n, c in amounts.items()})
-    df = df.withColumn("_slot", slot)
+    df = with_slot(df, order, "_slot", slots) if slot is None else df.withColumn("_slot", slot)
     inside = W.partitionBy(*keys, "_slot").orderBy(*along).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(direction("_slot")).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
     carried = totals.select(
         *keys, "_slot", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in amounts]
     )
-    out = df.withColumns({n: F.sum(c).over(inside) for n, c in amounts.items()}).join(carried, [*keys, "_slot"], "left")
+    out = join_null_safe(df.withColumns({n: F.sum(c).over(inside) for n, c in amounts.items()}), carried, [*keys, "_slot"])
     return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in amounts}).drop("_slot", *[f"_b_{n}" for n in amounts])
 
 
@@ -130,49 +103,29 @@ def number_rows(
     order: str,
     out: str = "rn",
     keys: Sequence[str] = (),
-    width: int = ROWS_PER_TASK,
+    slots: int = SLOTS,
     descending: bool = False,
 ) -> DataFrame:
-    """1-based position of each row along a unique numeric column, within ``keys``."""
-    return running_total(df, keys, order, {out: F.lit(1).cast("long")}, width, descending)
+    """1-based position of each row along a unique column of any type, within ``keys``."""
+    return running_total(df, keys, order, {out: F.lit(1).cast("long")}, slots, descending)
 
 
-def number_by_hash(
-    df: DataFrame,
-    ids: Sequence[str],
-    seed: int | str = 0,
-    out: str = "rn",
-    keys: Sequence[str] = (),
-    width: int = ROWS_PER_TASK,
-) -> DataFrame:
+def number_by_hash(df: DataFrame, ids: Sequence[str], seed: int | str = 0, out: str = "rn", keys: Sequence[str] = ()) -> DataFrame:
     """1-based position in a reproducible random order.
 
-    The leading hex digits cut the order into even slots, so no task ever sorts
-    the whole table.
+    The two leading hex digits cut the order into even slots, so no task ever
+    sorts the whole table.
     """
     keyed = df.withColumn("_h", hash_order(*ids, seed=seed))
-    parts = -(-df.count() // width)
-    unit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    slot = F.floor(unit * parts).cast("long") if parts > 1 else None
-    if slot is None:
-        one = W.partitionBy(*keys).orderBy("_h", *ids)
-        return keyed.withColumn(out, F.row_number().over(one).cast("long")).drop("_h")
-    return running_total(
-        keyed, keys, "_h", {out: F.lit(1).cast("long")}, slot=slot, tie=list(ids)
-    ).drop("_h")
+    slot = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
+    return running_total(keyed, keys, "_h", {out: F.lit(1).cast("long")}, slot=slot, tie=list(ids)).drop("_h")
 
 
 def cumulative_by_value(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    amount: str,
-    out: str,
-    descending: bool = False,
-    width: int = ROWS_PER_TASK,
+    counts: DataFrame, keys: Sequence[str], value: str, amount: str, out: str, descending: bool = False, slots: int = SLOTS
 ) -> DataFrame:
-    """Running sum of ``amount`` over the distinct numeric values of each key."""
-    return running_total(counts, keys, value, {out: F.col(amount)}, width, descending)
+    """Running sum of ``amount`` over the distinct values of each key."""
+    return running_total(counts, keys, value, {out: F.col(amount)}, slots, descending)
 
 
 def rank_by_value(
@@ -182,48 +135,35 @@ def rank_by_value(
     out: str = "rn",
     keys: Sequence[str] = (),
     descending: bool = False,
-    width: int = ROWS_PER_TASK,
+    slots: int = SLOTS,
 ) -> DataFrame:
-    """1-based position by (value, order) within ``keys``; ``order`` is a unique numeric column.
+    """1-based position by (value, order) within ``keys``; ``order`` is a unique column.
 
     Rows are counted per (value, slot of the order column); running sums over
     those cells give each cell its start, and rows are numbered inside a cell.
     A value that fills a third of the table fills many cells.
     """
     keys = list(keys)
-    cell = _even_slot(df, order, width)
-    if cell is None:
-        by_value = F.desc(value) if descending else F.asc(value)
-        one = W.partitionBy(*keys).orderBy(by_value, order)
-        return df.withColumn(out, F.row_number().over(one).cast("long"))
-    df = df.withColumn("_cell", cell)
+    df = with_slot(df, order, "_cell", slots)
     cells = df.groupBy(*keys, value, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     # within a value, later cells follow earlier ones whatever the direction of the value
     cells = cells.withColumn("_at", -F.col("_cell") if descending else F.col("_cell"))
-    starts = running_total(cells, keys, value, {"_upto": F.col("_c")}, width, descending, tie=["_at"])
+    starts = running_total(cells, keys, value, {"_upto": F.col("_c")}, slots, descending, tie=["_at"])
     starts = starts.select(*keys, value, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, value, "_cell").orderBy(order))
-    return (
-        df.withColumn("_rn", inside)
-        .join(starts, [*keys, value, "_cell"], "left")
-        .withColumn(out, (F.col("_rn") + F.col("_before")).cast("long"))
-        .drop("_cell", "_rn", "_before")
-    )
+    ranked = join_null_safe(df.withColumn("_rn", inside), starts, [*keys, value, "_cell"])
+    return ranked.withColumn(out, (F.col("_rn") + F.col("_before")).cast("long")).drop("_cell", "_rn", "_before")
 
 
-def previous_value(df: DataFrame, order: str, value: str, out: str, width: int = ROWS_PER_TASK) -> DataFrame:
-    """``lag(value)`` along a unique numeric column over the whole table, without one big window."""
-    slot = _even_slot(df, order, width)
-    if slot is None:
-        return df.withColumn(out, F.lag(value).over(W.orderBy(order)))
-    df = df.withColumn("_slot", slot)
+def previous_value(df: DataFrame, order: str, value: str, out: str, slots: int = SLOTS) -> DataFrame:
+    """``lag(value)`` along a unique column over the whole table, without one big window."""
+    df = with_slot(df, order, "_slot", slots)
     inside = W.partitionBy("_slot").orderBy(order)
-    ends = df.groupBy("_slot").agg(F.max_by(value, order).alias("_end"))
+    # struct: a null value is a value
+    ends = df.groupBy("_slot").agg(F.max(F.struct(order, F.struct(value).alias("_v"))).alias("_end"))
     ends = ends.select("_slot", F.lag("_end").over(W.orderBy("_slot")).alias("_prev_end"))
     return (
-        df.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(ends, "_slot", "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_prev_end")).otherwise(F.col("_lag")))
+        join_null_safe(df.withColumn("_first", F.row_number().over(inside) == 1).withColumn("_lag", F.lag(value).over(inside)), ends, ["_slot"])
+        .withColumn(out, F.when(F.col("_first"), F.col(f"_prev_end._v.{value}")).otherwise(F.col("_lag")))
         .drop("_slot", "_first", "_lag", "_prev_end")
     )

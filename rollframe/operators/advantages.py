@@ -10,6 +10,7 @@ bounds.  Nothing here windows over ``uid``: a prompt group may be any size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,7 @@ def outcome_scores(tokens: DataFrame) -> DataFrame:
 
 
 def _with_group(rollouts: DataFrame, *aggs: Column) -> DataFrame:
-    return attach_group_stats(rollouts, ["uid"], [F.count(F.lit(1)).alias("_c"), *aggs], ["traj_id"])
+    return attach_group_stats(rollouts, ["uid"], [F.count(F.lit(1)).alias("_c"), *aggs])
 
 
 def group_mean_std(rollouts: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -132,7 +133,7 @@ def adv_grpo_passk(
         (F.max(F.when(F.col("_rk") == 1, F.col("score"))) - F.max(F.when(F.col("_rk") == 2, F.col("score")))).alias("_gap"),
     )
     spread = rollouts.groupBy("uid").agg(F.stddev_samp("score").alias("_s"))
-    r = attach_by_key(rollouts, ["uid"], pair.join(spread, "uid"), ["traj_id"])
+    r = attach_by_key(rollouts, ["uid"], pair.join(spread, "uid"))
     gap = F.col("_gap") / (F.col("_s") + eps) if norm_by_std else F.col("_gap")
     small = (
         F.lit(0.0) if small_groups == "zero"
@@ -209,30 +210,32 @@ def adv_reinforce_pp_baseline(tokens: DataFrame, rollouts: DataFrame) -> DataFra
 
 # ---------------------------------------------------------------- token estimators
 def discounted_suffix_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, rho: float, out: str
+    df: DataFrame, keys: Sequence[str], order: str, value: str, rho: float, out: str, valid: Column | None = None
 ) -> DataFrame:
     """y_t = x_t + rho * y_(t+1) within ``keys``, as windows only.
 
     Counted from the end, the sum is rho^q * sum(rho^-i x_i) inside blocks short
-    enough for rho^q to stay far from underflow; what an earlier block adds
-    beyond its own local total is smaller than 1e-100 of it.
+    enough for rho^q to stay far from underflow; the ends of all blocks before
+    are carried on, each discounted by the blocks between.  Rows that are not
+    ``valid`` are passed over: they show the sum of the next valid one, or 0.
     """
-    from_end = W.partitionBy(*keys).orderBy(F.desc(order))
+    valid = F.lit(True) if valid is None else valid
+    x = F.when(valid, F.col(value)).otherwise(F.lit(0.0))
+    from_end = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     if rho == 1.0:
-        return df.withColumn(out, F.sum(value).over(from_end.rowsBetween(W.unboundedPreceding, 0)))
+        return df.withColumn(out, F.sum(x).over(from_end))
     if rho == 0.0:
-        return df.withColumn(out, F.col(value))
-    import math
-
+        return df.withColumn(out, F.coalesce(F.last(F.when(valid, F.col(value)), ignorenulls=True).over(from_end), F.lit(0.0)))
     block = max(1, int(230.0 / abs(math.log(abs(rho)))))
-    df = df.withColumn("_p", F.row_number().over(from_end) - 1)
-    df = df.withColumn("_blk", F.floor(F.col("_p") / block)).withColumn("_q", F.col("_p") % block)
-    inside = W.partitionBy(*keys, "_blk").orderBy("_q").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("_p", F.sum(F.when(valid, 1).otherwise(0)).over(from_end) - 1)
+    df = df.withColumn("_blk", F.floor(F.col("_p") / block)).withColumn("_q", F.pmod(F.col("_p"), F.lit(block)))
+    inside = W.partitionBy(*keys, "_blk").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     step = F.pow(F.lit(float(rho)), F.col("_q").cast("double"))
-    df = df.withColumn("_y", step * F.sum(F.col(value) / step).over(inside))
-    ends = F.last(F.when(F.col("_q") == block - 1, F.col("_y")), ignorenulls=True)
-    carry = ends.over(from_end.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn(out, F.col("_y") + F.coalesce(step * rho * carry, F.lit(0.0))).drop("_p", "_blk", "_q", "_y")
+    df = df.withColumn("_y", step * F.sum(x / step).over(inside))
+    before = W.partitionBy(*keys).orderBy("_blk").rangeBetween(W.unboundedPreceding, -1)
+    ends = F.collect_list(F.when(valid & (F.col("_q") == block - 1), F.struct("_blk", "_y"))).over(before)
+    carry = F.aggregate(F.array_sort(ends), F.lit(0.0), lambda y, end: y * float(rho) ** block + end["_y"])
+    return df.withColumn(out, F.col("_y") + step * rho * carry).drop("_p", "_blk", "_q", "_y")
 
 
 def adv_reinforce_pp(tokens: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -245,26 +248,25 @@ def adv_reinforce_pp(tokens: DataFrame, gamma: float = 1.0) -> DataFrame:
 
 
 def adv_gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
-    """Generalised advantage over the valid tokens only; masked tokens are skipped, not reset.
+    """Generalised advantage over the valid tokens; masked tokens are skipped, not reset.
 
-    Returns are advantage plus value before whitening; masked rows get 0 in both.
+    A masked row carries the advantage of the next valid token (0 behind the
+    last), its return adds the row's own value, and the whitening by the moments
+    of the valid rows applies to it as well.
     """
-    nxt = F.lead("value", 1, 0.0).over(W.partitionBy("traj_id").orderBy("t"))
-    valid = tokens.where("mask = 1").withColumn(
-        "_delta", F.col("token_reward") + gamma * nxt - F.col("value")
-    )
-    valid = discounted_suffix_sum(valid, ["traj_id"], "t", "_delta", gamma * lam, "_gae")
-    valid = valid.withColumn("return", F.col("_gae") + F.col("value"))
-    valid = whiten(valid, "_gae", "advantage").drop("_delta", "_gae")
-    masked = tokens.where("mask <> 1").withColumns({"return": F.lit(0.0), "advantage": F.lit(0.0)})
-    return valid.unionByName(masked)
+    after = W.partitionBy("traj_id").orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, -1)
+    nxt = F.coalesce(F.last(F.when(F.col("mask") == 1, F.col("value")), ignorenulls=True).over(after), F.lit(0.0))
+    d = tokens.withColumn("_delta", F.col("token_reward") + gamma * nxt - F.col("value"))
+    d = discounted_suffix_sum(d, ["traj_id"], "t", "_delta", gamma * lam, "_gae", F.col("mask") == 1)
+    d = d.withColumn("return", F.col("_gae") + F.col("value"))
+    return whiten(d, "_gae", "advantage").drop("_delta", "_gae")
 
 
 def adv_remax(tokens: DataFrame, baselines: DataFrame) -> DataFrame:
     """Reward to go minus the greedy answer's reward (``uid, baseline``) on valid tokens."""
     masked = tokens.withColumn("_r", F.when(F.col("mask") == 1, F.col("token_reward")).otherwise(0.0))
     togo = discounted_suffix_sum(masked, ["traj_id"], "t", "_r", 1.0, "return").drop("_r")
-    out = attach_by_key(togo, ["uid"], baselines.select("uid", "baseline"), ["traj_id"])
+    out = attach_by_key(togo, ["uid"], baselines.select("uid", "baseline"))
     return out.withColumn("advantage", F.col("return") - F.col("baseline") * F.col("mask")).drop("baseline")
 
 
@@ -307,7 +309,7 @@ def _token_baseline(tokens: DataFrame, position: str, is_weight: str | None, zer
     steps = d.where("mask = 1").groupBy("uid", "_at").agg(mean.alias("_b"))
     # one row per (prompt, position): the group's numbers join here, not on the tokens
     steps = steps.join(_group_sizes(tokens, not compact, zero_tail), "uid")
-    out = attach_by_key(d, ["uid", "_at"], steps, ["traj_id"])
+    out = attach_by_key(d, ["uid", "_at"], steps)
     base = F.when(F.col("_group") == 1, F.lit(0.0))
     if zero_tail:
         alone = (F.col("_len") == F.col("_longest")) & (F.col("_longest") > F.col("_second"))
@@ -360,7 +362,7 @@ def current_kl(tokens: DataFrame, kind: str = "k1") -> DataFrame:
 
 
 def adaptive_kl_series(
-    steps: DataFrame, init: float, target: float, horizon: float, adaptive: bool = True, width: int = 1 << 16
+    steps: DataFrame, init: float, target: float, horizon: float, adaptive: bool = True
 ) -> DataFrame:
     """Coefficient used at, and after, every step (``step, kl, n``).
 
@@ -370,7 +372,7 @@ def adaptive_kl_series(
     if not adaptive:
         return steps.withColumns({"coef_used": F.lit(float(init)), "coef_after": F.lit(float(init))})
     mult = 1 + clamp(F.col("kl") / target - 1, -0.2, 0.2) * F.col("n") / horizon
-    s = running_total(steps.withColumn("_lm", F.log(mult)), [], "step", {"_cum": F.col("_lm")}, width)
+    s = running_total(steps.withColumn("_lm", F.log(mult)), [], "step", {"_cum": F.col("_lm")})
     return s.withColumn("coef_after", init * F.exp("_cum")).withColumn(
         "coef_used", init * F.exp(F.col("_cum") - F.col("_lm"))
     ).drop("_lm", "_cum")

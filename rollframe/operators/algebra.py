@@ -57,7 +57,7 @@ def select_rows(df: DataFrame, order: str, wanted: DataFrame | Column) -> DataFr
     if isinstance(wanted, Column):
         return df.where(wanted)
     # a position may be wanted any number of times
-    found = attach_by_key(wanted.select("pick_no", "pos"), ["pos"], positions(df, order).withColumn("_hit", F.lit(True)), ["pick_no"])
+    found = attach_by_key(wanted.select("pick_no", "pos"), ["pos"], positions(df, order).withColumn("_hit", F.lit(True)))
     return found.where("_hit").drop("_hit")
 
 

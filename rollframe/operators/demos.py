@@ -59,7 +59,7 @@ def pick_demonstration(
     pair = two.groupBy("uid").agg(
         F.max(F.when(F.col("_rk") == 1, item)).alias("_a"), F.max(F.when(F.col("_rk") == 2, item)).alias("_b")
     )
-    out = attach_by_key(rollouts, ["uid"], pair, ["traj_id"])
+    out = attach_by_key(rollouts, ["uid"], pair)
     pick = F.col("_a")
     if exclude_self:
         pick = F.when(F.col("_a.traj_id") == F.col("traj_id"), F.col("_b")).otherwise(F.col("_a"))

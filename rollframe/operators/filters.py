@@ -69,11 +69,9 @@ def assert_nonblank(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(blank, F.raise_error(F.lit(f"{column} is blank")).cast("string")).otherwise(F.col(column)))
 
 
-def filter_groups(rollouts: DataFrame, metric: str = "acc", key: str = "uid", spread_by: Sequence[str] = ("traj_id",)) -> DataFrame:
+def filter_groups(rollouts: DataFrame, metric: str = "acc", key: str = "uid") -> DataFrame:
     """Drop prompt groups in which the metric does not vary; a lone rollout is kept."""
-    d = attach_group_stats(
-        rollouts, [key], [F.min(metric).alias("_lo"), F.max(metric).alias("_hi"), F.count(F.lit(1)).alias("_c")], list(spread_by)
-    )
+    d = attach_group_stats(rollouts, [key], [F.min(metric).alias("_lo"), F.max(metric).alias("_hi"), F.count(F.lit(1)).alias("_c")])
     return d.where((F.col("_hi") > F.col("_lo")) | (F.col("_c") == 1)).drop("_lo", "_hi", "_c")
 
 

@@ -452,7 +452,7 @@ def split_media_segments(
     total = turns.withColumn("_p", pieces).groupBy(key).agg(
         F.sum(count(F.col("_p"), is_img)).alias("_ti"), F.sum(count(F.col("_p"), is_vid)).alias("_tv")
     )
-    d = attach_by_key(d, [key], total, [order]).withColumn("ok", (F.col("_ti") == F.col(n_images)) & (F.col("_tv") == F.col(n_videos)))
+    d = attach_by_key(d, [key], total).withColumn("ok", (F.col("_ti") == F.col(n_images)) & (F.col("_tv") == F.col(n_videos)))
 
     def numbered(p: Column, i: Column) -> Column:
         before = F.slice(F.col("_p"), F.lit(1), i)

@@ -182,7 +182,7 @@ def run_order(df: DataFrame, weight: str, batch: str = "batch_id", order: str =
     """Adds ``slot`` inside each part: light rows at both ends, heavy ones in the middle."""
     keys = [batch, "part"]
     d = rank_by_value(df, weight, order, "_r", keys)
-    d = attach_group_stats(d, keys, [F.count(F.lit(1)).alias("_n")], [order])
+    d = attach_group_stats(d, keys, [F.count(F.lit(1)).alias("_n")])
     r = F.col("_r") - 1
     half = F.floor(r / 2)
     return d.withColumn("slot", F.when(r % 2 == 0, half).otherwise(F.col("_n") - 1 - half).cast("long")).drop("_r", "_n")

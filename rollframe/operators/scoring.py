@@ -307,7 +307,7 @@ def score_cache(
     missing = hashed.dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
     fresh = score(missing).select("content_hash", out)
     both = cache.select("content_hash", out).unionByName(fresh)
-    return attach_by_key(hashed, ["content_hash"], both, [key]).drop("content_hash"), fresh
+    return attach_by_key(hashed, ["content_hash"], both).drop("content_hash"), fresh
 
 
 # ---------------------------------------------------------------- code test results

@@ -68,11 +68,8 @@ def assemble_rollout_rows(*parts: DataFrame, score: str = "score") -> DataFrame:
     return out.withColumn("use_score", complete)
 
 
-def group_index(df: DataFrame, label: str, spread_by: Sequence[str], out: str = "group_no") -> DataFrame:
-    """Dense group numbers 0..G-1 of any labels; near-integer floats are rounded first.
-
-    ``spread_by`` names columns that tell the rows of one label apart.
-    """
+def group_index(df: DataFrame, label: str, out: str = "group_no") -> DataFrame:
+    """Dense group numbers 0..G-1 of any labels; near-integer floats are rounded first."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key = F.col(label)
     if kinds[label] in ("double", "float"):
@@ -83,7 +80,7 @@ def group_index(df: DataFrame, label: str, spread_by: Sequence[str], out: str =
         numbered = number_rows(names, "_label", out)
     else:
         numbered = number_by_hash(names, ["_label"], 0, out)
-    return attach_by_key(d, ["_label"], numbered.withColumn(out, F.col(out) - 1), spread_by).drop("_label")
+    return attach_by_key(d, ["_label"], numbered.withColumn(out, F.col(out) - 1)).drop("_label")
 
 
 def rollout_number(rollouts: DataFrame, key: str = "uid", order: str = "traj_id", out: str = "rollout_no") -> DataFrame:
