@@ -250,33 +250,94 @@ C.add("attention_workload", "SELECT traj_id, 24576*response_len+response_len*res
 C.add("serpentine_partitions", """, r AS (SELECT traj_id, row_number() OVER (ORDER BY response_len DESC, traj_id)-1 AS r FROM rollouts)
 SELECT traj_id, CAST(CASE WHEN (r//8)%2=0 THEN r%8 ELSE 7-r%8 END AS BIGINT) AS part FROM r""")(
     lambda spark, sf: P.serpentine_partitions(rollouts(spark, sf), 8, "response_len", "traj_id").select("traj_id", "part"))
-C.add("balance_partitions")(lambda spark, sf: P.balance_partitions(whole_batches(spark, sf, 64), 4, "response_len").select("batch_id", "traj_id", "part"))
-C.add("balance_partitions_uneven")(
-    lambda spark, sf: P.balance_partitions(batched(spark, sf), 4, "response_len", equal_size=False).select("batch_id", "traj_id", "part"))
+
+
+def part_checks(d, weight, keys=("batch_id",), part="part"):
+    """What must hold for a placement, per batch: parts, rows per part, every row once, total, and the spread of the sums."""
+    per = d.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("s"), F.max(weight).alias("w"))
+    rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("traj_id").alias("n_ids"))
+    per = per.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("parts"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.sum("s").alias("total"),
+        (F.max("s") - F.min("s") <= F.max("w")).alias("even"), (F.min(part) == 0).alias("from_zero"), (F.max(part) + 1).alias("numbers"),
+    )
+    return per.join(rows, list(keys))
+
+
+WB = """, fb AS (SELECT i AS pos, r.response_len, i//64 AS batch_id FROM (SELECT count(*) AS n FROM rollouts) c, range(0, (SELECT CAST(ceil(count(*)/64.0)*64 AS BIGINT) FROM rollouts)) g(i)
+  JOIN (SELECT *, row_number() OVER (ORDER BY traj_id)-1 AS p FROM rollouts) r ON r.p = g.i % c.n)"""
+# equal parts of whole batches: everything but the placement itself is known
+C.add("balance_partitions", WB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS parts, CAST(16 AS BIGINT) AS fewest, CAST(16 AS BIGINT) AS most,
+  CAST(sum(response_len) AS BIGINT) AS total, true AS even, true AS from_zero, CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids FROM fb GROUP BY batch_id""")(
+    lambda spark, sf: part_checks(P.balance_partitions(whole_batches(spark, sf, 64), 4, "response_len"), "response_len"))
+C.add("balance_partitions_uneven", BT + """SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS parts, CAST(sum(response_len) AS BIGINT) AS total, true AS even, true AS from_zero,
+  CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids FROM bt GROUP BY batch_id""")(
+    lambda spark, sf: part_checks(P.balance_partitions(batched(spark, sf), 4, "response_len", equal_size=False), "response_len").drop("fewest", "most"))
+# eight rows in four equal parts: differencing pairs the i-th lightest with the i-th heaviest
+@C.add("balance_partitions_pairs", """, e AS (SELECT *, (row_number() OVER (ORDER BY traj_id)-1)//8 AS batch_id FROM rollouts),
+  r AS (SELECT batch_id, traj_id, row_number() OVER (PARTITION BY batch_id ORDER BY response_len, traj_id) AS r, count(*) OVER (PARTITION BY batch_id) AS n FROM e)
+SELECT CAST(a.batch_id AS BIGINT) AS batch_id, a.traj_id, b.traj_id AS partner FROM r a JOIN r b ON a.batch_id=b.batch_id AND a.r+b.r=9 WHERE a.n=8""")
+def _(spark, sf):
+    d = batched(spark, sf, 8)
+    whole = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where("n = 8").select("batch_id")
+    d = P.balance_partitions(d.join(whole, "batch_id"), 4, "response_len")
+    both = d.groupBy("batch_id", "part").agg(F.sum("traj_id").alias("s"))
+    return d.join(both, ["batch_id", "part"]).select("batch_id", "traj_id", (F.col("s") - F.col("traj_id")).alias("partner"))
+
+
 C.add("balance_partitions_large", """, b AS (SELECT traj_id, response_len, (row_number() OVER (ORDER BY traj_id)-1)//1000 AS batch_id FROM rollouts),
   r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY response_len DESC, traj_id)-1 AS r FROM b)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, traj_id, CAST(CASE WHEN (r//4)%2=0 THEN r%4 ELSE 3-r%4 END AS BIGINT) AS part FROM r""")(
-    lambda spark, sf: P.balance_partitions(batched(spark, sf, 1000), 4, "response_len", limit=100).select("batch_id", "traj_id", "part"))
+    lambda spark, sf: P.balance_partitions(batched(spark, sf, 1000), 4, "response_len", equal_size=False, method="serpentine").select("batch_id", "traj_id", "part"))
 C.add("greedy_partitions", """, gb AS (SELECT traj_id, CAST(response_len AS BIGINT) AS w, (row_number() OVER (ORDER BY traj_id)-1)//64 AS batch_id, (row_number() OVER (ORDER BY traj_id)-1)%64 AS i FROM rollouts),
   st AS (SELECT batch_id, 0 AS i, [0,0,0,0]::BIGINT[] AS load, NULL::BIGINT AS part, NULL::BIGINT AS traj_id FROM gb GROUP BY batch_id),
   rc AS (WITH RECURSIVE r AS (SELECT * FROM st UNION ALL
      SELECT r.batch_id, r.i+1, list_transform(r.load, lambda x, j: x + CASE WHEN j=list_position(r.load, list_min(r.load)) THEN gb.w ELSE 0 END),
             list_position(r.load, list_min(r.load))-1, gb.traj_id FROM r JOIN gb ON gb.batch_id=r.batch_id AND gb.i=r.i) SELECT * FROM r)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, traj_id, CAST(part AS BIGINT) AS part FROM rc WHERE traj_id IS NOT NULL""")(lambda spark, sf: P.greedy_partitions(batched(spark, sf), 4, "response_len").select("batch_id", "traj_id", "part"))
-C.add("group_balance")(lambda spark, sf: P.group_balance(
-    rollouts(spark, sf).withColumn("batch_id", F.expr("uid div 100")).withColumn("uid", F.col("uid") % 100 % 10), 2, "response_len").select(
-    "batch_id", "uid", "traj_id", "part"))
-C.add("pack_microbatches")(lambda spark, sf: P.pack_microbatches(batched(spark, sf), 40, "response_len", multiple=2).select("batch_id", "traj_id", "micro_id"))
+@C.add("group_balance", """, g AS (SELECT uid//100 AS batch_id, uid%100%10 AS u, traj_id, response_len, 24576*response_len+response_len*response_len AS w FROM rollouts),
+  s AS (SELECT batch_id, u, sum(w) AS w FROM g GROUP BY ALL)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(2 AS BIGINT) AS parts, CAST(count(DISTINCT u)//2 AS BIGINT) AS fewest, CAST(count(DISTINCT u)//2 AS BIGINT) AS most,
+  CAST(sum(w) AS BIGINT) AS total, true AS even, true AS from_zero, CAST(2 AS BIGINT) AS numbers, CAST(count(DISTINCT u) AS BIGINT) AS n_rows, CAST(count(DISTINCT u) AS BIGINT) AS n_ids
+FROM s GROUP BY batch_id""")
+def _(spark, sf):
+    d = rollouts(spark, sf).withColumn("batch_id", F.expr("uid div 100")).withColumn("uid", F.col("uid") % 100 % 10)
+    d = P.group_balance(d, 2, "response_len").withColumn("w", P.attention_workload("response_len"))
+    # one row per uid and part: a uid in two parts would show as two rows of one id
+    return part_checks(d.groupBy("batch_id", "part", F.col("uid").alias("traj_id")).agg(F.sum("w").alias("w")), "w")
+
+
+C.add("pack_microbatches", BT + """, s AS (SELECT batch_id, count(*) AS n, CAST(sum(response_len) AS BIGINT) AS t, sum(24576*response_len+response_len*response_len) AS w FROM bt GROUP BY batch_id),
+  k AS (SELECT *, CAST(ceil(greatest(least(n, ceil(t/40.0)), 1)/2.0)*2 AS BIGINT) AS parts FROM s)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, parts, CAST(w AS BIGINT) AS total, true AS even, true AS from_zero, parts AS numbers, n AS n_rows, n AS n_ids FROM k""")(
+    lambda spark, sf: part_checks(
+        P.pack_microbatches(batched(spark, sf), 40, "response_len", multiple=2).withColumn("w", P.attention_workload("response_len")), "w", part="micro_id"
+    ).drop("fewest", "most"))
 C.add("restore_order", BT + "SELECT traj_id, pos FROM bt")(
     lambda spark, sf: P.restore_order(P.pack_microbatches(batched(spark, sf), 40, "response_len")).select("traj_id", "pos"))
 C.add("run_order", BT + """, p AS (SELECT traj_id, batch_id, traj_id%4 AS part, row_number() OVER (PARTITION BY batch_id, traj_id%4 ORDER BY response_len, traj_id)-1 AS r,
    count(*) OVER (PARTITION BY batch_id, traj_id%4) AS n FROM bt)
 SELECT traj_id, part, CAST(CASE WHEN r%2=0 THEN r//2 ELSE n-1-r//2 END AS BIGINT) AS slot FROM p""")(
     lambda spark, sf: P.run_order(batched(spark, sf).withColumn("part", F.col("traj_id") % 4), "response_len").select("traj_id", "part", "slot"))
-C.add("balance_batch")(lambda spark, sf: P.balance_batch(whole_batches(spark, sf, 64), 4, "response_len").select("batch_id", "traj_id", "part", "slot"))
-C.add("balance_batch_minibatch")(lambda spark, sf: P.balance_batch(
-    whole_batches(spark, sf, 64).withColumn("mb", F.expr("traj_id % 64 div 32")), 4, "response_len", minibatch="mb").select(
-    "batch_id", "mb", "traj_id", "part", "slot"))
+
+
+def slot_checks(d, keys):
+    """The checks of a placement, and that the slots of every part are 0, 1, 2, ... with the lightest row first."""
+    d = d.withColumn("w", P.attention_workload("response_len"))
+    first = F.min_by("w", "slot") == F.min("w")
+    slots = d.groupBy(*keys, "part").agg((F.count_distinct("slot") == F.max("slot") + 1).alias("a"), (F.count(F.lit(1)) == F.max("slot") + 1).alias("b"), first.alias("c"))
+    return part_checks(d, "w", keys).join(slots.groupBy(*keys).agg(F.min(F.col("a") & F.col("b") & F.col("c")).alias("slots_fit")), list(keys))
+
+
+C.add("balance_batch", WB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS parts, CAST(16 AS BIGINT) AS fewest, CAST(16 AS BIGINT) AS most,
+  CAST(sum(24576*response_len+response_len*response_len) AS BIGINT) AS total, true AS even, true AS from_zero, CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids,
+  true AS slots_fit FROM fb GROUP BY batch_id""")(
+    lambda spark, sf: slot_checks(P.balance_batch(whole_batches(spark, sf, 64), 4, "response_len"), ["batch_id"]))
+C.add("balance_batch_minibatch", WB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(pos%64//32 AS BIGINT) AS mb, CAST(4 AS BIGINT) AS parts, CAST(8 AS BIGINT) AS fewest, CAST(8 AS BIGINT) AS most,
+  CAST(sum(24576*response_len+response_len*response_len) AS BIGINT) AS total, true AS even, true AS from_zero, CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids
+FROM fb GROUP BY ALL""")(
+    lambda spark, sf: part_checks(P.balance_batch(
+        whole_batches(spark, sf, 64).withColumn("mb", F.expr("traj_id % 64 div 32")), 4, "response_len", minibatch="mb"
+    ).withColumn("w", P.attention_workload("response_len")), "w", ["batch_id", "mb"]))
 C.add("balance_report", """, r AS (SELECT traj_id, response_len, row_number() OVER (ORDER BY response_len DESC, traj_id)-1 AS r, row_number() OVER (ORDER BY traj_id)-1 AS pos, count(*) OVER () AS n FROM rollouts),
   c AS (SELECT pos//(n//8) AS ch, sum(response_len) AS s FROM r GROUP BY 1), b AS (SELECT CASE WHEN (r//8)%2=0 THEN r%8 ELSE 7-r%8 END AS part, sum(response_len) AS s FROM r GROUP BY 1)
 SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s)-min(s) AS BIGINT) AS minmax_diff, (SELECT CAST(min(s) AS BIGINT) FROM b) AS balanced_min,

@@ -1,25 +1,25 @@
 """Length balancing and packing, batch by batch.
 
-A batch is one training batch, so differencing runs inside a task per batch.
-A batch beyond ``limit`` rows is dealt in serpentine order instead, which needs
-only distributed ranks.
+Differencing and the greedy rule need all weights of a batch in order, so a
+batch, which is one training batch, is placed inside a task that holds its
+weights and nothing else of its rows.  Serpentine dealing needs only distributed
+ranks and suits batches of any size; callers choose by name.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..functions.groups import attach_group_stats, number_rows, rank_by_value, row_total
-from ..session import cut
-
-BATCH_LIMIT = 1_000_000
 
 
 def attention_workload(length: str | Column) -> Column:
@@ -29,11 +29,27 @@ def attention_workload(length: str | Column) -> Column:
 
 
 # ---------------------------------------------------------------- inside a task
+def _ranked(parts: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, list[int]]]:
+    """(sum, place, rows) of the parts that hold rows, in falling order of sum among k parts.
+
+    Empty parts are not stored; a stable order puts them between rows of sum 0
+    by their places.
+    """
+    full = [p for p in parts if p[0]]
+    zero = [p for p in parts if not p[0]]
+    by_place = sorted(p[1] for p in full)
+    out = [(s, i, rows) for i, (s, _, rows) in enumerate(sorted(full, key=lambda p: (-p[0], p[1])))]
+    for _, place, rows in zero:
+        out.append((0, len(full) + place - bisect_left(by_place, place), rows))
+    return out
+
+
 def differencing(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
     """Part number of every weight: largest-first differencing into k parts.
 
-    A partial solution is k heaps of rows sorted by sum; the two with the widest
-    spread are joined heaviest to lightest until one is left.
+    A partial solution is k parts in falling order of their sums; the two with
+    the widest spread are joined heaviest to lightest until one is left.  Only
+    parts with rows are kept, so memory follows the rows, not rows times k.
     """
     n = len(weights)
     if n < k:
@@ -42,22 +58,34 @@ def differencing(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
         raise ValueError(f"{n} rows are not divisible into {k} equal parts")
     by_weight = sorted(range(n), key=lambda i: (weights[i], i))
     width = k if equal_size else 1
+
+    def spread(parts):
+        # a solution with empty parts has 0 as its least sum
+        least = min(p[0] for p in parts) if len(parts) == k else 0
+        return least - max(p[0] for p in parts)
+
     queue = []
     for at in range(0, n, width):
         rows = by_weight[at : at + width]
-        parts = [(weights[i], [i]) for i in reversed(rows)] + [(0, [])] * (k - len(rows))
-        queue.append((parts[-1][0] - parts[0][0], at, parts))
+        parts = [(weights[i], place, [i]) for place, i in enumerate(reversed(rows))]
+        parts = _ranked(parts) if len(rows) < k else parts
+        queue.append((spread(parts), at, parts))
     heapq.heapify(queue)
     while len(queue) > 1:
         _, tie, left = heapq.heappop(queue)
         _, _, right = heapq.heappop(queue)
-        joined = [(a + b, p + q) for (a, p), (b, q) in zip(left, reversed(right))]
-        joined.sort(key=lambda part: -part[0])
-        heapq.heappush(queue, (joined[-1][0] - joined[0][0], tie, joined))
+        joined = {place: (total, place, rows) for total, place, rows in left}
+        for total, place, rows in right:
+            place = k - 1 - place
+            have = joined.get(place, (0, place, []))
+            joined[place] = (have[0] + total, place, have[2] + rows)
+        parts = _ranked(list(joined.values()))
+        heapq.heappush(queue, (spread(parts), tie, parts))
     out = [0] * n
-    for number, (_, rows) in enumerate(queue[0][2]):
-        if not rows:
-            raise ValueError("a part is empty")
+    last = queue[0][2]
+    if len(last) < k:
+        raise ValueError("a part is empty")
+    for _, number, rows in last:
         for i in rows:
             out[i] = number
     return out
@@ -119,14 +147,25 @@ def serpentine_partitions(df: DataFrame, k: int, weight: str, order: str, keys:
 
 
 def balance_partitions(
-    df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = True, limit: int = BATCH_LIMIT
+    df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = True, method: str = "differencing"
 ) -> DataFrame:
-    """Adds ``part``: k parts per batch with near-equal sums of ``weight``."""
-    slim = cut(df.select(batch, order, weight))
-    big = slim.groupBy(batch).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(batch)
-    parts = _per_batch(slim.join(big, batch, "left_anti"), batch, order, weight, lambda w: differencing(w, k, equal_size))
-    dealt = serpentine_partitions(slim.join(big, batch, "left_semi"), k, weight, order, [batch])
-    return df.join(parts.unionByName(dealt.select(batch, order, "part")), [batch, order])
+    """Adds ``part``: k parts per batch with near-equal sums of ``weight``.
+
+    ``method`` is ``differencing``, a batch per task, or ``serpentine``, for
+    batches beyond a task.  Either way too few rows, or with ``equal_size`` a
+    number of rows that k doesn't divide, is an error.
+    """
+    slim = df.select(batch, order, weight)
+    if method == "differencing":
+        parts = _per_batch(slim, batch, order, weight, lambda w: differencing(w, k, equal_size))
+    elif method == "serpentine":
+        dealt = attach_group_stats(serpentine_partitions(slim, k, weight, order, [batch]), [batch], [F.count(F.lit(1)).alias("_rows")])
+        bad = (F.col("_rows") < k) | (F.lit(equal_size) & (F.col("_rows") % k != 0))
+        fail = F.raise_error(F.concat(F.col("_rows").cast("string"), F.lit(f" rows do not make {k} parts"))).cast("long")
+        parts = dealt.select(batch, order, F.when(bad, fail).otherwise(F.col("part")).alias("part"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return df.join(parts, [batch, order])
 
 
 def greedy_partitions(
@@ -179,13 +218,15 @@ def restore_order(packed: DataFrame, order: str = "traj_id") -> DataFrame:
 
 
 def run_order(df: DataFrame, weight: str, batch: str = "batch_id", order: str = "traj_id") -> DataFrame:
-    """Adds ``slot`` inside each part: light rows at both ends, heavy ones in the middle."""
-    keys = [batch, "part"]
-    d = rank_by_value(df, weight, order, "_r", keys)
-    d = attach_group_stats(d, keys, [F.count(F.lit(1)).alias("_n")])
-    r = F.col("_r") - 1
+    """Adds ``slot`` inside each part: light rows at both ends, heavy ones in the middle.
+
+    A part is what one worker takes of a batch, so a window holds it.
+    """
+    part = W.partitionBy(batch, "part")
+    r = F.row_number().over(part.orderBy(weight, order)) - 1
     half = F.floor(r / 2)
-    return d.withColumn("slot", F.when(r % 2 == 0, half).otherwise(F.col("_n") - 1 - half).cast("long")).drop("_r", "_n")
+    n = F.count(F.lit(1)).over(part)
+    return df.withColumn("slot", F.when(r % 2 == 0, half).otherwise(n - 1 - half).cast("long"))
 
 
 def balance_batch(
@@ -199,7 +240,8 @@ def balance_batch(
     """
     if by_uid:
         d = group_balance(df, k, length, batch, order)
-        return number_rows(d, order, "slot", [batch, "part"]).withColumn("slot", F.col("slot") - 1)
+        slot = F.row_number().over(W.partitionBy(batch, "part").orderBy(order)) - 1
+        return d.withColumn("slot", slot.cast("long"))
     d = df.withColumn("_w", attention_workload(length))
     if minibatch:
         d = d.withColumn("_mb", F.concat_ws("/", F.col(batch).cast("string"), F.col(minibatch).cast("string")))

@@ -106,12 +106,20 @@ def lengths(spark, n=200, size=20):
 
 def test_partitions_cover_every_row_once(spark):
     d = lengths(spark)
-    for out in (P.balance_partitions(d, 4, "response_len"), P.balance_partitions(d, 4, "response_len", limit=5), P.greedy_partitions(d, 4, "response_len")):
+    for out in (P.balance_partitions(d, 4, "response_len"), P.balance_partitions(d, 4, "response_len", method="serpentine"), P.greedy_partitions(d, 4, "response_len")):
         assert out.count() == 200 and out.select("traj_id").distinct().count() == 200
     b = P.balance_batch(d, 4, "response_len").groupBy("batch_id", "part").agg(F.count("slot").alias("n"), F.count_distinct("slot").alias("u"), F.max("slot").alias("m"))
     assert all(r["n"] == r["u"] == r["m"] + 1 == 5 for r in b.collect())
 
 
+@pytest.mark.parametrize("method", ["differencing", "serpentine"])
+def test_shape_errors_at_every_size(spark, method):
+    with pytest.raises(Exception, match="parts"):
+        P.balance_partitions(lengths(spark, 10, 10), 4, "response_len", method=method).collect()
+    with pytest.raises(Exception, match="parts"):
+        P.balance_partitions(lengths(spark, 3, 3), 4, "response_len", equal_size=False, method=method).collect()
+
+
 def test_group_balance_keeps_uids_whole(spark):
     d = spark.createDataFrame([(0, 4 * u + i, u, n) for u, n in enumerate((100, 200, 150, 50)) for i in range(4)], "batch_id long, traj_id long, uid long, response_len long")
     out = P.group_balance(d, 2, "response_len")
