@@ -153,6 +153,24 @@ SELECT doc_id, CASE WHEN act AND inp AND NOT bad THEN 1e0 ELSE 0e0 END AS score,
   CASE WHEN bad THEN 'Failed to parse ground truth JSON' ELSE concat_ws('; ', CASE WHEN NOT act THEN 'Actions mismatch: predicted [''search'', ''stop''], expected [''look'', ''search'']' END,
    CASE WHEN NOT inp THEN 'Action inputs mismatch: predicted {''n'': ''1'', ''q'': '''||lang||'''}, expected {''n'': ''2'', ''q'': '''||lang||'''}' END) END AS feedback FROM t""")(
     lambda spark, sf: res(tool_rows(spark, sf).withColumn("result", S.score_tooluse("resp", "truth")), "doc_id"))
+
+
+def typed_rows(spark, sf):
+    """Tool inputs with numbers, truth values and nested objects: every sixth of the rows differs in another way."""
+    n = F.col("n_chars").cast("string")
+    gave = pick(6, F.concat(F.lit('{"n": '), n, F.lit(', "on": true}')), F.concat(F.lit('{"on": true, "n": '), n, F.lit(".0}")), F.concat(F.lit('{"n": "'), n, F.lit('", "on": true}')),
+                F.concat(F.lit('{"n": '), n, F.lit(', "on": 1}')), F.concat(F.lit('{"n": '), n, F.lit(', "on": "true"}')), F.concat(F.lit('{"n": -'), n, F.lit(', "on": true}')))
+    truth = F.concat(F.lit('[{"Action":"look","Action_Input":{"on": true, "n": '), n, F.lit("}}]"))
+    nested = F.concat(F.lit('[{"Action":"look","Action_Input":"{\\"n\\": '), n, F.lit(', \\"on\\": true, \\"deep\\": {\\"b\\": [1, 2], \\"a\\": null}}"}]'))
+    return docs(spark, sf).select(
+        "doc_id", F.concat("text", F.lit("\nAction: look\nAction Input: "), gave).alias("resp"), F.when(F.col("doc_id") % 12 == 7, nested).otherwise(truth).alias("truth")
+    )
+
+
+C.add("score_tooluse_typed", """SELECT doc_id, CASE WHEN doc_id%6 IN (0,1,3) AND doc_id%12<>7 THEN 1e0 ELSE 0e0 END AS score,
+  'Actions: [''look''], Inputs: {''n'': '||CASE doc_id%6 WHEN 2 THEN ''''||n_chars||'''' WHEN 5 THEN '-'||n_chars ELSE CAST(n_chars AS VARCHAR) END
+  ||', ''on'': '||CASE doc_id%6 WHEN 3 THEN '1' WHEN 4 THEN '''true''' ELSE 'True' END||'}' AS pred FROM documents""")(
+    lambda spark, sf: sc(typed_rows(spark, sf).withColumn("result", S.score_tooluse("resp", "truth")), "doc_id"))
 C.add("extract_code_block", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN NULL WHEN doc_id%3=1 THEN 'longer '||lang||chr(10) ELSE 'aa'||chr(10) END AS code FROM documents")(
     lambda spark, sf: docs(spark, sf).select("doc_id", X.extract_code_block(F.concat("text", pick(
         3, F.lit(" ```py no"), F.concat(F.lit("\n```python\nx\n```\nand\n```\nlonger "), "lang", F.lit("\n``` ```")), F.lit("\n```\naa\n```\n```py\nbb\n```")))).alias("code")))

@@ -1,18 +1,11 @@
-"""Answer extraction and normalisation as column expressions.
-
-Only balanced braces need Python: there a batch of texts goes to a small
-function through Arrow.  All else stays inside the JVM.
-"""
+"""Answer extraction and normalisation as column expressions, inside the JVM throughout."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .exprs import col, last_item
 
@@ -55,37 +48,38 @@ def strip(text: str | Column) -> Column:
     return F.regexp_replace(col(text), r"^\s+|\s+$", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def swap(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 
 
 # ---------------------------------------------------------------- boxed answers
-_BRACE = re.compile(r"[{}]")
-
-
-def _content(text: str | None, macro: str) -> str | None:
-    """What the last ``macro{...}`` encloses, null when it is missing or never closed."""
-    start = -1 if text is None else text.rfind(macro + "{")
-    if start < 0:
-        return None
-    depth = 0
-    for hit in _BRACE.finditer(text, start):
-        depth += 1 if hit.group() == "{" else -1
-        if depth == 0:
-            return text[start + len(macro) + 1 : hit.start()]
-    return None
+def _content(text: Column, macro: str) -> Column:
+    """What the last ``macro{...}`` encloses, null when it is missing or never closed.
 
+    The text behind the last marker is cut after every brace; a fold over the
+    pieces counts the depth, at first one, until it is zero.
+    """
+    marker = macro + "{"
 
-@F.pandas_udf(T.StringType())
-def _boxed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: _content(t, "\\boxed"))
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
+        going = state["depth"] > 0
+        return F.struct(
+            F.when(going, depth).otherwise(state["depth"]).alias("depth"),
+            (state["size"] + F.when(going, F.length(piece)).otherwise(0)).alias("size"),
+        )
 
+    def read(rest: Column) -> Column:
+        pieces = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), F.lit(0))
+        begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+        return F.aggregate(pieces, begin, step, lambda s: F.when(s["depth"] == 0, F.substring(rest, F.lit(1), s["size"] - 1)))
 
-@F.pandas_udf(T.StringType())
-def _framed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: _content(t, "\\fbox"))
+    return F.when(text.contains(marker), bind(F.substring_index(text, marker, -1), read))
 
 
 def extract_last_boxed(text: str | Column, fallbacks: bool = False) -> Column:
@@ -96,9 +90,9 @@ def extract_last_boxed(text: str | Column, fallbacks: bool = False) -> Column:
     """
     t = col(text)
     if not fallbacks:
-        return _boxed(t)
+        return _content(t, "\\boxed")
     spaced = F.substring_index(F.substring_index(t, "\\boxed ", -1), "$", 1)
-    return F.when(t.contains("\\boxed "), spaced).when(t.contains("\\boxed"), _boxed(t)).otherwise(_framed(t))
+    return F.when(t.contains("\\boxed "), spaced).when(t.contains("\\boxed"), _content(t, "\\boxed")).otherwise(_content(t, "\\fbox"))
 
 
 # ---------------------------------------------------------------- hash answers
@@ -116,8 +110,37 @@ def extract_hash_answer(text: str | Column, method: str = "strict") -> Column:
 
 
 # ---------------------------------------------------------------- normal forms
-def latex_normal(text: Column) -> tuple[Column, Column]:
-    """Normal form of a LaTeX answer, and whether the rules apply to it at all."""
+def latex_normal(text: Column) -> Column:
+    """Normal form of a LaTeX answer (``s``), and whether the rules apply to it at all (``ok``)."""
+
+    def keep(s: Column, ok: Column) -> Column:
+        return F.struct(s.alias("s"), ok.alias("ok"))
+
+    def units(s: Column) -> Column:
+        return keep(F.substring_index(s, "\\text{ ", 1), F.size(F.split(s, r"\\text\{ ")) <= 2)
+
+    def percent(x: Column) -> Column:
+        s = swap(swap(x["s"], "\\\\%", ""), "\\%", "")
+        return keep(swap(swap(s, " .", " 0."), "{.", "{0."), x["ok"])
+
+    def name(x: Column) -> Column:
+        s = F.when(x["s"].startswith("."), F.concat(F.lit("0"), x["s"])).otherwise(x["s"])
+        # a short name in front of the only equals sign goes
+        return keep(F.regexp_replace(s, r"(?s)^[^=]{0,2}=([^=]*)$", "$1"), x["ok"])
+
+    def roots(x: Column) -> Column:
+        s = F.regexp_replace(x["s"], r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
+        return keep(swap(s, " ", ""), x["ok"] & ~x["s"].rlike(r"\\sqrt($|\\sqrt)"))
+
+    def fractions(x: Column) -> Column:
+        s = x["s"]
+        whole = F.regexp_replace(F.regexp_replace(s, r"\\frac([^{\\]|\\(?!frac))([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+        return keep(F.when(s.rlike(r"\\frac[^{]($|\\frac)"), s).otherwise(whole), x["ok"] & ~s.rlike(r"\\frac($|\\frac)"))
+
+    def last(x: Column) -> Column:
+        s = F.when(x["s"] == "0.5", F.lit("\\frac{1}{2}")).otherwise(x["s"])
+        return keep(F.regexp_replace(s, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}"), x["ok"])
+
     s = text
     for piece in LATEX_REMOVED_FIRST:
         s = swap(s, piece, "")
@@ -125,29 +148,15 @@ def latex_normal(text: Column) -> tuple[Column, Column]:
         s = swap(s, old, new)
     for piece in LATEX_REMOVED:
         s = swap(s, piece, "")
-    units = F.size(F.split(s, r"\\text\{ ")) - 1
-    s = F.substring_index(s, "\\text{ ", 1)
-    s = swap(swap(s, "\\\\%", ""), "\\%", "")
-    s = swap(swap(s, " .", " 0."), "{.", "{0.")
-    s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
-    # a short name in front of the only equals sign goes
-    s = F.regexp_replace(s, r"(?s)^[^=]{0,2}=([^=]*)$", "$1")
-    open_root = s.rlike(r"\\sqrt($|\\sqrt)")
-    s = F.regexp_replace(s, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
-    s = swap(s, " ", "")
-    open_frac = s.rlike(r"\\frac($|\\frac)")
-    half_frac = s.rlike(r"\\frac[^{]($|\\frac)")
-    whole = F.regexp_replace(F.regexp_replace(s, r"\\frac([^{\\]|\\(?!frac))([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    s = F.when(half_frac, s).otherwise(whole)
-    s = F.when(s == "0.5", F.lit("\\frac{1}{2}")).otherwise(s)
-    s = F.regexp_replace(s, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
-    return s, ~(open_root | open_frac | (units > 1))
+    for stage in (units, percent, name, roots, fractions, last):
+        s = bind(s, stage)
+    return s
 
 
 def latex_equal(a: Column, b: Column) -> Column:
     """Equal in normal form; compared as written when a rule cannot be applied to one of them."""
-    (x, ok_x), (y, ok_y) = latex_normal(a), latex_normal(b)
-    return F.coalesce(F.when(ok_x & ok_y, x == y).otherwise(a == b), F.lit(False))
+    both = F.struct(latex_normal(a).alias("x"), latex_normal(b).alias("y"), (a == b).alias("same"))
+    return bind(both, lambda p: F.coalesce(F.when(p["x"]["ok"] & p["y"]["ok"], p["x"]["s"] == p["y"]["s"]).otherwise(p["same"]), F.lit(False)))
 
 
 def final_answer_normal(text: Column) -> Column:
@@ -164,8 +173,7 @@ def final_answer_normal(text: Column) -> Column:
     s = F.regexp_replace(s, r"(?s)frac([^{])(.)", r"frac{$1}{$2}")
     s = F.regexp_replace(s, r"(?s)sqrt([^{])", r"sqrt{$1}")
     s = swap(s, "$", "")
-    bare = swap(s, ",", "")
-    return strip(F.when(bare.rlike(r"^[0-9]+$"), bare).otherwise(s))
+    return strip(bind(s, lambda x: F.when(swap(x, ",", "").rlike(r"^[0-9]+$"), swap(x, ",", "")).otherwise(x)))
 
 
 def qa_normal(text: Column) -> Column:

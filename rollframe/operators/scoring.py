@@ -81,7 +81,7 @@ def score_math_boxed(response, truth) -> Column:
     """
     t = col(response)
     a = F.when(t.contains("\\boxed"), X.extract_last_boxed(t, fallbacks=True))
-    return result(_one(X.latex_equal(a, col(truth))), pred=a)
+    return X.bind(a, lambda x: result(_one(X.latex_equal(x, col(truth))), pred=x))
 
 
 def score_math_minerva(response, truth, strict_box=False) -> Column:
@@ -92,23 +92,26 @@ def score_math_minerva(response, truth, strict_box=False) -> Column:
         right = F.coalesce(pred == col(truth), F.lit(False))
     else:
         found = F.coalesce(last_item(X.findall(t, r"(?i)Answer\s*:\s*([^\n]+)")), F.lit("[INVALID]"))
-        pred = X.final_answer_normal(found)
-        right = pred == X.final_answer_normal(col(truth))
+        pred, wanted = X.final_answer_normal(found), X.final_answer_normal(col(truth))
+        return X.bind(pred, lambda p: result(F.when(p == wanted, 1.0).otherwise(-1.0), _one(p == wanted), p))
     return result(F.when(right, 1.0).otherwise(-1.0), _one(right), pred)
 
 
 def score_math_feedback(response, truth, truncated=None, format_feedback=True, correctness_feedback=False) -> Column:
     """Boxed answer in the last 100 characters equals the truth as written; says what went wrong."""
     cut = F.lit(False) if truncated is None else F.coalesce(col(truncated), F.lit(False))
-    pred = F.coalesce(X.extract_last_boxed(X.tail(response, X.BOX_TAIL_CHARS)), F.lit(""))
-    right = (pred == col(truth)) & (X.extract_last_boxed(X.tail(response, X.BOX_TAIL_CHARS)).isNotNull())
-    bad = pred == ""
-    fb = F.lit("")
-    if correctness_feedback:
-        fb = F.when(~right, F.concat(F.lit("Your answer is incorrect. The correct answer is "), col(truth), F.lit("."))).otherwise(fb)
-    if format_feedback:
-        fb = F.when(cut, TRUNCATED_FEEDBACK).when(bad, WRONG_FORMAT_FEEDBACK).otherwise(fb)
-    return result(_one(right), None, pred, bad, cut, bad & cut, fb)
+
+    def judge(boxed: Column) -> Column:
+        pred = F.coalesce(boxed, F.lit(""))
+        right, bad, fb = (boxed == col(truth)) & boxed.isNotNull(), pred == "", F.lit("")
+        if correctness_feedback:
+            wrong = F.concat(F.lit("Your answer is incorrect. The correct answer is "), col(truth), F.lit("."))
+            fb = F.when(~right, wrong).otherwise(fb)
+        if format_feedback:
+            fb = F.when(cut, TRUNCATED_FEEDBACK).when(bad, WRONG_FORMAT_FEEDBACK).otherwise(fb)
+        return result(_one(right), None, pred, bad, cut, bad & cut, fb)
+
+    return X.bind(X.extract_last_boxed(X.tail(response, X.BOX_TAIL_CHARS)), judge)
 
 
 def score_qa_em(response, golden, format_score=0.0, full=1.0) -> Column:
@@ -156,11 +159,29 @@ def score_mcq_cascade(response, truth) -> Column:
     return result(_one(a == col(truth)), pred=a, incorrect_format=~a.isin(*"ABCDEFGHIJ"))
 
 
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[a-z]+|[{}\[\],:]'
+
+
+def _value(v: Column) -> Column:
+    """A JSON value to compare by (keys sorted, equal numbers alike, true as 1 and false as 0) and to show."""
+    tokens = F.regexp_extract_all(F.to_json(v), F.lit(JSON_TOKEN), F.lit(0))
+    number = lambda t: F.regexp_replace(F.regexp_replace(t, r"\.0+$", ""), "^-0$", "0")
+    plain = lambda t: F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "v string")["v"]
+    alike = F.transform(
+        tokens, lambda t: F.when(t == "true", "1").when(t == "false", "0").when(t.rlike("^-?[0-9]"), number(t)).otherwise(t)
+    )
+    shown = F.transform(
+        tokens, lambda t: F.when(t == "true", "True").when(t == "false", "False").when(t == "null", "None")
+        .when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.startswith('"'), F.concat(F.lit("'"), plain(t), F.lit("'"))).otherwise(t)
+    )
+    return F.struct(F.array_join(alike, "").alias("alike"), F.array_join(shown, "").alias("shown"))
+
+
 def _merged(objects: Column) -> Column:
-    """JSON object texts to one sorted list of entries; a later key wins, a broken object is skipped."""
-    parse = lambda j: F.from_json(j, "map<string,string>", {"allowSingleQuotes": "false"})
+    """JSON object texts to one sorted list of (key, value) with typed values; a later key wins, a broken object is skipped."""
+    parse = lambda j: F.transform_values(F.try_parse_json(j).try_cast("map<string,variant>"), lambda _, v: _value(v))
     maps = F.filter(F.transform(objects, parse), lambda m: m.isNotNull())
-    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    empty = F.from_json(F.lit("{}"), "map<string,struct<alike:string,shown:string>>")
     one = F.aggregate(
         maps, empty, lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m)
     )
@@ -172,35 +193,44 @@ def _quoted(names: Column) -> Column:
 
 
 def _dict_text(entries: Column) -> Column:
-    pair = lambda e: F.concat(F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'"))
+    pair = lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"]["shown"])
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ", "), F.lit("}"))
 
 
 def score_tooluse(response, truth) -> Column:
     """Same actions (as a multiset) and same merged inputs as the truth, a JSON list of ``Action, Action_Input``."""
     t, g = col(response), F.from_json(col(truth), "array<struct<Action:string,Action_Input:string>>")
-    said, want = X.findall(t, r"(?U)Action:\s*(\w+)"), F.transform(g, lambda a: a["Action"])
-    gave, need = _merged(X.findall(t, r"(?s)Action Input:\s*(\{.*?\})")), _merged(F.transform(g, lambda a: a["Action_Input"]))
-    actions = F.array_sort(said) == F.array_sort(want)
-    inputs = gave == need
-    fb = F.concat_ws(
-        "; ",
-        F.when(~actions, F.concat(F.lit("Actions mismatch: predicted "), _quoted(said), F.lit(", expected "), _quoted(want))),
-        F.when(~inputs, F.concat(F.lit("Action inputs mismatch: predicted "), _dict_text(gave), F.lit(", expected "), _dict_text(need))),
-    )
-    pred = F.concat(F.lit("Actions: "), _quoted(said), F.lit(", Inputs: "), _dict_text(gave))
     shaped = t.rlike(r"(?s)Action:.*?\nAction Input:.*?")
+    read = F.struct(
+        X.findall(t, r"(?U)Action:\s*(\w+)").alias("said"), F.transform(g, lambda a: a["Action"]).alias("want"),
+        _merged(X.findall(t, r"(?s)Action Input:\s*(\{.*?\})")).alias("gave"), _merged(F.transform(g, lambda a: a["Action_Input"])).alias("need"),
+    )
+
+    def judge(x: Column) -> Column:
+        alike = lambda entries: F.transform(entries, lambda e: F.struct(e["key"], e["value"]["alike"]))
+        actions = F.array_sort(x["said"]) == F.array_sort(x["want"])
+        inputs = alike(x["gave"]) == alike(x["need"])
+        fb = F.concat_ws(
+            "; ",
+            F.when(~actions, F.concat(F.lit("Actions mismatch: predicted "), _quoted(x["said"]), F.lit(", expected "), _quoted(x["want"]))),
+            F.when(~inputs, F.concat(F.lit("Action inputs mismatch: predicted "), _dict_text(x["gave"]), F.lit(", expected "), _dict_text(x["need"]))),
+        )
+        pred = F.concat(F.lit("Actions: "), _quoted(x["said"]), F.lit(", Inputs: "), _dict_text(x["gave"]))
+        return result(_one(actions & inputs), pred=pred, incorrect_format=~shaped, feedback=fb)
+
     unread = result(F.lit(0.0), incorrect_format=F.lit(1), feedback=F.lit("Failed to parse ground truth JSON"))
-    return F.when(g.isNull(), unread).otherwise(result(_one(actions & inputs), pred=pred, incorrect_format=~shaped, feedback=fb))
+    return F.when(g.isNull(), unread).otherwise(X.bind(read, judge))
 
 
 def score_format_think(response, truth, format_score=0.1) -> Column:
     """Blend of boxed accuracy and whether the whole text is a think block followed by a box."""
     t = col(response)
     shaped = _one(t.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*\z"))
-    a = X.extract_last_boxed(t)
-    acc = _one(X.latex_equal(a, col(truth)))
-    return result((1 - format_score) * acc + format_score * shaped, acc, a)
+
+    def judge(a: Column) -> Column:
+        return X.bind(_one(X.latex_equal(a, col(truth))), lambda acc: result((1 - format_score) * acc + format_score * shaped, acc, a))
+
+    return X.bind(X.extract_last_boxed(t), judge)
 
 
 # ---------------------------------------------------------------- registry and routing
