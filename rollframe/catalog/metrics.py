@@ -231,21 +231,24 @@ C.add("maj_full_vote", """, p AS (SELECT data_source, uid, pred, count(*) AS n,
 SELECT data_source, 'score' AS var, 'maj@'||CAST(cnt AS BIGINT)||'/vote' AS metric, round(avg(v),6)+0e0 AS value FROM r WHERE rk=1 GROUP BY ALL""")(
     lambda spark, sf: mets(V.maj_full_vote(rollouts(spark, sf), "score")))
 # hundredths over power-of-two prompt counts sit on ties at six places, so ten are kept
-MAJ_BOOT = 100
-C.add("maj_at_n", f""", r AS (SELECT data_source, uid, pred, score, row_number() OVER (PARTITION BY data_source, uid ORDER BY traj_id) AS pos,
+MAJ = """, mr AS (SELECT data_source, uid, pred, score, acc, row_number() OVER (PARTITION BY data_source, uid ORDER BY traj_id) AS pos,
         count(*) OVER (PARTITION BY data_source, uid) AS cnt FROM rollouts),
-  sz AS (SELECT DISTINCT data_source, uid, cnt FROM r WHERE cnt>1),
-  ns AS (SELECT data_source, uid, cnt, unnest(list_append([p FOR p IN [2,4,8,16,32,64,128] IF p<cnt], cnt)) AS n FROM sz),
-  rp AS (SELECT *, unnest(range({MAJ_BOOT})) AS rep FROM ns),
-  dr AS (SELECT *, unnest(range(n)) AS j FROM rp),
-  da AS (SELECT *, CAST(floor(CAST('0x'||substr(md5(n||'|'||rep||'|'||j||'|42'),1,8) AS BIGINT)/4294967296e0*cnt) AS BIGINT)+1 AS pos FROM dr),
-  vt AS (SELECT da.data_source, da.uid, n, rep, j, pred, score FROM da JOIN r ON r.data_source=da.data_source AND r.uid=da.uid AND r.pos=da.pos),
-  p AS (SELECT data_source, uid, n, rep, pred, count(*) AS c, min(j) AS f, arg_min(score, j) AS v FROM vt GROUP BY ALL),
-  b AS (SELECT data_source, uid, n, rep, arg_max(v, c*100000000-f) AS v FROM p GROUP BY ALL),
-  e AS (SELECT data_source, uid, n, avg(v) AS m, stddev_pop(v) AS s FROM b GROUP BY ALL)
-SELECT data_source, 'score' AS var, 'maj@'||n||'/mean' AS metric, round(avg(m),10)+0e0 AS value FROM e GROUP BY ALL
-UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', round(avg(s),10)+0e0 FROM e GROUP BY ALL""")(
-    lambda spark, sf: V.maj_at_n(rollouts(spark, sf), "score", n_boot=MAJ_BOOT).select(
+  mns AS (SELECT cnt, unnest(list_append([p FOR p IN [2,4,8,16,32,64,128] IF p<cnt], cnt)) AS n FROM (SELECT DISTINCT cnt FROM mr WHERE cnt>1)),
+  mrp AS (SELECT n, unnest(range(1000)) AS rep FROM (SELECT DISTINCT n FROM mns)),
+  mdr AS (SELECT *, unnest(range(n)) AS j FROM mrp),
+  mu AS (SELECT *, CAST('0x'||substr(md5(n||'|'||rep||'|'||j||'|42'),1,8) AS BIGINT)/4294967296e0 AS u FROM mdr),
+  mda AS (SELECT cnt, mu.n, rep, j, CAST(floor(u*cnt) AS BIGINT)+1 AS pos FROM mu JOIN mns USING (n)),
+  mvt AS (SELECT data_source, uid, mda.n, rep, j, pred, score, acc FROM mda JOIN mr USING (cnt, pos)),
+  mp AS (SELECT data_source, uid, n, rep, pred, count(*) AS c, min(j) AS f, arg_min(score, j) AS v, arg_min(acc, j) AS a FROM mvt GROUP BY ALL),
+  mb AS (SELECT data_source, uid, n, rep, arg_max(v, c*100000000-f) AS v, arg_max(a, c*100000000-f) AS a FROM mp GROUP BY ALL),
+  me AS (SELECT data_source, uid, n, avg(v) AS vm, stddev_pop(v) AS vs, avg(a) AS am, stddev_pop(a) AS s FROM mb GROUP BY ALL),
+  mj AS (SELECT data_source, 'score' AS var, 'maj@'||n||'/mean' AS metric, avg(vm) AS v FROM me GROUP BY ALL
+    UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', avg(vs) FROM me GROUP BY ALL
+    UNION ALL SELECT data_source, 'acc', 'maj@'||n||'/mean', avg(am) FROM me GROUP BY ALL
+    UNION ALL SELECT data_source, 'acc', 'maj@'||n||'/std', avg(s) FROM me GROUP BY ALL)
+"""
+C.add("maj_at_n", MAJ + "SELECT data_source, var, metric, round(v,10)+0e0 AS value FROM mj")(
+    lambda spark, sf: V.maj_at_n(rollouts(spark, sf), ["score", "acc"]).select(
         "data_source", "var", "metric", (F.round("value", 10) + 0.0).alias("value")))
 REP = """, al AS (SELECT data_source, var, metric, v FROM {ms} UNION ALL SELECT data_source, var, metric, avg(v) FROM u GROUP BY ALL),
   nn AS (SELECT *, CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT) AS n, max(CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT)) OVER (PARTITION BY data_source, var) AS top FROM al)

@@ -63,7 +63,7 @@ def with_slot(df: DataFrame, order: str, out: str = "_slot", slots: int = SLOTS)
     )
     along = F.sort_array(F.collect_list("_x"))
     each = F.transform(
-        F.sequence(F.lit(1), F.lit(slots - 1)), lambda i: F.try_element_at(along, F.ceil(i * F.size(along) / slots).cast("int"))
+        F.sequence(F.lit(1), F.lit(slots - 1)), lambda i: F.try_element_at(along, F.greatest(F.lit(1), F.ceil(i * F.size(along) / slots)).cast("int"))
     )
     bounds = some.agg(F.array_distinct(F.filter(each, lambda b: b.isNotNull())).alias("b")).scalar()
     return df.withColumn("_bounds", bounds).withColumn(out, F.size(F.filter("_bounds", lambda b: b < name))).drop("_bounds")

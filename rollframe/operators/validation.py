@@ -7,14 +7,19 @@ aggregation; a prompt group of any size is spread by Spark.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_unit
-from ..functions.groups import cumulative_by_value, number_rows
+from ..functions.groups import attach_group_stats, cumulative_by_value, number_rows
 
 GROUP = ["data_source", "uid", "var"]
+GROUP_ROWS = 1 << 16
+KEPT_DRAWS = 4096
 
 
 def melt_vars(rollouts: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -88,44 +93,107 @@ def best_worst_at_n(samples: DataFrame) -> DataFrame:
     return _over_prompts(rows)
 
 
-def majority_vote(votes: DataFrame, keys: Sequence[str] = ("data_source", "uid"), small_order: bool = False) -> DataFrame:
-    """Value of the first sample of the most frequent ``pred``; ties go to the pred seen first (``order``).
-
-    ``small_order`` says that counts and order stay below 2^31: one number then
-    ranks the preds, which lets the aggregate hash instead of sort.
-    """
+def majority_vote(votes: DataFrame, keys: Sequence[str] = ("data_source", "uid")) -> DataFrame:
+    """Value of the first sample of the most frequent ``pred``; ties go to the pred seen first (``order``)."""
     keys = list(keys)
     by_pred = votes.groupBy(*keys, "pred").agg(
         F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"), F.min_by("value", "order").alias("_v")
     )
-    lead = F.col("_n") * F.lit(1 << 32) - F.col("_first") if small_order else F.struct("_n", -F.col("_first"))
-    return by_pred.groupBy(*keys).agg(F.max_by("_v", lead).alias("value"))
-
-
-def maj_at_n(rollouts: DataFrame, value: str, n_boot: int = 1000, seed: int = 42, order: str = "traj_id") -> DataFrame:
-    """Resampled majority vote: mean and std over ``n_boot`` draws of n rollouts, n = 2, 4, 8, ..., N.
-
-    Every draw is a row; it finds its rollout by an equi-join on the position
-    in the prompt group.  Draw numbers depend on (n, repeat, draw) only, so two
-    groups of one size see the same positions.
-    """
+    # the least (-count, first) leads, whatever the type of the order
+    return by_pred.groupBy(*keys).agg(F.min_by("_v", F.struct((-F.col("_n")).alias("n"), "_first")).alias("value"))
+
+
+def _uniforms(n: int, rep: int, seed: int) -> np.ndarray:
+    """The n draws of one repeat, as ``hash_unit`` gives them in a column."""
+    heads = (md5(f"{n}|{rep}|{j}|{seed}".encode()).hexdigest()[:8] for j in range(n))
+    return np.array([int(h, 16) for h in heads], dtype=float) / 4294967296.0
+
+
+def _votes(n_boot: int, seed: int, n_values: int):
+    """Rows of whole prompt groups (preds and values in order) to mean and std of the vote's value per subset size."""
+
+    def run(batches):
+        draws: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                size = len(row["members"])
+                codes = {p: i for i, p in enumerate(dict.fromkeys(m["pred"] for m in row["members"]))}
+                code = np.array([codes[m["pred"]] for m in row["members"]])
+                values = np.array([[np.nan if x is None else x for x in m["values"]] for m in row["members"]], dtype=float)
+                for n in sorted({1 << b for b in range(1, 53) if 1 << b < size} | {size}):
+                    picked = np.empty(n_boot, dtype=np.int64)
+                    step = max(1, (1 << 22) // n)
+                    for lo in range(0, n_boot, step):
+                        reps = range(lo, min(n_boot, lo + step))
+                        if n <= KEPT_DRAWS and n not in draws:
+                            draws[n] = np.stack([_uniforms(n, r, seed) for r in range(n_boot)])
+                        unit = draws[n][lo : lo + step] if n in draws else np.stack([_uniforms(n, r, seed) for r in reps])
+                        at = np.floor(unit * size).astype(np.int64)
+                        drawn = code[at]
+                        # the lead of a pred: its count, then the earlier first draw
+                        best = np.full(len(at), -1, dtype=np.int64)
+                        for c in range(len(codes)):
+                            hit = drawn == c
+                            first = hit.argmax(1)
+                            lead = hit.sum(1) * np.int64(n + 1) - first
+                            lead[~hit.any(1)] = -1
+                            better = lead > best
+                            best[better] = lead[better]
+                            picked[lo : lo + len(at)][better] = at[better, first[better]]
+                    won = values[picked]
+                    for v in range(n_values):
+                        real = won[:, v][~np.isnan(won[:, v])]
+                        if len(real):
+                            out.append((row["data_source"], v, n, float(real.mean()), float(real.std())))
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["data_source", "v", "n", "m", "s"])
+
+    return run
+
+
+def _votes_by_join(rollouts: DataFrame, values: list[str], n_boot: int, seed: int, order: str) -> DataFrame:
+    """The same with a row per draw, for groups that don't fit a row: it finds its rollout by the position in the group."""
     keys = ["data_source", "uid"]
-    # a fixed position per rollout makes "draw k" an equality, not a search
     pos = number_rows(rollouts, order, "_pos", keys)
-    pool = pos.select(*keys, F.col("_pos").alias("_at"), "pred", F.col(value).cast("double").alias("value"))
+    pool = pos.select(*keys, F.col("_pos").alias("_at"), "pred", F.array(*[F.col(v).cast("double") for v in values]).alias("value"))
     sizes = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     reps = sizes.withColumn("n", F.explode(subset_sizes(F.col("size")))).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     )
     draws = reps.repartition("uid", "n", "rep").withColumn("order", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     at = F.floor(hash_unit("n", "rep", "order", seed=seed) * F.col("size")).cast("long") + 1
-    # size estimates do not see the explode: without the hint Spark would broadcast the draws
     votes = draws.withColumn("_at", at).drop("size").join(pool.hint("merge"), [*keys, "_at"])
-    per_rep = majority_vote(votes, [*keys, "n", "rep"], small_order=True)
-    g = per_rep.groupBy(*keys, "n").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    per_rep = majority_vote(votes, [*keys, "n", "rep"]).select(*keys, "n", F.posexplode("value").alias("v", "value"))
+    return per_rep.groupBy(*keys, "n", "v").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).where("m IS NOT NULL").select(
+        "data_source", "v", "n", "m", "s"
+    )
+
+
+def maj_at_n(
+    rollouts: DataFrame, value: str | Sequence[str], n_boot: int = 1000, seed: int = 42, order: str = "traj_id", group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Resampled majority vote: mean and std over ``n_boot`` draws of n rollouts, n = 2, 4, 8, ..., N, for every ``value``.
+
+    A vote shows the value of the first drawn rollout of its most frequent pred
+    (ties: the pred drawn first).  Draw numbers depend on (n, repeat, draw)
+    only.  A prompt group is one row, folded draw by draw without a row per
+    draw; a group beyond ``group_rows`` is drawn by a join instead, with the
+    same draws and the same result.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    keys = ["data_source", "uid"]
+    slim = rollouts.select(*keys, "pred", order, *values)
+    sized = attach_group_stats(slim, keys, [F.count(F.lit(1)).alias("_size")])
+    member = F.struct(F.col(order).alias("order"), F.col("pred").cast("string").alias("pred"), F.array(*[F.col(v).cast("double") for v in values]).alias("values"))
+    packed = sized.where(F.col("_size").between(2, group_rows)).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    folded = packed.select("data_source", "members").mapInArrow(_votes(n_boot, seed, len(values)), "data_source string, v int, n long, m double, s double")
+    large = _votes_by_join(sized.where(F.col("_size") > group_rows).drop("_size"), values, n_boot, seed, order)
+    g = folded.unionByName(large)
     n = F.col("n").cast("string")
     rows = g.select(
-        "data_source", F.lit(value).alias("var"),
+        "data_source", F.element_at(F.array(*[F.lit(v) for v in values]), F.col("v") + 1).alias("var"),
         _named(
             (F.concat(F.lit("maj@"), n, F.lit("/mean")), F.col("m")),
             (F.concat(F.lit("maj@"), n, F.lit("/std")), F.col("s")),

@@ -35,7 +35,8 @@ def training_step(tokens: DataFrame, rules: list[O.Rule], beta: float = 0.001, t
 
 
 def evaluate(rollouts: DataFrame, variables=("score", "acc")) -> DataFrame:
-    """The report of one validation run, from scored rollouts, whose few needed columns are written once."""
-    r = cut(rollouts.select("data_source", "uid", "traj_id", "pred", *variables))
-    s = V.melt_vars(r, list(variables))
-    return V.validation_report(V.mean_std_at_n(s).unionByName(V.best_worst_at_n(s)).unionByName(V.maj_full_vote(r, variables[0])))
+    """The report of one validation run, from scored rollouts: mean, best, worst and majority at n of every variable."""
+    names = list(variables)
+    r = cut(rollouts.select("data_source", "uid", "traj_id", "pred", *names))
+    s = V.melt_vars(r, names)
+    return V.validation_report(V.mean_std_at_n(s).unionByName(V.best_worst_at_n(s)).unionByName(V.maj_at_n(r, names)))
