@@ -20,6 +20,7 @@ FILTER_FEATURES = 160
 HASHES = 5
 TYPICAL = 4.0
 BUCKET_BYTES = 32 << 20
+BROADCAST_BUCKETS = 1_000_000
 ROWS_AT_ONCE = 512
 MARGIN = 0.1
 PLACE_BITS = np.int64(21)
@@ -217,7 +218,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows are cut into ranges of doc_id of about ``BUCKET_BYTES``; the first row
     of each range is also sent to the range before it, so one shuffle by range
-    brings each row next to its follower.  Null ids come last; rows with one id
+    brings each row next to its follower.  The list of first rows, one id and
+    hash per range, is broadcast up to ``BROADCAST_BUCKETS`` ranges.  Null ids come last; rows with one id
     are ordered by a hash of their text.  Null texts count as empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -239,6 +241,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     along = W.orderBy("_bucket")
     to = F.coalesce(F.lag("_bucket").over(along), F.max("_bucket").over(W.partitionBy()))
     heads = heads.select(to.alias("_to"), F.col("h.doc_id").alias("_id"), F.col("h._tie").alias("_h"))
+    if count <= BROADCAST_BUCKETS:
+        heads = F.broadcast(heads)
     guests = rows.join(heads, rows["doc_id"].eqNullSafe(heads["_id"]) & (rows["_tie"] == heads["_h"]))
     guests = guests.select("doc_id", "text", "_tie", F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
     every = rows.withColumn("_guest", F.lit(0)).unionByName(guests)
