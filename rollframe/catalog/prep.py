@@ -496,7 +496,7 @@ SELECT uid, round(r,6)+0e0 AS success_rate, row_number() OVER (ORDER BY d, uid)
     lambda spark, sf: rounded(S.curriculum_weights(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), rollouts(spark, sf)), "uid", "place", success_rate="success_rate"))
 for _m, _w in (("pow", "pow(abs(score),2)"), ("max_min", "CASE WHEN score IN (0,1) THEN 1e0 ELSE 0e0 END"), ("max_random", "CASE WHEN score=1 THEN 0.4e0 ELSE 0.1e0 END")):
     C.add(f"resample_by_score_{_m}", f""", w AS (SELECT traj_id, greatest({_w}+1e-8,1e-8) AS w FROM rollouts), c AS (SELECT traj_id, sum(w) OVER (ORDER BY traj_id) AS hi, w FROM w),
-      d AS (SELECT traj_id AS draw, {UNIT.format(h('traj_id', 0))}*(SELECT max(hi) FROM c) AS at FROM rollouts)
+      d AS (SELECT traj_id AS draw, (CAST('0x'||substr({h('traj_id', 0)},1,13) AS BIGINT)+0.5e0)/4503599627370496e0*(SELECT max(hi) FROM c) AS at FROM rollouts)
     SELECT draw, c.traj_id FROM d ASOF JOIN c ON d.at < c.hi""")(
         lambda spark, sf, m=_m: S.resample_by_score(rollouts(spark, sf), method=m).select("draw", "traj_id"))
 C.add("sample_for_review", f"SELECT doc_id FROM documents ORDER BY md5(text||'|'||doc_id||'|42'), doc_id LIMIT 25")(

@@ -35,6 +35,12 @@ def hash_unit(*cols: str | Column, seed: int | str = 0) -> Column:
     return digits.cast("double") / F.lit(4294967296.0)
 
 
+def hash_uniform(*cols: str | Column, seed: int | str = 0) -> Column:
+    """The same with 52 random bits, in (0, 1): fine enough for any number of rows."""
+    digits = F.conv(F.substring(hash_order(*cols, seed=seed), 1, 13), 16, 10)
+    return (digits.cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
 def when_chain(pairs, default=None) -> Column:
     """Nested CASE from (condition, value) pairs."""
     out = None

@@ -12,16 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_order, hash_unit
-from ..functions.groups import number_by_hash, number_rows, rank_by_value, row_total, running_total
+from ..functions.exprs import hash_order, hash_uniform, hash_unit
+from ..functions.groups import SLOTS, join_null_safe, number_by_hash, number_rows, rank_by_value, row_total, running_total, with_slot
 from ..schemas import TESTS
 
 
 def sample_n(df: DataFrame, key: str, n: int, shuffle: bool = False, seed: int = 0) -> DataFrame:
-    """The first n rows, or n random ones without replacement.  Apply it before any length filter."""
+    """The first n rows, or n random ones without replacement.  Apply it before any length filter.
+
+    Rows are chosen by their number, so no task holds the n of them.
+    """
     if n <= 0:
         return df
-    return df.orderBy(hash_order(key, seed=seed), key).limit(n) if shuffle else df.orderBy(key).limit(n)
+    numbered = number_by_hash(df, [key], seed, "_rn") if shuffle else number_rows(df, key, "_rn")
+    return numbered.where(F.col("_rn") <= n).drop("_rn")
 
 
 def split_by_ratio(df: DataFrame, key: str, test_ratio: float, seed: int = 42, exact: bool = False) -> DataFrame:
@@ -144,32 +148,38 @@ def resample_weights(score: Column, method: str, power: float, extremes: Column)
 
 
 def resample_by_score(
-    df: DataFrame, order: str = "traj_id", score: str = "score", method: str = "pow", power: float = 2.0, seed: int = 0, per_cell: int = 32
+    df: DataFrame, order: str = "traj_id", score: str = "score", method: str = "pow", power: float = 2.0, seed: int = 0, slots: int = SLOTS
 ) -> DataFrame:
     """As many draws with replacement as rows, in proportion to a weight of the score; ``(draw, order)``.
 
-    A draw is a uniform number on the line of running weights.  The line is cut
-    into cells, so finding the row is an equality on the cell and a check of the
-    bounds; a heavy row simply lies in many cells.
+    A draw is a uniform number on the line of running weights and takes the row
+    with the smallest total above it.  Draws and totals are merged along the
+    line: sorted together in slots, each draw sees the last total before it from
+    above, and a slot without one the least total of the slots above.  A row of
+    any weight is one point of the line.
     """
     ends = df.agg(F.struct(F.max(score).alias("hi"), F.min(score).alias("lo"))).scalar()
     d = df.withColumn("_e", ends).withColumn("_w", resample_weights(F.col(score), method, power, F.col("_e")))
-    d = running_total(d.select(order, "_w"), [], order, {"_to": F.col("_w")}).withColumn("_from", F.col("_to") - F.col("_w"))
-    total = d.agg(F.max("_to")).scalar()
-    cells = F.greatest(F.floor(row_total(df) / F.lit(per_cell)), F.lit(1))
-    d = d.withColumn("_total", total).withColumn("_cells", cells)
-    cell = lambda x: F.floor(x / F.col("_total") * F.col("_cells")).cast("long")
-    spans = d.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
-    draws = d.select(
-        F.col(order).alias("draw"), (hash_unit(order, seed=seed) * F.col("_total")).alias("_at"), "_total", "_cells"
-    ).withColumn("_cell", cell(F.col("_at"))).select("draw", "_at", "_cell")
-    hit = draws.join(spans.select("_cell", "_from", "_to", order), "_cell")
-    return hit.where((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))).select("draw", order)
+    rows = running_total(d.select(order, "_w"), [], order, {"_total": F.col("_w")})
+    rows = rows.withColumn("_top", rows.agg(F.max(F.struct("_total", order))).scalar())
+    # every row stands for its total and for one draw
+    total = F.struct(F.col("_total").alias("_x"), F.lit(True).alias("_is_row"))
+    draw = F.struct((hash_uniform(order, seed=seed) * F.col("_top._total")).alias("_x"), F.lit(False).alias("_is_row"))
+    points = rows.select(order, F.col(f"_top.{order}").alias("_last"), F.inline(F.array(total, draw)))
+    line = with_slot(points, "_x", "_slot", slots)
+    # from above; a draw exactly on a total belongs to the next row, and of equal totals the first row counts
+    down = W.partitionBy("_slot").orderBy(F.desc("_x"), "_is_row", F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    row = F.when(F.col("_is_row"), F.struct("_x", order))
+    above = F.last("_m", ignorenulls=True).over(W.orderBy(F.desc("_slot")).rowsBetween(W.unboundedPreceding, -1))
+    carry = line.groupBy("_slot").agg(F.min(row).alias("_m")).select("_slot", above.alias("_above"))
+    hit = join_null_safe(line.withColumn("_near", F.last(row, ignorenulls=True).over(down)), carry, ["_slot"])
+    found = F.coalesce(F.col(f"_near.{order}"), F.col(f"_above.{order}"), F.col("_last"))
+    return hit.where(~F.col("_is_row")).select(F.col(order).alias("draw"), found.alias(order))
 
 
 def sample_for_review(df: DataFrame, text: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n samples in a seeded order of their input text."""
-    return df.orderBy(hash_order(text, key, seed=seed), key).limit(n)
+    """n samples in a seeded order of their input text, chosen by their number in it."""
+    return number_by_hash(df, [text, key], seed, "_rn").where(F.col("_rn") <= n).drop("_rn")
 
 
 def sort_by_score(df: DataFrame, step: int | None = None, descending: bool = True, scores: Sequence[str] = ("score", "score_1")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from bisect import bisect_right
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from rollframe.operators import algebra as B
 from rollframe.operators import filters as FI
 from rollframe.operators import format as M
+from rollframe.functions.exprs import hash_uniform
 from rollframe.operators import packing as P
 from rollframe.operators import run_metrics as R
 from rollframe.operators import sampling as S
@@ -234,10 +236,34 @@ def test_unsupported_file(spark):
 
 def test_resample_hits_heavy_rows(spark):
     d = spark.createDataFrame([(i, 3.0 if i == 5 else 0.0) for i in range(400)], "traj_id long, score double")
-    out = S.resample_by_score(d, per_cell=4)
+    out = S.resample_by_score(d)
     assert out.count() == 400 and out.where("traj_id = 5").count() >= 399
 
 
+@pytest.mark.parametrize("slots", [1, 3, 64])
+def test_resample_draws_once_each_whatever_the_weights(spark, slots):
+    """Weights from 1e-8 to 1e8 and one row with 99 % of the total, against a search in the running sums."""
+    rnd = random.Random(6)
+    scores = [rnd.choice([0.0, 1e-4, 1.0, 100.0, 1e4]) for _ in range(700)]
+    scores[333] = (99 * sum(x * x for x in scores)) ** 0.5
+    d = spark.createDataFrame([(f"id{i:04}", s) for i, s in enumerate(scores)], "traj_id string, score double")
+    got = {r["draw"]: r["traj_id"] for r in S.resample_by_score(d, slots=slots).collect()}
+    assert len(got) == 700 and S.resample_by_score(d, slots=slots).count() == 700
+    total, ends = 0.0, []
+    for s in scores:
+        total += max(s * s + 1e-8, 1e-8)
+        ends.append(total)
+    unit = {r["traj_id"]: r["u"] for r in d.select("traj_id", hash_uniform("traj_id").alias("u")).collect()}
+    agree = sum(got[f] == f"id{bisect_right(ends, u * total):04}" for f, u in unit.items())
+    assert agree >= 698  # sums in another order may move a border by one bit
+
+
+def test_samples_by_number(spark):
+    d = spark.createDataFrame([(f"k{i}", f"t{i % 7}") for i in range(300)], "key string, text string")
+    assert sorted(r["key"] for r in S.sample_n(d, "key", 5).collect()) == sorted(f"k{i}" for i in range(300))[:5]
+    assert S.sample_n(d, "key", 40, True, 1).count() == 40 == S.sample_for_review(d, "text", "key", 40).count()
+
+
 def test_generators(spark):
     f = lambda df: df.limit(1)
     GENERATORS.clear()
