@@ -88,12 +88,12 @@ C.add("repeat_rows_block", POS + "SELECT traj_id, c*n+pos AS pos, c AS copy FROM
     lambda spark, sf: B.repeat_rows(rollouts(spark, sf), "traj_id", 3, interleave=False).select("traj_id", "pos", "copy"))
 C.add("repeat_rows_by", "SELECT traj_id, unnest(range(response_len)) AS copy FROM rollouts WHERE response_len>0")(
     lambda spark, sf: B.repeat_rows_by(rollouts(spark, sf), "response_len").select("traj_id", "copy"))
-C.add("fold_rows", POS + """SELECT CAST(pos//8 AS BIGINT) AS fold_id, string_agg(CAST(traj_id AS VARCHAR), ',' ORDER BY pos) AS ids,
+C.add("fold_rows", POS + """SELECT CAST(pos//(n//100) AS BIGINT) AS fold_id, string_agg(CAST(traj_id AS VARCHAR), ',' ORDER BY pos) AS ids,
   string_agg(pred, ',' ORDER BY pos) AS preds FROM ps GROUP BY 1""")(
-    lambda spark, sf: B.fold_rows(rollouts(spark, sf), "traj_id", 8, ["traj_id", "pred"]).select(
+    lambda spark, sf: B.fold_rows(rollouts(spark, sf), "traj_id", 100, ["traj_id", "pred"]).select(
         "fold_id", text("traj_id").alias("ids"), text("pred").alias("preds")))
-C.add("unfold_rows", POS + "SELECT CAST(pos//8 AS BIGINT) AS fold_id, CAST(pos%8 AS INTEGER) AS item_no, traj_id, pred FROM ps")(
-    lambda spark, sf: B.unfold_rows(B.fold_rows(rollouts(spark, sf), "traj_id", 8, ["traj_id", "pred"]), ["traj_id", "pred"]))
+C.add("unfold_rows", POS + "SELECT CAST(pos//(n//100) AS BIGINT) AS fold_id, CAST(pos%(n//100) AS INTEGER) AS item_no, traj_id, pred FROM ps")(
+    lambda spark, sf: B.unfold_rows(B.fold_rows(rollouts(spark, sf), "traj_id", 100, ["traj_id", "pred"]), ["traj_id", "pred"]))
 C.add("unfold_column_chunks", """, e AS (SELECT vec_id, label, unnest(range(4)) AS k, embedding FROM embeddings)
 SELECT vec_id, label, CAST(k AS INTEGER) AS piece_no, round(list_sum(list_transform(embedding[k*16+1:k*16+16], lambda x: CAST(x AS DOUBLE))),6)+0e0 AS total FROM e""")(
     lambda spark, sf: B.unfold_column_chunks(table(spark, sf, "embeddings"), 4, ["embedding"]).select(

@@ -203,6 +203,15 @@ C.add("code_test_results", """SELECT traj_id, round(avg(CASE WHEN passed THEN 1
 C.add("code_test_results_dense", """SELECT traj_id, round(avg(CASE WHEN passed THEN 1 ELSE 0 END),6)+0e0 AS score, CASE WHEN traj_id%2=0 THEN 1 ELSE 0 END AS truncated FROM test_records GROUP BY traj_id""")(
     lambda spark, sf: rounded(S.code_test_results(test_records(spark, sf), sparse=False, truncated=rollouts(spark, sf).select(
         "traj_id", (F.col("traj_id") % 2 == 0).alias("truncated"))), "traj_id", "truncated", score="score"))
+C.add("code_test_results_pred", """, u AS (SELECT traj_id FROM rollouts EXCEPT SELECT traj_id FROM test_records)
+SELECT traj_id, right('['||string_agg(chr(39)||actual||chr(39), ', ' ORDER BY test_idx)||']', 40) AS pred, CAST(NULL AS VARCHAR) AS feedback, max(CASE WHEN NOT passed AND contains(actual,'Error: ') THEN 1 ELSE 0 END) AS error_in_test_cases
+FROM test_records GROUP BY traj_id UNION ALL SELECT traj_id, '', 'Failed to parse ground truth test cases.', 1 FROM u""")(
+    lambda spark, sf: S.code_test_results(
+        test_records(spark, sf), unparsed=rollouts(spark, sf).join(test_records(spark, sf), "traj_id", "left_anti"), pred_chars=40
+    ).select("traj_id", "pred", "feedback", "error_in_test_cases"))
+C.add("code_test_feedback_without_records", """SELECT traj_id, CASE WHEN traj_id IN (SELECT traj_id FROM test_records) THEN 'has records' ELSE 'No test execution information available.' END AS feedback FROM rollouts""")(
+    lambda spark, sf: S.code_test_feedback(test_records(spark, sf), rollouts=rollouts(spark, sf)).select(
+        "traj_id", F.when(F.col("feedback").startswith("No test"), F.col("feedback")).otherwise("has records").alias("feedback")))
 C.add("code_pass_rate", """SELECT traj_id, round(CASE WHEN bool_and(passed) THEN 1 ELSE coalesce(avg(CASE WHEN passed THEN 1 ELSE 0 END) FILTER (test_idx<3),0) END,6)+0e0 AS pass_rate FROM test_records GROUP BY traj_id""")(
     lambda spark, sf: rounded(S.code_pass_rate(test_records(spark, sf), 3), "traj_id", pass_rate="pass_rate"))
 C.add("code_test_feedback", """, r AS (SELECT *, CASE WHEN starts_with(actual,'Error: ') THEN 0 WHEN actual='Time out' THEN 1 ELSE 3 END AS lv FROM test_records WHERE NOT passed),

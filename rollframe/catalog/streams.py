@@ -15,6 +15,7 @@ from ..plans.views import rollouts, table, tokens
 from ..session import shared_dir
 from ..streaming import freshness as FR
 from ..streaming import metrics as SM
+from .batch import part_checks
 from .metrics import AGG_CASE, BW, MAJ, MS, REP, SA, SM as STEP_SQL, nv, step_metrics
 from .oracle import CATALOG as C
 
@@ -116,18 +117,28 @@ def _(spark, sf):
                     *[r6(c).alias(c) for c in ("idle_ratio", "produced_rate", "consumed_rate")])
 
 
-C.add("assemble_batches", SP + """, b AS (SELECT *, (row_number() OVER (ORDER BY sample_id)-1)//96 AS batch_id, count(*) OVER () AS n FROM sp),
-  r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY response_len DESC, sample_id)-1 AS r FROM b)
-SELECT sample_id, CAST(batch_id AS BIGINT) AS batch_id, (batch_id+1)*96<=n AS complete, CAST(CASE WHEN (r//4)%2=0 THEN r%4 ELSE 3-r%4 END AS BIGINT) AS part FROM r""")(
-    lambda spark, sf: FR.assemble_batches(samples(spark, sf), 96, "sample_id", 4).select("sample_id", "batch_id", "complete", "part"))
-C.add("batch_statistics", SP + """, b AS (SELECT *, (row_number() OVER (ORDER BY sample_id)-1)//96 AS batch_id, count(*) OVER () AS n FROM sp)
-SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS samples, CAST(sum(response_len) AS BIGINT) AS tokens, round(avg(processing_time),8)+0e0 AS processing_time_avg, round(max(processing_time),6)+0e0 AS processing_time_max,
-  round(min(processing_time),6)+0e0 AS processing_time_min, round(avg(CASE WHEN v1<>v0 THEN 1 ELSE 0 END),6)+0e0 AS partial_ratio, max(v1-v0) AS max_partial_span, count(DISTINCT param_version) AS param_version_diversity
+def assembled(spark, sf):
+    d = samples(spark, sf).withColumn("tool_calls_time", F.col("response_len") / 8)
+    return FR.assemble_batches(d, 96, "sample_id", 4)
+
+
+AB = SP + """, b AS (SELECT *, (row_number() OVER (ORDER BY sample_id)-1)//96 AS batch_id, count(*) OVER () AS n FROM sp)
+"""
+C.add("assemble_batches", AB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS parts, CAST(24 AS BIGINT) AS fewest, CAST(24 AS BIGINT) AS most, CAST(sum(response_len) AS BIGINT) AS total,
+  true AS even, true AS from_zero, CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids FROM b WHERE (batch_id+1)*96<=n GROUP BY batch_id""")(
+    lambda spark, sf: part_checks(assembled(spark, sf).where("complete").withColumnRenamed("sample_id", "traj_id"), "response_len"))
+C.add("assemble_batches_rows", AB + "SELECT sample_id, CAST(batch_id AS BIGINT) AS batch_id, (batch_id+1)*96<=n AS complete, (batch_id+1)*96>n AS waits FROM b")(
+    lambda spark, sf: assembled(spark, sf).select("sample_id", "batch_id", "complete", F.col("part").isNull().alias("waits")))
+C.add("batch_statistics", AB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS samples, CAST(sum(response_len) AS BIGINT) AS tokens, round(avg(processing_time),8)+0e0 AS processing_time_avg, round(max(processing_time),6)+0e0 AS processing_time_max,
+  round(min(processing_time),6)+0e0 AS processing_time_min, round(quantile_cont(processing_time,0.5),5)+0e0 AS processing_time_tp50, round(quantile_cont(processing_time,0.95),5)+0e0 AS processing_time_tp95,
+  round(quantile_cont(processing_time,0.99),5)+0e0 AS processing_time_tp99, max(response_len/8)+0e0 AS tool_calls_max, min(response_len/8)+0e0 AS tool_calls_min, round(avg(response_len/8),8)+0e0 AS tool_calls_mean,
+  count(*) FILTER (v1<>v0) AS total_partial_num, round(avg(CASE WHEN v1<>v0 THEN 1 ELSE 0 END),6)+0e0 AS partial_ratio, max(v1-v0) AS max_partial_span, count(DISTINCT param_version) AS param_version_diversity
 FROM b WHERE (batch_id+1)*96<=n GROUP BY batch_id""")(
-    # a 96th of a two-decimal sum may sit on a tie at six places, so the mean keeps eight
+    # a 96th of a two-decimal sum may sit on a tie at six places, so means keep eight
     lambda spark, sf: rounded(
-        FR.batch_statistics(FR.assemble_batches(samples(spark, sf), 96, "sample_id", 4)), "batch_id", "samples", "tokens", "max_partial_span", "param_version_diversity",
-        (F.round("processing_time_avg", 8) + 0.0).alias("processing_time_avg"),
+        FR.batch_statistics(assembled(spark, sf)), "batch_id", "samples", "tokens", "total_partial_num", "max_partial_span", "param_version_diversity", "tool_calls_max", "tool_calls_min",
+        *[(F.round(c, 8) + 0.0).alias(c) for c in ("processing_time_avg", "tool_calls_mean")],
+        *[(F.round(c, 5) + 0.0).alias(c) for c in ("processing_time_tp50", "processing_time_tp95", "processing_time_tp99")],
         **{c: c for c in ("processing_time_max", "processing_time_min", "partial_ratio")}))
 
 VN = STEP_SQL + ", vn AS (SELECT step//1000 AS param_version, step, name, value FROM sn)\n"

@@ -174,10 +174,12 @@ def repeat_rows_by(df: DataFrame, times: str) -> DataFrame:
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1)))
 
 
-def fold_rows(df: DataFrame, order: str, k: int, columns: Sequence[str]) -> DataFrame:
-    """Every k neighbouring rows to one row of arrays."""
-    d = positions(df, order).withColumn("fold_id", F.expr(f"pos div {int(k)}"))
-    g = d.groupBy("fold_id").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_r"))
+def fold_rows(df: DataFrame, order: str, folds: int, columns: Sequence[str]) -> DataFrame:
+    """``folds`` rows of arrays, each of as many neighbouring rows; a number of rows that ``folds`` doesn't divide is an error."""
+    d = positions(df, order).withColumn("_n", row_total(df))
+    fail = F.raise_error(F.concat(F.col("_n").cast("string"), F.lit(f" rows do not fold to {int(folds)}"))).cast("long")
+    fold = F.when(F.col("_n") % folds != 0, fail).otherwise(F.expr(f"pos div (_n div {int(folds)})"))
+    g = d.withColumn("fold_id", fold).groupBy("fold_id").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_r"))
     return g.select("fold_id", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 

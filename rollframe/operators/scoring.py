@@ -30,6 +30,8 @@ TRUNCATED_ATTEMPT = (
     "Truncated Attempt: Your previous response was too long and truncated because it reached the maximum response length. "
     "Try again with a shorter response."
 )
+UNPARSED_FEEDBACK = "Failed to parse ground truth test cases."
+NO_TEST_FEEDBACK = "No test execution information available."
 FORMAT_ATTEMPT = "Incorrect Format: Put your code inside a ```python ... ``` block."
 FEEDBACK_ROUTES = {
     "code": ["code", "livecodebench", "humanevalplus"],
@@ -341,26 +343,53 @@ def score_cache(
 
 
 # ---------------------------------------------------------------- code test results
-def code_test_results(records: DataFrame, sparse: bool = True, truncated: DataFrame | None = None) -> DataFrame:
-    """Test records to one row per rollout: accuracy, score and failure flags.
+def _listed(texts: Column) -> Column:
+    """Texts as a Python list prints them."""
+    def quoted(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\\", r"\\\\")
+        for mark, shown in (("\n", r"\\n"), ("\t", r"\\t"), ("\r", r"\\r")):
+            t = F.regexp_replace(t, mark, shown)
+        double = t.contains("'") & ~t.contains('"')
+        return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.regexp_replace(t, "'", r"\\'"), F.lit("'")))
+
+    shown = F.transform(texts, lambda t: F.coalesce(X.bind(t, quoted), F.lit("None")))
+    return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
+
+
+def code_test_results(
+    records: DataFrame, sparse: bool = True, truncated: DataFrame | None = None, unparsed: DataFrame | None = None, pred_chars: int = 5000
+) -> DataFrame:
+    """Test records to one row per rollout: accuracy, score, failure flags, and what the tests returned (``pred``, its last characters).
 
-    ``truncated`` names cut rollouts (``traj_id, truncated``).
+    ``truncated`` names cut rollouts (``traj_id, truncated``), ``unparsed`` those
+    whose truth could not be read (``traj_id``): they score 0 with an error.
+    The records of a rollout are the tests of one program.
     """
     bad = ~F.col("passed")
+    answers = F.array_sort(F.collect_list(F.struct("test_idx", F.col("actual").alias("a"))))
     g = records.groupBy("traj_id").agg(
         F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("acc"), F.count(F.lit(1)).alias("n_tests"),
         F.max(F.when(bad & F.contains(F.col("actual"), F.lit(ERROR_PREFIX)), 1).otherwise(0)).alias("error_in_test_cases"),
         F.max(F.when(bad & (F.col("actual") == TIMEOUT), 1).otherwise(0)).alias("timed_out"),
-        F.max(F.when(bad & (F.col("actual") == INCORRECT_FORMAT), 1).otherwise(0)).alias("_f"),
+        F.max(F.when(bad & (F.col("actual") == INCORRECT_FORMAT), 1).otherwise(0)).alias("_f"), answers.alias("_a"),
     )
     g = g.withColumn("score", F.when(F.col("acc") == 1.0, 1.0).otherwise(0.0) if sparse else F.col("acc"))
     g = g.withColumn("incorrect_format", F.when((F.col("n_tests") == 1) & (F.col("_f") == 1), 1).otherwise(0)).drop("_f")
+    g = g.withColumn("pred", F.right(_listed(F.col("_a.a")), F.lit(pred_chars))).drop("_a")
+    g = g.withColumn("feedback", F.lit(None).cast("string"))
+    if unparsed is not None:
+        g = g.unionByName(unparsed.select(
+            "traj_id", F.lit(0.0).alias("acc"), F.lit(0).cast("long").alias("n_tests"), F.lit(1).alias("error_in_test_cases"), F.lit(0).alias("timed_out"),
+            F.lit(0.0).alias("score"), F.lit(0).alias("incorrect_format"), F.lit("").alias("pred"), F.lit(UNPARSED_FEEDBACK).alias("feedback"),
+        ))
     if truncated is not None:
         g = g.join(truncated.select("traj_id", F.col("truncated").cast("int").alias("truncated")), "traj_id", "left")
         g = g.withColumn("truncated", F.coalesce("truncated", F.lit(0)))
     else:
         g = g.withColumn("truncated", F.lit(0))
-    return g.withColumn("truncated_and_missing_answer", F.col("incorrect_format") * F.col("truncated"))
+    missing = F.when(F.col("feedback").isNotNull(), F.col("truncated")).otherwise(F.col("incorrect_format") * F.col("truncated"))
+    return g.withColumn("truncated_and_missing_answer", missing)
 
 
 def code_pass_rate(records: DataFrame, first_n: int | None = 10) -> DataFrame:
@@ -374,12 +403,13 @@ def code_pass_rate(records: DataFrame, first_n: int | None = 10) -> DataFrame:
 
 def code_test_feedback(
     records: DataFrame, max_tests: int = 2, max_chars: int = 2000, text_chars: int = 250, input_lines: int = 8, debug_lines: int = 10,
-    debug_chars: int = 300, truncated: str | None = None,
+    debug_chars: int = 300, truncated: str | None = None, rollouts: DataFrame | None = None,
 ) -> DataFrame:
     """One feedback text per rollout: its first runtime error, else time-out, else format error, else the shortest wrong answers.
 
     At most ``max_tests`` records of a rollout are ranked, cut to that many
-    before the shuffle; a rollout whose tests all passed gets an empty text.
+    before the shuffle; a rollout whose tests all passed gets an empty text, and
+    one of ``rollouts`` (``traj_id``) without any record says so.
     """
     a = F.col("actual")
     is_error, is_timeout, is_format = a.startswith(ERROR_PREFIX), a == TIMEOUT, a == INCORRECT_FORMAT
@@ -426,7 +456,11 @@ def code_test_feedback(
     text = F.regexp_replace(F.array_join(F.transform(shown, lambda r: r["_text"]), "\n\n"), r"\s+$", "")
     g = g.select("traj_id", F.left(text, F.lit(max_chars)).alias("feedback"))
     every = records.select("traj_id").distinct()
-    return every.join(g, "traj_id", "left").withColumn("feedback", F.coalesce("feedback", F.lit("")))
+    out = every.join(g, "traj_id", "left").withColumn("feedback", F.coalesce("feedback", F.lit("")))
+    if rollouts is not None:
+        out = rollouts.select("traj_id").distinct().join(out, "traj_id", "left")
+        out = out.withColumn("feedback", F.coalesce("feedback", F.lit(NO_TEST_FEEDBACK)))
+    return out
 
 
 # ---------------------------------------------------------------- conversations and passages

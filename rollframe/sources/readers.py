@@ -11,23 +11,25 @@ from pyspark.sql import types as T
 from ..schemas import GENERATIONS, STEP_LINE
 
 
-def _read_one(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
-    name = path.rstrip("/").lower()
-    if name.endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    if name.endswith((".json", ".jsonl")):
-        return spark.read.json(path, schema=schema)
-    raise ValueError(f"unsupported file format: {path}")
-
-
 def read_prompts(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """Parquet and JSON files, one after another; any other suffix is an error."""
+    """Parquet and JSON files together, one scan per format; any other suffix is an error.
+
+    Without ``schema`` the files of a format are read once more to learn it.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
-    for p in paths:
-        part = _read_one(spark, p, schema)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    name = {p: p.rstrip("/").lower() for p in paths}
+    parquet = [p for p in paths if name[p].endswith(".parquet")]
+    json = [p for p in paths if name[p].endswith((".json", ".jsonl"))]
+    other = [p for p in paths if p not in parquet and p not in json]
+    if other:
+        raise ValueError(f"unsupported file format: {other[0]}")
+    reader = spark.read.schema(schema) if schema else spark.read
+    parts = []
+    if parquet:
+        parts.append(reader.option("mergeSchema", schema is None).parquet(*parquet))
+    if json:
+        parts.append((spark.read.schema(schema) if schema else spark.read).json(json))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def _path(key: str, inner: Sequence[str] | None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.groups import number_rows, running_total
-from ..operators.packing import serpentine_partitions
+from ..operators.packing import balance_partitions
 
 
 # ---------------------------------------------------------------- intake
@@ -183,24 +183,29 @@ def idle_ratio(versions: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- batches from the stream
 def assemble_batches(samples: DataFrame, require: int, order: str, workers: int = 1, length: str = "response_len") -> DataFrame:
-    """Samples in arrival order cut into batches of ``require``, each dealt over the workers by length.
+    """Samples in arrival order cut into batches of ``require``, each balanced over the workers by length (``part``).
 
     Use inside ``foreachBatch`` or on a table; a last incomplete batch waits
-    (``complete`` is false).
+    (``complete`` is false, no part).
     """
     d = number_rows(samples, order, "_rn").withColumn("batch_id", F.expr(f"(_rn - 1) div {int(require)}")).drop("_rn")
-    n = samples.agg(F.count(F.lit(1))).scalar()
-    d = d.withColumn("complete", (F.col("batch_id") + 1) * require <= n)
-    return serpentine_partitions(d, workers, length, order, ["batch_id"])
+    rows = samples.agg(F.count(F.lit(1))).scalar()
+    d = d.withColumn("_rows", rows).withColumn("complete", (F.col("batch_id") + 1) * require <= F.col("_rows")).drop("_rows")
+    ready = balance_partitions(d.where("complete"), workers, length, "batch_id", order, equal_size=require % workers == 0)
+    return ready.unionByName(d.where("NOT complete").withColumn("part", F.lit(None).cast("long")))
 
 
 def batch_statistics(assembled: DataFrame) -> DataFrame:
-    """What travels with a batch: tokens, time and version statistics."""
+    """What travels with a batch: tokens, time and version statistics, and tool times where ``tool_calls_time`` is given."""
     span = F.abs(F.col("param_version_end") - F.col("param_version_start"))
+    time = F.col("processing_time")
+    tools = []
+    if "tool_calls_time" in assembled.columns:
+        tools = [f("tool_calls_time").alias(f"tool_calls_{n}") for n, f in (("max", F.max), ("min", F.min), ("mean", F.avg))]
     return assembled.where("complete").groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("samples"), F.sum("response_len").alias("tokens"),
-        F.avg("processing_time").alias("processing_time_avg"), F.max("processing_time").alias("processing_time_max"),
-        F.min("processing_time").alias("processing_time_min"),
-        F.avg(F.when(span > 0, 1.0).otherwise(0.0)).alias("partial_ratio"), F.max(span).alias("max_partial_span"),
-        F.count_distinct("param_version").alias("param_version_diversity"),
+        F.avg(time).alias("processing_time_avg"), F.max(time).alias("processing_time_max"), F.min(time).alias("processing_time_min"),
+        *[F.percentile(time, F.lit(p / 100)).alias(f"processing_time_tp{p}") for p in (50, 95, 99)], *tools,
+        F.count(F.when(span > 0, 1)).alias("total_partial_num"), F.avg(F.when(span > 0, 1.0).otherwise(0.0)).alias("partial_ratio"),
+        F.max(span).alias("max_partial_span"), F.count_distinct("param_version").alias("param_version_diversity"),
     )

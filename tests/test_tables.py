@@ -276,3 +276,18 @@ def test_generators(spark):
 
 def test_staleness_limit():
     assert FR.staleness_limit(4, 0.5, 3) == 18
+
+
+def test_results_list_as_python_prints_it(spark):
+    actual = ["a", "it's", 'say "x"', "both ' and \"", "line\nnext\ttab", "back\\slash", None]
+    d = spark.createDataFrame([(1, i, a, False) for i, a in enumerate(actual)], "traj_id long, test_idx long, actual string, passed boolean")
+    assert SC.code_test_results(d).first()["pred"] == str(actual)
+    none = SC.code_test_results(d, unparsed=spark.createDataFrame([(2,)], "traj_id long")).where("traj_id = 2").first()
+    assert (none["score"], none["error_in_test_cases"], none["feedback"]) == (0.0, 1, "Failed to parse ground truth test cases.")
+
+
+def test_folds_must_divide(spark):
+    d = spark.createDataFrame([(i,) for i in range(10)], "traj_id long")
+    assert sorted(r["fold_id"] for r in B.fold_rows(d, "traj_id", 5, ["traj_id"]).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(Exception, match="fold"):
+        B.fold_rows(d, "traj_id", 4, ["traj_id"]).collect()
