@@ -59,10 +59,10 @@ def meta(spark, sf, kind):
     return both.select(F.inline("m"))
 
 
-C.add("concat_meta", """SELECT 'first_day' AS name, '1' AS value, 0 AS part
-UNION ALL SELECT 'metrics', CAST(count(*) AS VARCHAR), 0 FROM events WHERE event_type='view'
-UNION ALL SELECT 'metrics', CAST(count(*) AS VARCHAR), 1 FROM events WHERE event_type='click'""")(
-    lambda spark, sf: B.concat_meta(meta(spark, sf, "view"), meta(spark, sf, "click")))
+KINDS = ["click", "error", "purchase", "signup", "view"]
+C.add("concat_meta", """SELECT 'first_day' AS name, CAST(min(dayofmonth(ts)) AS VARCHAR) AS value, 0 AS part FROM events
+UNION ALL SELECT 'metrics', CAST(count(*) AS VARCHAR), CAST(dense_rank() OVER (ORDER BY event_type)-1 AS INTEGER) FROM events GROUP BY event_type""")(
+    lambda spark, sf: B.concat_meta(*[meta(spark, sf, k) for k in KINDS]))
 C.add("chunk", POS + "SELECT traj_id, CAST(pos//CAST(ceil(n/8.0) AS BIGINT) AS BIGINT) AS chunk_id FROM ps")(
     lambda spark, sf: B.chunk(rollouts(spark, sf), "traj_id", 8, even=False).select("traj_id", "chunk_id"))
 C.add("split", POS + "SELECT traj_id, CAST(pos//64 AS BIGINT) AS chunk_id FROM ps")(
@@ -170,30 +170,31 @@ def _(spark, sf):
     return rounded(S.unpack_tokens(t.drop("value"), flat, "value"), "traj_id", "t", value="value")
 
 
-SFT = WORDS + """, q AS (SELECT a.conv_id, a.ids AS p, b.ids AS r, len(a.ids) AS pl, len(b.ids) AS rl FROM cw a JOIN cw b ON a.conv_id=b.conv_id AND b.turn=a.turn+1 AND a.turn=0),
+SFT = WORDS + """, q AS (SELECT a.conv_id, a.turn, a.ids AS p, b.ids AS r, len(a.ids) AS pl, len(b.ids) AS rl FROM cw a JOIN cw b ON a.conv_id=b.conv_id AND b.turn=a.turn+1),
   c AS (SELECT *, list_concat(p,r)[1:120] AS ids, least(pl+rl,120) AS n FROM q)
 """
 
 
 def pairs(spark, sf):
+    """Every turn as a prompt with the next turn as its response."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", ids_of("text").alias("ids"))
-    a = c.where("turn = 0").select("conv_id", F.col("ids").alias("prompt_ids"))
-    return a.join(c.where("turn = 1").select("conv_id", F.col("ids").alias("response_ids")), "conv_id")
+    a = c.select("conv_id", "turn", F.col("ids").alias("prompt_ids"))
+    return a.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("response_ids")), ["conv_id", "turn"])
 
 
-C.add("sft_loss_mask", SFT + """SELECT conv_id, array_to_string(list_concat(ids, list_transform(range(120-n), lambda x: 0)),',') AS input_ids,
+C.add("sft_loss_mask", SFT + """SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(120-n), lambda x: 0)),',') AS input_ids,
   array_to_string(list_transform(range(120), lambda i: CASE WHEN i<n THEN 1 ELSE 0 END),',') AS attention_mask,
   array_to_string(list_transform(range(120), lambda i: CASE WHEN i<least(pl,120)-1 OR i=n-1 OR i>=n THEN 0 ELSE 1 END),',') AS loss_mask,
   array_to_string(list_transform(range(120), lambda i: least(i,n-1)),',') AS position_ids FROM c""")(
     lambda spark, sf: S.sft_loss_mask(pairs(spark, sf), max_len=120, truncation="right").select(
-        "conv_id", *[text(c).alias(c) for c in ("input_ids", "attention_mask", "loss_mask", "position_ids")]))
-C.add("preference_pair_arrays", SFT + """, d AS (SELECT conv_id, list_concat(p, r, [99]) AS x, list_concat(p, p, [99]) AS y FROM c)
-SELECT conv_id, array_to_string(list_concat(x, list_transform(range(greatest(150-len(x),0)), lambda i: 0))[1:150],',') AS chosen,
+        "conv_id", "turn", *[text(c).alias(c) for c in ("input_ids", "attention_mask", "loss_mask", "position_ids")]))
+C.add("preference_pair_arrays", SFT + """, d AS (SELECT conv_id, turn, list_concat(p, r, [99]) AS x, list_concat(p, p, [99]) AS y FROM c)
+SELECT conv_id, turn, array_to_string(list_concat(x, list_transform(range(greatest(150-len(x),0)), lambda i: 0))[1:150],',') AS chosen,
   array_to_string(list_concat(y, list_transform(range(greatest(150-len(y),0)), lambda i: 0))[1:150],',') AS rejected,
   array_to_string(list_transform(range(150), lambda i: CASE WHEN i<len(y) THEN 1 ELSE 0 END),',') AS rejected_mask FROM d""")(
     lambda spark, sf: S.preference_pair_arrays(
         pairs(spark, sf).withColumnRenamed("response_ids", "chosen_ids").withColumn("rejected_ids", F.col("prompt_ids")), 150, 99).select(
-        "conv_id", text(F.col("input_ids")[0]).alias("chosen"), text(F.col("input_ids")[1]).alias("rejected"),
+        "conv_id", "turn", text(F.col("input_ids")[0]).alias("chosen"), text(F.col("input_ids")[1]).alias("rejected"),
         text(F.col("attention_mask")[1]).alias("rejected_mask")))
 MT = WORDS + """, fl AS (SELECT conv_id, turn, role, unnest(ids) AS tok, unnest(range(len(ids))) AS i FROM cw),
   o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i)-1 AS p, count(*) OVER (PARTITION BY conv_id) AS n,

@@ -368,9 +368,10 @@ C.add("add_tool_kwargs", "SELECT doc_id, true AS need_tools, source AS tool_trut
 C.add("qa_to_messages", "SELECT doc_id, 'user' AS r0, text||' '||" + sql_text(M.HASH_INSTRUCTION) + " AS c0, 'assistant' AS r1, source AS c1 FROM documents")(
     lambda spark, sf: M.qa_to_messages(docs(spark, sf).select("doc_id", F.col("text").alias("question"), F.col("source").alias("answer"))).select(
         "doc_id", F.col("messages")[0]["role"].alias("r0"), F.col("messages")[0]["content"].alias("c0"), F.col("messages")[1]["role"].alias("r1"), F.col("messages")[1]["content"].alias("c1")))
-C.add("sharegpt_to_messages", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, '|' ORDER BY turn) AS contents FROM conversations WHERE role<>'system' GROUP BY conv_id")(
-    lambda spark, sf: M.sharegpt_to_messages(conv(spark, sf).where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "turn", F.when(F.col("role") == "user", "human").otherwise("gpt").alias("from"), F.col("text").alias("value")))).alias("conversations"))).select(
+# the format knows two speakers: whoever isn't the model speaks as a human
+C.add("sharegpt_to_messages", "SELECT conv_id, string_agg(CASE WHEN role='assistant' THEN role ELSE 'user' END, ',' ORDER BY turn) AS roles, string_agg(text, '|' ORDER BY turn) AS contents FROM conversations GROUP BY conv_id")(
+    lambda spark, sf: M.sharegpt_to_messages(conv(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+        "turn", F.when(F.col("role") == "assistant", "gpt").otherwise("human").alias("from"), F.col("text").alias("value")))).alias("conversations"))).select(
         "conv_id", F.array_join("messages.role", ",").alias("roles"), F.array_join("messages.content", "|").alias("contents")))
 C.add("rows_to_conversation", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, '|' ORDER BY turn) AS contents FROM conversations GROUP BY conv_id")(
     lambda spark, sf: M.rows_to_conversation(conv(spark, sf)).select(

@@ -80,6 +80,10 @@ LATEX_PAIRS = [
 ]
 C.add("latex_equal", "SELECT doc_id, doc_id%13<>12 AS equal FROM documents")(
     lambda spark, sf: docs(spark, sf).select("doc_id", X.latex_equal(pick(13, *[a for a, _ in LATEX_PAIRS]), pick(13, *[b for _, b in LATEX_PAIRS])).alias("equal")))
+C.add("latex_equal_texts", "SELECT doc_id, doc_id%4<>1 AS equal FROM documents")(
+    lambda spark, sf: docs(spark, sf).select("doc_id", X.latex_equal(
+        pick(4, F.col("text"), F.col("text"), F.concat(F.lit("\\left("), "text", F.lit("\\right)")), F.concat(F.lit("\\dfrac{1}{2}"), "text")),
+        pick(4, F.concat("text", F.lit("\\!")), F.concat("text", F.lit("x")), F.concat(F.lit("("), "text", F.lit(")")), F.concat(F.lit("\\tfrac{1}{2}\n"), "text"))).alias("equal")))
 
 
 def minerva_rows(spark, sf):
@@ -178,11 +182,12 @@ C.add("score_format_think", """SELECT doc_id, CASE doc_id%3 WHEN 0 THEN 1e0 WHEN
     lambda spark, sf: sc(docs(spark, sf).withColumn("result", S.score_format_think(F.concat(
         F.when(F.col("doc_id") % 3 == 1, "").otherwise("<think>"), "text", F.lit("</think> so \\boxed{"),
         F.when(F.col("doc_id") % 3 == 2, "0").otherwise(F.col("n_chars").cast("string")), F.lit("} end")), F.col("n_chars").cast("string"))), "doc_id"))
-C.add("extract_tool_calls", """SELECT doc_id, text||'  tail' AS content, CASE WHEN doc_id%3=0 THEN 2 ELSE 1 END AS n, 'search' AS name, '{"q":"'||lang||'"}' AS arguments FROM documents""")(
+C.add("extract_tool_calls", """SELECT doc_id, text||'  tail' AS content, CASE WHEN doc_id%3=0 THEN 2 ELSE 1 END AS n, CASE WHEN doc_id%3=0 THEN 'search|x' ELSE 'search' END AS names,
+  '{"q":"'||lang||'"}'||CASE WHEN doc_id%3=0 THEN '|{}' ELSE '' END AS arguments FROM documents""")(
     lambda spark, sf: docs(spark, sf).select("doc_id", X.extract_tool_calls(F.concat(
         "text", F.lit(' <tool_call>{"name":"search","arguments":{"q":"'), "lang", F.lit('"}}</tool_call>'),
         F.when(F.col("doc_id") % 3 == 0, '<tool_call>{"name":"x","arguments":{}}</tool_call>').otherwise("<tool_call>{bad}</tool_call>"), F.lit(" tail"))).alias("c")).select(
-        "doc_id", F.col("c.content").alias("content"), F.size("c.calls").alias("n"), F.col("c.calls")[0]["name"].alias("name"), F.col("c.calls")[0]["arguments"].alias("arguments")))
+        "doc_id", F.col("c.content").alias("content"), F.size("c.calls").alias("n"), F.array_join("c.calls.name", "|").alias("names"), F.array_join("c.calls.arguments", "|").alias("arguments")))
 C.add("extract_tool_calls_channel", """SELECT doc_id, text||' tail' AS content, 1 AS n, 'search' AS name, lang AS arguments FROM documents""")(
     lambda spark, sf: docs(spark, sf).select("doc_id", X.extract_tool_calls(F.concat(
         "text", F.lit("<|channel|>analysis<|message|>think<|start|>assistant<|channel|>commentary to=functions.no <|constrain|>json<|message|>{}<|call|><|end|>"),
@@ -281,14 +286,14 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- conversations and passages
-@C.add("last_assistant_turn", """, l AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role='assistant'),'')||' #### '||CASE WHEN conv_id%2=0 THEN conv_id ELSE conv_id+1 END AS r FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN conv_id%2=0 THEN 1e0 ELSE 0e0 END AS score, CASE WHEN conv_id%2=0 THEN 'Your response is correct!' ELSE 'Your response is incorrect! You need to reflect on your answer and try again.' END AS reply, conv_id%2=0 AS terminate, length(r) AS n FROM l
-WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role='assistant')""")
+@C.add("last_assistant_turn", """, l AS (SELECT conv_id, arg_max(text, turn) FILTER (role='assistant') AS said, conv_id%2=0 AND count(*) FILTER (role='assistant')>0 AS ok FROM conversations GROUP BY conv_id),
+  r AS (SELECT *, coalesce(said||' #### '||CASE WHEN conv_id%2=0 THEN conv_id ELSE conv_id+1 END, '') AS r FROM l)
+SELECT conv_id, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS score, CASE WHEN ok THEN 'Your response is correct!' ELSE 'Your response is incorrect! You need to reflect on your answer and try again.' END AS reply, ok AS terminate, length(r) AS n FROM r""")
 def _(spark, sf):
     c = table(spark, sf, "conversations")
     c = c.withColumn("text", F.concat("text", F.lit(" #### "), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).otherwise(F.col("conv_id") + 1).cast("string")))
     truths = c.select("conv_id", F.col("conv_id").cast("string").alias("ground_truth")).distinct()
-    d = S.last_assistant_turn(c, truths).where("response <> ''")
+    d = S.last_assistant_turn(c, truths)
     return rounded(d, "conv_id", "reply", "terminate", F.length("response").cast("long").alias("n"), score="score")
 
 
