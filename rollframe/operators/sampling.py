@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_order, hash_uniform, hash_unit
 from ..functions.groups import SLOTS, join_null_safe, number_by_hash, number_rows, rank_by_value, row_total, running_total, with_slot
 from ..schemas import TESTS
+from ..session import cut
 
 
 def sample_n(df: DataFrame, key: str, n: int, shuffle: bool = False, seed: int = 0) -> DataFrame:
@@ -156,8 +157,10 @@ def resample_by_score(
     with the smallest total above it.  Draws and totals are merged along the
     line: sorted together in slots, each draw sees the last total before it from
     above, and a slot without one the least total of the slots above.  A row of
-    any weight is one point of the line.
+    any weight is one point of the line.  The line is sorted and summed several
+    times, so ids and scores are written once.
     """
+    df = cut(df.select(order, score))
     ends = df.agg(F.struct(F.max(score).alias("hi"), F.min(score).alias("lo"))).scalar()
     d = df.withColumn("_e", ends).withColumn("_w", resample_weights(F.col(score), method, power, F.col("_e")))
     rows = running_total(d.select(order, "_w"), [], order, {"_total": F.col("_w")})

@@ -19,7 +19,8 @@ from ..functions.groups import attach_group_stats, cumulative_by_value, number_r
 
 GROUP = ["data_source", "uid", "var"]
 GROUP_ROWS = 1 << 16
-KEPT_DRAWS = 4096
+KEPT_DRAWS = 1 << 24
+BLOCK_CELLS = 1 << 22
 
 
 def melt_vars(rollouts: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -109,39 +110,64 @@ def _uniforms(n: int, rep: int, seed: int) -> np.ndarray:
     return np.array([int(h, 16) for h in heads], dtype=float) / 4294967296.0
 
 
-def _votes(n_boot: int, seed: int, n_values: int):
-    """Rows of whole prompt groups (preds and values in order) to mean and std of the vote's value per subset size."""
+def _draw_table(size: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per repeat and position of a group: how often it is drawn, and draw * size + position of its first draw."""
+    n = unit.shape[1]
+    at = np.floor(unit * size).astype(np.int64)
+    row = np.arange(len(at))
+    times = np.bincount((row[:, None] * size + at).ravel(), minlength=len(at) * size).reshape(len(at), size)
+    first = np.full((len(at), size), n * size, dtype=np.int64)
+    for j in range(n - 1, -1, -1):
+        first[row, at[:, j]] = j * size + at[:, j]
+    return times, first
+
+
+def _votes(n_boot: int, seed: int, n_values: int, block_cells: int):
+    """Rows of whole prompt groups (preds and values in order) to mean and std of the vote's value per subset size.
+
+    Which positions are drawn depends on the group's size only, so groups of
+    one size share their draws; a group adds them up by pred.
+    """
 
     def run(batches):
-        draws: dict[int, np.ndarray] = {}
+        kept: dict[tuple[int, int], tuple] = {}
+        units: dict[int, np.ndarray] = {}
+
+        def drawn(size: int, n: int):
+            """The draws in blocks of repeats; those of small groups are kept."""
+            if (size, n) in kept:
+                yield kept[size, n]
+                return
+            step = max(1, block_cells // size)
+            for lo in range(0, n_boot, step):
+                if n in units:
+                    unit = units[n][lo : lo + step]
+                else:
+                    unit = np.stack([_uniforms(n, r, seed) for r in range(lo, min(n_boot, lo + step))])
+                block = _draw_table(size, unit)
+                if step >= n_boot and len(kept) * size * n_boot <= KEPT_DRAWS:
+                    kept[size, n], units[n] = block, unit
+                yield block
+
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                size = len(row["members"])
-                codes = {p: i for i, p in enumerate(dict.fromkeys(m["pred"] for m in row["members"]))}
-                code = np.array([codes[m["pred"]] for m in row["members"]])
-                values = np.array([[np.nan if x is None else x for x in m["values"]] for m in row["members"]], dtype=float)
+                members = row["members"]
+                size = len(members)
+                codes = {p: i for i, p in enumerate(dict.fromkeys(m["pred"] for m in members))}
+                code = np.array([codes[m["pred"]] for m in members])
+                by_pred = np.argsort(code, kind="stable")
+                begin = np.searchsorted(code[by_pred], np.arange(len(codes)))
+                values = np.array([[np.nan if x is None else x for x in m["values"]] for m in members], dtype=float)
                 for n in sorted({1 << b for b in range(1, 53) if 1 << b < size} | {size}):
-                    picked = np.empty(n_boot, dtype=np.int64)
-                    step = max(1, (1 << 22) // n)
-                    for lo in range(0, n_boot, step):
-                        reps = range(lo, min(n_boot, lo + step))
-                        if n <= KEPT_DRAWS and n not in draws:
-                            draws[n] = np.stack([_uniforms(n, r, seed) for r in range(n_boot)])
-                        unit = draws[n][lo : lo + step] if n in draws else np.stack([_uniforms(n, r, seed) for r in reps])
-                        at = np.floor(unit * size).astype(np.int64)
-                        drawn = code[at]
-                        # the lead of a pred: its count, then the earlier first draw
-                        best = np.full(len(at), -1, dtype=np.int64)
-                        for c in range(len(codes)):
-                            hit = drawn == c
-                            first = hit.argmax(1)
-                            lead = hit.sum(1) * np.int64(n + 1) - first
-                            lead[~hit.any(1)] = -1
-                            better = lead > best
-                            best[better] = lead[better]
-                            picked[lo : lo + len(at)][better] = at[better, first[better]]
-                    won = values[picked]
+                    picked = []
+                    for times, first in drawn(size, n):
+                        count = np.add.reduceat(times[:, by_pred], begin, axis=1)
+                        earliest = np.minimum.reduceat(first[:, by_pred], begin, axis=1)
+                        # the most frequent pred, of equals the one drawn first
+                        lead = (count * (n * size + 1) - earliest).argmax(1)
+                        picked.append(earliest[np.arange(len(lead)), lead] % size)
+                    won = values[np.concatenate(picked)]
                     for v in range(n_values):
                         real = won[:, v][~np.isnan(won[:, v])]
                         if len(real):
@@ -188,7 +214,7 @@ def maj_at_n(
     sized = attach_group_stats(slim, keys, [F.count(F.lit(1)).alias("_size")])
     member = F.struct(F.col(order).alias("order"), F.col("pred").cast("string").alias("pred"), F.array(*[F.col(v).cast("double") for v in values]).alias("values"))
     packed = sized.where(F.col("_size").between(2, group_rows)).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
-    folded = packed.select("data_source", "members").mapInArrow(_votes(n_boot, seed, len(values)), "data_source string, v int, n long, m double, s double")
+    folded = packed.select("data_source", "members").mapInArrow(_votes(n_boot, seed, len(values), BLOCK_CELLS), "data_source string, v int, n long, m double, s double")
     large = _votes_by_join(sized.where(F.col("_size") > group_rows).drop("_size"), values, n_boot, seed, order)
     g = folded.unionByName(large)
     n = F.col("n").cast("string")
