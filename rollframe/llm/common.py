@@ -104,13 +104,10 @@ def read_words(column: pa.Array, powers: Powers, fold_case: bool = False, limit:
         at = to
 
 
-def longs(column: pa.Array) -> np.ndarray:
-    """A column of 64-bit integers; null becomes the smallest one."""
-    return pc.fill_null(column.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
-
-
-def binary_rows(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, type=pa.binary())
+def shard_count(docs: DataFrame, shard_bytes: int) -> int:
+    """Shards of about ``shard_bytes`` of text, and at least one per shuffle partition."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-text_bytes(docs) // shard_bytes))
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import blobs
-from .common import Powers, Words, mix, read_words, received, row_key, send, text_bytes
+from .common import Powers, Words, mix, read_words, received, row_key, send, shard_count
 
 CELL_BITS = 24
 SLICES = 64
@@ -61,10 +61,11 @@ def _count_cells(k: int):
                 _, token = shingle_sets(words, k)
                 cell, n = np.unique(token >> np.uint64(64 - CELL_BITS), return_counts=True)
                 counts[cell.astype(np.int64)] += n.astype(np.int32)
-        full = np.flatnonzero(counts)
-        if len(full):
-            width = (1 << CELL_BITS) // SLICES
-            yield blobs.pack(full // width, [(full % width).astype("<u4"), counts[full].astype("<u4")])
+        width = (1 << CELL_BITS) // SLICES
+        for number, part in enumerate(counts.reshape(SLICES, width)):
+            cell = np.flatnonzero(part)
+            if len(cell):
+                yield blobs.pack(np.full(len(cell), number), [cell.astype("<u4"), part[cell].astype("<u4")])
 
     return run
 
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", row_key("doc_id", "text"))
-    shards = max(1, -(-text_bytes(rows) // SHARD_BYTES))
+    shards = shard_count(rows, SHARD_BYTES)
     sent = send(docs.sparkSession, frequency_levels(rows, shingle))
     schema = "doc_id long, row_key long, n long, set long, group long, prefix binary"
     known = cut(rows.select("doc_id", "row_key", "text").mapInArrow(_prefixes(sent, shingle, num, den), schema))
