@@ -12,11 +12,26 @@ from ..operators.validation import merge_partials, partials_to_metrics, validati
 from .freshness import batch_folder, run_available
 
 
-def streaming_step_metrics(metrics: DataFrame, version: str = "param_version") -> DataFrame:
-    """Running per-name accumulators since the last version sync, one row per (version, name); update mode."""
-    return metrics.groupBy(version, "name").agg(
+def streaming_step_metrics(
+    metrics: DataFrame, version: str = "param_version", ts: str = "ts", span: str = "1 hour", delay: str = "1 hour"
+) -> DataFrame:
+    """Running per-name accumulators, one row per (version, name, span of event time); update mode.
+
+    A span is forgotten once the watermark has passed it, so the state holds the
+    spans still open and not every version that ever was.  ``merge_spans`` adds
+    the spans of a version up.
+    """
+    at = F.window(ts, span)
+    return metrics.withWatermark(ts, delay).groupBy(version, "name", at.alias("_span")).agg(
         F.sum("value").alias("total"), F.count("value").alias("n"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", "step").alias("last"),
+        F.max(F.struct("step", "value")).alias("last"),
+    ).withColumn("span", F.col("_span.start")).drop("_span")
+
+
+def merge_spans(last: DataFrame, version: str = "param_version") -> DataFrame:
+    """The spans of each version and name to one row."""
+    return last.groupBy(version, "name").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last")["value"].alias("last")
     )
 
 
