@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Powers, Words, mix, read_words, row_key, text_bytes
+from .common import Powers, Words, mix, read_words, row_key, shard_count
 
 WINDOW = 13
 ANCHOR = 5
 SHARD_BYTES = 16 << 20
 HOT = 2000
+ENTRIES = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -160,14 +161,18 @@ def _share(batches):
         names, counts = known[0][both], known[3][both]
         if not len(names):
             continue
-        for blob in held:
+        ready, size = [], 0
+        for number, blob in enumerate(held, 1):
             name, doc, home = blobs.unpack(blob, kinds)
             at = np.minimum(np.searchsorted(names, name), len(names) - 1)
             hit = names[at] == name
             code = (np.uint64(shard) << np.uint64(32)) | name[hit].astype(np.uint64)
-            hot = (counts[at[hit]] > HOT).astype(np.uint8)
-            if hit.any():
-                yield blobs.pack(home[hit].astype(np.int64), [doc[hit], code, hot])
+            ready.append((home[hit].astype(np.int64), doc[hit], code, (counts[at[hit]] > HOT).astype(np.uint8)))
+            size += len(code)
+            if size and (size >= ENTRIES or number == len(held)):
+                home, *columns = (np.concatenate(c) for c in zip(*ready))
+                yield blobs.pack(home, columns)
+                ready, size = [], 0
 
 
 def _pair(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -184,7 +189,7 @@ def _cut_pieces(size: int, k: int, shards: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         powers = Powers()
-        out = []
+        out, texts = [], []
         if left.num_rows and right.num_rows:
             got = [blobs.unpack(b, ["<i8", "<u8", "u1"]) for b in right.column("blob").to_pylist()]
             pairs = _pair(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
@@ -212,12 +217,15 @@ def _cut_pieces(size: int, k: int, shards: int):
                 last = np.r_[begin[1:], len(starts)] - 1
                 a, b = starts[begin], starts[last] + size
                 raw = words.data.tobytes()
-                texts = [raw[x:y] for x, y in zip(words.starts[a].tolist(), words.ends[b - 1].tolist())]
-                columns = [name[begin], ids[own[begin]].astype("<i8"), keys[own[begin]].astype("<i8"), a - words.bounds[own[begin] - words.first]]
-                columns[3] = columns[3].astype("<u4")
-                columns.append(np.full(len(a), home, dtype="<u4"))
-                out.append(blobs.pack(where[begin], columns, texts))
-        return pa.Table.from_batches(out, schema=pa.schema([("shard", pa.int32()), ("blob", pa.binary())]))
+                texts += [raw[x:y] for x, y in zip(words.starts[a].tolist(), words.ends[b - 1].tolist())]
+                row = own[begin]
+                start = (a - words.bounds[row - words.first]).astype("<u4")
+                out.append((where[begin], name[begin], ids[row].astype("<i8"), keys[row].astype("<i8"), start, np.full(len(a), home, dtype="<u4")))
+        schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
+        if not out:
+            return schema.empty_table()
+        where, *columns = (np.concatenate(c) for c in zip(*out))
+        return pa.Table.from_batches([blobs.pack(where, columns, texts)], schema=schema)
 
     return run
 
@@ -333,7 +341,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = max(1, -(-text_bytes(rows) // SHARD_BYTES))
+    shards = shard_count(rows, SHARD_BYTES)
     home = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
     rows = rows.select(home, "doc_id", row_key("doc_id", "text").alias("row_key"), "text")
     named = rows.where("doc_id IS NOT NULL").select("shard", "doc_id", "text")
