@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ WORD_PATTERN = r"[\p{L}\p{M}]+"
 STEM = 5
 FEATURES = 2 + len(LABELS)
 BROADCAST_LABELS = 2_000_000
+BROADCAST_UNITS = 200_000
+UNITS = "__units"
 RARE = -3.0
 
 
@@ -180,8 +182,10 @@ def features(text: str | None, lexicon: Lexicon, move, label, own: int | None =
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: Lexicon, coefficients: np.ndarray) -> None:
-        self.lexicon, self.coefficients = lexicon, coefficients
+    """Lexicon and coefficients; a lexicon too large to broadcast has its units in the table ``units`` instead."""
+
+    def __init__(self, lexicon: Lexicon, coefficients: np.ndarray, units: DataFrame | None = None) -> None:
+        self.lexicon, self.coefficients, self.units = lexicon, coefficients, units
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -206,13 +210,42 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) ->
     return beta
 
 
+def _text_units(text: Column) -> tuple[Column, Column]:
+    """The distinct words and the distinct stems of a text."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0)))
+    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    return words, F.array_distinct(stems)
+
+
+def _with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """``rows`` with the entries of ``units`` that stand in their text, in column ``UNITS``.
+
+    Texts meet their entries by a hash; should two texts share one, each has
+    entries it never looks up.
+    """
+    key = F.xxhash64("text")
+    each = rows.where("text IS NOT NULL").select(key.alias("_key"), F.explode(F.concat(*_text_units(F.col("text")))).alias("unit"))
+    entries = each.distinct().join(units, "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "pos", "neg")).alias(UNITS))
+    out = rows.select(F.struct("*").alias("_row"), key.alias("_text")).join(entries, F.col("_text") == F.col("_key"), "left")
+    return out.select("_row.*", UNITS)
+
+
+def _lexicons(lexicon: Lexicon, batch: pa.RecordBatch):
+    """The lexicon of each row: that of all, or one of the row's own entries."""
+    if UNITS not in batch.schema.names:
+        return [lexicon] * batch.num_rows
+    own = ({u["unit"]: (u["pos"], u["neg"]) for u in row or ()} for row in batch.column(UNITS).to_pylist())
+    return [Lexicon(lexicon.toxic, lexicon.clean, counts, lexicon.least) for counts in own]
+
+
 def _training_features(sent):
     def run(batches):
         lexicon = received(sent)
         move, label = grammar()
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
-            rows = [features(t, lexicon, move, label, own) for t, own in zip(batch.column("text").to_pylist(), toxic)]
+            each = zip(batch.column("text").to_pylist(), _lexicons(lexicon, batch), toxic)
+            rows = [features(t, lex, move, label, own) for t, lex, own in each]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, type=pa.list_(pa.float64())), pa.array(toxic, type=pa.int32())], names=["x", "toxic"]
             )
@@ -220,13 +253,13 @@ def _training_features(sent):
     return run
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, least: float = 3.0, max_units: int = 50_000, fit_rows: int = 50_000
-) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, least: float = 3.0, fit_rows: int = 50_000) -> ToxicityModel:
     """Learn word weights and label coefficients from ``docs`` (doc_id, text) joined to ``labels`` (doc_id, toxic).
 
     Weights: documents per word and five-letter stem, over all labelled rows;
-    the ``max_units`` units with the highest odds are kept.  Coefficients: a
+    all units of two toxic documents or more with log-odds of ``least`` or more
+    are kept.  Up to ``BROADCAST_UNITS`` units are broadcast; beyond that, they
+    stay in a table that texts are joined to.  Coefficients: a
     logistic regression on about ``fit_rows`` labelled rows, or all if there are
     fewer, chosen by a hash of the id; each is scored as if it had not been
     counted.
@@ -242,28 +275,30 @@ def train(
         known = rows.join(F.broadcast(marks), "doc_id").where("text IS NOT NULL")
     else:
         known = cut(rows.join(marks, "doc_id").where("text IS NOT NULL"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)))
-    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    units = F.explode(F.concat(words, F.array_distinct(stems), F.array(F.lit(""))))  # the empty unit counts documents
+    units = F.explode(F.concat(*_text_units(F.col("text")), F.array(F.lit(""))))  # the empty unit counts documents
     counts = known.select("toxic", units.alias("unit")).groupBy("unit").agg(
         F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg")
     )
-    odds = (F.col("pos") / (F.col("neg") + 1)).alias("odds")
-    kept = counts.where("unit = '' OR pos >= 2").select("*", odds)
-    kept = kept.orderBy(F.col("unit") != "", F.desc("odds"), F.desc("pos"), "unit").limit(max_units + 1).collect()
-    total = next(((r["pos"], r["neg"]) for r in kept if r["unit"] == ""), (0, 0))
-    lexicon = Lexicon(*total, {r["unit"]: (r["pos"], r["neg"]) for r in kept if r["unit"]}, least)
+    counts = cut(counts.where("unit = '' OR pos >= 2"))
+    total = counts.where("unit = ''").first()
+    total = (total["pos"], total["neg"]) if total else (0, 0)
+    odds = F.log((F.col("pos") + 0.1) / F.lit(total[0] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(total[1] + 1.0))
+    counts = counts.where(F.col("unit") != "").where(odds >= least - 1e-9)  # a rounding wider than the test of Lexicon.weight
+    joined = counts if counts.count() > BROADCAST_UNITS else None
+    lexicon = Lexicon(*total, {} if joined is not None else {r["unit"]: (r["pos"], r["neg"]) for r in counts.collect()}, least)
     lexicon.counts = {u: c for u, c in lexicon.counts.items() if lexicon.weight(u)}
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(total)))) < fit_rows)
     sent = send(docs.sparkSession, lexicon)
-    got = some.select("text", "toxic").mapInArrow(_training_features(sent), "x array<double>, toxic int").toArrow()
+    some = some.select("text", "toxic")
+    got = (_with_units(some, joined) if joined is not None else some).mapInArrow(_training_features(sent), "x array<double>, toxic int").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, FEATURES)
     y = np.array(got.column("toxic").to_pylist(), dtype=float)
-    return ToxicityModel(lexicon, _fit(x, y) if len(y) else np.r_[RARE, np.zeros(FEATURES)])
+    return ToxicityModel(lexicon, _fit(x, y) if len(y) else np.r_[RARE, np.zeros(FEATURES)], joined)
 
 
-def _probabilities(texts: list[str | None], model: ToxicityModel, move, label) -> np.ndarray:
-    x = np.array([features(t, model.lexicon, move, label) for t in texts], dtype=float).reshape(-1, FEATURES)
+def _probabilities(batch: pa.RecordBatch, model: ToxicityModel, move, label) -> np.ndarray:
+    each = zip(batch.column("text").to_pylist(), _lexicons(model.lexicon, batch))
+    x = np.array([features(t, lex, move, label) for t, lex in each], dtype=float).reshape(-1, FEATURES)
     return 1 / (1 + np.exp(-np.clip(x @ model.coefficients[1:] + model.coefficients[0], -30, 30)))
 
 
@@ -272,7 +307,9 @@ def _score(sent, column: str):
         model = received(sent)
         move, label = grammar()
         for batch in batches:
-            scores = _probabilities(batch.column("text").to_pylist(), model, move, label)
+            scores = _probabilities(batch, model, move, label)
+            if UNITS in batch.schema.names:
+                batch = batch.drop_columns([UNITS])
             yield batch.append_column(pa.field(column, pa.float64()), pa.array(scores))
 
     return run
@@ -284,9 +321,10 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") ->
     Null and empty texts match nothing and get the score of an empty match.
     One row per input row, repeated rows and null ids included.
     """
-    sent = send(docs.sparkSession, model)
+    sent = send(docs.sparkSession, ToxicityModel(model.lexicon, model.coefficients))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return docs.mapInArrow(_score(sent, column), schema)
+    rows = docs if model.units is None else _with_units(docs, model.units)
+    return rows.mapInArrow(_score(sent, column), schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -97,6 +97,34 @@ def test_labels_beyond_the_broadcast(spark, sf, monkeypatch):
     assert small.lexicon.counts == large.lexicon.counts and np.allclose(small.coefficients, large.coefficients)
 
 
+@pytest.fixture(scope="module")
+def open_vocabulary(spark):
+    """60,000 words that stand in two toxic texts by chance, and an insult that clean texts also name."""
+    by_chance = lambda i: " ".join(f"{chr(97 + i // 2)}{chr(97 + n // 676)}{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}" for n in range(3000))
+    rows = [(i, f"you zork. {by_chance(i)}", 1) for i in range(40)]
+    rows += [(100 + i, "plain talk and no zork" if i < 30 else "plain talk", 0) for i in range(1400)]
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_chance_units_do_not_push_out_an_insult(open_vocabulary):
+    model = toxicity.train(open_vocabulary.drop("toxic"), open_vocabulary)
+    assert len(model.lexicon.counts) > 50_000 and model.lexicon.counts["zork"] == (40, 30)
+
+
+def test_lexicon_beyond_the_broadcast(spark, sf, odd_docs, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
+    small = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "BROADCAST_UNITS", 0)
+    large = toxicity.train(docs, labels)
+    assert large.lexicon.counts == {} and large.units.count() >= len(small.lexicon.counts) > 0
+    assert np.allclose(small.coefficients, large.coefficients)
+    want, got = (sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.score(rows, m).collect()) for m in (small, large))
+    assert [i for i, _ in want] == [i for i, _ in got] and np.allclose([x for _, x in want], [x for _, x in got])
+    assert toxicity.with_score(odd_docs, large).columns == [*odd_docs.columns, "score"]
+    assert toxicity.with_score(odd_docs, large).count() == odd_docs.count()
+
+
 def test_query(spark, sf):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     first, again = (sorted(map(tuple, queries.op4_toxicity(spark, sf).collect())) for _ in range(2))
