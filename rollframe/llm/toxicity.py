@@ -9,6 +9,9 @@ label, with the weight its words learned, and not the word alone.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,15 @@ REPORTS = "said says say told claims claimed wrote writes quoted alleged sagte s
 CLOSED = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws.split()}
 
 LABELS = ("plain insult", "insult at a target", "negated insult", "reported insult", "threat at a target", "negated or reported threat")
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»„]")
-WORD_PATTERN = r"[\p{L}\p{M}]+"
+MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+QUOTES, STOPS = frozenset("\"“”«»„"), frozenset(".!?;:\n")
+#: A word is a letter and the letters and combining marks after it, the same where weights are learned and where texts are scored.
+TOKEN = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*|[.!?;:\n]|[\"“”«»„]")
 STEM = 5
 FEATURES = 2 + len(LABELS)
 BROADCAST_LABELS = 2_000_000
 BROADCAST_UNITS = 200_000
+HELD_UNITS = 200_000
 UNITS = "__units"
 RARE = -3.0
 
@@ -141,19 +147,30 @@ class Lexicon:
         return max(self.weight(word, own), self.weight(word[:STEM] + "*", own) if len(word) > STEM else 0.0)
 
 
+def plain(text: str | None) -> str:
+    """The text in composed form and lower case; null is empty."""
+    return unicodedata.normalize("NFC", text or "").lower()
+
+
+def units_of(text: str | None) -> set[str]:
+    """The distinct words and stems of a text."""
+    words = set(TOKEN.findall(plain(text))) - QUOTES - STOPS
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+
+
 def matches(text: str, lexicon: Lexicon, move, label, own: int | None = None):
     """Clauses with something in them, as lists of (word, label, weight)."""
     known: dict[str, float] = {}
     state, clause, found = 0, [], []
     for token in TOKEN.findall(text):
-        if not token[0].isalpha():
-            if token in '"“”«»„':
-                state = move[state][QUOTE]
-            else:
-                state = 0
-                if clause:
-                    found.append(clause)
-                    clause = []
+        if token in QUOTES:
+            state = move[state][QUOTE]
+            continue
+        if token in STOPS:
+            state = 0
+            if clause:
+                found.append(clause)
+                clause = []
             continue
         weight = known.get(token)
         if weight is None:
@@ -168,8 +185,7 @@ def matches(text: str, lexicon: Lexicon, move, label, own: int | None = None):
 
 def features(text: str | None, lexicon: Lexicon, move, label, own: int | None = None) -> list[float]:
     """Weight of matched words per label (damped), strongest clause, and distinct matched words."""
-    low = (text or "").lower()
-    clauses = matches(low, lexicon, move, label, own)
+    clauses = matches(plain(text), lexicon, move, label, own)
     sums, distinct, most = [0.0] * len(LABELS), {}, 0.0
     for clause in clauses:
         total = 0.0
@@ -210,11 +226,30 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) ->
     return beta
 
 
-def _text_units(text: Column) -> tuple[Column, Column]:
-    """The distinct words and the distinct stems of a text."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0)))
-    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    return words, F.array_distinct(stems)
+def _count_units(batches):
+    """Toxic and clean documents per unit; the empty unit counts documents."""
+    counts = Counter(), Counter()
+
+    def held():
+        units = list(counts[0] | counts[1])
+        sums = [pa.array([count[u] for u in units], type=pa.int64()) for count in (counts[1], counts[0])]
+        for count in counts:
+            count.clear()
+        return pa.RecordBatch.from_arrays([pa.array(units, type=pa.string()), *sums], names=["unit", "pos", "neg"])
+
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            counts[toxic].update(units_of(text))
+            counts[toxic][""] += 1
+            if len(counts[0]) + len(counts[1]) > HELD_UNITS:
+                yield held()
+    yield held()
+
+
+def _list_units(batches):
+    for batch in batches:
+        units = [list(units_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(units, type=pa.list_(pa.string()))], names=["_key", "units"])
 
 
 def _with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -224,8 +259,8 @@ def _with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
     entries it never looks up.
     """
     key = F.xxhash64("text")
-    each = rows.where("text IS NOT NULL").select(key.alias("_key"), F.explode(F.concat(*_text_units(F.col("text")))).alias("unit"))
-    entries = each.distinct().join(units, "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "pos", "neg")).alias(UNITS))
+    each = rows.where("text IS NOT NULL").select(key.alias("_key"), "text").mapInArrow(_list_units, "_key long, units array<string>")
+    entries = each.select("_key", F.explode("units").alias("unit")).distinct().join(units, "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "pos", "neg")).alias(UNITS))
     out = rows.select(F.struct("*").alias("_row"), key.alias("_text")).join(entries, F.col("_text") == F.col("_key"), "left")
     return out.select("_row.*", UNITS)
 
@@ -275,10 +310,8 @@ def train(docs: DataFrame, labels: DataFrame, least: float = 3.0, fit_rows: int
         known = rows.join(F.broadcast(marks), "doc_id").where("text IS NOT NULL")
     else:
         known = cut(rows.join(marks, "doc_id").where("text IS NOT NULL"))
-    units = F.explode(F.concat(*_text_units(F.col("text")), F.array(F.lit(""))))  # the empty unit counts documents
-    counts = known.select("toxic", units.alias("unit")).groupBy("unit").agg(
-        F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg")
-    )
+    partial = known.select("text", "toxic").mapInArrow(_count_units, "unit string, pos long, neg long")
+    counts = partial.groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = cut(counts.where("unit = '' OR pos >= 2"))
     total = counts.where("unit = ''").first()
     total = (total["pos"], total["neg"]) if total else (0, 0)

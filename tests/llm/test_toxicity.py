@@ -1,3 +1,4 @@
+import unicodedata
 from itertools import product
 
 import numpy as np
@@ -125,6 +126,23 @@ def test_lexicon_beyond_the_broadcast(spark, sf, odd_docs, monkeypatch):
     assert toxicity.with_score(odd_docs, large).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("word", ["मूर्ख", "cre\u0301tin", "crétin", "אִדְיוֹט", "โง่"])
+def test_words_with_marks_are_learned_and_found(spark, word):
+    rows = [(i, f"aa {word} bb", 1) for i in range(40)] + [(100 + i, "aa bb", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs)
+    forms = [unicodedata.normalize(f, f"cc {word}") for f in ("NFC", "NFD")]
+    scored = toxicity.score(spark.createDataFrame([*enumerate(forms), (2, "cc")], "doc_id long, text string"), model)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert got[0] == got[1] >= 0.7 > got[2]
+
+
+def test_marks_are_those_of_the_jvm(spark):
+    texts = ["a\u0301b c", "\u0915\u094d\u0937 x", "x\U0001e8d0y"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{M}]+', 0) AS w")
+    assert [r["w"] for r in got.collect()] == [toxicity.TOKEN.findall(t.lower()) for t in texts]
+
+
 def test_query(spark, sf):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     first, again = (sorted(map(tuple, queries.op4_toxicity(spark, sf).collect())) for _ in range(2))
