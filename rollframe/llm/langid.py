@@ -128,13 +128,12 @@ def _score(model, evidence: float):
             for a, b in _chunks(own):
                 grams, bounds = _features(own[a:b], m.bits, m.orders)
                 sums = np.stack([np.add.reduceat(row[grams], bounds[:-1]) for row in m.matrix], 1)
-                # a long text is no more evidence than ``evidence`` grams of it, so the score stays graded
+                whole = sums + m.priors
+                top = whole.argmax(1)
+                # for the score, a long text is no more evidence than ``evidence`` grams of it, so it stays graded
                 n = np.diff(bounds)[:, None]
-                logit = sums * np.minimum(1.0, evidence / n) + m.priors
-                logit -= logit.max(1, keepdims=True)
-                share = np.exp(logit)
+                share = np.exp((whole - whole.max(1, keepdims=True)) * np.minimum(1.0, evidence / n))
                 share /= share.sum(1, keepdims=True)
-                top = share.argmax(1)
                 for j, i in enumerate(real[a:b]):
                     best[i], score[i] = m.langs[top[j]], share[j, top[j]]
             yield pa.RecordBatch.from_arrays(
@@ -145,8 +144,11 @@ def _score(model, evidence: float):
 
 
 def identify(docs: DataFrame, model: LanguageModel, evidence: float = 60.0) -> DataFrame:
-    """Language of each row of ``docs`` (doc_id, text): doc_id, lang_pred, score (posterior of that language).
+    """Language of each row of ``docs`` (doc_id, text): doc_id, lang_pred, score (tempered posterior of that language).
 
+    The language is that of the highest posterior over the whole text.  For the
+    score, log-likelihoods and priors of a text of more than ``evidence`` grams
+    are scaled down to so many.
     Null texts and texts without a letter are ``und`` with score 0, and so is
     everything if no language was learned.  Ties go to the first language by
     code point.  One row per input row, repeated rows and null ids included.

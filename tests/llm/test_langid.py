@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from rollframe.llm import langid, queries
@@ -22,6 +25,22 @@ def test_counts_are_those_of_plain_strings():
     assert langid._features(["aa"], 16, (1,))[0][1] == langid._features(["aa"], 16, (1,))[0][2]
 
 
+def test_long_texts_outweigh_the_priors():
+    """Two related languages, one of them rare: the whole text decides, and the score stays tempered and highest for it."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    grams = langid._features(["ab"], 16, (1,))[0]
+    matrix = np.full((2, 1 << 16), -9.0)
+    matrix[0, grams], matrix[1, grams] = -1.1, -1.0
+    model = langid.LanguageModel(["hot", "rare"], np.log([0.999, 0.001]), matrix, 16, (1,))
+    sent = SimpleNamespace(value=cloudpickle.dumps(model))
+    texts = ["ab" * n for n in (2, 20, 5000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts})
+    out = next(langid._score(sent, 60.0)([batch])).to_pydict()
+    assert out["lang_pred"] == ["hot", "hot", "rare"] and all(0.5 <= s < 0.9999 for s in out["score"])
+
+
 def test_partitions_do_not_matter(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one, many = langid.train(docs.coalesce(1)), langid.train(docs.repartition(7))
