@@ -103,9 +103,10 @@ def disclosing_terms(
     counted over the whole corpus, a word's disclosure of an entity is their
     pointwise mutual information over the entity's information content,
     1 + log p(entity | word) / -log p(entity): 1 where every document with the
-    word has the entity nearby.  Words seen near it in ``least_support``
-    documents, with at least ``least_share``, are returned for the rows in
-    which they stand within ``reach`` characters of the entity.
+    word has the entity.  Pairs within ``reach`` characters in some document
+    are counted over whole documents; words with the entity in ``least_support``
+    documents, with at least ``least_share``, are returned for every row that
+    holds the entity and, anywhere, the word.
     """
     one = F.explode("spans").alias("s")
     near = found.select("row_key", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), one)
@@ -117,14 +118,24 @@ def disclosing_terms(
     all_words = F.regexp_extract_all(F.lower(F.concat(F.lit(" "), "text", F.lit(" "))), F.lit(CONTEXT_WORD), F.lit(0))
     one_doc = docs.select(F.explode(F.array_distinct(all_words)).alias("term"))
     with_term = one_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    with_entity = found.select("row_key", one).select("row_key", entity).distinct()
-    with_entity = with_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least_support)
+    holds = found.select("row_key", one).select("row_key", entity).distinct()
+    with_entity = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= least_support)
+    # words are counted in all of a document, but only of pairs that are near each other in some document
+    near = near.join(with_entity, "entity", "left_semi")
+    pairs = near.select("entity", "term").distinct()
+    outside = F.concat(F.lit(" "), sanitised(F.col("text"), F.col("spans"), F.lit(" | ")), F.lit(" "))
+    own_words = F.regexp_extract_all(F.lower(outside), F.lit(CONTEXT_WORD), F.lit(0))
+    holds = holds.join(with_entity, "entity", "left_semi")
+    has = found.join(holds, "row_key", "left_semi").select("row_key", F.explode(F.array_distinct(own_words)).alias("term"))
+    has = has.join(pairs.select("term").distinct(), "term", "left_semi")
+    held = has.join(holds, "row_key").join(pairs, ["entity", "term"], "left_semi").select("row_key", "entity", "term")
+    held = cut(held.unionByName(near).distinct())
+    both = held.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least_support)
     total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
     content = F.log(total / F.col("n_entity"))
     share = F.when(content > 0, 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / content).otherwise(F.lit(0.0))
     telling = both.join(with_entity, "entity").join(with_term, "term").where(share >= least_share).select("entity", "term")
-    return near.join(telling, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return held.join(telling, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find_personal_data(
@@ -155,9 +166,9 @@ def find_personal_data(
     return out.select("doc_id", "row_key", "text", base.alias("base"), every.alias("spans"), *keep)
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with base spans generalised to their kind and disclosing terms removed; overlapping spans go as one."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
+def sanitised(text: Column, spans: Column, name: Column | None = None) -> Column:
+    """The text with base spans generalised to their kind (or ``name``) and disclosing terms removed; overlapping spans go as one."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") if name is None else name for k in KINDS], F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(state: Column, s: Column) -> Column:

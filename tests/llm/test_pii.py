@@ -131,6 +131,16 @@ def test_terms_that_tell(spark, telling):
     assert got[200]["t"] == "Call [EMAIL] filler" and got[201]["w"] == "" and got[201]["t"] == "zanzibar alone"
 
 
+def test_terms_tell_in_the_whole_document(spark, telling):
+    """A word that tells an entity goes wherever it stands in a document with the entity, and only there."""
+    far = "filler words here " * 30
+    more = spark.createDataFrame([(300, f"mail bob@corp.com {far}Zanzibar", "x"), (301, f"mail amy@corp.com {far}Zanz", "x")], telling.schema)
+    rows = pii.find_personal_data(telling.union(more)).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t")).collect()
+    got = {r["doc_id"]: r["t"] for r in rows}
+    assert got[300] == f"mail [EMAIL] {far}" and got[301] == f"mail [EMAIL] {far}Zanz"
+    assert got[201] == "zanzibar alone" and got[100] == "The   of Bob: [EMAIL],  . filler words 0"
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = pii.find_personal_data(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == [] for r in rows)
