@@ -48,8 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a narrow table to the shared folder and read it back.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write a narrow table to the shared folder, in one folder per value of ``by``, and read it back.
 
     For a result that several later steps read: they scan its columns instead
     of each working the whole plan out again, and a lost executor costs a
@@ -57,6 +57,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
