@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import fingerprint, jaccard, langid, mixing, nearest, packing, pieces, pii, substring, toxicity
+from . import fingerprint, jaccard, langid, mixing, nearest, packing, phrases, pieces, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,38 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     classes = jaccard.near_duplicates(table(spark, sf, "documents"), shingle=3, num=90, den=100)
     return classes.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, sf, "documents")))
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k
+  FROM spots, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+counted AS (SELECT lang, phrase, any_value(k) AS words, count(*)::BIGINT AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+joint AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE words > 1),
+cuts AS (
+  SELECT j.lang, j.phrase, j.f AS a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * j.f) // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM joint) j
+  JOIN counted l ON l.lang = j.lang AND l.phrase = array_to_string(j.w[1:j.k], ' ')
+  JOIN counted r ON r.lang = j.lang AND r.phrase = array_to_string(j.w[j.k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, f AS longer
+  FROM (SELECT *, unnest(range(2, words)) AS size FROM joint), (SELECT unnest([1, 2, 3]) AS i) WHERE i + size - 1 <= words),
+held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY lang, phrase),
+ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(c.phrase)) AS rank
+  FROM lowest c LEFT JOIN held h ON h.lang = c.lang AND h.phrase = c.phrase
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM ranked q JOIN totals t ON t.lang = q.lang WHERE rank <= 2000
+"""
