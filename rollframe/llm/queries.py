@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
-from . import fingerprint, jaccard, langid, mixing, nearest, negatives, packing, phrases, pieces, pii, substring, toxicity
+from . import bestfit, fingerprint, jaccard, langid, mixing, nearest, negatives, packing, phrases, pieces, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,6 +136,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op11_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    packed = bestfit.pack_best_fit(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
