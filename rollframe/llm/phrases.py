@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -123,7 +124,7 @@ def _count(step: int, shards: int, longest: int, bits: int, sent, limit: int):
         )
 
     def run(batches):
-        reached, powers = np.frombuffer(received(sent), dtype=np.uint8), Powers()
+        reached, powers = np.frombuffer(zlib.decompress(received(sent)), dtype=np.uint8), Powers()
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
             _, raw, buffer = texts.buffers()
@@ -188,7 +189,7 @@ def frequent_phrases(
 
     What is active is told by a map with 2^``bits`` cells, each holding the
     step in which a phrase of that hash reached the threshold first: one byte a
-    cell, broadcast, whatever the size of the data.  Phrases that share a cell
+    cell, broadcast in compressed form, whatever the size of the data.  Phrases that share a cell
     are counted too early at worst, but for a full cycle all the same.
 
     A null or empty text has no words; repeated rows count as often as they
@@ -206,7 +207,7 @@ def frequent_phrases(
     reached = np.full(1 << bits, NEVER, dtype=np.uint8)
     open_, complete, step, last = None, [], 0, -1
     while step <= last + shards:
-        sent = send(spark, reached.tobytes())
+        sent = send(spark, zlib.compress(reached.tobytes(), 1))
         found = dealt.where(F.col("shard") == step % shards).select("lang", "text")
         found = found.mapInArrow(_count(step, shards, longest, bits, sent, block_bytes), SCHEMA).withColumn("before", F.lit(0).cast("long"))
         every = found if open_ is None else found.unionByName(open_.withColumn("before", F.col("n")))
@@ -214,6 +215,7 @@ def frequent_phrases(
         over = F.col("since") + shards <= step
         state = every.groupBy("lang", "phrase").agg(*sums).where(~over | (F.col("n") >= least) | (F.col("words") == 0))
         state = cut(state)
+        sent.destroy()  # the step is written
         new = state.where(F.col("words").between(1, longest - 1) & (F.col("n") >= least) & (F.col("before") < least))
         cells = _new_cells(new, bits)
         cells = cells[reached[cells] == NEVER]
