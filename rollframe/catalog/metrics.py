@@ -230,26 +230,49 @@ C.add("maj_full_vote", """, p AS (SELECT data_source, uid, pred, count(*) AS n,
   r AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid ORDER BY n DESC, f) AS rk, sum(n) OVER (PARTITION BY data_source, uid) AS cnt FROM p)
 SELECT data_source, 'score' AS var, 'maj@'||CAST(cnt AS BIGINT)||'/vote' AS metric, round(avg(v),6)+0e0 AS value FROM r WHERE rk=1 GROUP BY ALL""")(
     lambda spark, sf: mets(V.maj_full_vote(rollouts(spark, sf), "score")))
-# hundredths over power-of-two prompt counts sit on ties at six places, so ten are kept
-MAJ = """, mr AS (SELECT data_source, uid, pred, score, acc, row_number() OVER (PARTITION BY data_source, uid ORDER BY traj_id) AS pos,
-        count(*) OVER (PARTITION BY data_source, uid) AS cnt FROM rollouts),
-  mns AS (SELECT cnt, unnest(list_append([p FOR p IN [2,4,8,16,32,64,128] IF p<cnt], cnt)) AS n FROM (SELECT DISTINCT cnt FROM mr WHERE cnt>1)),
-  mrp AS (SELECT n, unnest(range(1000)) AS rep FROM (SELECT DISTINCT n FROM mns)),
-  mdr AS (SELECT *, unnest(range(n)) AS j FROM mrp),
-  mu AS (SELECT *, CAST('0x'||substr(md5(n||'|'||rep||'|'||j||'|42'),1,8) AS BIGINT)/4294967296e0 AS u FROM mdr),
-  mda AS (SELECT cnt, mu.n, rep, j, CAST(floor(u*cnt) AS BIGINT)+1 AS pos FROM mu JOIN mns USING (n)),
-  mvt AS (SELECT data_source, uid, mda.n, rep, j, pred, score, acc FROM mda JOIN mr USING (cnt, pos)),
-  mp AS (SELECT data_source, uid, n, rep, pred, count(*) AS c, min(j) AS f, arg_min(score, j) AS v, arg_min(acc, j) AS a FROM mvt GROUP BY ALL),
-  mb AS (SELECT data_source, uid, n, rep, arg_max(v, c*100000000-f) AS v, arg_max(a, c*100000000-f) AS a FROM mp GROUP BY ALL),
-  me AS (SELECT data_source, uid, n, avg(v) AS vm, stddev_pop(v) AS vs, avg(a) AS am, stddev_pop(a) AS s FROM mb GROUP BY ALL),
+def _spread(name, source, cols, x):
+    """The number hash of the vote's draws, step by step."""
+    wrap = "CAST((CAST(y AS UHUGEINT)*{}) % 18446744073709551616 AS UBIGINT)"
+    return f"""{name}1 AS (SELECT {cols}, {x} AS x FROM {source}), {name}2 AS (SELECT {cols}, xor(x, x>>30) AS y FROM {name}1), {name}3 AS (SELECT {cols}, {wrap.format(13787848793156543929)} AS x FROM {name}2),
+  {name}4 AS (SELECT {cols}, xor(x, x>>27) AS y FROM {name}3), {name}5 AS (SELECT {cols}, {wrap.format(10723151780598845931)} AS x FROM {name}4), {name} AS (SELECT {cols}, xor(x, x>>31) AS x FROM {name}5)"""
+
+
+# the given tables have up to five preds: each gets its draws from a binomial of what the ones before left
+PREDS = range(1, 6)
+MAJ = """, mv AS (SELECT data_source, uid, pred, count(*) AS c, count(score) AS ks, sum(score) AS ss, sum(score*score) AS qs, count(acc) AS ka, sum(acc) AS sa, sum(acc*acc) AS qa FROM rollouts GROUP BY ALL),
+  mo AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid ORDER BY c DESC, pred) AS i FROM mv),
+  mg AS (SELECT data_source, uid, list(c ORDER BY i) AS cs, CAST(sum(c) AS BIGINT) AS cnt FROM mo GROUP BY ALL HAVING sum(c)>1),
+  mq AS (SELECT DISTINCT cs, unnest(list_append([p FOR p IN [2,4,8,16,32,64,128] IF p<cnt], cnt)) AS n FROM mg),
+  mr AS (SELECT n, unnest(range(1000)) AS rep FROM (SELECT DISTINCT n FROM mq)),
+  """ + _spread("mk", "mr", "n, rep", "CAST(42*281474976710656+n*1048576+rep AS UBIGINT)") + """,
+  mi AS (SELECT n, rep, x AS key, unnest([1,2,3,4,5]) AS i FROM mk),
+  """ + _spread("mh", "mi", "n, rep, i", "CAST((CAST(key AS UHUGEINT)+CAST(i AS UHUGEINT)*11400714819323198485) % 18446744073709551616 AS UBIGINT)") + """,
+  mu AS (SELECT n, rep, i, (CAST(x>>11 AS DOUBLE)+0.5)/9007199254740992e0 AS u FROM mh),
+  mab AS (SELECT DISTINCT cs[i] AS a, CAST(list_sum(cs[i:]) AS BIGINT) AS b FROM mg, (SELECT unnest([1,2,3,4,5]) AS i) WHERE i<len(cs)),
+  mcd AS (SELECT a, b, r, list(upto ORDER BY k) AS l FROM (SELECT *, sum(exp(lgamma(r+1)-lgamma(k+1)-lgamma(r-k+1)+k*ln(a/b)+(r-k)*ln(1-a/b))) OVER (PARTITION BY a, b, r ORDER BY k) AS upto
+    FROM (SELECT *, unnest(range(r+1)) AS k FROM (SELECT *, unnest(range((SELECT max(n) FROM mq)+1)) AS r FROM mab))) GROUP BY ALL),
+  mc0 AS (SELECT cs, mq.n, rep, mq.n AS r FROM mq JOIN mr USING (n)),
+  """ + ",\n  ".join(f"""mc{i} AS (SELECT q.* EXCLUDE (r), q.r-q.c{i} AS r FROM (SELECT p.*, CASE WHEN len(cs)<{i} THEN 0 WHEN len(cs)={i} THEN p.r ELSE len(list_filter(l, lambda x: x<=u)) END AS c{i}
+    FROM mc{i - 1} p LEFT JOIN mcd d ON d.a=cs[{i}] AND d.b=CAST(list_sum(cs[{i}:]) AS BIGINT) AND d.r=p.r JOIN mu ON mu.n=p.n AND mu.rep=p.rep AND mu.i={i}) q)""" for i in PREDS) + """,
+  mw AS (SELECT cs, n, unnest([1,2,3,4,5]) AS i, unnest([""" + ", ".join(f"avg(CASE WHEN c{i}=top THEN 1e0/ties ELSE 0e0 END)" for i in PREDS) + """]) AS w
+    FROM (SELECT *, """ + "+".join(f"CAST(c{i}=top AS INTEGER)" for i in PREDS) + """ AS ties FROM (SELECT *, greatest(c1,c2,c3,c4,c5) AS top FROM mc5)) GROUP BY cs, n),
+  me AS (SELECT data_source, uid, n, sum(w*ss/c)/sum(w*ks/c) AS vm, sum(w*qs/c)/sum(w*ks/c) AS vq, sum(w*sa/c)/sum(w*ka/c) AS am, sum(w*qa/c)/sum(w*ka/c) AS aq
+    FROM mg JOIN mw USING (cs) JOIN mo USING (data_source, uid, i) GROUP BY ALL),
   mj AS (SELECT data_source, 'score' AS var, 'maj@'||n||'/mean' AS metric, avg(vm) AS v FROM me GROUP BY ALL
-    UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', avg(vs) FROM me GROUP BY ALL
+    UNION ALL SELECT data_source, 'score', 'maj@'||n||'/std', avg(sqrt(greatest(vq-vm*vm,0))) FROM me GROUP BY ALL
     UNION ALL SELECT data_source, 'acc', 'maj@'||n||'/mean', avg(am) FROM me GROUP BY ALL
-    UNION ALL SELECT data_source, 'acc', 'maj@'||n||'/std', avg(s) FROM me GROUP BY ALL)
+    UNION ALL SELECT data_source, 'acc', 'maj@'||n||'/std', avg(sqrt(greatest(aq-am*am,0))) FROM me GROUP BY ALL)
 """
-C.add("maj_at_n", MAJ + "SELECT data_source, var, metric, round(v,10)+0e0 AS value FROM mj")(
-    lambda spark, sf: V.maj_at_n(rollouts(spark, sf), ["score", "acc"]).select(
-        "data_source", "var", "metric", (F.round("value", 10) + 0.0).alias("value")))
+# a deviation is the root of a difference, so it is known to fewer places than a mean
+PLACES = "CASE WHEN metric LIKE '%std%' THEN round(v,6) ELSE round(v,10) END"
+
+
+def places(df):
+    return df.select("data_source", "var", "metric", (F.when(F.col("metric").contains("std"), F.round("value", 6)).otherwise(F.round("value", 10)) + 0.0).alias("value"))
+
+
+C.add("maj_at_n", MAJ + f"SELECT data_source, var, metric, {PLACES}+0e0 AS value FROM mj")(
+    lambda spark, sf: places(V.maj_at_n(rollouts(spark, sf), ["score", "acc"])))
 REP = """, al AS (SELECT data_source, var, metric, v FROM {ms} UNION ALL SELECT data_source, var, metric, avg(v) FROM u GROUP BY ALL),
   nn AS (SELECT *, CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT) AS n, max(CAST(regexp_extract(metric,'@(\\d+)',1) AS BIGINT)) OVER (PARTITION BY data_source, var) AS top FROM al)
 SELECT CASE WHEN var='acc' AND regexp_matches(metric,'^(mean|maj|best)') AND n=top THEN 'val-core' ELSE 'val-aux' END||'/'||data_source||'/'||var||'/'||metric AS name,
@@ -293,6 +316,18 @@ def _(spark, sf):
     return mets(V.partials_to_metrics(parts))
 
 
+@C.add("incremental_validation_counts", SA + BW + MAJ + f""", al AS (SELECT * FROM {MS} UNION ALL SELECT data_source, var, metric, avg(v) FROM u GROUP BY ALL UNION ALL SELECT * FROM mj)
+SELECT data_source, var, metric, {PLACES}+0e0 AS value FROM al""")
+def _(spark, sf):
+    """Best, worst and majority of late results too: whole histograms merge, in any order of the parts."""
+    r = rollouts(spark, sf).select("data_source", "uid", "traj_id", "pred", "score", "acc")
+    late = F.xxhash64("traj_id") % 3
+    parts = [r.where(late == 2), r.where(late == 0), r.where((late != 0) & (late != 2))]
+    values = V.merge_value_counts(*[V.value_counts(V.melt_vars(p, ["score", "acc"])) for p in parts])
+    votes = V.merge_vote_counts(*[V.vote_counts(p, ["score", "acc"]) for p in parts])
+    return places(V.counts_to_metrics(values, votes))
+
+
 # ---------------------------------------------------------------- demonstrations
 C.add("successful_by_group", """SELECT uid, traj_id, row_number() OVER (PARTITION BY uid ORDER BY traj_id) AS success_no FROM rollouts WHERE score>=1""")(
     lambda spark, sf: D.successful_by_group(rollouts(spark, sf)))

@@ -197,9 +197,9 @@ SELECT traj_id, t, CASE WHEN k1>=ln(0.5) AND k1<=ln(2.0) THEN mask ELSE 0 END AS
                               is_weight="is_weight", advantage="advantage"))
 # a thousand draws over few prompts lie on ties at six places, and a deviation is known to fewer places than a mean
 C.add("evaluate", SA + BW + MAJ + REP.format(ms=f"(SELECT * FROM {MS} UNION ALL SELECT * FROM mj)").replace(
-    "round(v,6)", "CASE WHEN metric LIKE '%std%' THEN round(v,7) ELSE round(v,10) END"))(
+    "round(v,6)", "CASE WHEN metric LIKE '%std%' THEN round(v,6) ELSE round(v,10) END"))(
     lambda spark, sf: P.evaluate(rollouts(spark, sf)).select(
-        "name", (F.when(F.col("name").contains("std"), F.round("value", 7)).otherwise(F.round("value", 10)) + 0.0).alias("value")))
+        "name", (F.when(F.col("name").contains("std"), F.round("value", 6)).otherwise(F.round("value", 10)) + 0.0).alias("value")))
 
 
 @C.add("build_prompt_table", """, l AS (SELECT doc_id, lang, text, n_chars, row_number() OVER (ORDER BY doc_id)-1 AS idx, len(list_filter(regexp_split_to_array(text,'\\s+'), lambda w: w<>'')) AS words FROM documents)

@@ -7,20 +7,18 @@ aggregation; a prompt group of any size is spread by Spark.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from hashlib import md5
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_unit
-from ..functions.groups import attach_group_stats, cumulative_by_value, number_rows
+from ..functions.groups import attach_group_stats, cumulative_by_value
 
 GROUP = ["data_source", "uid", "var"]
-GROUP_ROWS = 1 << 16
-KEPT_DRAWS = 1 << 24
-BLOCK_CELLS = 1 << 22
+#: Shares of wins that a task keeps for groups of equal counts, as numbers.
+KEPT_SHARES = 1 << 22
 
 
 def melt_vars(rollouts: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -69,7 +67,10 @@ def best_worst_at_n(samples: DataFrame) -> DataFrame:
     draws equals the value with probability (C/N)^n - ((C-c)/N)^n; the worst
     mirrors it.  These are the limits of the resampled estimates.
     """
-    counts = samples.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("c"))
+    return _best_worst(value_counts(samples))
+
+
+def _best_worst(counts: DataFrame) -> DataFrame:
     upto = cumulative_by_value(counts, GROUP, "value", "c", "upto")
     size = counts.groupBy(*GROUP).agg(F.sum("c").alias("size")).where("size > 1")
     d = upto.join(size, GROUP).withColumn("n", F.explode(subset_sizes(F.col("size"))))
@@ -104,122 +105,108 @@ def majority_vote(votes: DataFrame, keys: Sequence[str] = ("data_source", "uid")
     return by_pred.groupBy(*keys).agg(F.min_by("_v", F.struct((-F.col("_n")).alias("n"), "_first")).alias("value"))
 
 
-def _uniforms(n: int, rep: int, seed: int) -> np.ndarray:
-    """The n draws of one repeat, as ``hash_unit`` gives them in a column."""
-    heads = (md5(f"{n}|{rep}|{j}|{seed}".encode()).hexdigest()[:8] for j in range(n))
-    return np.array([int(h, 16) for h in heads], dtype=float) / 4294967296.0
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def _uniforms(n: int, n_boot: int, i: int, seed: int) -> np.ndarray:
+    """The i-th number of every repeat of n draws: a hash of counters, the same everywhere."""
+    step = np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    key = _spread((np.uint64(seed) << np.uint64(48)) + (np.uint64(n) << np.uint64(20)) + np.arange(n_boot, dtype=np.uint64))
+    return ((_spread(key + step) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
-def _draw_table(size: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per repeat and position of a group: how often it is drawn, and draw * size + position of its first draw."""
-    n = unit.shape[1]
-    at = np.floor(unit * size).astype(np.int64)
-    row = np.arange(len(at))
-    times = np.bincount((row[:, None] * size + at).ravel(), minlength=len(at) * size).reshape(len(at), size)
-    first = np.full((len(at), size), n * size, dtype=np.int64)
-    for j in range(n - 1, -1, -1):
-        first[row, at[:, j]] = j * size + at[:, j]
-    return times, first
 
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 64.0)))])
+    y = np.maximum(x, 16.0) + 1.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 64, small[np.clip(x, 0, 63).astype(np.int64)], series)
 
-def _votes(n_boot: int, seed: int, n_values: int, block_cells: int):
-    """Rows of whole prompt groups (preds and values in order) to mean and std of the vote's value per subset size.
 
-    Which positions are drawn depends on the group's size only, so groups of
-    one size share their draws; a group adds them up by pred.
+def _binomial(draws: np.ndarray, share: float, unit: np.ndarray) -> np.ndarray:
+    """The least count whose cumulative binomial probability exceeds ``unit``, for each number of draws.
+
+    Sums run over twelve standard deviations to either side; what lies beyond
+    is less than a double can hold beside 1.
+    """
+    if share >= 1:
+        return draws.copy()
+    sizes, row = np.unique(draws, return_inverse=True)
+    spread = 12 * np.sqrt(sizes * share * (1 - share)) + 12
+    low = np.maximum(0, np.floor(sizes * share - spread))
+    width = int(min(sizes.max(), np.ceil(2 * spread.max() + 1))) + 1
+    k = low[:, None] + np.arange(width)
+    left = sizes[:, None] - k
+    log = _log_factorial(sizes.astype(float))[:, None] - _log_factorial(k) - _log_factorial(np.maximum(left, 0)) + k * np.log(share) + left * np.log1p(-share)
+    upto = np.cumsum(np.where(left >= 0, np.exp(np.where(left >= 0, log, -np.inf)), 0.0), axis=1)
+    found = low[row].astype(np.int64) + (upto[row] <= unit[:, None]).sum(1)
+    return np.minimum(found, draws)
+
+
+def majority_shares(counts: Sequence[int], n: int, n_boot: int, seed: int) -> np.ndarray:
+    """How often each pred wins the vote of ``n`` draws with replacement, from ``n_boot`` repeats.
+
+    ``counts`` are the preds' counts in falling order.  Draws per pred follow
+    from conditional binomials, one uniform number each, so the cost is per
+    pred and not per draw; it ends where no later pred can win any more.  Tied
+    preds share a win: which of them is drawn first is equally likely.
     """
+    left, rest = np.full(n_boot, n, dtype=np.int64), sum(counts)
+    drawn: list[np.ndarray] = []
+    most = np.zeros(n_boot, dtype=np.int64)
+    for i, c in enumerate(counts):
+        if (left < most).all():
+            break
+        drawn.append(_binomial(left, c / rest, _uniforms(n, n_boot, i, seed)))
+        left, rest, most = left - drawn[-1], rest - c, np.maximum(most, drawn[-1])
+    wins = np.stack(drawn) == most
+    shares = np.zeros(len(counts))
+    shares[: len(drawn)] = (wins / wins.sum(0)).mean(1)
+    return shares
+
+
+def _votes(n_boot: int, seed: int):
+    """Rows of whole prompt groups (counts and sums per pred) to mean and std of the vote's value per subset size."""
 
     def run(batches):
-        kept: dict[tuple[int, int], tuple] = {}
-        units: dict[int, np.ndarray] = {}
-
-        def drawn(size: int, n: int):
-            """The draws in blocks of repeats; those of small groups are kept."""
-            if (size, n) in kept:
-                yield kept[size, n]
-                return
-            step = max(1, block_cells // size)
-            for lo in range(0, n_boot, step):
-                if n in units:
-                    unit = units[n][lo : lo + step]
-                else:
-                    unit = np.stack([_uniforms(n, r, seed) for r in range(lo, min(n_boot, lo + step))])
-                block = _draw_table(size, unit)
-                if step >= n_boot and len(kept) * size * n_boot <= KEPT_DRAWS:
-                    kept[size, n], units[n] = block, unit
-                yield block
-
+        kept: dict[tuple, np.ndarray] = {}
+        held = 0
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                members = row["members"]
-                size = len(members)
-                codes = {p: i for i, p in enumerate(dict.fromkeys(m["pred"] for m in members))}
-                code = np.array([codes[m["pred"]] for m in members])
-                by_pred = np.argsort(code, kind="stable")
-                begin = np.searchsorted(code[by_pred], np.arange(len(codes)))
-                values = np.array([[np.nan if x is None else x for x in m["values"]] for m in members], dtype=float)
+                preds = row["preds"]
+                counts = tuple(-p["minus"] for p in preds)
+                size = sum(counts)
+                known, total, square = (np.array([p[c] for p in preds], dtype=float) / counts for c in ("known", "s", "q"))
                 for n in sorted({1 << b for b in range(1, 53) if 1 << b < size} | {size}):
-                    picked = []
-                    for times, first in drawn(size, n):
-                        count = np.add.reduceat(times[:, by_pred], begin, axis=1)
-                        earliest = np.minimum.reduceat(first[:, by_pred], begin, axis=1)
-                        # the most frequent pred, of equals the one drawn first
-                        lead = (count * (n * size + 1) - earliest).argmax(1)
-                        picked.append(earliest[np.arange(len(lead)), lead] % size)
-                    won = values[np.concatenate(picked)]
-                    for v in range(n_values):
-                        real = won[:, v][~np.isnan(won[:, v])]
-                        if len(real):
-                            out.append((row["data_source"], v, n, float(real.mean()), float(real.std())))
+                    shares = kept.get((counts, n))
+                    if shares is None:
+                        shares = majority_shares(counts, n, n_boot, seed)
+                        if held + len(counts) <= KEPT_SHARES:
+                            kept[counts, n] = shares
+                            held += len(counts)
+                    real = float(shares @ known)
+                    if real > 0:
+                        mean = float(shares @ total) / real
+                        out.append((row["data_source"], row["var"], n, mean, max(0.0, float(shares @ square) / real - mean * mean) ** 0.5))
             columns = list(zip(*out)) if out else [[]] * 5
-            types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["data_source", "v", "n", "m", "s"])
+            types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["data_source", "var", "n", "m", "s"])
 
     return run
 
 
-def _votes_by_join(rollouts: DataFrame, values: list[str], n_boot: int, seed: int, order: str) -> DataFrame:
-    """The same with a row per draw, for groups that don't fit a row: it finds its rollout by the position in the group."""
-    keys = ["data_source", "uid"]
-    pos = number_rows(rollouts, order, "_pos", keys)
-    pool = pos.select(*keys, F.col("_pos").alias("_at"), "pred", F.array(*[F.col(v).cast("double") for v in values]).alias("value"))
-    sizes = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    reps = sizes.withColumn("n", F.explode(subset_sizes(F.col("size")))).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    )
-    draws = reps.repartition("uid", "n", "rep").withColumn("order", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = F.floor(hash_unit("n", "rep", "order", seed=seed) * F.col("size")).cast("long") + 1
-    votes = draws.withColumn("_at", at).drop("size").join(pool.hint("merge"), [*keys, "_at"])
-    per_rep = majority_vote(votes, [*keys, "n", "rep"]).select(*keys, "n", F.posexplode("value").alias("v", "value"))
-    return per_rep.groupBy(*keys, "n", "v").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).where("m IS NOT NULL").select(
-        "data_source", "v", "n", "m", "s"
-    )
-
-
-def maj_at_n(
-    rollouts: DataFrame, value: str | Sequence[str], n_boot: int = 1000, seed: int = 42, order: str = "traj_id", group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Resampled majority vote: mean and std over ``n_boot`` draws of n rollouts, n = 2, 4, 8, ..., N, for every ``value``.
-
-    A vote shows the value of the first drawn rollout of its most frequent pred
-    (ties: the pred drawn first).  Draw numbers depend on (n, repeat, draw)
-    only.  A prompt group is one row, folded draw by draw without a row per
-    draw; a group beyond ``group_rows`` is drawn by a join instead, with the
-    same draws and the same result.
-    """
-    values = [value] if isinstance(value, str) else list(value)
-    keys = ["data_source", "uid"]
-    slim = rollouts.select(*keys, "pred", order, *values)
-    sized = attach_group_stats(slim, keys, [F.count(F.lit(1)).alias("_size")])
-    member = F.struct(F.col(order).alias("order"), F.col("pred").cast("string").alias("pred"), F.array(*[F.col(v).cast("double") for v in values]).alias("values"))
-    packed = sized.where(F.col("_size").between(2, group_rows)).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
-    folded = packed.select("data_source", "members").mapInArrow(_votes(n_boot, seed, len(values), BLOCK_CELLS), "data_source string, v int, n long, m double, s double")
-    large = _votes_by_join(sized.where(F.col("_size") > group_rows).drop("_size"), values, n_boot, seed, order)
-    g = folded.unionByName(large)
+def majority_at_n(votes: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """``maj_at_n`` from votes counted by ``vote_counts``, merged or not."""
+    pred = F.struct((-F.col("n")).alias("minus"), "pred", "known", "s", "q")
+    prompts = votes.groupBy(*GROUP).agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(pred)).alias("preds")).where("size > 1")
+    g = prompts.select("data_source", "var", "preds").mapInArrow(_votes(n_boot, seed), "data_source string, var string, n long, m double, s double")
     n = F.col("n").cast("string")
     rows = g.select(
-        "data_source", F.element_at(F.array(*[F.lit(v) for v in values]), F.col("v") + 1).alias("var"),
+        "data_source", "var",
         _named(
             (F.concat(F.lit("maj@"), n, F.lit("/mean")), F.col("m")),
             (F.concat(F.lit("maj@"), n, F.lit("/std")), F.col("s")),
@@ -228,14 +215,24 @@ def maj_at_n(
     return _over_prompts(rows)
 
 
+def maj_at_n(rollouts: DataFrame, value: str | Sequence[str], n_boot: int = 1000, seed: int = 42, order: str = "traj_id") -> DataFrame:
+    """Resampled majority vote: mean and std of the vote over draws of n rollouts, n = 2, 4, 8, ..., N, for every ``value``.
+
+    A vote shows the value of the first drawn rollout of its most frequent pred
+    (ties: the pred drawn first).  ``n_boot`` repeats tell how often each pred
+    wins; which of a pred's rollouts comes first is equally likely for all of
+    them, so the pred's own mean and mean square stand for the value.  Rollouts
+    without a value are left out where they come first.
+
+    Rollouts are counted by pred before the shuffle.  A task holds one prompt's
+    distinct preds, a number each, whatever the number of its rollouts.
+    """
+    return majority_at_n(vote_counts(rollouts, [value] if isinstance(value, str) else list(value), order), n_boot, seed)
+
+
 def maj_full_vote(rollouts: DataFrame, value: str, order: str = "traj_id") -> DataFrame:
     """Majority vote over all N rollouts of each prompt, averaged per source and N."""
-    votes = rollouts.select("data_source", "uid", "pred", F.col(value).cast("double").alias("value"), F.col(order).alias("order"))
-    per = majority_vote(votes).join(rollouts.groupBy("data_source", "uid").agg(F.count(F.lit(1)).alias("size")), ["data_source", "uid"])
-    rows = per.select(
-        "data_source", F.lit(value).alias("var"), F.concat(F.lit("maj@"), F.col("size").cast("string"), F.lit("/vote")).alias("metric"), "value"
-    )
-    return _over_prompts(rows)
+    return full_vote(vote_counts(rollouts, [value], order))
 
 
 def validation_report(metrics: DataFrame, fallback: str = "reward") -> DataFrame:
@@ -292,6 +289,63 @@ def explode_responses(prompts: DataFrame, responses: str = "responses") -> DataF
 
 
 # ---------------------------------------------------------------- late results
+def value_counts(samples: DataFrame) -> DataFrame:
+    """Mergeable histogram of a prompt's values: ``data_source, uid, var, value, c``."""
+    return samples.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def vote_counts(rollouts: DataFrame, variables: Sequence[str], order: str = "traj_id") -> DataFrame:
+    """Mergeable votes of a prompt: per variable and pred, how many (``n``), the first one's place and value, and the values' number, sum and squares."""
+    pairs = [F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("value")) for v in variables]
+    rows = rollouts.select("data_source", "uid", F.col("pred").cast("string").alias("pred"), F.col(order).alias("first"), F.inline(F.array(*pairs)))
+    v = F.col("value")
+    return rows.groupBy(*GROUP, "pred").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min_by(F.struct("value"), "first")["value"].alias("head"),
+        F.count(v).alias("known"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q"),
+    )
+
+
+def merge_value_counts(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy(*GROUP, "value").agg(F.sum("c").alias("c"))
+
+
+def merge_vote_counts(*parts: DataFrame) -> DataFrame:
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy(*GROUP, "pred").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by(F.struct("head"), "first")["head"].alias("head"),
+        F.sum("known").alias("known"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+    )
+
+
+def full_vote(votes: DataFrame) -> DataFrame:
+    """Majority vote over all rollouts of each prompt, from counted votes; ties go to the pred seen first."""
+    lead = F.min_by(F.struct("head"), F.struct((-F.col("n")).alias("minus"), "first"))["head"].alias("value")
+    per = votes.groupBy(*GROUP).agg(F.sum("n").alias("size"), lead)
+    return _over_prompts(per.select("data_source", "var", F.concat(F.lit("maj@"), F.col("size").cast("string"), F.lit("/vote")).alias("metric"), "value"))
+
+
+def _mean_std(counts: DataFrame) -> DataFrame:
+    c, v = F.col("c"), F.col("value")
+    mean = (F.sum(c * v) / F.sum(F.when(v.isNotNull(), c))).alias("_m")
+    d = attach_group_stats(counts, GROUP, [mean])
+    g = d.groupBy(*GROUP).agg(
+        F.first("_m").alias("m"), F.sqrt(F.sum(c * (v - F.col("_m")) * (v - F.col("_m"))) / F.sum(F.when(v.isNotNull(), c))).alias("s"), F.sum(c).alias("n")
+    )
+    n = F.col("n").cast("string")
+    return _over_prompts(g.select("data_source", "var", _named(
+        (F.concat(F.lit("mean@"), n), F.col("m")), (F.concat(F.lit("std@"), n), F.when(F.col("n") > 1, F.col("s"))))))
+
+
+def counts_to_metrics(values: DataFrame, votes: DataFrame | None = None, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """All validation metrics (mean, std, best, worst and, with votes, majority at n) from counted values and votes.
+
+    Counts of parts add up, so late or resumed results give the metrics of one
+    run over everything, in whatever parts and order they came.
+    """
+    metrics = _mean_std(values).unionByName(_best_worst(values))
+    return metrics if votes is None else metrics.unionByName(majority_at_n(votes, n_boot, seed))
+
+
 def validation_partials(samples: DataFrame) -> DataFrame:
     """Mergeable (n, sum, sum of squares) per prompt and variable."""
     v = F.col("value")

@@ -35,8 +35,10 @@ def training_step(tokens: DataFrame, rules: list[O.Rule], beta: float = 0.001, t
 
 
 def evaluate(rollouts: DataFrame, variables=("score", "acc")) -> DataFrame:
-    """The report of one validation run, from scored rollouts: mean, best, worst and majority at n of every variable."""
+    """The report of one validation run, from scored rollouts: mean, best, worst and majority at n of every variable.
+
+    All of them follow from counted values and votes, which are written once.
+    """
     names = list(variables)
-    r = cut(rollouts.select("data_source", "uid", "traj_id", "pred", *names))
-    s = V.melt_vars(r, names)
-    return V.validation_report(V.mean_std_at_n(s).unionByName(V.best_worst_at_n(s)).unionByName(V.maj_at_n(r, names)))
+    values, votes = V.value_counts(V.melt_vars(rollouts, names)), V.vote_counts(rollouts, names)
+    return V.validation_report(V.counts_to_metrics(cut(values), cut(votes)))

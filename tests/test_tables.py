@@ -1,9 +1,12 @@
 """Validation, packing, algebra, scoring and error paths on small fixtures."""
 
 import itertools
+import math
 import random
+import time
 from bisect import bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,14 +59,59 @@ def test_maj_at_two_is_near_its_law(spark):
     assert metric(m, ("s", "maj@2/mean")) == pytest.approx(2.5, abs=0.15)
 
 
-def test_majority_in_rows_and_by_join_agree(spark, monkeypatch):
+def vote_law(counts, n):
+    """How likely each pred is to win ``n`` draws with replacement, over all sequences of draws."""
+    size, wins = sum(counts), [0.0] * len(counts)
+    for draws in itertools.product(range(len(counts)), repeat=n):
+        seen = [draws.count(i) for i in range(len(counts))]
+        first = next(i for i in draws if seen[i] == max(seen))
+        wins[first] += math.prod(counts[i] / size for i in draws)
+    return wins
+
+
+@pytest.mark.parametrize("counts, n", [((3, 3), 2), ((5, 2, 1), 4), ((2, 2, 2, 1), 7), ((1, 1, 1, 1, 1), 5), ((7,), 3)])
+def test_majority_shares_follow_the_law(counts, n):
+    got = V.majority_shares(counts, n, 40_000, 7)
+    assert sum(got) == pytest.approx(1)
+    assert list(got) == pytest.approx(vote_law(counts, n), abs=0.01)
+
+
+def test_binomials_are_the_inverse_of_their_sums():
+    unit = np.array([1e-9, 0.1, 0.5, 0.9, 1 - 1e-9])
+    for n, p in ((1, 0.5), (9, 0.2), (40, 0.97)):
+        upto = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        assert V._binomial(np.full(5, n), p, unit).tolist() == [int((upto <= u).sum()) for u in unit]
+    assert V._binomial(np.array([0, 3, 0]), 0.3, np.array([0.9, 0.99999, 0.1])).tolist() == [0, 3, 0]
+    draws = V._binomial(np.full(4000, 1 << 20), 0.25, (np.arange(4000) + 0.5) / 4000)
+    assert draws.mean() == pytest.approx(1 << 18, rel=1e-3) and draws.std() == pytest.approx((3 / 16 * (1 << 20)) ** 0.5, rel=0.02)
+
+
+def test_a_prompt_with_very_many_rollouts_costs_its_preds_only():
+    start = time.perf_counter()
+    got = V.majority_shares((40_000, 38_000, *[1] * 500), 65_536, 1000, 1)
+    assert got[0] > 0.99 and time.perf_counter() - start < 20
+
+
+def test_counted_results_merge_to_those_of_one_run(spark):
+    """Mean, std, best, worst and majority of parts in any split and order; null preds and values among them."""
     rnd = random.Random(9)
     rows = [("s", g, g * 100 + i, rnd.choice(["A", "B", None, "C"]), rnd.choice([None, 0.0, 0.5, 1.0]), float(i)) for g in range(6) for i in range(3 * g + 1)]
     d = spark.createDataFrame(rows, "data_source string, uid long, traj_id long, pred string, score double, acc double")
-    show = lambda limit: sorted((r["var"], r["metric"], round(r["value"], 9)) for r in V.maj_at_n(d, ["score", "acc"], 40, group_rows=limit).collect())
-    whole = show(1 << 16)
-    monkeypatch.setattr(V, "BLOCK_CELLS", 64)  # blocks of a few repeats
-    assert whole == show(1) == show(7) == show(1 << 16) and {m for _, m, _ in whole} >= {"maj@2/mean", "maj@16/std"}
+    names = ["score", "acc"]
+    show = lambda m: {(r["var"], r["metric"]): r["value"] for r in m.collect()}
+
+    def counted(parts):
+        values = V.merge_value_counts(*[V.value_counts(V.melt_vars(p, names)) for p in parts])
+        return values, V.merge_vote_counts(*[V.vote_counts(p, names) for p in parts])
+
+    whole = show(V.counts_to_metrics(V.value_counts(V.melt_vars(d, names)), V.vote_counts(d, names), 200))
+    split = [d.where(F.col("traj_id") % 3 == k) for k in (2, 0, 1)]
+    values, votes = counted(split)
+    merged = show(V.counts_to_metrics(values, votes, 200))
+    assert merged == pytest.approx(whole) and {m for _, m in whole} >= {"mean@4", "std@4", "best@2/mean", "worst@16/std", "maj@2/mean", "maj@16/std"}
+    plain = show(V.mean_std_at_n(V.melt_vars(d, names)).unionByName(V.maj_at_n(d, names, 200)))
+    assert {k: whole[k] for k in plain} == pytest.approx(plain)
+    assert show(V.full_vote(votes.where("var = 'acc'"))) == pytest.approx(show(V.maj_full_vote(d, "acc")))
 
 
 def test_throughput_and_timing_golden(spark):
