@@ -16,7 +16,7 @@ from ..session import shared_dir
 from ..streaming import freshness as FR
 from ..streaming import metrics as SM
 from .batch import part_checks
-from .metrics import AGG_CASE, BW, MAJ, MS, REP, SA, SM as STEP_SQL, nv, step_metrics
+from .metrics import AGG_CASE, BW, MAJ, MS, PLACES, REP, SA, SM as STEP_SQL, nv, places, step_metrics
 from .oracle import CATALOG as C
 
 DAY = "CAST(dayofmonth(ts) AS BIGINT)"
@@ -65,17 +65,30 @@ def _(spark, sf):
     at = home(spark)
     schema = landed(spark, sf, f"{at}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    FR.run_available(FR.bounded_buffer_stream(stream, 50), FR.batch_folder(f"{at}/out"), f"{at}/checkpoint", "update")
-    return FR.merge_shards(spark.read.parquet(f"{at}/out"), 50)
+    FR.run_available(FR.bounded_buffer_stream(stream, 50, shards=4), FR.batch_folder(f"{at}/out"), f"{at}/checkpoint")
+    return FR.merge_changes(spark.read.parquet(f"{at}/out"), 50).drop("expired")
 
 
 C.add("bounded_buffer", SP + "SELECT sample_id, param_version, row_number() OVER (PARTITION BY queue, param_version ORDER BY sample_id DESC)<=10 AS kept FROM sp")(
     lambda spark, sf: FR.bounded_buffer(samples(spark, sf), 10, ["queue", "param_version"], "sample_id").select("sample_id", "param_version", "kept"))
 C.add("buffer_statistics", SP + ", k AS (SELECT queue, param_version, count(*) AS n FROM sp GROUP BY ALL) SELECT queue, param_version, n AS produced, least(n,10) AS queue_size, greatest(n-10,0) AS dropped FROM k")(
     lambda spark, sf: FR.buffer_statistics(FR.bounded_buffer(samples(spark, sf), 10, ["queue", "param_version"], "sample_id"), ["queue", "param_version"]))
-C.add("stale_counts", SP + """, c AS (SELECT current_version, count(*) AS samples, count(*) FILTER (current_version-param_version>=1) AS stale_samples, count(*) FILTER (current_version-v1>=1) AS stale_trajectories FROM sp GROUP BY 1)
-SELECT *, CAST(sum(stale_samples) OVER (ORDER BY current_version) AS BIGINT) AS stale_samples_processed, CAST(sum(stale_trajectories) OVER (ORDER BY current_version) AS BIGINT) AS stale_trajectory_processed FROM c""")(
-    lambda spark, sf: FR.stale_counts(samples(spark, sf)))
+STALE = SP + """, c AS (SELECT current_version, count(*) AS samples, count(*) FILTER (current_version-param_version>=1) AS stale_samples, count(*) FILTER (current_version-v1>=1) AS stale_trajectories FROM sp GROUP BY 1)
+SELECT *, CAST(sum(stale_samples) OVER (ORDER BY current_version) AS BIGINT) AS stale_samples_processed, CAST(sum(stale_trajectories) OVER (ORDER BY current_version) AS BIGINT) AS stale_trajectory_processed FROM c"""
+C.add("stale_counts", STALE)(lambda spark, sf: FR.stale_counts(samples(spark, sf)))
+
+
+@C.add("stale_counts_stream", STALE)
+def _(spark, sf):
+    """Samples in any order, the stream stopped and started again in between."""
+    at = home(spark)
+    d = samples(spark, sf)
+    versions = d.select("sample_id", "current_version")
+    for part in range(3):
+        d.where(F.pmod(F.xxhash64("sample_id"), F.lit(3)) == part).drop("current_version").repartition(2, "sample_id").write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(d.drop("current_version").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        FR.run_available(FR.stale_counts_stream(stream, versions), FR.batch_folder(f"{at}/out"), f"{at}/checkpoint", "update")
+    return FR.stale_totals(spark.read.parquet(f"{at}/out"))
 
 
 @C.add("mark_stale", SP + "SELECT sample_id, current_version-param_version>=1 AS stale FROM sp")
@@ -129,6 +142,20 @@ C.add("assemble_batches", AB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, C
     lambda spark, sf: part_checks(assembled(spark, sf).where("complete").withColumnRenamed("sample_id", "traj_id"), "response_len"))
 C.add("assemble_batches_rows", AB + "SELECT sample_id, CAST(batch_id AS BIGINT) AS batch_id, (batch_id+1)*96<=n AS complete, (batch_id+1)*96>n AS waits FROM b")(
     lambda spark, sf: assembled(spark, sf).select("sample_id", "batch_id", "complete", F.col("part").isNull().alias("waits")))
+@C.add("assemble_stream_rows", AB + "SELECT sample_id, CAST(batch_id AS BIGINT) AS batch_id, (batch_id+1)*96<=n AS complete, (batch_id+1)*96>n AS waits FROM b")
+def _(spark, sf):
+    """Uneven files, one a micro-batch, with a stop in between: the batches are those of the whole table."""
+    at = home(spark)
+    d = samples(spark, sf)
+    cuts = [0, 50, 51, 700, 10_000, 1 << 60]
+    for low, high in zip(cuts, cuts[1:]):
+        d.where(F.col("sample_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        if high in (51, cuts[-1]):
+            stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+            FR.assemble_stream(stream, f"{at}/out", f"{at}/checkpoint", 96, "sample_id", 4)
+    return FR.assembled_batches(spark, f"{at}/out").select("sample_id", "batch_id", "complete", F.col("part").isNull().alias("waits"))
+
+
 C.add("batch_statistics", AB + """SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS samples, CAST(sum(response_len) AS BIGINT) AS tokens, round(avg(processing_time),8)+0e0 AS processing_time_avg, round(max(processing_time),6)+0e0 AS processing_time_max,
   round(min(processing_time),6)+0e0 AS processing_time_min, round(quantile_cont(processing_time,0.5),5)+0e0 AS processing_time_tp50, round(quantile_cont(processing_time,0.95),5)+0e0 AS processing_time_tp95,
   round(quantile_cont(processing_time,0.99),5)+0e0 AS processing_time_tp99, max(response_len/8)+0e0 AS tool_calls_max, min(response_len/8)+0e0 AS tool_calls_min, round(avg(response_len/8),8)+0e0 AS tool_calls_mean,
@@ -179,6 +206,46 @@ def _(spark, sf):
     return rounded(SM.merged_validation(spark, f"{at}/out"), "data_source", "var", "metric", value="value")
 
 
+@C.add("incremental_validation_counts_stream", SA + BW + MAJ + f""", al AS (SELECT * FROM {MS} UNION ALL SELECT data_source, var, metric, avg(v) FROM u GROUP BY ALL UNION ALL SELECT * FROM mj)
+SELECT data_source, var, metric, {PLACES}+0e0 AS value FROM al""")
+def _(spark, sf):
+    at = home(spark)
+    r = rollouts(spark, sf).select("data_source", "uid", "traj_id", "pred", "score", "acc")
+    r.repartition(3, "traj_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    SM.stream_validation_counts(stream, ["score", "acc"], f"{at}/out", f"{at}/checkpoint")
+    return places(SM.merged_validation_counts(spark, f"{at}/out"))
+
+
+@C.add("stream_rollouts_late", SP + "SELECT sample_id, queue, param_version FROM sp WHERE NOT (param_version<=3 AND sample_id%5=0)")
+def _(spark, sf):
+    """A short delay: a fifth of the first three days comes after everything else, and is refused."""
+    at = home(spark)
+    d = samples(spark, sf)
+    late = (F.col("param_version") <= 3) & (F.col("sample_id") % 5 == 0)
+    for part in (d.where(~late & (F.col("param_version") <= 15)), d.where(~late & (F.col("param_version") > 15)), d.where(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = FR.stream_rollouts(spark, f"{at}/in", d.schema, "sample_id", "ts", "1 hour", files_per_trigger=1)
+    FR.run_available(stream, FR.batch_folder(f"{at}/out"), f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").select("sample_id", "queue", "param_version")
+
+
+@C.add("streaming_step_metrics_late", VN + """SELECT CAST(param_version AS BIGINT) AS param_version, name, round(sum(value),6)+0e0 AS total, count(*) AS n, round(max(value),6)+0e0 AS high, round(min(value),6)+0e0 AS low,
+  round(arg_max(value, step),6)+0e0 AS last FROM vn WHERE NOT (step<(SELECT max(step)//4 FROM vn) AND step%3=0) GROUP BY ALL""")
+def _(spark, sf):
+    """A short delay: spans behind the watermark leave the state, and a third of the first quarter's steps, which comes last, is refused."""
+    at = home(spark)
+    m = version_metrics(spark, sf).withColumn("ts", F.timestamp_seconds("step"))
+    m = m.withColumn("_top", m.agg(F.max("step")).scalar())
+    late = (F.col("step") < F.expr("_top div 4")) & (F.col("step") % 3 == 0)
+    for part in (m.where(~late & F.expr("step < _top div 2")), m.where(~late & F.expr("step >= _top div 2")), m.where(late)):
+        part.drop("_top").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(m.drop("_top").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    FR.run_available(SM.streaming_step_metrics(stream, span="1 second", delay="1 second"), FR.batch_folder(f"{at}/out"), f"{at}/checkpoint", "update")
+    last = SM.latest_updates(spark.read.parquet(f"{at}/out"), ["param_version", "name", "span"])
+    return rounded(SM.merge_spans(last), "param_version", "name", "n", total="total", high="high", low="low", last="last")
+
+
 @C.add("register_generator", "SELECT doc_id FROM documents UNION ALL (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1)")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")

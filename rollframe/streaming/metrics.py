@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.run_metrics import aggregate_step_metrics
-from ..operators.validation import merge_partials, partials_to_metrics, validation_partials
-from .freshness import batch_folder, run_available
+from ..operators.validation import (
+    counts_to_metrics, melt_vars, merge_partials, merge_value_counts, merge_vote_counts, partials_to_metrics, validation_partials, value_counts, vote_counts,
+)
+from .freshness import batch_folder, latest_updates, run_available  # noqa: F401
 
 
 def streaming_step_metrics(
@@ -40,12 +42,6 @@ def step_metrics_by_version(metrics: DataFrame, total_workers: int, version: str
     return aggregate_step_metrics(metrics, total_workers, [version])
 
 
-def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Update-mode output to its last row per key."""
-    cols = [c for c in updates.columns if c not in keys and c != "batch_id"]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_s")).select(*keys, "_s.*")
-
-
 def stream_validation(samples: DataFrame, path: str, checkpoint: str) -> None:
     """Every micro-batch adds its own partials; a repeated micro-batch replaces them."""
     write = batch_folder(path)
@@ -55,3 +51,20 @@ def stream_validation(samples: DataFrame, path: str, checkpoint: str) -> None:
 def merged_validation(spark: SparkSession, path: str) -> DataFrame:
     """Metrics over all partials so far."""
     return partials_to_metrics(merge_partials(spark.read.parquet(path).drop("batch_id")))
+
+
+def stream_validation_counts(rollouts: DataFrame, variables: Sequence[str], path: str, checkpoint: str, order: str = "traj_id") -> None:
+    """Every micro-batch adds its counted values and votes, from which all validation metrics follow."""
+    values, votes = batch_folder(f"{path}/values"), batch_folder(f"{path}/votes")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        values(value_counts(melt_vars(batch, variables)), batch_id)
+        votes(vote_counts(batch, variables, order), batch_id)
+
+    run_available(rollouts, write, checkpoint)
+
+
+def merged_validation_counts(spark: SparkSession, path: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean, std, best, worst and majority at n over everything so far."""
+    values, votes = (spark.read.parquet(f"{path}/{n}").drop("batch_id") for n in ("values", "votes"))
+    return counts_to_metrics(merge_value_counts(values), merge_vote_counts(votes), n_boot, seed)
