@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ CAPACITY = 2048
 GROUP_PIECES = 4096
 BLOCK_BYTES = 1 << 20
 SEGMENTS_KEPT = 1 << 20
-#: Bins that are tried again, per group, after the first complete packing.
-RETRIES = 400
+#: Steps back of the search: bins whose fillings have all been tried.
+RETRIES = 100
 #: Fillings of one waste that are tried for a bin.
 WIDTH = 8
 
@@ -104,11 +105,13 @@ class Pool:
             both &= ~(1 << a)
             yield a, total - a
 
-    def exactly(self, total: int) -> Iterator[tuple[int, ...]]:
-        """Up to three sizes that make ``total``, few and large ones first."""
+    def one_or_two(self, total: int) -> Iterator[tuple[int, ...]]:
+        """A size or two that make ``total``, large ones first."""
         if total <= self.capacity and self.bits >> total & 1:
             yield (total,)
         yield from (p for p in self.pairs(total, total) if self.has(p))
+
+    def three(self, total: int) -> Iterator[tuple[int, ...]]:
         a = self.largest(total - 2)
         while a and 3 * a >= total:
             yield from ((a, *p) for p in self.pairs(total - a, a) if self.has((a, *p)))
@@ -142,8 +145,8 @@ class Pool:
         """Undominated fillings of a room as (sizes, waste), the least waste first, up to ``allowed``.
 
         Rooms of more than three of the largest size take that size first.
-        Of the fillings of one waste, ``WIDTH`` are given: more would differ in
-        sizes, not in the room that they use.  Between two fillings the pool is
+        Of the fillings of one waste, ``WIDTH`` are given, out of four times as
+        many: more would differ in sizes, not in the room that they use.  Between two fillings the pool is
         as the caller left it.
         """
         held: tuple[int, ...] = ()
@@ -152,11 +155,20 @@ class Pool:
             held, room = (*held, most), room - most
             self.take((most,))
             most = self.largest(room)
-        totals = self.totals(room)
-        while totals and room - (total := totals.bit_length() - 1) <= allowed:
-            totals &= ~(1 << total)
+
+        def candidates() -> Iterator[tuple[int, Iterator]]:
+            yield room, self.one_or_two(room)
+            totals = self.totals(room)
+            if totals >> room & 1:
+                yield room, self.three(room)
+            totals &= (1 << room) - 1
+            while totals and room - (total := totals.bit_length() - 1) <= allowed:
+                totals &= ~(1 << total)
+                yield total, chain(self.one_or_two(total), self.three(total))
+
+        for total, some in candidates() if room else [(0, iter([()]))]:
             waste, given = room - total, 0
-            for filling in self.exactly(total) if total else [()]:
+            for filling in islice(some, 4 * WIDTH) if total else [()]:
                 self.take(filling)
                 good = not self.dominated(filling, waste)
                 self.put(filling)
