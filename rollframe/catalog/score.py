@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.exprs import r6, rounded
+from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators.demos import strip_thinking
 from ..plans.views import rollouts, table, test_records
@@ -311,3 +312,12 @@ C.add("topk_passages", """, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score,6)+0e0 AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank<=3""")(
     lambda spark, sf: rounded(S.topk_passages(table(spark, sf, "embeddings"), table(spark, sf, "embeddings"), 3), "query_id", "doc_id", "rank", score="score"))
+
+
+@C.add("topk_recall", "SELECT count(*) AS queries, count(*)*10 AS wanted, true AS enough FROM embeddings")
+def _(spark, sf):
+    """Three quarters of the lists, as vectors without groups need, measured against the exact result over all queries."""
+    e = table(spark, sf, "embeddings")
+    lists = int(e.count() ** 0.5)
+    found = R.topk_passages(e, e, 10, n_lists=lists, probes=lists * 3 // 4)
+    return R.recall_at_k(found, R.topk_passages(e, e, 10)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.exprs import col, last_item
 from ..functions.groups import attach_by_key
+from .retrieval import topk_passages  # noqa: F401
 
 # ---------------------------------------------------------------- fixed values
 ERROR_PREFIX = "Error: "
@@ -485,49 +485,3 @@ def join_passages(per_query: DataFrame, request: str, query: str = "query_id") -
     """The passage texts of one request's queries, joined by rulers."""
     g = per_query.groupBy(request).agg(F.array_sort(F.collect_list(F.struct(query, "passages"))).alias("_p"))
     return g.select(request, F.array_join(F.transform("_p", lambda p: p["passages"]), "\n---\n").alias("result"))
-
-
-def topk_passages(
-    queries: DataFrame, docs: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = True,
-    query_block: int = 4096, doc_block: int = 65536,
-) -> DataFrame:
-    """Exact top-k documents per query by cosine: ``query_id, doc_id, score, rank``.
-
-    Both sides are cut into blocks of bounded size.  A task gets one query block
-    and one document block and keeps k rows per query, so neither a side nor all
-    pairs are ever held or written; the k best of all blocks follow.
-    """
-
-    def blocks(df: DataFrame, size: int) -> Column:
-        return F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(size)).cast("long")
-
-    nq, nd = blocks(queries, query_block), blocks(docs, doc_block)
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv"), F.pmod(F.xxhash64(id_col), nq).alias("qb"))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), nd - 1)))
-    d = docs.select(F.col(id_col).alias("did"), F.col(vector).alias("dv"), F.pmod(F.xxhash64(id_col), nd).alias("db"))
-    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), nq - 1)))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        a = unit(np.stack(left["qv"].to_numpy()).astype("float64"))
-        b = unit(np.stack(right["dv"].to_numpy()).astype("float64"))
-        qid, did = left["qid"].to_numpy(), right["did"].to_numpy()
-        out = []
-        for at in range(0, len(qid), 512):
-            sims = a[at : at + 512] @ b.T
-            if exclude_self:
-                sims[qid[at : at + 512, None] == did[None, :]] = -np.inf
-            # all documents at least as near as the k-th, ties included
-            bar = -np.partition(-sims, min(k, len(did)) - 1, axis=1)[:, min(k, len(did)) - 1]
-            r, c = np.nonzero(sims >= bar[:, None])
-            hit = pd.DataFrame({"query_id": qid[at : at + 512][r], "doc_id": did[c], "score": sims[r, c]})
-            hit = hit.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
-            out.append(hit.groupby("query_id", sort=False).head(k))
-        rows = pd.concat(out)
-        return rows[np.isfinite(rows["score"])]
-
-    near = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)

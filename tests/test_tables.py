@@ -15,6 +15,7 @@ from rollframe.operators import filters as FI
 from rollframe.operators import format as M
 from rollframe.functions.exprs import hash_uniform
 from rollframe.operators import packing as P
+from rollframe.operators import retrieval as RT
 from rollframe.operators import run_metrics as R
 from rollframe.operators import sampling as S
 from rollframe.operators import scoring as SC
@@ -265,6 +266,53 @@ def test_topk_blocks_equal_brute_force(spark):
         assert [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def some_passages(spark, n=300, size=6, groups=9, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, size))
+    v = (centres[rng.integers(0, groups, n)] + 0.3 * rng.normal(size=(n, size))).astype("float32")
+    v[5] = 0
+    v[40:60] = v[40]  # a vector that stands often
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None)]
+    return v, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def nearest_passages(v, k):
+    u = v.astype("float64") / np.maximum(np.linalg.norm(v.astype("float64"), axis=1, keepdims=True), 1e-12)
+    sims = np.round(u @ u.T, 9)
+    return {q: [j for _, j in sorted((-sims[q, j], j) for j in range(len(v)) if j != q)[:k]] for q in range(len(v))}
+
+
+@pytest.mark.parametrize("n_lists, doc_block, query_block", [(1, 50, 64), (12, 65536, 4096), (40, 7, 30), (300, 65536, 4096)])
+def test_exact_search_by_lists_equals_brute_force(spark, n_lists, doc_block, query_block):
+    v, d = some_passages(spark)
+    got = {}
+    for r in SC.topk_passages(d, d, 5, n_lists=n_lists, doc_block=doc_block, query_block=query_block).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
+    assert {q: [found[i] for i in sorted(found)] for q, found in got.items()} == nearest_passages(v, 5)
+
+
+def test_probing_a_few_lists_reads_few_documents_and_recalls_most(spark):
+    v, d = some_passages(spark, 400, seed=8)
+    exact = RT.topk_passages(d, d, 5)
+    few = RT.topk_passages(d, d, 5, n_lists=12, probes=4)
+    got = RT.recall_at_k(few, exact).first()
+    assert got["queries"] == 400 and got["wanted"] == 2000 and got["recall"] >= 0.9
+    listed, lists = RT.list_documents(d.where("embedding IS NOT NULL"), RT.train_centroids(d.where("embedding IS NOT NULL"), 12, "embedding", "vec_id"), "embedding", "vec_id")
+    assert lists.size.sum() == 400 and listed.count() == 400
+    unit = RT.unit_rows(v)
+    marks = lists.nearest(unit, 4)
+    assert (marks.sum(1) <= 4).all() and (marks * lists.size).sum() < 0.6 * 400 * 400
+    # no document of a list is nearer than the list's bound
+    bounds, sims = lists.bounds(unit), unit @ unit.T
+    for r in listed.select("did", "list").collect():
+        assert (sims[:, r["did"]] <= bounds[:, r["list"]]).all()
+
+
+def test_topk_of_nothing(spark):
+    _, d = some_passages(spark, 60)
+    assert SC.topk_passages(d, d.limit(0), 3).count() == 0 and SC.topk_passages(d.limit(0), d, 3).count() == 0
+
+
 def test_topk_is_whole_when_k_exceeds_block(spark):
     d = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
     assert SC.topk_passages(d, d, 10, doc_block=2).count() == 20
