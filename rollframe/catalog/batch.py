@@ -255,13 +255,13 @@ SELECT traj_id, CAST(CASE WHEN (r//8)%2=0 THEN r%8 ELSE 7-r%8 END AS BIGINT) AS
 
 def part_checks(d, weight, keys=("batch_id",), part="part"):
     """What must hold for a placement, per batch: parts, rows per part, every row once, total, and the spread of the sums."""
-    per = d.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("s"), F.max(weight).alias("w"))
-    rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("traj_id").alias("n_ids"))
-    per = per.groupBy(*keys).agg(
+    per = d.groupBy(*keys, part).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(weight).alias("s"), F.max(weight).alias("w"), F.count_distinct("traj_id").alias("ids"))
+    return per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("parts"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.sum("s").alias("total"),
         (F.max("s") - F.min("s") <= F.max("w")).alias("even"), (F.min(part) == 0).alias("from_zero"), (F.max(part) + 1).alias("numbers"),
+        F.sum("n").alias("n_rows"), F.sum("ids").alias("n_ids"),
     )
-    return per.join(rows, list(keys))
 
 
 WB = """, fb AS (SELECT i AS pos, r.response_len, i//64 AS batch_id FROM (SELECT count(*) AS n FROM rollouts) c, range(0, (SELECT CAST(ceil(count(*)/64.0)*64 AS BIGINT) FROM rollouts)) g(i)

@@ -2,7 +2,7 @@
 
 Differencing and the greedy rule need all weights of a batch in order, so a
 batch, which is one training batch, is placed inside a task that holds its
-weights and nothing else of its rows.  Serpentine dealing needs only distributed
+rows.  Serpentine dealing needs only distributed
 ranks and suits batches of any size; callers choose by name.
 """
 
@@ -12,11 +12,11 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import col
 from ..functions.groups import attach_group_stats, number_rows, rank_by_value, row_total
@@ -105,37 +105,45 @@ def greedy(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
     return out
 
 
-def _per_batch(df: DataFrame, batch: str, order: str, weight: str, assign: Callable[[list[int]], list[int]], out: str = "part") -> DataFrame:
-    """``batch, order, out``: ``assign`` maps the weights of one batch, in row order, to numbers.
+def _per_batch(df: DataFrame, batch: str, order: str, weight: str | Column, assign: Callable[[list[int]], list[int]], out: str = "part") -> DataFrame:
+    """``df`` and ``out``: ``assign`` maps the weights of one batch, in row order, to numbers.
 
-    Spark brings each batch together and sorts it; a task then walks its rows
-    and holds one batch at a time.
+    Spark brings each batch together and sorts it; a task then walks its rows,
+    holds those of one batch at a time and hands them on with their numbers, so
+    that nothing is joined back.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    d = df.withColumn("_weight", col(weight).cast("long"))
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.LongType())])
 
-    def walk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_rows: list[pd.DataFrame] = []
+    def walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[pa.RecordBatch] = []
+        name = None
 
-        def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
-            whole = pd.concat(rows) if len(rows) > 1 else rows[0]
-            return pd.DataFrame({batch: whole[batch], order: whole[order], out: assign(whole[weight].astype("int64").tolist())})
+        def close() -> Iterator[pa.RecordBatch]:
+            parts = assign([w for rows in open_rows for w in rows.column("_weight").to_pylist()])
+            at = 0
+            for rows in open_rows:
+                columns = [rows.column(f.name) for f in schema.fields[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts[at : at + len(rows)], type=pa.int64())], names=schema.names)
+                at += len(rows)
 
         for chunk in chunks:
-            names = chunk[batch].to_numpy()
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(chunk)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                piece = chunk.iloc[lo:hi]
-                if open_rows and open_rows[-1][batch].iloc[-1] != names[lo]:
-                    yield close(open_rows)
+            names = chunk.column(batch).to_pylist()
+            lo = 0
+            while lo < len(names):
+                hi = lo + 1
+                while hi < len(names) and names[hi] == names[lo]:
+                    hi += 1
+                if open_rows and name != names[lo]:
+                    yield from close()
                     open_rows = []
-                open_rows.append(piece)
+                name = names[lo]
+                open_rows.append(chunk.slice(lo, hi - lo))
+                lo = hi
         if open_rows:
-            yield close(open_rows)
+            yield from close()
 
-    rows = df.select(batch, order, weight).repartition(batch).sortWithinPartitions(batch, order)
-    return rows.mapInPandas(walk, f"{batch} {kinds[batch]}, {order} {kinds[order]}, {out} bigint")
+    return d.repartition(batch).sortWithinPartitions(batch, order).mapInArrow(walk, schema)
 
 
 # ---------------------------------------------------------------- operators
@@ -155,10 +163,10 @@ def balance_partitions(
     batches beyond a task.  Either way too few rows, or with ``equal_size`` a
     number of rows that k doesn't divide, is an error.
     """
-    slim = df.select(batch, order, weight)
     if method == "differencing":
-        parts = _per_batch(slim, batch, order, weight, lambda w: differencing(w, k, equal_size))
-    elif method == "serpentine":
+        return _per_batch(df, batch, order, weight, lambda w: differencing(w, k, equal_size))
+    if method == "serpentine":
+        slim = df.select(batch, order, weight)
         dealt = attach_group_stats(serpentine_partitions(slim, k, weight, order, [batch]), [batch], [F.count(F.lit(1)).alias("_rows")])
         bad = (F.col("_rows") < k) | (F.lit(equal_size) & (F.col("_rows") % k != 0))
         fail = F.raise_error(F.concat(F.col("_rows").cast("string"), F.lit(f" rows do not make {k} parts"))).cast("long")
@@ -172,16 +180,14 @@ def greedy_partitions(
     df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = False
 ) -> DataFrame:
     """Adds ``part``: every row, in order, to the lightest part so far."""
-    parts = _per_batch(df, batch, order, weight, lambda w: greedy(w, k, equal_size))
-    return df.join(parts, [batch, order])
+    return _per_batch(df, batch, order, weight, lambda w: greedy(w, k, equal_size))
 
 
 def group_balance(df: DataFrame, k: int, length: str, batch: str = "batch_id", order: str = "traj_id", uid: str = "uid") -> DataFrame:
     """Adds ``part``: the same with all rows of a uid together and equally many uids per part."""
     groups = df.groupBy(batch, uid).agg(F.sum(attention_workload(length)).alias("_w"), F.min(order).alias("_first"))
-    parts = _per_batch(groups, batch, "_first", "_w", lambda w: differencing(w, k, True))
-    named = groups.select(batch, uid, "_first").join(parts, [batch, "_first"]).drop("_first")
-    return df.join(named, [batch, uid])
+    named = _per_batch(groups, batch, "_first", "_w", lambda w: differencing(w, k, True))
+    return df.join(named.select(batch, uid, "part"), [batch, uid])
 
 
 def pack_microbatches(
@@ -208,7 +214,7 @@ def pack_microbatches(
         at = {p: i for i, p in enumerate(heavy_first[::2][::-1] + heavy_first[1::2])}
         return [at[p] for p in part]
 
-    return df.join(_per_batch(df, batch, order, length, place, "micro_id"), [batch, order])
+    return _per_batch(df, batch, order, length, place, "micro_id")
 
 
 def restore_order(packed: DataFrame, order: str = "traj_id") -> DataFrame:
