@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, col
-from ..functions.groups import cumulative_by_value, number_by_hash
+from ..functions.exprs import clamp, col, hash_order
+from ..functions.groups import number_by_hash
+from ..functions.select import among_first
 from ..session import cut
 from .advantages import EPS, masked_mean
 from .offpolicy import Rule, rollout_correction, to_long
@@ -142,6 +143,12 @@ def _narrow(df: DataFrame, is_weight: str | None) -> DataFrame:
     return cut(df.select("traj_id", "t", "mask", "logp", "old_logp", "advantage", *([is_weight] if is_weight else [])))
 
 
+def _hash_parts(*cols: str, seed=0) -> dict[str, Column]:
+    """A seeded hash order as numbers that doubles hold exactly, the leading digits first."""
+    h = hash_order(*cols, seed=seed)
+    return {f"_h{i}": F.conv(F.substring(h, 13 * i - 12, 13), 16, 10).cast("double") for i in (1, 2, 3)}
+
+
 def _centred_cov(df: DataFrame) -> tuple[DataFrame, Column]:
     m = df.agg(F.struct(masked_mean("advantage").alias("a"), masked_mean("logp").alias("l"))).scalar()
     df = df.withColumn("_c", m)
@@ -174,22 +181,14 @@ def clip_cov_stats(
 def kl_cov_stats(df, ratio=0.0002, kl_coef=1.0, mode="token-mean", is_weight=None, seed=0) -> DataFrame:
     """The tokens with the largest covariance carry a KL term.
 
-    The cut-off covariance comes from running counts over distinct values; only
-    tokens that tie with it are numbered, in hash order.
+    The cut-off covariance is found by refining counts, and among tokens that
+    tie with it so is the cut-off of their hash order.
     """
     df, cov = _centred_cov(_narrow(df.where("mask = 1"), is_weight))
-    df = df.withColumn("_cov", cov).drop("_c")
-    picks = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * ratio))).scalar()
-    counts = df.groupBy("_cov").agg(F.count(F.lit(1)).alias("_k"))
-    upto = cumulative_by_value(counts, [], "_cov", "_k", "_upto", descending=True)
-    edge = upto.where(F.col("_upto") >= picks).agg(
-        F.max(F.struct("_cov", (F.col("_upto") - F.col("_k")).alias("before")))
-    ).scalar()
-    df = df.withColumn("_edge", edge)
-    ties = number_by_hash(df.where(F.col("_cov") == F.col("_edge._cov")), ["traj_id", "t"], seed)
-    won = ties.where(F.col("rn") <= picks - F.col("_edge.before")).select("traj_id", "t", F.lit(1.0).alias("_win"))
-    df = df.join(won, ["traj_id", "t"], "left")
-    large = F.when(F.col("_cov") > F.col("_edge._cov"), 1.0).otherwise(F.coalesce("_win", F.lit(0.0)))
+    df = df.withColumn("_rank", -cov).drop("_c")
+    df = cut(df.withColumns(_hash_parts("traj_id", "t", seed=seed)))
+    picks = max(1, int(df.count() * ratio))
+    large = F.when(among_first(df, ["_rank", "_h1", "_h2", "_h3"], picks), 1.0).otherwise(0.0)
     d = F.col("logp") - F.col("old_logp")
     loss = -F.col("advantage") * F.exp(d) + kl_coef * F.abs(d) * large
     return agg_loss(df, _weighted(loss, is_weight), mode, kl=F.abs(d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rollframe.functions import groups as G
+from rollframe.functions import select as SEL
 
 SLOTS = [1, 2, 7, 64, 500]
 
@@ -107,3 +108,25 @@ def test_empty_table(spark, rows):
     none = rows.limit(0)
     assert G.number_rows(none, "id").collect() == [] == G.rank_by_value(none, "v", "id").collect()
     assert G.previous_value(none, "id", "v", "p").collect() == []
+
+
+@pytest.mark.parametrize("values", [
+    [3.0], [1.0] * 50 + [2.0] * 3, [float(i * i) for i in range(200)], [1e308, -1e308, 0.0, 5e-324, 1e-310, 2e-310, -5e-324] * 3,
+    [2.0**-i for i in range(300)], [1.0, 1.0 + 2**-52, 1.0 + 2**-51] * 20,
+])
+def test_kth_value_by_refinement(spark, values):
+    d = spark.createDataFrame([(v,) for v in values + [None, float("nan")]], "x double").repartition(3)
+    along = sorted(values)
+    for k in {1, 2, len(values) // 2 + 1, len(values)}:
+        if k <= len(values):
+            v = along[k - 1]
+            assert SEL.kth_value(d, "x", k) == (v, sum(x < v for x in values), values.count(v))
+    assert SEL.kth_value(d, "x", len(values) + 1) is None
+
+
+def test_first_rows_by_several_keys(spark):
+    rows = [(i, float(i % 3), float((i * 7) % 5), float((i * 31) % 101)) for i in range(101)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    for k in (1, 17, 34, 60, 101, 500):
+        got = {r["id"] for r in d.where(SEL.among_first(d, ["a", "b", "c"], k)).collect()}
+        assert got == {r[0] for r in sorted(rows, key=lambda r: r[1:])[:k]}
