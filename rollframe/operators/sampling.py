@@ -6,14 +6,15 @@ come out in every run and under every partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import hash_order, hash_uniform, hash_unit
-from ..functions.groups import SLOTS, join_null_safe, number_by_hash, number_rows, rank_by_value, row_total, running_total, with_slot
+from ..functions.groups import SAMPLES_PER_SLOT, SLOTS, number_by_hash, number_rows, rank_by_value, row_total
 from ..schemas import TESTS
 from ..session import cut
 
@@ -136,7 +137,7 @@ def curriculum_weights(prompts: DataFrame, history: DataFrame, key: str = "uid")
     return rank_by_value(d, "distance", key, "place")
 
 
-def resample_weights(score: Column, method: str, power: float, extremes: Column) -> Column:
+def resample_weights(score: Column, method: str, power: float, extremes: Mapping[str, Column]) -> Column:
     if method == "pow":
         w = F.pow(F.abs(score), F.lit(float(power)))
     elif method == "max_min":
@@ -148,36 +149,73 @@ def resample_weights(score: Column, method: str, power: float, extremes: Column)
     return F.greatest(w + 1e-8, F.lit(1e-8))
 
 
+def _bounds(values: list, slots: int) -> list:
+    """At most ``slots`` - 1 values that cut sorted ones into even ranges."""
+    return sorted({values[-(-i * len(values) // slots) - 1] for i in range(1, slots)}) if values else []
+
+
+def _slot(x: Column, bounds: list, kind: T.DataType) -> Column:
+    """Number of the range of ``x``: how many bounds are below it."""
+    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]).cast(T.ArrayType(kind)), lambda b: b < x))
+
+
+def _some(df: DataFrame, column: str, slots: int) -> list:
+    """A few values per slot, picked over all rows by their hash, in order."""
+    name = F.col(column)
+    picks = df.where(name.isNotNull()).groupBy(F.pmod(F.xxhash64(name), F.lit(slots * SAMPLES_PER_SLOT)).alias("_b"))
+    return [r["x"] for r in picks.agg(F.min_by(name, F.xxhash64(F.lit(1), name)).alias("x")).select("x").distinct().orderBy("x").collect()]
+
+
 def resample_by_score(
     df: DataFrame, order: str = "traj_id", score: str = "score", method: str = "pow", power: float = 2.0, seed: int = 0, slots: int = SLOTS
 ) -> DataFrame:
     """As many draws with replacement as rows, in proportion to a weight of the score; ``(draw, order)``.
 
     A draw is a uniform number on the line of running weights and takes the row
-    with the smallest total above it.  Draws and totals are merged along the
-    line: sorted together in slots, each draw sees the last total before it from
-    above, and a slot without one the least total of the slots above.  A row of
-    any weight is one point of the line.  The line is sorted and summed several
-    times, so ids and scores are written once.
+    with the smallest total above it.  The split goes from slots to rows: ids are
+    cut into ``slots``, whose weights are summed first, so that a row's total is
+    its slot's start and a running sum inside the slot.  Then rows and draws are
+    cut together into slots of the line that hold about equally many of both,
+    and meet inside those; a draw behind a slot's last total takes the next
+    slot's first.  A row of any weight is one point of the line.
+
+    Starts, bounds and first totals are a value per slot, found by small jobs
+    when this is called; ids and scores, then totals, are written once.
     """
     df = cut(df.select(order, score))
-    ends = df.agg(F.struct(F.max(score).alias("hi"), F.min(score).alias("lo"))).scalar()
-    d = df.withColumn("_e", ends).withColumn("_w", resample_weights(F.col(score), method, power, F.col("_e")))
-    rows = running_total(d.select(order, "_w"), [], order, {"_total": F.col("_w")})
-    rows = rows.withColumn("_top", rows.agg(F.max(F.struct("_total", order))).scalar())
+    kind = df.schema[order].dataType
+    ends = df.agg(F.max(score).alias("hi"), F.min(score).alias("lo")).first()
+    extremes = {n: F.lit(ends[n]) for n in ("hi", "lo")}
+    d = df.select(order, resample_weights(F.col(score), method, power, extremes).alias("_w"))
+    d = d.withColumn("_slot", _slot(F.col(order), _bounds(_some(df, order, slots), slots), kind))
+    mass = {r["_slot"]: r["m"] for r in d.groupBy("_slot").agg(F.sum("_w").alias("m")).collect()}
+    starts, whole = [], 0.0
+    for i in range(slots):
+        starts.append(whole)
+        whole += mass.get(i, 0.0)
+    inside = W.partitionBy("_slot").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    start = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("_slot") + 1)
+    rows = cut(d.select(order, (start + F.sum("_w").over(inside)).alias("_total")))
+    top = rows.agg(F.max(F.struct("_total", order)).alias("top")).first()["top"]
+    if top is None:
+        return df.select(F.col(order).alias("draw"), F.col(order))
     # every row stands for its total and for one draw
     total = F.struct(F.col("_total").alias("_x"), F.lit(True).alias("_is_row"))
-    draw = F.struct((hash_uniform(order, seed=seed) * F.col("_top._total")).alias("_x"), F.lit(False).alias("_is_row"))
-    points = rows.select(order, F.col(f"_top.{order}").alias("_last"), F.inline(F.array(total, draw)))
-    line = with_slot(points, "_x", "_slot", slots)
+    draw = F.struct((hash_uniform(order, seed=seed) * F.lit(top["_total"])).alias("_x"), F.lit(False).alias("_is_row"))
+    points = rows.select(order, F.inline(F.array(total, draw)))
+    line = points.withColumn("_slot", _slot(F.col("_x"), _bounds(_some(points, "_x", slots), slots), T.DoubleType()))
+    row = F.when(F.col("_is_row"), F.struct("_x", order))
+    first = {r["_slot"]: r["m"] for r in line.groupBy("_slot").agg(F.min(row).alias("m")).collect()}
+    above, following = [], top[order]
+    for i in reversed(range(slots)):
+        above.append(following)
+        following = first[i][order] if first.get(i) is not None else following
     # from above; a draw exactly on a total belongs to the next row, and of equal totals the first row counts
     down = W.partitionBy("_slot").orderBy(F.desc("_x"), "_is_row", F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    row = F.when(F.col("_is_row"), F.struct("_x", order))
-    above = F.last("_m", ignorenulls=True).over(W.orderBy(F.desc("_slot")).rowsBetween(W.unboundedPreceding, -1))
-    carry = line.groupBy("_slot").agg(F.min(row).alias("_m")).select("_slot", above.alias("_above"))
-    hit = join_null_safe(line.withColumn("_near", F.last(row, ignorenulls=True).over(down)), carry, ["_slot"])
-    found = F.coalesce(F.col(f"_near.{order}"), F.col(f"_above.{order}"), F.col("_last"))
-    return hit.where(~F.col("_is_row")).select(F.col(order).alias("draw"), found.alias(order))
+    near = F.last(row, ignorenulls=True).over(down)[order]
+    behind = F.element_at(F.array(*[F.lit(x).cast(kind) for x in reversed(above)]), F.col("_slot") + 1)
+    hit = line.withColumn("_near", near).withColumn("_behind", behind).where(~F.col("_is_row"))
+    return hit.select(F.col(order).alias("draw"), F.coalesce("_near", "_behind").alias(order))
 
 
 def sample_for_review(df: DataFrame, text: str, key: str, n: int, seed: int = 42) -> DataFrame:
