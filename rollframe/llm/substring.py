@@ -17,6 +17,8 @@ SHARD_BYTES = 16 << 20
 HOT = 2000
 ENTRIES = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
+#: Windows whose anchors are found at once: their words' places fit beside the hash.
+STRETCH = 1 << 22
 
 
 class SuffixAutomaton:
@@ -98,15 +100,19 @@ def anchors(words: Words, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np
     n = len(grams) - size + 1
     if n <= 0:
         return grams, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    least, reach, step = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), size - k + 1, 1
-    while step * 2 <= reach:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if reach > step:
-        least = np.minimum(least[: -(reach - step)], least[reach - step :])
+    place, reach = np.empty(n, dtype=np.int64), size - k + 1
+    for a in range(0, n, STRETCH):
+        part = grams[a : a + STRETCH + reach - 1]
+        least, step = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), 1
+        while step * 2 <= reach:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if reach > step:
+            least = np.minimum(least[: -(reach - step)], least[reach - step :])
+        place[a : a + STRETCH] = a + (least[: min(STRETCH, n - a)] & _PLACE).astype(np.int64)
     ends = np.repeat(words.bounds[1:], np.diff(words.bounds))
     starts = np.flatnonzero(np.arange(n) + size <= ends[:n])
-    return grams, starts, (least[starts] & _PLACE).astype(np.int64)
+    return grams, starts, place[starts]
 
 
 def _code(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,9 +342,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     meets the automata that can hold its windows.  The texts themselves are
     shuffled once, by document.
 
-    Null and empty texts have no words; a null doc_id repeats nothing and is
-    repeated by nothing; rows with one id never repeat each other; an empty
-    table gives no rows.
+    Null and empty texts have no words; texts may be of any length; a null
+    doc_id repeats nothing and is repeated by nothing; rows with one id never
+    repeat each other; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = shard_count(rows, SHARD_BYTES)

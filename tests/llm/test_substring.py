@@ -82,6 +82,38 @@ def test_documents_against_brute_force(spark, monkeypatch, size, hot):
     assert got(substring.remove_repeats(df, size, min(5, size - 2))) == sorted(plain(docs, size), key=key)
 
 
+class Hashes:
+    """Words of one text, given by their hashes alone."""
+
+    def __init__(self, hashes):
+        self.hashes, self.bounds = hashes, np.array([0, len(hashes)])
+
+    grams = substring.Words.grams
+
+
+def test_anchors_of_equal_windows_in_a_text_of_many_words(monkeypatch):
+    """Two equal passages 17 million words apart have their anchors at the same place of each window."""
+    rng = np.random.default_rng(0)
+    hashes = rng.integers(0, 1 << 63, (1 << 24) + 300_000, dtype=np.uint64)
+    near, far = 1000, (1 << 24) + 200_000
+    hashes[far : far + 60] = hashes[near : near + 60]
+    _, starts, place = substring.anchors(Hashes(hashes), 13, 5)
+    assert len(starts) == len(hashes) - 12 and (place >= starts).all() and (place <= starts + 8).all()
+    assert (place[near : near + 48] - near).tolist() == (place[far : far + 48] - far).tolist()
+    some = Hashes(np.repeat(hashes[:3000], 2) % np.uint64(50))  # many equal hashes: the leftmost counts in any stretch
+    whole = substring.anchors(some, 13, 5)[2]
+    monkeypatch.setattr(substring, "STRETCH", 17)
+    assert substring.anchors(some, 13, 5)[2].tolist() == whole.tolist()
+
+
+def test_documents_in_short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(substring, "STRETCH", 7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(1, passage), (2, " ".join(f"x{i % 90}" for i in range(500)) + " " + passage), (3, passage + " end")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(substring.remove_repeats(df)) == sorted(plain(docs, 13), key=key)
+
+
 def test_query_against_brute_force(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = sorted((d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in plain(docs, 13))
