@@ -140,9 +140,10 @@ def _long_features(raw: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Features of one long text, read in overlapping blocks; a block answers for the windows that start in it.
 
     Marks of a window come from neighbourhoods up to 64 windows around it, so
-    blocks that overlap by that much on both sides select what the whole text would.
+    blocks that overlap by that much on both sides select what the whole text
+    would; where none selects any, the rarest window of all blocks is the feature.
     """
-    block, margin, every = 1 << 19, 4 * WINDOW, []
+    block, margin, every, rarest = 1 << 19, 4 * WINDOW, [], []
     data = np.frombuffer(raw, dtype=np.uint8)
     for a in range(0, len(raw), block):
         low, high = max(0, a - margin), min(len(raw), a + block + margin)
@@ -151,19 +152,25 @@ def _long_features(raw: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
             low = max(0, high - 2 * margin)
             part = data[low:high]
         powers.reach(len(part) + 1)
-        h, s = _with_starts(part, powers)
+        h, s, (rare, at, alone) = _with_starts(part, powers)
         own = (s + low >= a) & (s + low < a + block)
         every.append(h[own])
+        rarest.append((rare, at + low, alone))
     hashes = np.concatenate(every)
+    if not len(hashes):
+        hashes = np.array([min(rarest)[2]], dtype=np.uint64)
     return hashes, np.zeros(len(hashes), dtype=np.int64)
 
 
-def _with_starts(part: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    marks = np.bincount(_sliding_least(rank(part), WINDOW) & PLACE, minlength=len(part))
-    starts = np.flatnonzero(marks >= POPULAR)
+def _with_starts(part: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Hashes and starts of the marked windows, and the rarest one of all: rank, start, hash."""
+    key = rank(part)
+    marks = np.bincount(_sliding_least(key, WINDOW) & PLACE, minlength=len(part))
+    starts, least = np.flatnonzero(marks >= POPULAR), int(key.argmin())
     sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[part] * powers.up[: len(part)])]
-    raw = (sums[starts + WINDOW] - sums[starts]) * powers.down[starts] + np.uint64(WINDOW)
-    return mix(raw), starts
+    at = np.r_[starts, least]
+    hashes = mix((sums[at + WINDOW] - sums[at]) * powers.down[at] + np.uint64(WINDOW))
+    return hashes[:-1], starts, (int(key[least] >> PLACE_BITS), least, int(hashes[-1]))
 
 
 def _filters(hashes: np.ndarray, owner: np.ndarray) -> dict[int, bytes]:

@@ -51,6 +51,16 @@ def test_long_texts_give_the_same_in_blocks(monkeypatch):
     assert whole.tolist() == blocks.tolist()
 
 
+@pytest.mark.parametrize("period", ["a", "ab", "abcdefgh"])
+def test_texts_without_a_marked_window_on_both_sides_of_the_block_limit(period):
+    """A short period has no window that is rarer than its neighbours 16 times: the rarest one stands for the text at every length."""
+    repeat = lambda n: (period * (n // len(period) + 1))[:n]
+    prints = fp.fingerprints([repeat(n) for n in (1000, (1 << 20) - 1, 1 << 20, (1 << 21) + 5)], POWERS)
+    assert len(set(prints)) == 1 and prints[0] != b""
+    other = fp.fingerprints(["xyz" * 400_000], POWERS)[0]
+    assert fp.likeness(other, prints[2]) == 0.0 == fp.likeness(other, b"")
+
+
 def words(seed, n):
     rng = np.random.default_rng(seed)
     return " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))
