@@ -16,7 +16,7 @@ from .common import _BYTE, _ODD, Powers, kept_in_worker, mix
 CAPACITY = 2048
 GROUP_PIECES = 4096
 BLOCK_BYTES = 1 << 20
-SEGMENTS_KEPT = 1 << 20
+SEGMENTS_KEPT = 1 << 21
 #: Steps back of the search: bins whose fillings have all been tried.
 RETRIES = 100
 #: Fillings of one waste that are tried for a bin.
@@ -224,8 +224,8 @@ def bin_completion(sizes: Counter, capacity: int = CAPACITY, retries: int = RETR
 
 
 # ---------------------------------------------------------------- tokens
-def segment_starts(data: np.ndarray) -> np.ndarray:
-    """Where a run of text can be cut so that the tokens of the parts are those of the whole.
+def segment_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where texts, which begin at ``texts``, can be cut so that the tokens of the parts are those of the whole.
 
     The byte-level tokenizer joins a space to what follows it, never to what
     stands before it, unless both neighbours are white space: a space beside a
@@ -238,6 +238,7 @@ def segment_starts(data: np.ndarray) -> np.ndarray:
     beside[:-1] |= seen[1:]
     starts = (data == 0x20) & beside
     starts[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    starts[texts] = True
     return np.flatnonzero(starts)
 
 
@@ -289,7 +290,11 @@ class SegmentIds:
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * powers.up[: len(data)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        opens = np.r_[True, np.diff(hashes[order]) != 0]
+        first = order[opens]
+        unique, back = hashes[first], np.empty(len(hashes), dtype=np.int64)
+        back[order] = np.cumsum(opens) - 1
         at = np.searchsorted(self.hashes, unique)
         new = np.ones(len(unique), dtype=bool)
         inside = at < len(self.hashes)
@@ -325,14 +330,13 @@ def token_runs(texts: pa.Array, lookup: SegmentIds, powers: Powers, limit: int)
         data = everything[offsets[row] : offsets[to]]
         if len(data) <= limit:
             bounds = offsets[row : to + 1] - offsets[row]
-            starts = np.unique(np.r_[bounds[:-1][np.diff(bounds) > 0], segment_starts(data)])
+            starts = segment_starts(data, bounds[:-1][np.diff(bounds) > 0])
             ids, sizes = lookup.read(data, starts, powers)
             edges = np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, bounds)]
             for i in range(to - row):
                 yield row + i, ids[edges[i] : edges[i + 1]]
         else:
-            starts, parts, at = np.r_[0, segment_starts(data)], [], 0
-            starts = np.unique(starts)
+            starts, parts, at = segment_starts(data, np.zeros(1, dtype=np.int64)), [], 0
             while at < len(starts):
                 end = max(at + 1, int(np.searchsorted(starts, starts[at] + limit, "right")))
                 stop = int(starts[end]) if end < len(starts) else len(data)
