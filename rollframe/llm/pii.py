@@ -24,7 +24,7 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 TERM = len(KINDS) + 1
 BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-CONTEXT_WORD = r"(?<=[^\p{L}\p{M}])\p{L}[\p{L}\p{M}]{3,}(?=[^\p{L}\p{M}])"
+WORD = r"(?<=[^\p{L}\p{M}])\p{L}[\p{L}\p{M}]*(?=[^\p{L}\p{M}])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -93,53 +93,52 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def disclosing_terms(
-    found: DataFrame, docs: DataFrame, reach: int = 80, least_share: float = 0.8, least_support: int = 2
-) -> DataFrame:
-    """Which words near a protected entity tell too much about it: row_key, terms.
+def _words(text: Column) -> Column:
+    """The distinct words of a text in lower case: a letter with the letters and marks after it."""
+    padded = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(WORD), F.lit(0)))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, least_share: float = 0.8, least_support: int = 2) -> DataFrame:
+    """Which words of a document tell too much about a protected entity in it: row_key, terms.
 
     An entity is a kind with a value; ``docs`` counts (row_key, text), ``found``
-    has row_key, text and spans of the rows with entities.  From documents
+    has row_key, text and spans of the rows with entities.  From whole documents
     counted over the whole corpus, a word's disclosure of an entity is their
     pointwise mutual information over the entity's information content,
     1 + log p(entity | word) / -log p(entity): 1 where every document with the
-    word has the entity.  Pairs within ``reach`` characters in some document
-    are counted over whole documents; words with the entity in ``least_support``
-    documents, with at least ``least_share``, are returned for every row that
-    holds the entity and, anywhere, the word.
+    word has the entity.  Words of any length, at any distance from the entity
+    and outside all base spans, that share ``least_support`` documents or more
+    with it and have at least ``least_share`` are returned for every row that
+    holds the entity and the word.
+
+    A word whose documents are too many for the share even if all those of the
+    entity had it is dropped before pairs are counted, and so is one that
+    stands in fewer documents than the support.
     """
     one = F.explode("spans").alias("s")
-    near = found.select("row_key", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), one)
-    before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 2 - reach), F.least(F.lit(reach), F.col("s.start") + 1))
-    after = F.substring(F.col("text"), F.col("s.end") + 2, F.lit(reach))
-    words = F.regexp_extract_all(F.lower(F.concat(before, F.lit(" | "), after)), F.lit(CONTEXT_WORD), F.lit(0))
     entity = F.xxhash64("s.kind", F.lower("s.value")).alias("entity")
-    near = near.select("row_key", entity, F.explode(F.array_distinct(words)).alias("term")).distinct()
-    all_words = F.regexp_extract_all(F.lower(F.concat(F.lit(" "), "text", F.lit(" "))), F.lit(CONTEXT_WORD), F.lit(0))
-    one_doc = docs.select(F.explode(F.array_distinct(all_words)).alias("term"))
-    with_term = one_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     holds = found.select("row_key", one).select("row_key", entity).distinct()
     with_entity = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= least_support)
-    # words are counted in all of a document, but only of pairs that are near each other in some document
-    near = near.join(with_entity, "entity", "left_semi")
-    pairs = near.select("entity", "term").distinct()
-    outside = F.concat(F.lit(" "), sanitised(F.col("text"), F.col("spans"), F.lit(" | ")), F.lit(" "))
-    own_words = F.regexp_extract_all(F.lower(outside), F.lit(CONTEXT_WORD), F.lit(0))
-    holds = holds.join(with_entity, "entity", "left_semi")
-    has = found.join(holds, "row_key", "left_semi").select("row_key", F.explode(F.array_distinct(own_words)).alias("term"))
-    has = has.join(pairs.select("term").distinct(), "term", "left_semi")
-    held = has.join(holds, "row_key").join(pairs, ["entity", "term"], "left_semi").select("row_key", "entity", "term")
-    held = cut(held.unionByName(near).distinct())
-    both = held.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least_support)
     total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
     content = F.log(total / F.col("n_entity"))
-    share = F.when(content > 0, 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / content).otherwise(F.lit(0.0))
-    telling = both.join(with_entity, "entity").join(with_term, "term").where(share >= least_share).select("entity", "term")
+    # share >= least_share where n_both / n_term >= exp((least_share - 1) * content), and n_both <= n_entity
+    most = F.floor(F.col("n_entity") * F.exp((1 - least_share) * content) + 1e-6)
+    holds = cut(holds.join(with_entity.withColumn("most", most).where(content > 0), "entity"))
+    with_term = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    with_term = with_term.where(F.col("n_term").between(least_support, holds.agg(F.max("most")).scalar()))
+    outside = sanitised(F.col("text"), F.col("spans"), F.lit(" | "))
+    has = found.join(holds.select("row_key").distinct(), "row_key", "left_semi").select("row_key", F.explode(_words(outside)).alias("term"))
+    held = has.join(with_term, "term").join(holds, "row_key").where(F.col("n_term") <= F.col("most"))
+    held = cut(held.select("row_key", "entity", "term", "n_term", "n_entity"))
+    both = held.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    share = 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / content
+    telling = both.where((F.col("n_both") >= least_support) & (share >= least_share)).select("entity", "term")
     return held.join(telling, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find_personal_data(
-    docs: DataFrame, reach: int = 80, least_share: float = 0.8, least_support: int = 2, keep: tuple[str, ...] = ()
+    docs: DataFrame, least_share: float = 0.8, least_support: int = 2, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Base and term spans of each row of ``docs`` (doc_id, text): doc_id, row_key, text, base, spans, and the columns in ``keep``.
 
@@ -155,7 +154,7 @@ def find_personal_data(
     rows = rows.withColumn("row_key", row_key("doc_id", "text"))
     spans = rows.select("row_key", base_spans(F.col("text")).alias("spans"), "text")
     found = cut(spans.where(F.size("spans") > 0).dropDuplicates(["row_key"]))
-    terms = disclosing_terms(found, rows, reach, least_share, least_support)
+    terms = disclosing_terms(found, rows, least_share, least_support)
     extra = found.select("row_key", "spans").join(terms, "row_key", "left")
     out = rows.join(extra, "row_key", "left")
     base = F.coalesce("spans", F.array().cast(SPAN))

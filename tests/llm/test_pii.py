@@ -72,31 +72,21 @@ def test_generated_texts(spark):
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def plain_terms(docs, reach=80, share=0.8, support=2):
-    """Brute force over {key: text}: the words to hide per key."""
+def plain_terms(docs, share=0.8, support=2):
+    """Brute force over {key: text}: the words to hide per key, from whole documents, at any distance and of any length."""
     spans = {k: plain_spans(t) for k, t in docs.items()}
-    df, entities, pairs = Counter(), Counter(), Counter()
-    near = defaultdict(set)
+    df, entities, pairs, own = Counter(), Counter(), Counter(), {}
     for k, t in docs.items():
-        df.update({w for w in WORD.findall(t.lower()) if len(w) >= 4})
-        ents = defaultdict(set)
-        for a, kind, b, _, value in spans[k]:
-            pad = f" {t} "
-            sides = pad[max(0, a + 1 - reach) : a + 1].lower() + " | " + pad[b + 1 : b + 1 + reach].lower()
-            ents[kind, value.lower()] |= set(re.findall(r"(?<=[^\w]|[\d_])[^\W\d_]{4,}(?=[^\w]|[\d_])", sides))
-        entities.update(ents.keys())
-        for e, words in ents.items():
-            for w in words:
-                pairs[e, w] += 1
-                near[k].add((e, w))
-    out = {}
-    for k in docs:
-        out[k] = set()
-        for e, w in near[k]:
-            ic = math.log(len(docs) / entities[e])
-            if pairs[e, w] >= support and ic > 0 and 1 + math.log(min(1, pairs[e, w] / df[w])) / ic >= share:
-                out[k].add(w)
-    return spans, out
+        df.update(set(WORD.findall(t.lower())))
+        outside = list(t)
+        for a, _, b, _, _ in spans[k]:
+            outside[a:b] = "|" * (b - a)
+        ents = {(kind, value.lower()) for _, kind, _, _, value in spans[k]}
+        own[k] = {(e, w) for e in ents for w in WORD.findall("".join(outside).lower())}
+        entities.update(ents)
+        pairs.update(own[k])
+    tells = lambda e, w: pairs[e, w] >= support and 1 + math.log(min(1, pairs[e, w] / df[w])) / math.log(len(docs) / entities[e]) >= share
+    return spans, {k: {w for e, w in own[k] if len(docs) > entities[e] and tells(e, w)} for k in docs}
 
 
 def test_query_against_brute_force(spark, sf):
@@ -127,7 +117,7 @@ def telling(spark):
 def test_terms_that_tell(spark, telling):
     out = pii.find_personal_data(telling).select("doc_id", pii.written(F.col("spans")).alias("w"), pii.sanitised(F.col("text"), F.col("spans")).alias("t"))
     got = {r["doc_id"]: r for r in out.collect()}
-    assert got[100]["t"] == "The   of Bob: [EMAIL],  . filler words 0"
+    assert got[100]["t"] == "    : [EMAIL],  . filler words 0"  # short words tell as well
     assert got[200]["t"] == "Call [EMAIL] filler" and got[201]["w"] == "" and got[201]["t"] == "zanzibar alone"
 
 
@@ -138,7 +128,17 @@ def test_terms_tell_in_the_whole_document(spark, telling):
     rows = pii.find_personal_data(telling.union(more)).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t")).collect()
     got = {r["doc_id"]: r["t"] for r in rows}
     assert got[300] == f"mail [EMAIL] {far}" and got[301] == f"mail [EMAIL] {far}Zanz"
-    assert got[201] == "zanzibar alone" and got[100] == "The   of Bob: [EMAIL],  . filler words 0"
+    assert got[201] == "zanzibar alone" and got[100].endswith(": [EMAIL],  . filler words 0")
+
+
+def test_far_and_short_words_tell(spark):
+    """A name that stands in both documents of an address and in no other, 360 characters away, and a name of three letters."""
+    far = " ".join(f"filler{i}" for i in range(40))
+    rows = [(i, f"{far} common {i}") for i in range(30)]
+    rows += [(100 + i, f"ann@corp.com {far} Quillon") for i in range(2)] + [(200 + i, f"Kim {far} kim@corp.com") for i in range(3)]
+    got = {r["doc_id"]: r["t"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got[100] == f"[EMAIL] {far} " and got[201] == f" {far} [EMAIL]" and got[7] == rows[7][1]
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
