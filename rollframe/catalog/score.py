@@ -134,13 +134,13 @@ C.add("score_mcq_xml", f"""SELECT doc_id, CASE WHEN doc_id%3<2 THEN 1e0 ELSE 0e0
         3, F.concat(F.lit("<answer>\n"), letter(), F.lit("\n</answer>")), F.concat(F.lit("<answer> "), letter(), F.lit("</answer> bye")), F.lit("<answer>E</answer>"))), letter())), "doc_id"))
 ASCII_WORDS = "regexp_replace(upper(text),'[À-ÖØ-Þß-öø-ÿ]','X','g')"
 C.add("score_mcq_letter", f""", m AS (SELECT doc_id, CASE WHEN doc_id%4=3 THEN NULL ELSE regexp_extract_all({ASCII_WORDS}||' SO '||CASE WHEN doc_id%4=0 THEN 'B.' ELSE {L} END, '\\b(A|B|C|D)\\b', 1)[-1] END AS l FROM documents)
-SELECT doc_id, CASE WHEN doc_id%4=3 THEN 0e0 WHEN l={L} THEN 1e0 ELSE 0e0 END AS score, CASE WHEN doc_id%4=3 THEN 'maybe..' ELSE l END AS pred FROM m""")(
-    lambda spark, sf: sc(docs(spark, sf).withColumn("result", S.score_mcq_letter(F.when(F.col("doc_id") % 4 == 3, " .maybe../").otherwise(
+SELECT doc_id, CASE WHEN doc_id%4=3 THEN 0e0 WHEN l={L} THEN 1e0 ELSE 0e0 END AS score, CASE WHEN doc_id%4=3 THEN regexp_replace(regexp_replace(translate(text,'ABCDabcd','EEEEeeee')||' .maybe..','^\\s+',''),'^\\.+','') ELSE l END AS pred FROM m JOIN documents USING (doc_id)""")(
+    lambda spark, sf: sc(docs(spark, sf).withColumn("result", S.score_mcq_letter(F.when(F.col("doc_id") % 4 == 3, F.concat(F.translate("text", "ABCDabcd", "EEEEeeee"), F.lit(" .maybe../"))).otherwise(
         F.concat("text", F.lit(" so "), F.when(F.col("doc_id") % 4 == 0, "b.").otherwise(letter()))), letter())), "doc_id"))
 C.add("score_mcq_cascade", f"""SELECT doc_id, CASE WHEN doc_id%4=3 THEN 0e0 ELSE 1e0 END AS score, CASE WHEN doc_id%4=3 THEN 'J' ELSE {L} END AS pred, CASE WHEN doc_id%4=3 THEN 1 ELSE 0 END AS is_j FROM documents""")(
     lambda spark, sf: sc(docs(spark, sf).withColumn("result", S.score_mcq_cascade(pick(
-        4, F.concat("text", F.lit("\nThe Answer is ("), letter(), F.lit(") or Answer: J")), F.concat(F.lit("text\nanswer:  "), letter(), F.lit(" K")),
-        F.concat("text", F.lit(" so "), letter(), F.lit(" z")), F.lit("J is it")), letter())), "doc_id").withColumn("is_j", F.when(F.col("pred") == "J", 1).otherwise(0)))
+        4, F.concat("text", F.lit("\nThe Answer is ("), letter(), F.lit(") or Answer: J")), F.concat("text", F.lit("\nanswer:  "), letter(), F.lit(" K")),
+        F.concat("text", F.lit(" so "), letter(), F.lit(" z")), F.concat("text", F.lit("\nJ is it"))), letter())), "doc_id").withColumn("is_j", F.when(F.col("pred") == "J", 1).otherwise(0)))
 
 
 # ---------------------------------------------------------------- tools, code, formats

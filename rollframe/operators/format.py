@@ -57,19 +57,16 @@ SIGNATURE_NOTE = "\n\nYour solution should have the following signature: ```pyth
 RETRY_PREFIX = "The following is feedback from your unsuccessful earlier attempt:\n\n"
 RETRY_SUFFIX = "\n\nCorrectly solve the original question."
 # lines that end a problem's description: input headers, examples, code fences, rulers
-_EDGE = r"[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*"
-_INPUT = r"(?:input[ \t]*(?:format|specification|section)|input[ \t]*(?:and|/|&)[ \t]*output|input)"
 DESCRIPTION_END = (
-    r"(?im)^[ \t]*(?:#[ \t]*)*(?:"
-    + "|".join([
-        rf"{_EDGE}(?:{_INPUT})[ \t]*:?{_EDGE}\r?\n",
-        rf"{_EDGE}(?:{_INPUT}):?[ \t]*[-–—−][^\n]*\r?\n",
-        rf"{_EDGE}examples?[ \t]*(?:\d+)?[ \t]*:?{_EDGE}\r?\n",
-        r".*for[ \t]+example[ \t]*:[^\n]*\r?\n",
-        r".*```[^\n]*\r?\n",
-        r".*-----[^\n]*\r?\n",
-    ])
-    + ")"
+    r"(?im)^[ \t]*(?:\#[ \t]*)*(?:"
+    r"[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*(?:(?:input[ \t]*(?:format|specification|section)|input[ \t]*(?:and|/|&)[ \t]*output|input))[ \t]*:?[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*(?:\r?\n)"
+    r"|[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*(?:(?:input[ \t]*(?:format|specification|section)|input[ \t]*(?:and|/|&)[ \t]*output|input)):?[ \t]*(?:[-–—−])[^\n]*(?:\r?\n)"
+    r"|[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*examples[ \t]*(?:\d+)?[ \t]*:?[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*(?:\r?\n)"
+    r"|[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*example[ \t]*(?:\d+)?[ \t]*:?[ \t]*[-=_()\[\]<>|~*–—−]*[ \t]*(?:\r?\n)"
+    r"|.*for[ \t]+example[ \t]*:[^\n]*(?:\r?\n)"
+    r"|.*```[^\n]*(?:\r?\n)"
+    r"|.*-----[^\n]*(?:\r?\n)"
+    r")"
 )
 
 

@@ -388,3 +388,20 @@ def test_folds_must_divide(spark):
     assert sorted(r["fold_id"] for r in B.fold_rows(d, "traj_id", 5, ["traj_id"]).collect()) == [0, 1, 2, 3, 4]
     with pytest.raises(Exception, match="fold"):
         B.fold_rows(d, "traj_id", 4, ["traj_id"]).collect()
+
+
+@pytest.mark.parametrize("line", [
+    "-----Input:-----", "## Input format", "  == INPUT / OUTPUT ==", "Input and Output", "input specification", "Input section:",
+    "Input - the first line holds n", "input: — a number",
+    "------ Examples: ------", "EXAMPLES 2", "--- Example 1: ---", "# example", "As said, for  example : this", "text ```python", "a ----- b", "Input\r",
+])
+def test_lines_that_end_a_description(spark, line):
+    d = spark.createDataFrame([(f"Find the sum of all numbers.\n{line}\nrest Input\n",)], "problem string")
+    assert d.select(M.problem_description("problem").alias("d")).first()["d"].strip() == "Find the sum of all numbers."
+
+
+@pytest.mark.parametrize("line", ["Inputs", "the input is n", "Examples of sums are many", "for example 3", "`` --- ``", "Input 5", "Sample: ----"])
+def test_lines_that_do_not_end_a_description(spark, line):
+    text = f"Find the sum of all numbers.\n{line}\nrest"
+    d = spark.createDataFrame([(text,)], "problem string")
+    assert d.select(M.problem_description("problem").alias("d")).first()["d"].strip() == text
