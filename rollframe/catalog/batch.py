@@ -289,6 +289,11 @@ C.add("balance_partitions_large", """, b AS (SELECT traj_id, response_len, (row_
   r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY response_len DESC, traj_id)-1 AS r FROM b)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, traj_id, CAST(CASE WHEN (r//4)%2=0 THEN r%4 ELSE 3-r%4 END AS BIGINT) AS part FROM r""")(
     lambda spark, sf: P.balance_partitions(batched(spark, sf, 1000), 4, "response_len", equal_size=False, method="serpentine").select("batch_id", "traj_id", "part"))
+C.add("balance_partitions_blocks", """, b AS (SELECT traj_id, response_len, (row_number() OVER (ORDER BY traj_id)-1)//1000 AS batch_id FROM rollouts)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS parts, CAST(sum(response_len) AS BIGINT) AS total, true AS even, true AS from_zero,
+  CAST(4 AS BIGINT) AS numbers, count(*) AS n_rows, count(*) AS n_ids FROM b GROUP BY batch_id""")(
+    lambda spark, sf: part_checks(P.balance_partitions(
+        batched(spark, sf, 1000), 4, "response_len", equal_size=False, method="blocks", block_rows=96), "response_len").drop("fewest", "most"))
 C.add("greedy_partitions", """, gb AS (SELECT traj_id, CAST(response_len AS BIGINT) AS w, (row_number() OVER (ORDER BY traj_id)-1)//64 AS batch_id, (row_number() OVER (ORDER BY traj_id)-1)%64 AS i FROM rollouts),
   st AS (SELECT batch_id, 0 AS i, [0,0,0,0]::BIGINT[] AS load, NULL::BIGINT AS part, NULL::BIGINT AS traj_id FROM gb GROUP BY batch_id),
   rc AS (WITH RECURSIVE r AS (SELECT * FROM st UNION ALL

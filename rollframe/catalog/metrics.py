@@ -170,6 +170,23 @@ C.add("latency_percentiles", RL + """, p AS (SELECT *, gen_time+tool_time AS pt
     ("timing_s/agent_loop/tool_calls/mean", "avg(tool_time)"), ("fully_async/processing_time/tp50", "quantile_cont(pt,0.5)"),
     ("fully_async/processing_time/tp99", "quantile_cont(pt,0.99)"), ("fully_async/processing_time/tp95", "quantile_cont(pt,0.95)")], "p"))(
     lambda spark, sf: nv(R.latency_percentiles(timed(spark, sf))))
+
+
+@C.add("latency_sketches", RL + """, s AS (SELECT traj_id%5 AS worker, gen_time+tool_time AS pt FROM rl)
+SELECT worker, count(*) AS n, round(avg(pt),6)+0e0 AS avg, round(min(pt),6)+0e0 AS min, round(max(pt),6)+0e0 AS max, true AS within FROM s GROUP BY worker""")
+def _(spark, sf):
+    """Sketches of three parts, merged; each percentile's true rank is within the stated error."""
+    d = timed(spark, sf).withColumn("worker", F.col("traj_id") % 5)
+    parts = [R.latency_sketches(d.where(F.pmod(F.xxhash64("traj_id"), F.lit(3)) == k), ["worker"]) for k in (2, 0, 1)]
+    p = R.sketch_percentiles(R.merge_latency_sketches(*parts, keys=["worker"]), ["worker"])
+    err = R.sketch_rank_error(2048)
+    x = F.col("processing_time")
+    ranks = d.join(p.select("worker", "tp50", "tp95", "tp99"), "worker").groupBy("worker").agg(*[
+        ((F.avg((x < F.col(c)).cast("double")) <= q + err) & (F.avg((x <= F.col(c)).cast("double")) >= q - err)).alias(c) for c, q in (("tp50", 0.5), ("tp95", 0.95), ("tp99", 0.99))])
+    d = p.drop("tp50", "tp95", "tp99").join(ranks, "worker").withColumn("within", F.col("tp50") & F.col("tp95") & F.col("tp99"))
+    return rounded(d, "worker", "n", "within", avg="avg", min="min", max="max")
+
+
 C.add("slowest_sample", RL + ", s AS (SELECT * FROM rl ORDER BY gen_time+tool_time DESC, traj_id LIMIT 1)\n" + long_sql(
     three("agent_loop/generate_sequences", "gen_time", "true", ("min", "max", "mean"))
     + three("agent_loop/tool_calls", "tool_time", "true", ("min", "max", "mean")), "rl") + "\nUNION ALL " + long_sql([

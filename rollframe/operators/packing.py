@@ -12,6 +12,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import col
 from ..functions.groups import attach_group_stats, number_rows, rank_by_value, row_total
+from ..session import cut
 
 
 def attention_workload(length: str | Column) -> Column:
@@ -146,6 +148,53 @@ def _per_batch(df: DataFrame, batch: str, order: str, weight: str | Column, assi
     return d.repartition(batch).sortWithinPartitions(batch, order).mapInArrow(walk, schema)
 
 
+def merge_solutions(blocks: Sequence[Sequence[int]]) -> list[list[int]]:
+    """For solutions of k sums each, the part that every one of their parts goes to: heaviest onto lightest, the widest spread first.
+
+    Where a falling and a rising row of sums are added, the spread is at most
+    that of the wider one, so the merged spread is no wider than any block's.
+    """
+    k = len(blocks[0])
+    total = [0] * k
+    out: list[list[int]] = [[] for _ in blocks]
+    for b in sorted(range(len(blocks)), key=lambda b: (min(blocks[b]) - max(blocks[b]), b)):
+        heavy = sorted(range(k), key=lambda i: (-total[i], i))
+        light = sorted(range(k), key=lambda i: (blocks[b][i], i))
+        out[b] = [0] * k
+        for to, part in zip(heavy, light):
+            out[b][part] = to
+            total[to] += blocks[b][part]
+    return out
+
+
+def _in_blocks(df: DataFrame, k: int, weight: str, batch: str, order: str, equal_size: bool, block_rows: int) -> DataFrame:
+    """Differencing block by block; the blocks' sums, k numbers each, are merged per batch and tell the parts."""
+    if equal_size and block_rows % k:
+        raise ValueError(f"blocks of {block_rows} rows are not divisible into {k} equal parts")
+
+    def assign(weights: list[int]) -> list[int]:
+        if len(weights) >= k:
+            return differencing(weights, k, equal_size)
+        if equal_size:
+            raise ValueError(f"{len(weights)} rows are left over for {k} equal parts")
+        return list(range(len(weights)))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["_n"].sum() < k:
+            raise ValueError(f"{rows['_n'].sum()} rows cannot fill {k} parts")
+        sums = rows.pivot(index="_no", columns="_local", values="_s").reindex(columns=range(k)).fillna(0).astype("int64")
+        maps = merge_solutions(sums.to_numpy().tolist())
+        at = {no: i for i, no in enumerate(sums.index)}
+        return rows[[batch, "_no", "_local"]].assign(part=[maps[at[no]][local] for no, local in zip(rows["_no"], rows["_local"])])
+
+    kind = df.schema[batch].dataType.simpleString()
+    d = number_rows(df.drop("part"), order, "_no", [batch]).withColumn("_no", F.expr(f"(_no - 1) div {int(block_rows)}"))
+    placed = cut(_per_batch(d.withColumn("_block", F.struct(batch, "_no")), "_block", order, weight, assign, "_local").drop("_block"))
+    sums = placed.groupBy(batch, "_no", "_local").agg(F.sum(col(weight).cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    parts = sums.groupBy(batch).applyInPandas(merge, f"{batch} {kind}, _no bigint, _local bigint, part bigint")
+    return placed.join(parts, [batch, "_no", "_local"]).drop("_no", "_local")
+
+
 # ---------------------------------------------------------------- operators
 def serpentine_partitions(df: DataFrame, k: int, weight: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``part``: rows by falling weight, dealt forth and back over k parts."""
@@ -155,14 +204,19 @@ def serpentine_partitions(df: DataFrame, k: int, weight: str, order: str, keys:
 
 
 def balance_partitions(
-    df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = True, method: str = "differencing"
+    df: DataFrame, k: int, weight: str, batch: str = "batch_id", order: str = "traj_id", equal_size: bool = True, method: str = "differencing",
+    block_rows: int = 65_536,
 ) -> DataFrame:
     """Adds ``part``: k parts per batch with near-equal sums of ``weight``.
 
-    ``method`` is ``differencing``, a batch per task, or ``serpentine``, for
-    batches beyond a task.  Either way too few rows, or with ``equal_size`` a
-    number of rows that k doesn't divide, is an error.
+    ``method`` is ``differencing``, a batch per task; ``blocks``, for batches
+    beyond a task: differencing of ``block_rows`` rows at a time, whose solutions
+    are merged by their sums, so that the parts differ by no more than the
+    heaviest row; or ``serpentine``, by ranks alone.  Either way too few rows, or
+    with ``equal_size`` a number of rows that k doesn't divide, is an error.
     """
+    if method == "blocks":
+        return _in_blocks(df, k, weight, batch, order, equal_size, block_rows)
     if method == "differencing":
         return _per_batch(df, batch, order, weight, lambda w: differencing(w, k, equal_size))
     if method == "serpentine":

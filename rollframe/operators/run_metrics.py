@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -263,6 +264,38 @@ def latency_percentiles(samples: DataFrame, seconds: str = "processing_time", to
     return to_long(base).unionByName(to_long(p)).where("value is not null")
 
 
+def sketch_rank_error(size: int) -> float:
+    """How far the rank of a sketched percentile may lie from what was asked, as a share of the samples (99 of 100 cases)."""
+    return 2.296 / size**0.9021
+
+
+def latency_sketches(samples: DataFrame, keys: Sequence[str] = (), seconds: str = "processing_time", size: int = 2048) -> DataFrame:
+    """Mergeable summary of the times of every group: ``*keys, n, total, low, high, sketch``.
+
+    The sketch holds a few thousand numbers whatever the number of samples; it is
+    built where the samples are, so a hot group is no more than one row a task.
+    ``sketch_rank_error`` tells how exact ``size`` is; ``latency_percentiles`` is
+    the exact way.
+    """
+    x = F.col(seconds).cast("double")
+    return samples.where(x.isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), F.kll_sketch_agg_double(x, size).alias("sketch")
+    )
+
+
+def merge_latency_sketches(*parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Summaries of several runs, batches or streams to one per group, in any order."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+
+
+def sketch_percentiles(sketches: DataFrame, keys: Sequence[str] = (), points: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Mean, extremes and approximate percentiles of every group: ``*keys, n, avg, min, max, tp50, ...``."""
+    at = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"tp{100 * p:g}") for p in points]
+    return sketches.select(*keys, "n", (F.col("total") / F.col("n")).alias("avg"), F.col("low").alias("min"), F.col("high").alias("max"), *at)
+
+
 def slowest_sample(samples: DataFrame) -> DataFrame:
     """Generation and tool seconds (min, max, mean) and the sample with the largest sum, the first on ties."""
     total = F.col("gen_time") + F.col("tool_time")

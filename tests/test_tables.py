@@ -197,6 +197,63 @@ def test_pack_microbatches_budget(spark):
         P.pack_microbatches(d, 50, "response_len").collect()
 
 
+@pytest.mark.parametrize("equal", [True, False])
+@pytest.mark.parametrize("k", [2, 4, 8])
+def test_blocks_of_a_batch_merge_within_the_heaviest_row(spark, k, equal):
+    rnd = random.Random(k)
+    rows = [(b, i, rnd.choice([0, 1, 5, 40, 1000, 9000])) for b, n in ((1, 400), (2, 64), (3, 8 if equal else 11)) for i in range(n)]
+    d = spark.createDataFrame(rows, "batch_id long, traj_id long, w long").repartition(3)
+    got = P.balance_partitions(d, k, "w", equal_size=equal, method="blocks", block_rows=32).collect()
+    assert sorted((r["batch_id"], r["traj_id"], r["w"]) for r in got) == sorted(rows)
+    for b in (1, 2, 3):
+        sums, counts = [0] * k, [0] * k
+        for r in got:
+            if r["batch_id"] == b:
+                sums[r["part"]] += r["w"]
+                counts[r["part"]] += 1
+        assert max(sums) - min(sums) <= max(w for c, _, w in rows if c == b)
+        assert not equal or len(set(counts)) == 1
+
+
+def test_blocks_that_cannot_be_filled(spark):
+    d = spark.createDataFrame([(1, i, 5) for i in range(10)], "batch_id long, traj_id long, w long")
+    for k, equal, message in ((16, False, "cannot fill"), (4, True, "left over|not divisible")):
+        with pytest.raises(Exception, match=message):
+            P.balance_partitions(d, k, "w", equal_size=equal, method="blocks", block_rows=k * 2).collect()
+
+
+def test_merged_solutions_keep_the_widest_spread():
+    rnd = random.Random(5)
+    for _ in range(200):
+        k, blocks = rnd.randint(1, 6), rnd.randint(1, 9)
+        sums = [[rnd.randint(0, 100) for _ in range(k)] for _ in range(blocks)]
+        total = [0] * k
+        for own, to in zip(sums, P.merge_solutions(sums)):
+            assert sorted(to) == list(range(k))
+            for part, at in enumerate(to):
+                total[at] += own[part]
+        assert max(total) - min(total) <= max(max(s) - min(s) for s in sums)
+
+
+def test_sketched_percentiles_on_skewed_times(spark):
+    """Merged in any order, with a hot group, many ties and a long tail, ranks stay within the stated error."""
+    rnd = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rnd.choice([0.1, rnd.paretovariate(0.5), rnd.expovariate(1)])) for i in range(30_000)] + [("g1", None)]
+    d = spark.createDataFrame(rows, "g string, processing_time double").withColumn("p", F.pmod(F.xxhash64("processing_time"), F.lit(4)))
+    parts = [R.latency_sketches(d.where(F.col("p") == k), ["g"], size=256) for k in range(4)]
+    values = {}
+    for g, x in rows:
+        if x is not None:
+            values.setdefault(g, []).append(x)
+    for order in (parts, parts[::-1]):
+        for r in R.sketch_percentiles(R.merge_latency_sketches(*order, keys=["g"]), ["g"]).collect():
+            own = values[r["g"]]
+            assert (r["n"], r["min"], r["max"]) == (len(own), min(own), max(own)) and r["avg"] == pytest.approx(sum(own) / len(own))
+            for p, got in ((0.5, r["tp50"]), (0.95, r["tp95"]), (0.99, r["tp99"])):
+                low, high = sum(x < got for x in own) / len(own), sum(x <= got for x in own) / len(own)
+                assert low - R.sketch_rank_error(256) <= p <= high + R.sketch_rank_error(256)
+
+
 # ---------------------------------------------------------------- algebra
 def test_union_conflict_and_missing_keys(spark):
     a = spark.createDataFrame([(1, 5), (2, 6)], "traj_id long, x long")
