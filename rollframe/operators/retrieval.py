@@ -15,6 +15,7 @@ from ..session import cut
 
 MOST_LISTS = 1024
 SAMPLE = 65_536
+TRAIN_TASKS = 8
 #: What rounding can do to the cosine of an angle that was itself computed.
 SLACK = 1e-7
 FOUND = "query_id bigint, doc_id bigint, score double"
@@ -49,42 +50,33 @@ class Lists:
         return marks & (self.size > 0)
 
 
-def train_centroids(docs: DataFrame, n_lists: int, vector: str, id_col: str, steps: int = 4, sample: int = SAMPLE, seed: int = 0) -> np.ndarray:
+def train_centroids(docs: DataFrame, n: int, n_lists: int, vector: str, id_col: str, steps: int = 3, sample: int = SAMPLE, seed: int = 0) -> np.ndarray:
     """Directions of ``n_lists`` groups of documents, by ``steps`` Lloyd steps on cosine over a sample.
 
-    The sample, about ``sample`` rows chosen by a hash of their ids, is the only
-    bounded read; every document is listed afterwards.  A step sums directions
-    per list where the rows are; ``n_lists`` rows come to the driver.
+    The sample, about ``sample`` of the ``n`` rows chosen by a hash of their
+    ids, is the only bounded read; every document is listed afterwards.  A step
+    sums directions per list in at most ``TRAIN_TASKS`` tasks, and those sums
+    come to the driver.
     """
-    share = F.lit(float(sample)) / docs.agg(F.count(F.lit(1))).scalar()
-    rows = cut(docs.select(F.col(vector).alias("v"), hash_unit(id_col, seed=seed).alias("u")).where(F.col("u") < share))
-    first = unit_rows([r["v"] for r in rows.orderBy("u", "v").limit(n_lists).collect()])
-
-    def assign(centroids: np.ndarray):
-        def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros_like(centroids), np.zeros(len(centroids), dtype="int64")
-            for chunk in chunks:
-                if len(chunk):
-                    unit = unit_rows(chunk["v"])
-                    at = (unit @ centroids.T).argmax(1)
-                    np.add.at(total, at, unit)
-                    n += np.bincount(at, minlength=len(n))
-            have = np.flatnonzero(n)
-            yield pd.DataFrame({"list": have, "total": [total[i].tolist() for i in have]})
-
-        return run
-
-    centroids = first
+    picked = docs.select(F.col(vector).alias("v"), hash_unit(id_col, seed=seed).alias("u"))
+    rows = cut(picked.where(F.col("u") < sample / n).coalesce(TRAIN_TASKS))
+    centroids = unit_rows([r["v"] for r in rows.orderBy("u", "v").limit(n_lists).collect()])
+
+    def assign(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros_like(centroids)
+        for chunk in chunks:
+            if len(chunk):
+                unit = unit_rows(chunk["v"])
+                np.add.at(total, (unit @ centroids.T).argmax(1), unit)
+        have = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"list": have, "total": [total[i].tolist() for i in have]}, columns=["list", "total"])
+
     for _ in range(steps):
-        sums = rows.select("v").mapInPandas(assign(centroids), "list bigint, total array<double>")
-        sums = sums.select("list", F.posexplode("total").alias("at", "x")).groupBy("list", "at").agg(F.sum("x").alias("x"))
-        sums = sums.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("total")).collect()
-        moved = centroids.copy()
-        for r in sums:
-            length = np.linalg.norm(r["total"])
-            if length > 0:
-                moved[r["list"]] = np.array(r["total"]) / length
-        centroids = moved
+        moved = np.zeros_like(centroids)
+        for r in rows.select("v").mapInPandas(assign, "list bigint, total array<double>").collect():
+            moved[r["list"]] += np.array(r["total"])
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        centroids = np.where(length > 0, moved / np.maximum(length, 1e-300), centroids)
     return centroids
 
 
@@ -191,7 +183,7 @@ def topk_passages(
     if n == 0:
         return docs.sparkSession.createDataFrame([], f"{FOUND}, rank int")
     n_lists = min(n, n_lists or min(MOST_LISTS, int(np.ceil(np.sqrt(n)))))
-    listed, lists = list_documents(docs, train_centroids(docs, n_lists, vector, id_col, seed=seed), vector, id_col)
+    listed, lists = list_documents(docs, train_centroids(docs, n, n_lists, vector, id_col, seed=seed), vector, id_col)
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("qv"))
     first = probes or max(1, int(np.sqrt(n_lists)))
     kind = "qid bigint, qv array<double>, list bigint"

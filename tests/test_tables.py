@@ -354,7 +354,7 @@ def test_probing_a_few_lists_reads_few_documents_and_recalls_most(spark):
     few = RT.topk_passages(d, d, 5, n_lists=12, probes=4)
     got = RT.recall_at_k(few, exact).first()
     assert got["queries"] == 400 and got["wanted"] == 2000 and got["recall"] >= 0.9
-    listed, lists = RT.list_documents(d.where("embedding IS NOT NULL"), RT.train_centroids(d.where("embedding IS NOT NULL"), 12, "embedding", "vec_id"), "embedding", "vec_id")
+    listed, lists = RT.list_documents(d.where("embedding IS NOT NULL"), RT.train_centroids(d.where("embedding IS NOT NULL"), 400, 12, "embedding", "vec_id"), "embedding", "vec_id")
     assert lists.size.sum() == 400 and listed.count() == 400
     unit = RT.unit_rows(v)
     marks = lists.nearest(unit, 4)
