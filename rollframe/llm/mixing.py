@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.groups import with_slot
 from ..session import cut
 from .common import row_key, uniform, word_count
 
-SLOTS = 4096
+SLOTS = 256
 
 
 def text_quality(text: str = "text") -> Column:
@@ -59,7 +60,9 @@ def mix_sources(
     target is filled in the order of -ln(u) / quality, u a hash of doc_id
     (smaller keys first), up to the word budget; the document on the border is
     taken in part.  Sums along the key run inside ``slots`` ranges of the key
-    per source and add a carry, so a source of any size spreads over tasks.
+    per source and add a carry.  The ranges are quantiles of all rows' keys, so
+    they are even for any quality, and documents with one key are told apart by
+    their texts: a source of any size spreads over tasks.
 
     Columns: doc_id, source, size (words), source_size, target, epochs (whole
     rounds), before (words ahead of the document in the last round), budget
@@ -76,7 +79,7 @@ def mix_sources(
         (-F.ln(uniform("doc_id", seed=seed)) / quality).alias("_key"),
         row_key("doc_id", "text").alias("row_key"),
     )
-    rows = cut(rows.withColumn("_slot", F.floor((1 - F.exp(-F.col("_key"))) * slots).cast("long")))
+    rows = with_slot(cut(rows.withColumn("_order", F.struct("_key", "row_key"))), "_order", "_slot", slots).drop("_order")
     totals = rows.groupBy("source", "_slot").agg(F.sum("size").alias("_sum"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
     ahead = W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)

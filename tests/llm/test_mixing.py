@@ -3,8 +3,12 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from compare import compare, duck
+from rollframe.functions.groups import with_slot
 from rollframe.llm import mixing, queries
+from rollframe.llm.common import row_key, uniform
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +75,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_sql(spark, sf):
     line, good = compare(spark, duck(sf), "op8", queries.op8_mixing, queries.SQL["op8_mixing"], sf)
     assert good, line
+
+
+def test_slots_are_even_for_texts_of_low_quality(spark):
+    """A source of digits alone, with null ids among them: no range of the key holds one part in a hundred."""
+    rows = [(None if i % 3 == 0 else i, f"{i} 17 4", "numbers") for i in range(20_000)] + [(i, "plain words here", "prose") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = docs.select((-F.ln(uniform("doc_id")) / mixing.text_quality()).alias("_key"), row_key("doc_id", "text").alias("row_key"))
+    slots = with_slot(narrow.withColumn("_order", F.struct("_key", "row_key")), "_order", "_slot", mixing.SLOTS).groupBy("_slot").count()
+    assert slots.agg(F.max("count")).first()[0] < 201 and slots.count() > 200
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == 20_100 and {r["source"]: r["source_size"] for r in rows} == {"numbers": 60_000, "prose": 300}
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    assert taken == {r["source"]: int(r["target"]) for r in rows}
