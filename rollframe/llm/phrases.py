@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -18,11 +17,14 @@ from .common import Powers, Words, mix, received, send
 
 LONGEST = 4
 LEAST = 30
-SHARDS = 4
+SHARDS = 2
 CELL_BITS = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 NEVER = 255
-SCHEMA = "lang string, phrase string, words int, cell long, since int, n long"
+SCHEMA = "lang long, phrase string, code int, n long"
+#: A phrase's code: its number of words, the step since which it is active (+ 1) in the low bits, and whether it has reached the threshold.
+SINCE_BITS = 9
+REACHED = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _BREAK = 32, 10
@@ -106,21 +108,16 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(upto.astype(np.int64).tobytes()), text).cast(pa.string())
 
 
-def _lang_key(lang: str) -> int:
-    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+def _code(words: int, since: np.ndarray) -> np.ndarray:
+    return ((words << SINCE_BITS) + since + 1).astype(np.int32)
 
 
 def _count(step: int, shards: int, longest: int, bits: int, sent, limit: int):
     """Counts, block by block, of the phrases that are active in this step."""
 
-    def rows(lang: list, block: Block, at: np.ndarray, k: int, keys: np.ndarray, since: np.ndarray):
-        unique, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-        at = at[first]
-        cell = (unique >> np.uint64(64 - bits)).astype(np.int64)
+    def rows(langs: np.ndarray, phrases: pa.Array, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang[c] for c in block.langs[at].tolist()]), block.phrases(at, k), pa.array(np.full(len(at), k, dtype=np.int32)),
-             pa.array(cell), pa.array(since[at].astype(np.int32)), pa.array(n.astype(np.int64))],
-            names=["lang", "phrase", "words", "cell", "since", "n"],
+            [pa.array(langs.view(np.int64)), phrases, pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "phrase", "code", "n"]
         )
 
     def run(batches):
@@ -132,35 +129,51 @@ def _count(step: int, shards: int, longest: int, bits: int, sent, limit: int):
             if not len(texts):
                 continue
             data = _FOLD[np.frombuffer(buffer, dtype=np.uint8)]
-            names = batch.column("lang").to_pylist()
-            known = {_lang_key(n): n for n in set(names)}
-            of_row = np.array([_lang_key(n) for n in names], dtype=np.uint64)
+            of_row = batch.column("lang").to_numpy().view(np.uint64)
             for at, to, begin, end, seen in blocks(data, offsets, limit, longest - 1):
                 inside = np.clip(offsets[at : to + 1], begin, end)
                 block = Block(data[begin:end], seen, inside - begin, of_row[at:to], powers)
                 since = np.full(len(block.words.hashes), -1, dtype=np.int16)
                 if step < shards:
                     langs, n = np.unique(block.langs[seen:], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([known[c] for c in langs.tolist()], type=pa.string()), pa.array([""] * len(n), type=pa.string()), pa.array([0] * len(n), type=pa.int32()),
-                         pa.array([0] * len(n), type=pa.int64()), pa.array([-1] * len(n), type=pa.int32()), pa.array(n.astype(np.int64))],
-                        names=["lang", "phrase", "words", "cell", "since", "n"],
-                    )
+                    yield rows(langs, pa.array([""] * len(n), type=pa.string()), _code(0, np.full(len(n), -1)), n)
                 for k in range(1, longest + 1):
                     keys, whole = block.keys(k), block.whole(k)
                     if k > 1:  # both phrases of a word less have reached the threshold
                         since = np.maximum(known_at[:-1], known_at[1:])
                     found = np.flatnonzero(whole & (since < step) & (step <= since + shards))
                     if len(found):
-                        yield rows(known, block, found, k, keys, since)
+                        _, first, n = np.unique(keys[found], return_index=True, return_counts=True)
+                        first = found[first]
+                        yield rows(block.langs[first], block.phrases(first, k), _code(k, since[first]), n)
                     if k < longest:
                         known_at = reached[(keys >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int16)
 
     return run
 
 
-def _new_cells(table: DataFrame, bits: int) -> np.ndarray:
-    """Numbers of the cells of all rows: a bit map built where the rows are, of a size that ``bits`` fixes."""
+def _cells(longest: int, bits: int):
+    """The cells of phrases: what ``_count`` looks up for their words in a text."""
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            words = batch.column("words").to_numpy()
+            lines = pa.array([p + "\n" for p in batch.column("phrase").to_pylist()], type=pa.large_string())
+            offsets, data = (np.frombuffer(b, dtype=t) for b, t in zip(lines.buffers()[1:], (np.int64, np.uint8)))
+            block = Block(data, 0, offsets[: len(lines) + 1], batch.column("lang").to_numpy().view(np.uint64), powers)
+            first, cell = np.searchsorted(block.words.starts, offsets[: len(lines)]), np.zeros(len(lines), dtype=np.int64)
+            for k in range(1, longest):
+                keys, own = block.keys(k), words == k
+                cell[own] = (keys[first[own]] >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
+
+    return run
+
+
+def _new_cells(phrases: DataFrame, longest: int, bits: int) -> np.ndarray:
+    """Numbers of the cells of phrases: a bit map built where the phrases are, of a size that ``bits`` fixes."""
+    table = phrases.select("lang", "phrase", "words").mapInArrow(_cells(longest, bits), "cell long")
     number = F.col("cell") + 1
     maps = table.groupBy(F.bitmap_bucket_number(number).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("map"))
     out = np.zeros(1 << max(bits, 15), dtype=bool)
@@ -199,34 +212,35 @@ def frequent_phrases(
     if longest * shards >= NEVER:
         raise ValueError("too many steps for a byte")
     spark = docs.sparkSession
-    rows = docs.select(
-        F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n")).alias("text"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-    )
-    dealt = cut(rows.where("text <> '\n'").withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")), "shard")
+    name = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    text = F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n"))
+    rows = docs.select(text.alias("text"), F.xxhash64(name).alias("lang")).where("text <> '\n'")
+    names = docs.select(F.xxhash64(name).alias("_lang"), name.alias("lang")).distinct()
+    dealt = cut(rows.withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")), "shard")
     reached = np.full(1 << bits, NEVER, dtype=np.uint8)
+    code, was = F.col("code"), F.col("code") >= REACHED
+    words, since = F.shiftright(code, SINCE_BITS) % (REACHED >> SINCE_BITS), code % (1 << SINCE_BITS) - 1
     open_, complete, step, last = None, [], 0, -1
     while step <= last + shards:
         sent = send(spark, zlib.compress(reached.tobytes(), 1))
         found = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        found = found.mapInArrow(_count(step, shards, longest, bits, sent, block_bytes), SCHEMA).withColumn("before", F.lit(0).cast("long"))
-        every = found if open_ is None else found.unionByName(open_.withColumn("before", F.col("n")))
-        sums = [F.max(c).alias(c) for c in ("words", "cell", "since")] + [F.sum(c).alias(c) for c in ("n", "before")]
-        over = F.col("since") + shards <= step
-        state = every.groupBy("lang", "phrase").agg(*sums).where(~over | (F.col("n") >= least) | (F.col("words") == 0))
-        state = cut(state)
+        found = found.mapInArrow(_count(step, shards, longest, bits, sent, block_bytes), SCHEMA)
+        every = found if open_ is None else found.unionByName(open_)
+        over = since + shards <= step
+        state = every.groupBy("lang", "phrase").agg(F.max("code").alias("code"), F.sum("n").alias("n"))
+        state = cut(state.where(~over | (F.col("n") >= least) | (words == 0)))
         sent.destroy()  # the step is written
-        new = state.where(F.col("words").between(1, longest - 1) & (F.col("n") >= least) & (F.col("before") < least))
-        cells = _new_cells(new, bits)
+        new = state.where(words.between(1, longest - 1) & (F.col("n") >= least) & ~was).select("lang", "phrase", words.alias("words"))
+        cells = _new_cells(new, longest, bits)
         cells = cells[reached[cells] == NEVER]
         if len(cells):
             reached[cells] = step
             last = step
-        complete.append(state.where(over).select("lang", "phrase", "words", "n"))
-        open_ = state.where(~over).drop("before")
+        complete.append(state.where(over).select(F.col("lang").alias("_lang"), "phrase", words.alias("words"), "n"))
+        marked = F.when((F.col("n") >= least) & ~was, code + REACHED).otherwise(code).alias("code")
+        open_ = state.where(~over).select("lang", "phrase", marked, "n")
         step += 1
-    return reduce(DataFrame.unionByName, complete)
-
+    return reduce(DataFrame.unionByName, complete).join(names, "_lang").select("lang", "phrase", "words", "n")
 
 
 def collocations(phrases: DataFrame, keep: int = 2000, share: tuple[int, int] = (80, 100), scale: int = 2_000_000) -> DataFrame:
