@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,6 +12,7 @@ from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators.demos import strip_thinking
 from ..plans.views import rollouts, table, test_records
+from ..session import shared_dir
 from .oracle import CATALOG as C
 
 
@@ -277,7 +280,22 @@ C.add("failure_counts", "SELECT count(*) AS rows, count(*) FILTER (n_chars%5=0)
     lambda spark, sf: S.failure_counts(docs(spark, sf).select(S.score_with_failures(picky)("text", F.col("n_chars").cast("string")).alias("result"))))
 
 
-@C.add("score_cache", "SELECT doc_id, CASE WHEN t.d%2=0 THEN -1e0 ELSE length(text)+0e0 END AS result FROM documents JOIN (SELECT text, min(doc_id) AS d FROM documents GROUP BY text) t USING (text)")
+CACHED = "SELECT doc_id, CASE WHEN t.d%2=0 THEN -1e0 ELSE length(text)+0e0 END AS result FROM documents JOIN (SELECT text, min(doc_id) AS d FROM documents GROUP BY text) t USING (text)"
+
+
+@C.add("score_cache_buckets", CACHED)
+def _(spark, sf):
+    """A cache table in buckets, filled in two steps."""
+    d = docs(spark, sf).select("doc_id", "text")
+    first = d.groupBy("text").agg(F.min("doc_id").alias("d")).where("d % 2 = 0")
+    name, path = f"scores_{uuid.uuid4().hex}", f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
+    for part in (0, 2):
+        cache = S.add_to_cache(first.where(F.col("d") % 4 == part).select(F.sha2("text", 256).alias("content_hash"), F.lit(-1.0).alias("result")), name, path, 8)
+    scored, _ = S.score_cache(d, cache, lambda m: m.withColumn("result", F.length("text").cast("double")), ["text"], "doc_id", buckets=8)
+    return scored.select("doc_id", "result")
+
+
+@C.add("score_cache", CACHED)
 def _(spark, sf):
     d = docs(spark, sf).select("doc_id", "text")
     first = d.groupBy("text").agg(F.min("doc_id").alias("d")).where("d % 2 = 0")

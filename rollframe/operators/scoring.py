@@ -326,19 +326,35 @@ def route_scores(
     return df.withColumn("result", out.otherwise(unknown))
 
 
+def add_to_cache(entries: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Score cache ``name`` with more ``entries`` (``content_hash, result``): a table in ``path``, in buckets sorted by hash.
+
+    Every call adds files to the buckets.  A hash that was added twice counts
+    once, with either score.
+    """
+    write = entries.select("content_hash", "result").repartition(buckets, "content_hash").write.mode("append").format("parquet")
+    write.bucketBy(buckets, "content_hash").sortBy("content_hash").option("path", path).saveAsTable(name)
+    return entries.sparkSession.table(name)
+
+
 def score_cache(
-    df: DataFrame, cache: DataFrame, score: Callable[[DataFrame], DataFrame], content: list[str], key: str, out: str = "result"
+    df: DataFrame, cache: DataFrame, score: Callable[[DataFrame], DataFrame], content: list[str], key: str, out: str = "result",
+    buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores by content hash: known rows take theirs from ``cache`` (``content_hash, result``), only the others are scored.
 
-    Copies collapse before the look-up, and ``key`` spreads a much repeated
-    content when its score goes back.  Returns the scored table and the new
-    cache entries.
+    Copies collapse before the look-up, the cache is joined to one row per
+    content and nothing else, and ``key`` spreads a much repeated content when
+    its score goes back.  With a cache in ``buckets`` (``add_to_cache``) the
+    contents are dealt like it, so that the cache is read and never shuffled.
+    Returns the scored table and the new cache entries.
     """
     hashed = df.withColumn("content_hash", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in content]), 256))
-    missing = hashed.dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
-    fresh = score(missing).select("content_hash", out)
-    both = cache.select("content_hash", out).unionByName(fresh)
+    dealt = hashed if buckets is None else hashed.repartition(buckets, "content_hash")
+    known = cache.groupBy("content_hash").agg(F.first(F.struct(out)).alias("_known"))
+    seen = dealt.dropDuplicates(["content_hash"]).join(known, "content_hash", "left")
+    fresh = score(seen.where("_known IS NULL").drop("_known")).select("content_hash", out)
+    both = seen.where("_known IS NOT NULL").select("content_hash", f"_known.{out}").unionByName(fresh)
     return attach_by_key(hashed, ["content_hash"], both).drop("content_hash"), fresh
 
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import time
 from bisect import bisect_right
 
@@ -462,3 +463,41 @@ def test_lines_that_do_not_end_a_description(spark, line):
     text = f"Find the sum of all numbers.\n{line}\nrest"
     d = spark.createDataFrame([(text,)], "problem string")
     assert d.select(M.problem_description("problem").alias("d")).first()["d"].strip() == text
+
+
+def test_a_cache_in_buckets_is_never_shuffled(spark, tmp_path):
+    name = "cache_" + tmp_path.name.replace("-", "_")
+    texts = [f"t{i % 40}" for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sha = F.sha2("text", 256).alias("content_hash")
+    old = d.where("id < 30").select(sha, F.lit(1.0).alias("result"))
+    cache = SC.add_to_cache(old, name, str(tmp_path / "cache"), 4)
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(t):
+        calls.add(1)
+        return 2.0
+
+    score = lambda m: m.withColumn("result", F.udf(count, "double")("text"))
+    scored, fresh = SC.score_cache(d, cache, score, ["text"], "id", buckets=4)
+    got = {r["id"]: r["result"] for r in scored.collect()}
+    assert got == {i: 1.0 if i % 40 < 30 else 2.0 for i in range(200)} and calls.value == 10
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = SC.score_cache(d, cache, score, ["text"], "id", buckets=4)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    depth, above = re.search(r"\w", lines[at]).start(), []
+    for line in reversed(lines[:at]):
+        if re.search(r"\w", line).start() < depth:
+            depth = re.search(r"\w", line).start()
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above), text
+    cache = SC.add_to_cache(fresh, name, str(tmp_path / "cache"), 4)
+    again, none = SC.score_cache(d, cache, score, ["text"], "id", buckets=4)
+    assert {r["id"]: r["result"] for r in again.collect()} == got and none.count() == 0
+    spark.sql(f"DROP TABLE {name}")
