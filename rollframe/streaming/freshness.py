@@ -89,7 +89,7 @@ class Buffer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = [tuple(h) for h in self.held.get()] if self.held.exists() else []
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = timerValues.getCurrentWatermarkInMs() * 1000
         old, held = [h for h in held if h[0] + self.max_age_us < until], [h for h in held if h[0] + self.max_age_us >= until]
         self._keep(held)
         if held:
