@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -207,7 +207,8 @@ def frequent_phrases(
 
     A null or empty text has no words; repeated rows count as often as they
     occur; an empty table gives no rows.  A text is read in blocks that overlap
-    by ``longest`` - 1 words, so its length has no bound.
+    by ``longest`` - 1 words, so its length has no bound.  Within a block equal
+    phrases are found by a 64-bit hash, across blocks by their words.
     """
     if longest * shards >= NEVER:
         raise ValueError("too many steps for a byte")
