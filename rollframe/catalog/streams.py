@@ -16,7 +16,7 @@ from ..session import shared_dir
 from ..streaming import freshness as FR
 from ..streaming import metrics as SM
 from .batch import part_checks
-from .metrics import AGG_CASE, BW, MAJ, MS, PLACES, REP, SA, SM as STEP_SQL, nv, places, step_metrics
+from .metrics import AGG_CASE, BW, MAJ, MS, PLACES, REP, SA, SM as STEP_SQL, places, step_metrics
 from .oracle import CATALOG as C
 
 DAY = "CAST(dayofmonth(ts) AS BIGINT)"
