@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, Words, kept_in_worker, read_words
+from .common import Powers, Words, kept_in_worker, mix, read_words
 
 GROUP_DOCS = 4096
+GROUP_BYTES = 64 << 20
 CAPACITY = 2048
 WORDS_KEPT = 1 << 20
 
@@ -187,13 +188,23 @@ class WordIds:
         return self.flat[place], sizes
 
 
-def _tokenize(vocabulary: str, end_id: int, keep: int = WORDS_KEPT):
-    """Arrow batches with ``text`` to the same with ``ids``: unsigned 32-bit little-endian."""
+def _tokenize(vocabulary: str, end_id: int, groups: int, keep: int = WORDS_KEPT):
+    """Arrow batches with ``text`` to the same with ``ids``: unsigned 32-bit little-endian.
+
+    The group follows from the row's key and, for equal rows, from how many of
+    them the task has seen, so that equal rows spread too.
+    """
 
     def run(batches):
         lookup, powers = kept_in_worker((vocabulary, keep), lambda: WordIds(vocabulary, keep)), Powers()
         end = np.array([end_id], dtype="<u4").tobytes()
+        copies: dict[int, int] = {}
         for batch in batches:
+            keys = batch.column("_key").to_pylist()
+            for i, key in enumerate(keys):
+                seen = copies[key] = copies.get(key, -1) + 1
+                keys[i] = (key + seen * 0x9E3779B97F4A7C15) % (1 << 64)
+            group = mix(np.array(keys, dtype=np.uint64)) % np.uint64(groups)
             out = []
             for words in read_words(batch.column("text"), powers):
                 ids, sizes = lookup.read(words)
@@ -201,7 +212,7 @@ def _tokenize(vocabulary: str, end_id: int, keep: int = WORDS_KEPT):
                 raw = ids.astype("<u4").tobytes()
                 out += [raw[4 * a : 4 * b] + end for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("_group").cast(pa.int64()), pa.array(out, type=pa.binary())],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(group.astype(np.int64)), pa.array(out, type=pa.binary())],
                 names=["doc_id", "_group", "ids"],
             )
 
@@ -236,14 +247,15 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = 1,
     group_docs: int = GROUP_DOCS,
+    group_bytes: int = GROUP_BYTES,
     least_gap: int = 16,
     seed: int = 0,
 ) -> DataFrame:
     """Every token of ``docs`` (doc_id, text) in sequences of at most ``capacity`` tokens.
 
-    Documents are dealt by a hash to groups of about ``group_docs``; each group
-    is packed by itself, so the work is one shuffle and no task sees more than
-    a group.  Columns: doc_id, start, length, ids (the piece's ids, unsigned
+    Documents are dealt by a hash to groups of about ``group_docs`` or, where
+    they are long, ``group_bytes`` of text; each group is packed by itself, so
+    the work is one shuffle and no task sees more than a group.  Columns: doc_id, start, length, ids (the piece's ids, unsigned
     32-bit little-endian), doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone; a null doc_id stays null; repeated
@@ -251,8 +263,9 @@ def pack_documents(
     doc_id; an empty table gives no rows.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, -(-picked.count() // group_docs))
-    at = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(groups))
-    ids = picked.withColumn("_group", at).mapInArrow(_tokenize(vocabulary, end_id), "doc_id long, _group long, ids binary")
+    size = picked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // group_docs), -(-size["bytes"] // group_bytes))
+    keyed = picked.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    ids = keyed.mapInArrow(_tokenize(vocabulary, end_id, groups), "doc_id long, _group long, ids binary")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return ids.groupBy("_group").applyInArrow(_pack(capacity, least_gap), schema)

@@ -100,3 +100,15 @@ def test_words_are_encoded_alike(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = packing.pack_documents(docs, queries.tokenizer_file("word_bpe_49k.json")).orderBy("start").collect()
     assert np.frombuffer(b"".join(bytes(r["ids"]) for r in got), dtype="<u4").tolist() == encoded(text)
+
+
+def test_groups_are_bounded_by_bytes_and_equal_rows_spread(spark):
+    long = spark.createDataFrame([(i, "word " * 4000) for i in range(40)], "doc_id long, text string")
+    rows = packing.pack_documents(long, queries.tokenizer_file("word_bpe_49k.json"), group_bytes=100_000).collect()
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 4 and sum(r["length"] for r in rows) == 40 * 4001
+    same = spark.createDataFrame([(1, "same text here")] * 600, "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(same, queries.tokenizer_file("word_bpe_49k.json"), group_docs=50).collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + r["length"]
+    assert sum(groups.values()) == 600 * 4 and max(groups.values()) < 100 * 4
