@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import attach_group_stats, cumulative_by_value
+from ..session import cut
 
 GROUP = ["data_source", "uid", "var"]
 #: Shares of wins that a task keeps for groups of equal counts, as numbers.
@@ -65,9 +66,10 @@ def best_worst_at_n(samples: DataFrame) -> DataFrame:
 
     With C the running count up to a value and c its own count, the best of n
     draws equals the value with probability (C/N)^n - ((C-c)/N)^n; the worst
-    mirrors it.  These are the limits of the resampled estimates.
+    mirrors it.  These are the limits of the resampled estimates.  The counts,
+    which several steps read, are written once.
     """
-    return _best_worst(value_counts(samples))
+    return _best_worst(cut(value_counts(samples)))
 
 
 def _best_worst(counts: DataFrame) -> DataFrame:
