@@ -59,4 +59,13 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(cut_table: DataFrame, part: str = "") -> None:
+    """Delete a table that ``cut`` wrote, or one of its parts (``column=value``), once nothing reads it any more."""
+    spark = cut_table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{cut_table.cut_path}/{part}" if part else cut_table.cut_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
