@@ -14,7 +14,7 @@ from rollframe.llm import jaccard, langid, mixing, packing, pii, toxicity
 from rollframe.llm.common import row_key
 from rollframe.llm.queries import tokenizer_file
 from rollframe.plans.views import table
-from rollframe.session import cut
+from rollframe.session import cut, forget
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
@@ -76,6 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each but the last returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        if number:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ GROUP_DOCS = 4096
 GROUP_BYTES = 64 << 20
 CAPACITY = 2048
 WORDS_KEPT = 1 << 20
+ROWS_AT_ONCE = 1024
 
 
 class Tournament:
@@ -199,7 +200,7 @@ def _tokenize(vocabulary: str, end_id: int, groups: int, keep: int = WORDS_KEPT)
         lookup, powers = kept_in_worker((vocabulary, keep), lambda: WordIds(vocabulary, keep)), Powers()
         end = np.array([end_id], dtype="<u4").tobytes()
         copies: dict[int, int] = {}
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             keys = batch.column("_key").to_pylist()
             for i, key in enumerate(keys):
                 seen = copies[key] = copies.get(key, -1) + 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, forget
 from .common import Powers, Words, mix, received, send
 
 LONGEST = 4
@@ -221,25 +221,28 @@ def frequent_phrases(
     reached = np.full(1 << bits, NEVER, dtype=np.uint8)
     code, was = F.col("code"), F.col("code") >= REACHED
     words, since = F.shiftright(code, SINCE_BITS) % (REACHED >> SINCE_BITS), code % (1 << SINCE_BITS) - 1
-    open_, complete, step, last = None, [], 0, -1
+    state, open_, complete, step, last = None, None, [], 0, -1
     while step <= last + shards:
         sent = send(spark, zlib.compress(reached.tobytes(), 1))
         found = dealt.where(F.col("shard") == step % shards).select("lang", "text")
         found = found.mapInArrow(_count(step, shards, longest, bits, sent, block_bytes), SCHEMA)
         every = found if open_ is None else found.unionByName(open_)
         over = since + shards <= step
-        state = every.groupBy("lang", "phrase").agg(F.max("code").alias("code"), F.sum("n").alias("n"))
-        state = cut(state.where(~over | (F.col("n") >= least) | (words == 0)))
-        sent.destroy()  # the step is written
+        counted = every.groupBy("lang", "phrase").agg(F.max("code").alias("code"), F.sum("n").alias("n"))
+        counted = counted.where(~over | (F.col("n") >= least) | (words == 0)).withColumn("over", over)
+        before, state = state, cut(counted, "over")
+        sent.destroy()  # the step is written, and what the last one left open is read
+        if before is not None:
+            forget(before, "over=false")
         new = state.where(words.between(1, longest - 1) & (F.col("n") >= least) & ~was).select("lang", "phrase", words.alias("words"))
         cells = _new_cells(new, longest, bits)
         cells = cells[reached[cells] == NEVER]
         if len(cells):
             reached[cells] = step
             last = step
-        complete.append(state.where(over).select(F.col("lang").alias("_lang"), "phrase", words.alias("words"), "n"))
+        complete.append(state.where("over").select(F.col("lang").alias("_lang"), "phrase", words.alias("words"), "n"))
         marked = F.when((F.col("n") >= least) & ~was, code + REACHED).otherwise(code).alias("code")
-        open_ = state.where(~over).select("lang", "phrase", marked, "n")
+        open_ = state.where("NOT over").select("lang", "phrase", marked, "n")
         step += 1
     return reduce(DataFrame.unionByName, complete).join(names, "_lang").select("lang", "phrase", "words", "n")
 
