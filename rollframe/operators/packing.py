@@ -112,7 +112,9 @@ def _per_batch(df: DataFrame, batch: str, order: str, weight: str | Column, assi
 
     Spark brings each batch together and sorts it; a task then walks its rows,
     holds those of one batch at a time and hands them on with their numbers, so
-    that nothing is joined back.
+    that nothing is joined back.  The rows are numbered by a window, which the
+    adaptive planner must give whole batches; a repartition in front of a Python
+    step binds it to nothing, and batches were torn apart behind a join.
     """
     d = df.withColumn("_weight", col(weight).cast("long"))
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.LongType())])
@@ -145,7 +147,8 @@ def _per_batch(df: DataFrame, batch: str, order: str, weight: str | Column, assi
         if open_rows:
             yield from close()
 
-    return d.repartition(batch).sortWithinPartitions(batch, order).mapInArrow(walk, schema)
+    # the walk finds its batches by their names; the number only has to be there
+    return d.withColumn("_at", F.row_number().over(W.partitionBy(batch).orderBy(order))).mapInArrow(walk, schema)
 
 
 def merge_solutions(blocks: Sequence[Sequence[int]]) -> list[list[int]]:
