@@ -474,7 +474,7 @@ C.add("test_counts", STS + ", c AS (SELECT traj_id, any_value(n) AS n, count(*)
     lambda spark, sf: S.test_counts(S.sample_tests(test_sets(spark, sf), "traj_id")).select(r6("mean_tests").alias("mean_tests"), r6("mean_kept").alias("mean_kept")))
 C.add("slice_range", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 150 OFFSET 40")(lambda spark, sf: S.slice_range(docs(spark, sf), "doc_id", 40, 150).select("doc_id"))
 C.add("split_equal", "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id)-1)/(count(*) OVER ()/5)) AS BIGINT) AS part FROM documents")(
-    lambda spark, sf: S.split_equal(docs(spark, sf), "doc_id", 5).select("doc_id", "part"))
+    lambda spark, sf: S.split_equal(docs(spark, sf), "doc_id", 5, uneven=True).select("doc_id", "part"))
 C.add("shard", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id)-1)%4 AS shard FROM documents")(lambda spark, sf: S.shard(docs(spark, sf), "doc_id", 4).select("doc_id", "shard"))
 
 

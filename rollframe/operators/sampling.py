@@ -102,11 +102,16 @@ def slice_range(df: DataFrame, order: str, start: int = 0, n: int | None = None)
     return (d.where(F.col("_rn") <= start + n) if n is not None else d).drop("_rn")
 
 
-def split_equal(df: DataFrame, order: str, k: int) -> DataFrame:
-    """Adds ``part`` for k equal contiguous parts; an undivisible table is an error."""
+def split_equal(df: DataFrame, order: str, k: int, uneven: bool = False) -> DataFrame:
+    """Adds ``part`` for k equal contiguous parts; an undivisible table is an error.
+
+    With ``uneven`` its parts differ by a row at most.
+    """
     n = row_total(df)
     d = number_rows(df, order, "_rn")
     part = F.floor((F.col("_rn") - 1) / (n / F.lit(k))).cast("long")
+    if uneven:
+        return d.withColumn("part", part).drop("_rn")
     fail = F.raise_error(F.lit(f"the number of rows is not divisible by {k}")).cast("long")
     return d.withColumn("part", F.when(n % k == 0, part).otherwise(fail)).drop("_rn")
 

@@ -24,6 +24,7 @@ from rollframe.operators import shape as SH
 from rollframe.operators import validation as V
 from rollframe.operators.registry import GENERATORS, generate_after_batch, register_generator
 from rollframe.sources import readers as RD
+from rollframe.sources import writers as WR
 from rollframe.streaming import freshness as FR
 
 
@@ -174,6 +175,24 @@ def test_partitions_cover_every_row_once(spark):
     assert all(r["n"] == r["u"] == r["m"] + 1 == 5 for r in b.collect())
 
 
+def test_batches_behind_a_join_stay_whole(spark):
+    """The adaptive planner may broadcast the small side at run time and then reads the large one as it lies, unless a window asks for whole batches."""
+    rows = 4000
+    d = spark.range(rows, numPartitions=4).select(F.expr("id % 500").alias("batch_id"), F.col("id").alias("traj_id"), F.lit(1).alias("response_len"))
+    whole = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where("n = 8").select("batch_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = P.balance_partitions(d.join(whole, "batch_id"), 4, "response_len")
+        assert "Window" in out._jdf.queryExecution().sparkPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert len(got) == rows and len({(r["batch_id"], r["part"]) for r in got}) == 500 * 4
+
+
 @pytest.mark.parametrize("method", ["differencing", "serpentine"])
 def test_shape_errors_at_every_size(spark, method):
     with pytest.raises(Exception, match="parts"):
@@ -284,6 +303,21 @@ def test_indivisible_is_an_error(spark):
             bad().collect()
 
 
+def test_split_equal_spreads_a_remainder(spark):
+    got = S.split_equal(spark.range(12), "id", 5, uneven=True).orderBy("id").collect()
+    assert [r["part"] for r in got] == [i * 5 // 12 for i in range(12)]
+
+
+def test_singletons_are_written_by_many_tasks(spark, tmp_path):
+    """However few bytes there are: a task writes one file per question and split, and names it by its number."""
+    d = spark.range(60).select(F.col("id").alias("question_id"), F.lit(0).alias("turn"))
+    WR.write_singletons(d, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("question_id=*/split=*/part-*.json"))
+    assert len(files) == 120 and len({f.name.split("-")[1] for f in files}) > 2
+    back = spark.read.schema("question_id long, turn int, copy int, split string").json(str(tmp_path / "out"))
+    assert back.where("split = 'train'").count() == 240 and back.where("split = 'test'").count() == 60
+
+
 def test_frames_equal(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x long")
     assert B.frames_equal(a, a.repartition(3)).first()["equal"]
