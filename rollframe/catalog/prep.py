@@ -483,7 +483,7 @@ SELECT question_id, turn, CAST(copy AS INTEGER) AS copy, 'train' AS split FROM c
 def _(spark, sf):
     path = fresh(spark, "single")
     d = conv(spark, sf).select(F.col("conv_id").alias("question_id"), "turn")
-    WR.write_singletons(d.repartition("question_id"), path)
+    WR.write_singletons(d, path)
     back = spark.read.schema("question_id bigint, turn bigint, copy int, split string").json(path)
     return back.select("question_id", "turn", "copy", "split")
 

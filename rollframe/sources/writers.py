@@ -38,7 +38,14 @@ def write_step_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_singletons(df: DataFrame, path: str, question: str = "question_id", copies: int = 4) -> None:
-    """One dataset per question: its rows ``copies`` times under ``train`` and once under ``test``."""
+    """One dataset per question: its rows ``copies`` times under ``train`` and once under ``test``.
+
+    The work is in the files and not in their bytes, so questions are dealt over
+    a given number of tasks: one that follows the bytes would leave all to two.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    df = df.repartition(tasks, question)
     train = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("split", F.lit("train"))
     test = df.withColumn("copy", F.lit(0)).withColumn("split", F.lit("test"))
     train.unionByName(test).write.mode("errorifexists").partitionBy(question, "split").json(path)
