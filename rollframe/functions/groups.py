@@ -20,6 +20,8 @@ from .exprs import hash_order
 
 SLOTS = 64
 SAMPLES_PER_SLOT = 8
+#: Rows that a task sorts at once.
+TASK_ROWS = 1 << 18
 
 
 def row_total(df: DataFrame) -> Column:
@@ -27,6 +29,16 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
+def deal(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over so many tasks that each has about ``TASK_ROWS`` of the ``rows``.
+
+    For keys whose groups are small.  Where the session's shuffle partitions
+    are enough, the rows stay as they are and the adaptive planner deals them.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` where null equals null."""
     right = small.withColumnsRenamed({k: f"_j_{k}" for k in keys})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.groups import number_rows
+from ..functions.groups import deal, number_rows
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,8 +24,12 @@ def _score(status: str = "o_orderstatus"):
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per token: a line of an order is a token, an order is a trajectory."""
-    lines = table(spark, sf, "lineitem").join(
+    """One row per token: a line of an order is a token, an order is a trajectory.
+
+    Lines are counted when this is called: what a task sorts is bounded by the number of tasks.
+    """
+    lines = table(spark, sf, "lineitem")
+    lines = deal(lines.where(F.col("l_orderkey").isNotNull()), lines.count(), "l_orderkey").join(
         table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )

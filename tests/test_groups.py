@@ -130,3 +130,23 @@ def test_first_rows_by_several_keys(spark):
     for k in (1, 17, 34, 60, 101, 500):
         got = {r["id"] for r in d.where(SEL.among_first(d, ["a", "b", "c"], k)).collect()}
         assert got == {r[0] for r in sorted(rows, key=lambda r: r[1:])[:k]}
+
+
+def test_tokens_are_dealt_over_as_many_tasks_as_their_rows_need(spark, tmp_path, monkeypatch):
+    """What a task sorts stays bounded: more rows, more tasks; the rows are those of the undealt view."""
+    from rollframe.functions import groups
+    from rollframe.plans.views import tokens
+
+    n = 300
+    key = F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise(F.expr("id div 4")).alias("l_orderkey")
+    x = lambda m, name: (F.col("id") % m / 100.0).alias(name)
+    spark.range(n).select(
+        key, (F.col("id") % 5).alias("l_partkey"), (F.col("id") % 3).alias("l_suppkey"), (F.col("id") % 4).alias("l_linenumber"), x(50, "l_quantity"), x(70, "l_extendedprice"),
+        x(11, "l_discount"), x(9, "l_tax"), F.when(F.col("id") % 3 == 0, "R").otherwise("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(n // 4).select(F.col("id").alias("o_orderkey"), (F.col("id") % 6).alias("o_custkey"), F.lit("F").alias("o_orderstatus")).write.parquet(str(tmp_path / "orders.parquet"))
+    whole = sorted(tokens(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(groups, "TASK_ROWS", 20)
+    dealt = tokens(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 15
+    assert sorted(dealt.collect()) == whole and len(whole) == 294
