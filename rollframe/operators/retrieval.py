@@ -19,6 +19,8 @@ TRAIN_TASKS = 8
 #: What rounding can do to the cosine of an angle that was itself computed.
 SLACK = 1e-7
 FOUND = "query_id bigint, doc_id bigint, score double"
+#: Similarities, and rows of a query and a list, that a task holds at once.
+PAIRS, ASKED = 1 << 21, 1 << 14
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -108,14 +110,15 @@ def _best(k: int, exclude_self: bool):
         a, b = unit_rows(left["qv"]), np.stack(list(right["dv"]))
         qid, did = left["qid"].to_numpy(), right["did"].to_numpy()
         out = []
-        for at in range(0, len(qid), 512):
-            sims = a[at : at + 512] @ b.T
+        step = max(1, min(512, PAIRS // len(did)))
+        for at in range(0, len(qid), step):
+            sims = a[at : at + step] @ b.T
             if exclude_self:
-                sims[qid[at : at + 512, None] == did[None, :]] = -np.inf
+                sims[qid[at : at + step, None] == did[None, :]] = -np.inf
             # all documents at least as near as the k-th, ties included
             bar = -np.partition(-sims, min(k, len(did)) - 1, axis=1)[:, min(k, len(did)) - 1]
             r, c = np.nonzero(sims >= bar[:, None])
-            hit = pd.DataFrame({"query_id": qid[at : at + 512][r], "doc_id": did[c], "score": sims[r, c]})
+            hit = pd.DataFrame({"query_id": qid[at : at + step][r], "doc_id": did[c], "score": sims[r, c]})
             hit = hit.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
             out.append(hit.groupby("query_id", sort=False).head(k))
         rows = pd.concat(out)
@@ -125,11 +128,16 @@ def _best(k: int, exclude_self: bool):
 
 
 def _probe(lists: Lists, probes: int, rest: bool):
-    """Queries to one row per list they read: the first ``probes`` or, of the ``rest``, those that can hold something as near as ``kth``."""
+    """Queries to one row per list they read: the first ``probes`` or, of the ``rest``, those that can hold something as near as ``kth``.
+
+    A few queries at a time: each may read every list, and a row holds its vector.
+    """
+    step = max(1, ASKED // len(lists.size))
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks:
-            if len(chunk):
+        for whole in chunks:
+            for at in range(0, len(whole), step):
+                chunk = whole.iloc[at : at + step]
                 unit = unit_rows(chunk["qv"])
                 marks = lists.nearest(unit, probes)
                 if rest:

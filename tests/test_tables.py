@@ -175,6 +175,20 @@ def test_partitions_cover_every_row_once(spark):
     assert all(r["n"] == r["u"] == r["m"] + 1 == 5 for r in b.collect())
 
 
+def test_probes_hold_few_rows_at_once(monkeypatch):
+    """However many queries come at once and however many lists each of them reads; the rows are the same."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    lists = RT.Lists(RT.unit_rows(rng.normal(size=(16, 4))), np.ones(16, dtype="int64"), np.full(16, 3.0))
+    chunk = pd.DataFrame({"qid": np.arange(50), "qv": list(rng.normal(size=(50, 4))), "kth": -1.0})
+    want = pd.concat(RT._probe(lists, 4, True)([chunk]))
+    monkeypatch.setattr(RT, "ASKED", 64)
+    parts = list(RT._probe(lists, 4, True)([chunk]))
+    assert max(map(len, parts)) <= 64 and len(want) == 50 * 12
+    assert [(a, b) for p in parts for a, b in zip(p["qid"], p["list"])] == list(zip(want["qid"], want["list"]))
+
+
 def test_batches_behind_a_join_stay_whole(spark):
     """The adaptive planner may broadcast the small side at run time and then reads the large one as it lies, unless a window asks for whole batches."""
     rows = 4000
