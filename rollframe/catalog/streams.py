@@ -211,8 +211,9 @@ SELECT data_source, var, metric, {PLACES}+0e0 AS value FROM al""")
 def _(spark, sf):
     at = home(spark)
     r = rollouts(spark, sf).select("data_source", "uid", "traj_id", "pred", "score", "acc")
-    r.repartition(3, "traj_id").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    # three micro-batches of four files: their number doesn't bound the tasks that write and read them
+    r.repartition(12, "traj_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
     SM.stream_validation_counts(stream, ["score", "acc"], f"{at}/out", f"{at}/checkpoint")
     return places(SM.merged_validation_counts(spark, f"{at}/out"))
 

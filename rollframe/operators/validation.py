@@ -342,8 +342,10 @@ def counts_to_metrics(values: DataFrame, votes: DataFrame | None = None, n_boot:
     """All validation metrics (mean, std, best, worst and, with votes, majority at n) from counted values and votes.
 
     Counts of parts add up, so late or resumed results give the metrics of one
-    run over everything, in whatever parts and order they came.
+    run over everything, in whatever parts and order they came.  The values,
+    which several steps read, are written once.
     """
+    values = cut(values)
     metrics = _mean_std(values).unionByName(_best_worst(values))
     return metrics if votes is None else metrics.unionByName(majority_at_n(votes, n_boot, seed))
 
