@@ -30,13 +30,17 @@ def row_total(df: DataFrame) -> Column:
 
 
 def deal(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` over so many tasks that each has about ``TASK_ROWS`` of the ``rows``.
+    """``df`` dealt by ``keys`` over so many tasks that each has about ``TASK_ROWS`` of the ``rows``, or fewer.
 
-    For keys whose groups are small.  Where the session's shuffle partitions
-    are enough, the rows stay as they are and the adaptive planner deals them.
+    For keys whose groups are small.  The adaptive planner merges shuffled
+    partitions by their bytes, far beyond ``TASK_ROWS``, but not those dealt
+    here.  Only rows that the session's cores hold at once stay as they are.
     """
-    tasks = -(-rows // TASK_ROWS)
-    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    spark = df.sparkSession
+    tasks, partitions = -(-rows // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if tasks <= min(partitions, spark.sparkContext.defaultParallelism):
+        return df
+    return df.repartition(max(tasks, partitions), *keys)
 
 
 def join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -150,3 +150,31 @@ def test_tokens_are_dealt_over_as_many_tasks_as_their_rows_need(spark, tmp_path,
     dealt = tokens(spark, str(tmp_path))
     assert dealt.rdd.getNumPartitions() == 15
     assert sorted(dealt.collect()) == whole and len(whole) == 294
+
+
+def test_tokens_stay_dealt_where_the_session_has_many_partitions(spark, tmp_path, monkeypatch):
+    """Many shuffle partitions are no bound by themselves: the adaptive planner merges them into a few large tasks."""
+    from rollframe.functions import groups
+    from rollframe.plans.views import tokens
+
+    n = 400
+    num = lambda name, m: (F.col("id") % m / 100.0).alias(name)
+    spark.range(n).select(
+        F.expr("id div 4").alias("l_orderkey"), (F.col("id") % 5).alias("l_partkey"), (F.col("id") % 3).alias("l_suppkey"), (F.col("id") % 4).alias("l_linenumber"),
+        num("l_quantity", 50), num("l_extendedprice", 70), num("l_discount", 11), num("l_tax", 9), F.lit("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(n // 4).select(F.col("id").alias("o_orderkey"), (F.col("id") % 6).alias("o_custkey"), F.lit("F").alias("o_orderstatus")).write.parquet(str(tmp_path / "orders.parquet"))
+    whole = sorted(tokens(spark, str(tmp_path)).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(groups, "TASK_ROWS", 40)
+    for broadcast in ("10m", "-1"):
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            dealt = tokens(spark, str(tmp_path))
+            tasks = [r[0] for r in dealt.select(F.spark_partition_id()).collect()]
+            assert max(tasks.count(t) for t in set(tasks)) <= 40
+            assert sorted(dealt.collect()) == whole and len(whole) == n
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
