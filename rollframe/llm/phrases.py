@@ -76,15 +76,8 @@ class Block:
     def __init__(self, data: np.ndarray, seen: int, bounds: np.ndarray, langs: np.ndarray, powers: Powers) -> None:
         self.words, self.seen = Words(0, data, np.array([0, len(data)]), powers, False), seen
         self.langs = langs[np.searchsorted(bounds, self.words.starts, "right") - 1]
-        self.piece = np.cumsum(_ENDS_PIECE[data])[self.words.starts]
-        size = self.words.ends - self.words.starts
-        self.begin = np.cumsum(size + 1) - size - 1
-        self.end = self.begin + size
-        solid = ~_GAP[data]
-        after = np.zeros(len(data) + 1, dtype=bool)
-        after[self.words.ends] = True
-        line = np.where(solid, data, _SPACE).astype(np.uint8)
-        self.line = line[solid | after[:-1]]
+        self.piece = np.cumsum(_ENDS_PIECE[data], dtype=np.int32)[self.words.starts]
+        self.line = None
         self.sums = np.zeros(0, dtype=np.uint64)
 
     def keys(self, k: int) -> np.ndarray:
@@ -99,8 +92,22 @@ class Block:
         n = max(0, len(self.piece) - k + 1)
         return (self.piece[:n] == self.piece[k - 1 :]) & (np.arange(n) + k > self.seen)
 
+    def _lay_out(self) -> None:
+        """The words one after the other, each with one space behind it: only blocks with phrases to name need it."""
+        data, ends = self.words.data, self.words.ends
+        size = ends - self.words.starts
+        self.begin = np.cumsum(size + 1) - size - 1
+        self.end = self.begin + size
+        solid = ~_GAP[data]
+        after = np.zeros(len(data) + 1, dtype=bool)
+        after[ends] = True
+        line = np.where(solid, data, _SPACE).astype(np.uint8)
+        self.line = line[solid | after[:-1]]
+
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """The ``k`` words from each of the given words on, joined by one space."""
+        if self.line is None:
+            self._lay_out()
         begin, size = self.begin[at], self.end[at + k - 1] - self.begin[at]
         upto = np.r_[0, np.cumsum(size)]
         place = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)
@@ -138,15 +145,18 @@ def _count(step: int, shards: int, longest: int, bits: int, sent, limit: int):
                     langs, n = np.unique(block.langs[seen:], return_counts=True)
                     yield rows(langs, pa.array([""] * len(n), type=pa.string()), _code(0, np.full(len(n), -1)), n)
                 for k in range(1, longest + 1):
-                    keys, whole = block.keys(k), block.whole(k)
-                    if k > 1:  # both phrases of a word less have reached the threshold
-                        since = np.maximum(known_at[:-1], known_at[1:])
-                    found = np.flatnonzero(whole & (since < step) & (step <= since + shards))
-                    if len(found):
-                        _, first, n = np.unique(keys[found], return_index=True, return_counts=True)
-                        first = found[first]
-                        yield rows(block.langs[first], block.phrases(first, k), _code(k, since[first]), n)
-                    if k < longest:
+                    keys = block.keys(k)
+                    if step < k * shards:  # later all cycles of k words are over: what the map still shows can't be frequent
+                        if k > 1:  # both phrases of a word less have reached the threshold
+                            since = np.maximum(known_at[:-1], known_at[1:])
+                        found = np.flatnonzero(block.whole(k) & (since < step) & (step <= since + shards))
+                        if len(found):
+                            _, first, n = np.unique(keys[found], return_index=True, return_counts=True)
+                            first = found[first]
+                            yield rows(block.langs[first], block.phrases(first, k), _code(k, since[first]), n)
+                    if step == 0:  # the map is empty
+                        break
+                    if k < longest and step < (k + 1) * shards:
                         known_at = reached[(keys >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int16)
 
     return run
@@ -198,7 +208,8 @@ def frequent_phrases(
     after the step in which both its phrases of a word less have ``least``
     occurrences, and is counted, among all lengths that are active by then, in
     the next ``shards`` steps, one full cycle.  So counts are exact, and a step
-    carries on only those phrases whose cycle isn't over.
+    carries on only those phrases whose cycle isn't over.  Words are counted by
+    step ``shards`` - 1, so phrases of k words by step k * ``shards`` - 1.
 
     What is active is told by a map with 2^``bits`` cells, each holding the
     step in which a phrase of that hash reached the threshold first: one byte a

@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+#: The session setting for how many files a task holds open when it writes folders; with more values it sorts the rest.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN_FILES = "4"
 
 
 def build_session(app: str = "rollframe", master: str | None = None, shuffle_partitions: int | None = None):
@@ -48,6 +51,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _write_folders(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
+    """A folder per value of ``by``; the few files of a task are open at once, so that nothing is sorted by them."""
+    spark = df.sparkSession
+    before = spark.conf.get(WRITERS, None)
+    spark.conf.set(WRITERS, OPEN_FILES)
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(WRITERS)
+        else:
+            spark.conf.set(WRITERS, before)
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write a narrow table to the shared folder, in one folder per value of ``by``, and read it back.
 
@@ -57,7 +74,10 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rollframe-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    if by:
+        _write_folders(df, path, by)
+    else:
+        df.write.parquet(path)
     remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path

@@ -103,3 +103,29 @@ def test_empty_table(spark, no_docs):
 def test_odd_documents(spark, odd_docs):
     rows = [(r.text, r.lang) for r in odd_docs.select("text", "lang").collect()]
     assert counted(phrases.frequent_phrases(odd_docs, 3, 2)) == brute_counts(rows, 3, 2)
+
+
+def test_lengths_whose_cycles_are_over_are_counted_no_more():
+    """Cells that another phrase set later can't make a phrase of k words frequent after step k * shards - 1."""
+    import zlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e a b c d e\n"]), pa.array([5])], names=["text", "lang"])
+    counted_at = {}
+    for step in range(9):
+        reached = np.full(1 << 15, max(0, step - 1), dtype=np.uint8)  # as if every cell had been reached in the step before
+        sent = SimpleNamespace(value=cloudpickle.dumps(zlib.compress((reached if step else reached + phrases.NEVER).tobytes())))
+        found = [b for b in phrases._count(step, 2, 4, 15, sent, 1 << 20)(iter([batch]))]
+        counted_at[step] = sorted({c >> phrases.SINCE_BITS for b in found for c in b["code"].to_pylist()} - {0})
+    assert counted_at == {0: [1], 1: [1, 2, 3, 4], 2: [2, 3, 4], 3: [2, 3, 4], 4: [3, 4], 5: [3, 4], 6: [4], 7: [4], 8: []}
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3])
+@pytest.mark.parametrize("bits", [3, 24])
+def test_counts_are_exact_on_a_crowded_map(spark, bits, shards):
+    df = spark.createDataFrame(texts(), "doc_id long, text string, lang string")
+    got = counted(phrases.frequent_phrases(df, 4, 8, shards=shards, bits=bits, block_bytes=64))
+    assert got == brute_counts([r[1:] for r in texts()], 4, 8)

@@ -549,3 +549,32 @@ def test_a_cache_in_buckets_is_never_shuffled(spark, tmp_path):
     again, none = SC.score_cache(d, cache, score, ["text"], "id", buckets=4)
     assert {r["id"]: r["result"] for r in again.collect()} == got and none.count() == 0
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_folders_are_written_without_a_sort(spark, monkeypatch):
+    """A task holds a file per folder open in place of a sort; the rows come back whole and the session's setting stays."""
+    from pyspark.sql import DataFrameWriter
+
+    from rollframe.session import OPEN_FILES, WRITERS, cut
+
+    df = spark.range(1000).selectExpr("id", "id % 11 AS part", "cast(id AS string) AS text").repartition(3)
+    write, held = DataFrameWriter.parquet, []
+
+    def parquet(self, *args, **more):
+        held.append(spark.conf.get(WRITERS))
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(WRITERS, None)
+    few = cut(df.where("part < 2"), "part")
+    many = cut(df, "part")  # more folders than open files
+    cut(df.where("part < 2"))
+    assert held[:2] == [OPEN_FILES] * 2 and int(OPEN_FILES) < 11 and spark.conf.get(WRITERS, None) == before
+    assert sorted((r.id, r.part, r.text) for r in few.collect()) == [(i, i % 11, str(i)) for i in range(1000) if i % 11 < 2]
+    assert sorted(r.id for r in many.collect()) == list(range(1000))
+    spark.conf.set(WRITERS, "7")
+    try:
+        cut(df, "part")
+        assert held[-1] == OPEN_FILES and spark.conf.get(WRITERS) == "7"
+    finally:
+        spark.conf.unset(WRITERS)
