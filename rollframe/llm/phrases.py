@@ -115,6 +115,14 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(upto.astype(np.int64).tobytes()), text).cast(pa.string())
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the distinct keys, and how often it occurs; any place does, so the sort needn't be stable."""
+    order = keys.argsort()
+    along = keys[order]
+    begin = np.flatnonzero(np.r_[True, along[1:] != along[:-1]])
+    return order[begin], np.diff(np.r_[begin, len(keys)])
+
+
 def _code(words: int, since: np.ndarray) -> np.ndarray:
     return ((words << SINCE_BITS) + since + 1).astype(np.int32)
 
@@ -151,7 +159,7 @@ def _count(step: int, shards: int, longest: int, bits: int, sent, limit: int):
                             since = np.maximum(known_at[:-1], known_at[1:])
                         found = np.flatnonzero(block.whole(k) & (since < step) & (step <= since + shards))
                         if len(found):
-                            _, first, n = np.unique(keys[found], return_index=True, return_counts=True)
+                            first, n = _distinct(keys[found])
                             first = found[first]
                             yield rows(block.langs[first], block.phrases(first, k), _code(k, since[first]), n)
                     if step == 0:  # the map is empty
