@@ -35,12 +35,17 @@ def deal(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     For keys whose groups are small.  The adaptive planner merges shuffled
     partitions by their bytes, far beyond ``TASK_ROWS``, but not those dealt
     here.  Only rows that the session's cores hold at once stay as they are.
+
+    Beyond ``spark.shuffle.sort.bypassMergeThreshold`` partitions a task that
+    writes them holds its whole output to sort it; up to there, nothing.  So
+    there are no more tasks than that, unless the session has more itself.
     """
     spark = df.sparkSession
     tasks, partitions = -(-rows // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))
     if tasks <= min(partitions, spark.sparkContext.defaultParallelism):
         return df
-    return df.repartition(max(tasks, partitions), *keys)
+    unsorted = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return df.repartition(max(min(tasks, unsorted), partitions), *keys)
 
 
 def join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -178,3 +178,18 @@ def test_tokens_stay_dealt_where_the_session_has_many_partitions(spark, tmp_path
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_deal_is_written_without_a_sort(spark, monkeypatch):
+    """Beyond the bypass threshold a writing task would hold all its rows; a session with more partitions keeps its own."""
+    monkeypatch.setattr(G, "TASK_ROWS", 3)
+    d = spark.range(1000).withColumn("k", F.col("id") % 400)
+    assert G.deal(d, 1000, "k").rdd.getNumPartitions() == 200
+    assert G.deal(d, 30, "k").rdd.getNumPartitions() == 10
+    assert sorted(r["id"] for r in G.deal(d, 1000, "k").collect()) == list(range(1000))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "230")
+    try:
+        assert G.deal(d, 1000, "k").rdd.getNumPartitions() == 230
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
