@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import r6, rounded
 from ..operators import advantages as A
-from ..plans.views import rollouts, table, tokens
+from ..plans.views import line_count, rollouts, table, tokens
 from .oracle import CATALOG as C
 
 
@@ -182,14 +182,18 @@ FROM e JOIN b ON e.uid=b.uid AND e.pos=b.pos JOIN gs ON e.uid=gs.uid JOIN l ON l
 UNION ALL SELECT traj_id, t, 0e0, round(g,6)+0e0 FROM e WHERE mask<>1"""
 
 
+def otb_out(spark, sf, fn, **kw):
+    n = line_count(spark, sf)
+    t = tokens(spark, sf, n).withColumn("w", F.least(F.exp(F.col("old_logp") - F.col("rollout_logp")), F.lit(2.0)))
+    return tok_out(fn(t, rows=n, **kw))
+
+
 C.add("adv_optimal_token_baseline", otb_sql("t", False, True))(
-    lambda spark, sf: tok_out(A.adv_optimal_token_baseline(tokens(spark, sf))))
+    lambda spark, sf: otb_out(spark, sf, A.adv_optimal_token_baseline))
 C.add("adv_optimal_token_baseline_weighted", otb_sql("t", True, True, "pow(least(exp(old_logp-rollout_logp),2),2)"))(
-    lambda spark, sf: tok_out(A.adv_optimal_token_baseline(
-        tokens(spark, sf).withColumn("w", F.least(F.exp(F.col("old_logp") - F.col("rollout_logp")), F.lit(2.0))),
-        is_weight="w", zero_tail=True)))
+    lambda spark, sf: otb_out(spark, sf, A.adv_optimal_token_baseline, is_weight="w", zero_tail=True))
 C.add("adv_optimal_token_baseline_multiturn", otb_sql("vpos", True, False))(
-    lambda spark, sf: tok_out(A.adv_optimal_token_baseline_multiturn(tokens(spark, sf))))
+    lambda spark, sf: otb_out(spark, sf, A.adv_optimal_token_baseline_multiturn))
 
 KL_SQL = {
     "k1": "old_logp-ref_logp",

@@ -23,13 +23,19 @@ def _score(status: str = "o_orderstatus"):
     )
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
+def line_count(spark: SparkSession, sf: str) -> int:
+    """The number of lines; the token view has no more rows."""
+    return table(spark, sf, "lineitem").count()
+
+
+def tokens(spark: SparkSession, sf: str, rows: int | None = None) -> DataFrame:
     """One row per token: a line of an order is a token, an order is a trajectory.
 
-    Lines are counted when this is called: what a task sorts is bounded by the number of tasks.
+    Lines are counted when this is called, unless ``rows`` says it: what a task sorts is bounded by the number of tasks.
     """
+    rows = line_count(spark, sf) if rows is None else rows
     lines = table(spark, sf, "lineitem")
-    lines = deal(lines.where(F.col("l_orderkey").isNotNull()), lines.count(), "l_orderkey").join(
+    lines = deal(lines.where(F.col("l_orderkey").isNotNull()), rows, "l_orderkey").join(
         table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
