@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,26 @@ def received(sent):
     return pickle.loads(sent.value)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C heap else hold it as long as the process lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches; its Python worker, which lives on for other tasks, then gives back what it freed."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def kept_in_worker(key, make):
     """The value made for ``key`` by an earlier task of this Python worker, or a new one."""
     kept = sys.modules.setdefault("rollframe_worker", types.ModuleType("rollframe_worker"))

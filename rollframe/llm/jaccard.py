@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import blobs
-from .common import Powers, Words, mix, read_words, received, row_key, send, shard_count
+from .common import Powers, Words, mix, read_words, received, row_key, send, shard_count, tidy
 
 CELL_BITS = 24
 SLICES = 64
 SHARD_BYTES = 16 << 20
 SITE_MEMBERS = 2048
+#: Text whose words and shingles a task holds at once, in bytes.
+READ_BYTES = 1 << 18
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -57,7 +59,7 @@ def _count_cells(k: int):
     def run(batches):
         powers, counts = Powers(), np.zeros(1 << CELL_BITS, dtype=np.int32)
         for batch in batches:
-            for words in read_words(batch.column("text"), powers, True):
+            for words in read_words(batch.column("text"), powers, True, READ_BYTES):
                 _, token = shingle_sets(words, k)
                 cell, n = np.unique(token >> np.uint64(64 - CELL_BITS), return_counts=True)
                 counts[cell.astype(np.int64)] += n.astype(np.int32)
@@ -67,9 +69,10 @@ def _count_cells(k: int):
             if len(cell):
                 yield blobs.pack(np.full(len(cell), number), [cell.astype("<u4"), part[cell].astype("<u4")])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _levels(batches):
     """The sum of all tasks' counts of a slice, as a logarithm in one byte."""
     for shard, held in blobs.by_shard(batches):
@@ -102,7 +105,7 @@ def _prefixes(sent, k: int, num: int, den: int):
         levels, powers = received(sent), Powers()
         for batch in batches:
             n_all, set_all, group_all, prefixes = [], [], [], []
-            for words in read_words(batch.column("text"), powers, True):
+            for words in read_words(batch.column("text"), powers, True, READ_BYTES):
                 doc, token = shingle_sets(words, k)
                 bounds = np.searchsorted(doc, np.arange(len(words) + 1))
                 n = np.diff(bounds)
@@ -126,7 +129,7 @@ def _prefixes(sent, k: int, num: int, den: int):
                     names=["doc_id", "row_key", "n", "set", "group", "prefix"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _post(shards: int):
@@ -143,7 +146,7 @@ def _post(shards: int):
             if len(token):
                 yield blobs.pack(shard, [(token & np.uint64(0xFFFFFFFF)).astype("<u4"), n.astype("<u4"), group.astype("<i8")])
 
-    return run
+    return tidy(run)
 
 
 def _sites(num: int, den: int, most: int):
@@ -180,7 +183,7 @@ def _sites(num: int, den: int, most: int):
             if len(members):
                 yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(sites)], names=["group", "site"])
 
-    return run
+    return tidy(run)
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -254,7 +257,7 @@ def _verify(k: int, num: int, den: int):
         for held in members(batches):
             if len(held) > 1:
                 names, sets = sorted(held), []
-                for words in read_words(pa.array([held[h] for h in names], type=pa.string()), powers, True):
+                for words in read_words(pa.array([held[h] for h in names], type=pa.string()), powers, True, READ_BYTES):
                     doc, token = shingle_sets(words, k)
                     bounds = np.searchsorted(doc, np.arange(len(words) + 1))
                     sets += [token[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -266,7 +269,7 @@ def _verify(k: int, num: int, den: int):
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, Words, kept_in_worker, mix, read_words
+from .common import Powers, Words, kept_in_worker, mix, read_words, tidy
 
 GROUP_DOCS = 4096
 GROUP_BYTES = 64 << 20
@@ -217,7 +217,7 @@ def _tokenize(vocabulary: str, end_id: int, groups: int, keep: int = WORDS_KEPT)
                 names=["doc_id", "_group", "ids"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _pack(capacity: int, least_gap: int):

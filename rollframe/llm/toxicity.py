@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import received, send
+from .common import received, send, tidy
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 
@@ -226,6 +226,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) ->
     return beta
 
 
+@tidy
 def _count_units(batches):
     """Toxic and clean documents per unit; the empty unit counts documents."""
     counts = Counter(), Counter()
@@ -285,7 +286,7 @@ def _training_features(sent):
                 [pa.array(rows, type=pa.list_(pa.float64())), pa.array(toxic, type=pa.int32())], names=["x", "toxic"]
             )
 
-    return run
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, least: float = 3.0, fit_rows: int = 50_000) -> ToxicityModel:
@@ -345,7 +346,7 @@ def _score(sent, column: str):
                 batch = batch.drop_columns([UNITS])
             yield batch.append_column(pa.field(column, pa.float64()), pa.array(scores))
 
-    return run
+    return tidy(run)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
