@@ -414,6 +414,52 @@ def test_probing_a_few_lists_reads_few_documents_and_recalls_most(spark):
         assert (sims[:, r["did"]] <= bounds[:, r["list"]]).all()
 
 
+def test_a_query_comes_once_to_a_block_of_lists():
+    """With all the lists it reads there, as neighbouring lists share a block; a long list has blocks of its own."""
+    import pyarrow as pa
+
+    first, own, ranges = RT.block_lists(np.array([3, 4, 0, 2, 25, 9, 1, 0]), 10)
+    assert ranges == [(0, 4), (4, 5), (4, 5), (4, 5), (5, 8)] and first.tolist() == [0, 0, 0, 0, 1, 4, 4, 4] and own.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+    rng = np.random.default_rng(3)
+    lists = RT.Lists(RT.unit_rows(rng.normal(size=(16, 4))), np.ones(16, dtype="int64"), np.full(16, 3.0))
+    ranges = RT.block_lists(lists.size, 8)[2]
+    vectors = pa.array(rng.normal(size=(50, 4)).tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), vectors, pa.array([-1.0] * 50)], ["qid", "qv", "kth"])
+    rows = pa.Table.from_batches(RT._ask(lists, ranges, 4, True, False)([batch])).to_pylist()
+    assert len(rows) <= 2 * 50
+    assert sum(bin(int.from_bytes(r["marks"], "big")).count("1") for r in rows) == 12 * 50
+    counts = pa.Table.from_batches(RT._ask(lists, ranges, 4, True, True)([batch])).to_pylist()
+    assert sum(r["n"] for r in counts) == len(rows)
+
+
+@pytest.mark.parametrize("pairs, queries", [(1 << 21, 1024), (64, 5)])
+def test_block_finds_the_nearest_among_copies(monkeypatch, pairs, queries):
+    """Vectors that stand often, ids that repeat or are missing, and vectors without a finite number, whatever is held at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(RT, "PAIRS", pairs)
+    monkeypatch.setattr(RT, "QUERIES", queries)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(90, 6)).astype("float32")
+    v[20:60], v[70], v[75, 2] = v[20], 0, np.nan
+    did = [*range(88, 0, -1), 30, None]
+    at = np.sort(rng.integers(0, 5, 90))
+    docs = pa.table({"did": pa.array(did, pa.int64()), "dv": pa.array(v.tolist(), pa.list_(pa.float32())), "list": at})
+    docs = docs.take(pa.array(rng.permutation(90)))
+    marks = rng.random((90, 5)) < 0.7
+    packed = [x.tobytes() for x in np.packbits(marks, axis=1)]
+    asking = pa.table({"block": [0] * 90, "qid": pa.array([d or 500 for d in did], pa.int64()), "qv": pa.array(v.tolist(), pa.list_(pa.float32())), "kth": [float("-inf")] * 90, "marks": packed})
+    found = RT._best(4, True, [(0, 5)])(asking, docs).to_pandas()
+    unit = RT.unit_rows(v)
+    want = []
+    for q in range(90):
+        ids = did[q] or 500
+        hits = sorted((-round(float(unit[q] @ unit[j]), 9), did[j] or 1 << 60) for j in range(90) if marks[q, at[j]] and did[j] != ids and j != 75 and q != 75)
+        want += [(ids, d, s) for s, d in hits[:4]]
+    got = [(int(q), 1 << 60 if np.isnan(d) else int(d), -round(s, 9)) for q, d, s in zip(found["query_id"], found["doc_id"], found["score"])]
+    assert sorted(got) == sorted(want)
+
+
 def test_topk_of_nothing(spark):
     _, d = some_passages(spark, 60)
     assert SC.topk_passages(d, d.limit(0), 3).count() == 0 and SC.topk_passages(d.limit(0), d, 3).count() == 0
