@@ -484,7 +484,7 @@ def _(spark, sf):
     path = fresh(spark, "single")
     d = conv(spark, sf).select(F.col("conv_id").alias("question_id"), "turn")
     WR.write_singletons(d, path)
-    back = spark.read.schema("question_id bigint, turn bigint, copy int, split string").json(path)
+    back = R.read_singletons(spark, path, "question_id bigint, turn bigint, copy int, split string")
     return back.select("question_id", "turn", "copy", "split")
 
 

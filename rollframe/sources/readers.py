@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import GENERATIONS, STEP_LINE
+from .folders import folder_name, folder_value, local_path
+
+#: Lines that a task holds at once.
+LINES = 8192
 
 
 def read_prompts(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -72,6 +79,51 @@ def read_generations(spark: SparkSession, path: str, extra: T.StructType | None
     return d.withColumn("step", F.coalesce("step", named))
 
 
+def _singleton_lines(root: str, prefix: str, tasks: int):
+    """Numbers of tasks to the lines of the folders that fall to each, with the values in the folders' names."""
+    kinds = pa.schema([("question", pa.string()), ("split", pa.string()), ("line", pa.string())])
+
+    def lines(task: int) -> Iterator[tuple[str | None, str | None, str]]:
+        for folder in os.scandir(root):
+            if folder.name.startswith(prefix) and crc32(folder.name.encode()) % tasks == task:
+                for split in os.scandir(folder.path):
+                    if split.name.startswith("split="):
+                        for file in os.scandir(split.path):
+                            if not file.name.startswith((".", "_")):
+                                with open(file.path, encoding="utf-8", newline="\n") as text:
+                                    yield from ((folder_value(folder.name), folder_value(split.name), line) for line in text if not line.isspace())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for task in (task for batch in batches for task in batch.column(0).to_pylist()):
+            for row in lines(task):
+                held.append(row)
+                if len(held) == LINES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=kinds)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=kinds)
+
+    return run
+
+
+def read_singletons(spark: SparkSession, path: str, schema: T.StructType | str, question: str = "question_id") -> DataFrame:
+    """All datasets that ``write_singletons`` wrote: their columns, the question and the split.
+
+    In a local or mounted folder each task lists its share of the questions and
+    reads their files; Spark's reader would first collect the names of all files.
+    """
+    root = local_path(spark, path)
+    if root is None:
+        return spark.read.schema(schema).json(path)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    lines = spark.range(tasks, numPartitions=tasks).mapInArrow(_singleton_lines(root, folder_name(question, "x")[:-1], tasks), "question string, split string, line string")
+    fields = T.StructType([f for f in schema.fields if f.name not in (question, "split")])
+    d = lines.select(F.from_json("line", fields).alias("r"), F.col("question").cast(schema[question].dataType).alias(question), "split")
+    return d.select("r.*", question, "split")
+
+
 # ---------------------------------------------------------------- console logs
 def _items(line: str) -> Column:
     return F.split(F.col(line), " - ")

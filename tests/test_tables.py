@@ -332,6 +332,31 @@ def test_singletons_are_written_by_many_tasks(spark, tmp_path):
     assert back.where("split = 'train'").count() == 240 and back.where("split = 'test'").count() == 60
 
 
+def test_singletons_come_back_as_written(spark, tmp_path):
+    """Values that a folder's name can't hold, none and empty ones, other columns; no file but the two a question."""
+    names = ["a/b", "a=b%", "ü ", "", None, "x:y", "{q}", "1", "a\\b"]
+    rows = [(q, i, None if i % 3 else f"line {i}\n\u2028", [1.5, None]) for i, q in enumerate(names * 3)]
+    d = spark.createDataFrame(rows, "question_id string, turn int, said string, more array<double>").repartition(5)
+    out = str(tmp_path / "out")
+    WR.write_singletons(d, out, copies=3)
+    want = sorted((q or "", t, s or "", c, split) for q, t, s, _ in rows for split, c in [("train", 0), ("train", 1), ("train", 2), ("test", 0)])
+    kind = "question_id string, turn int, said string, more array<double>, copy int, split string"
+    for back in (RD.read_singletons(spark, out, kind), spark.read.schema(kind).json(out)):
+        got = back.collect()
+        assert sorted((r["question_id"] or "", r["turn"], r["said"] or "", r["copy"], r["split"]) for r in got) == want
+        assert all(r["more"] == [1.5, None] for r in got)
+    files = [f for f in (tmp_path / "out").rglob("*") if f.is_file() and f.name != "_SUCCESS"]
+    assert len({f.parent for f in files}) == 2 * (len(names) - 1) and all(f.name.startswith("part-") for f in files)
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        WR.write_singletons(d, out)
+
+
+def test_singletons_of_nothing(spark, tmp_path):
+    out, kind = str(tmp_path / "out"), "question_id long, turn int, copy int, split string"
+    WR.write_singletons(spark.createDataFrame([], "question_id long, turn int"), out)
+    assert RD.read_singletons(spark, out, kind).count() == 0
+
+
 def test_frames_equal(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x long")
     assert B.frames_equal(a, a.repartition(3)).first()["equal"]
