@@ -150,14 +150,14 @@ class _Block:
 
     def __init__(self, docs: pa.Table, lists: tuple[int, int], k: int, exclude_self: bool) -> None:
         raw, self.k, self.exclude_self = matrix(docs["dv"]), k, exclude_self
-        self.known = docs["did"].is_valid().to_numpy()
+        known = docs["did"].is_valid().to_numpy()
         did, at = docs["did"].fill_null(np.iinfo("int64").max).to_numpy(), docs["list"].to_numpy()
-        # a query's own rows may be among the nearest
-        self.most = k + (int(np.unique(did, return_counts=True)[1].max()) if exclude_self else 0)
+        # a query's own rows may be the first of equal vectors
+        rows = np.unique(did[known], return_counts=True)[1].max(initial=0) if exclude_self else 0
         keep = np.flatnonzero(np.isfinite(raw).all(axis=1))
-        keep = keep[self._needed(raw[keep], did[keep], at[keep], self.most)]
+        keep = keep[self._needed(raw[keep], did[keep], at[keep], k + int(rows))]
         self.rows = keep[np.lexsort((did[keep], at[keep]))]
-        self.did, self.known, self.unit = did[self.rows], self.known[self.rows], unit_rows(raw[self.rows])
+        self.did, self.known, self.unit = did[self.rows], known[self.rows], unit_rows(raw[self.rows])
         self.rough, self.bounds = self.unit.astype("float32"), np.searchsorted(at[self.rows], np.arange(lists[0], lists[1] + 1))
         #: What single precision can do to the difference of two similarities.
         self.slack = np.float32((raw.shape[1] + 8) * 2.0**-23)
@@ -196,8 +196,9 @@ class _Block:
     def nearest(self, unit: np.ndarray, qid: np.ndarray, marks: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a few queries the nearest documents of the lists marked, none behind ``kth``."""
         rough, n = unit.astype("float32"), len(unit)
-        best = np.repeat(kth.astype("float32")[:, None], self.most, axis=1)
+        best = np.repeat(kth.astype("float32")[:, None], self.k, axis=1)
         bar = best[:, 0] - self.slack
+        same = np.flatnonzero(self.known & np.isin(self.did, qid)) if self.exclude_self else np.zeros(0, dtype="int64")
         found, held, width = [(np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"))], 0, max(1, PAIRS // max(n, 1))
         for i in range(len(self.bounds) - 1):
             row = np.flatnonzero(marks[:, i])
@@ -206,10 +207,13 @@ class _Block:
             own = rough[row]
             for at in range(self.bounds[i], self.bounds[i + 1], width):
                 sims = own @ self.rough[at : min(at + width, self.bounds[i + 1])].T
-                if sims.shape[1] > self.most:
+                cols = same[slice(*np.searchsorted(same, (at, at + sims.shape[1])))]
+                if len(cols):
+                    sims[:, cols - at] = np.where(qid[row][:, None] == self.did[cols], -np.inf, sims[:, cols - at])
+                if sims.shape[1] > self.k:
                     new = np.isneginf(bar[row])
                     if new.any():
-                        bar[row[new]] = np.partition(sims[new], -self.most, axis=1)[:, -self.most] - self.slack
+                        bar[row[new]] = np.partition(sims[new], -self.k, axis=1)[:, -self.k] - self.slack
                 hit = np.flatnonzero(sims.max(axis=1) >= bar[row])
                 if not len(hit):
                     continue
@@ -221,8 +225,8 @@ class _Block:
                 more = np.full((len(hits), place.max() + 1), -np.inf, dtype="float32")
                 more[r, place] = sims[r, c]
                 more = np.concatenate([best[hits], more], axis=1)
-                more.partition(more.shape[1] - self.most, axis=1)
-                best[hits] = more[:, -self.most :]
+                more.partition(more.shape[1] - self.k, axis=1)
+                best[hits] = more[:, -self.k :]
                 bar[hits] = np.maximum(bar[hits], best[hits].min(axis=1) - self.slack)
                 held += len(r)
                 if held > PAIRS:

@@ -466,8 +466,8 @@ def test_block_finds_the_nearest_among_copies(monkeypatch, pairs, queries):
     monkeypatch.setattr(RT, "QUERIES", queries)
     rng = np.random.default_rng(7)
     v = rng.normal(size=(90, 6)).astype("float32")
-    v[20:60], v[70], v[75, 2] = v[20], 0, np.nan
-    did = [*range(88, 0, -1), 30, None]
+    v[20:60], v[70], v[75, 2], v[88:] = v[20], 0, np.nan, v[20]
+    did = [*range(86, 0, -1), 30, None, None, None]
     at = np.sort(rng.integers(0, 5, 90))
     docs = pa.table({"did": pa.array(did, pa.int64()), "dv": pa.array(v.tolist(), pa.list_(pa.float32())), "list": at})
     docs = docs.take(pa.array(rng.permutation(90)))
